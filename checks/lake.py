@@ -338,24 +338,24 @@ def _(v):
 
 @reg.add(
     "j08_new_records_only",
-    "patients enrollments",
-    """SELECT external_id, patient_id FROM patients WHERE patient_id NOT IN (SELECT patient_id FROM enrollments)""",
+    "patients lab_events",
+    """SELECT external_id, patient_id FROM patients WHERE patient_id NOT IN (SELECT patient_id FROM lab_events)""",
 )
 def _(v):
-    return R.new_records_only(v.patients, v.enrollments, "patient_id").select(
+    return R.new_records_only(v.patients, v.lab_events, "patient_id").select(
         "external_id", "patient_id"
     )
 
 
 @reg.add(
     "j08_import_report",
-    "patients enrollments",
+    "patients lab_events",
     """SELECT count(*) AS total_parsed, count(CASE WHEN e.patient_id IS NULL THEN 1 END) AS created,
- count(e.patient_id) AS skipped_duplicate FROM patients p LEFT JOIN (SELECT DISTINCT patient_id FROM enrollments) e
+ count(e.patient_id) AS skipped_duplicate FROM patients p LEFT JOIN (SELECT DISTINCT patient_id FROM lab_events) e
  ON p.patient_id = e.patient_id""",
 )
 def _(v):
-    return R.import_report(v.patients, v.enrollments, "patient_id")
+    return R.import_report(v.patients, v.lab_events, "patient_id")
 
 
 @reg.add(

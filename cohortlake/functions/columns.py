@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import values as V
@@ -30,6 +30,16 @@ def rounded(c: Column, digits: int | None) -> Column:
     return c if digits is None else F.round(c, digits)
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that later filters must not evaluate again.
+
+    Catalyst substitutes a projected expression into every predicate it moves below
+    the projection; it does not do so for the output of a generator.
+    """
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline(packed))
+
+
 # --- casts --------------------------------------------------------------------
 
 

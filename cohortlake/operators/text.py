@@ -24,7 +24,7 @@ def lines_of(text: Column) -> Column:
 def document_lines(docs: DataFrame) -> DataFrame:
     """One row per line, with the document's character and line counts."""
     return (
-        docs.withColumn("_lines", lines_of(F.col("text")))
+        C.computed_once(docs, _lines=lines_of(F.col("text")))
         .select(
             "doc_id",
             F.length("text").alias("char_count"),
@@ -44,25 +44,22 @@ def with_lines(docs: DataFrame) -> DataFrame:
     A line is negated if it, or the line before it, holds a trigger.  Its section is
     that of the last header above it; headers themselves have none.
     """
-    staged = docs.withColumn("_raw", lines_of(F.col("text")))
-    staged = staged.withColumn(
-        "_marked",
-        F.transform(
-            "_raw",
-            lambda s: F.struct(
-                s.alias("line"),
-                _has_negation(s).alias("trigger"),
-                _header(F.lower(s)).alias("header"),
-            ),
+    marked = F.transform(
+        lines_of(F.col("text")),
+        lambda s: F.struct(
+            s.alias("line"),
+            _has_negation(s).alias("trigger"),
+            _header(F.lower(s)).alias("header"),
         ),
     )
+    staged = C.computed_once(docs, _marked=marked)
     headers = F.filter(
         F.transform(
             "_marked", lambda m, i: F.struct(i.alias("at"), m["header"].alias("section"))
         ),
         lambda h: h["section"].isNotNull(),
     )
-    staged = staged.withColumn("_headers", headers)
+    staged = C.computed_once(staged, _headers=headers)
 
     def one(m: Column, i: Column) -> Column:
         before = F.coalesce(F.try_element_at("_marked", i)["trigger"], F.lit(False))
@@ -74,9 +71,7 @@ def with_lines(docs: DataFrame) -> DataFrame:
             F.when(m["header"].isNull(), last["section"]).alias("section"),
         )
 
-    return staged.withColumn("_lines", F.transform("_marked", one)).drop(
-        "_raw", "_marked", "_headers"
-    )
+    return C.computed_once(staged, _lines=F.transform("_marked", one)).drop("_marked", "_headers")
 
 
 def _header(lower: Column) -> Column:
@@ -285,14 +280,13 @@ def _default_rules(conditions: Column, labs: Column) -> Column:
 
 def extracted(docs: DataFrame) -> DataFrame:
     """Documents with all entities as array columns, in one pass over the text."""
-    staged = with_lines(docs).withColumns(
-        {
-            "conditions": _condition_arrays(F.col("_lines")),
-            "medications": _medication_array(F.col("text")),
-            "labs": _lab_array(F.col("text")),
-            "inclusion": _section_rules(F.col("_lines"), "inclusion"),
-            "exclusion": _section_rules(F.col("_lines"), "exclusion"),
-        }
+    staged = C.computed_once(
+        with_lines(docs),
+        conditions=_condition_arrays(F.col("_lines")),
+        medications=_medication_array(F.col("text")),
+        labs=_lab_array(F.col("text")),
+        inclusion=_section_rules(F.col("_lines"), "inclusion"),
+        exclusion=_section_rules(F.col("_lines"), "exclusion"),
     )
     no_rules = (F.size("inclusion") == 0) & (F.size("exclusion") == 0)
     return staged.withColumns(
