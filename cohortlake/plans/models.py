@@ -288,7 +288,10 @@ def attribute_scores(trained: ResponseModel, features: DataFrame) -> DataFrame:
 def contribution_map(attributed: DataFrame) -> DataFrame:
     """Contributions as a map of feature to value, for ``attribution_factors``."""
     entries = F.array(
-        *[F.struct(F.lit(n), F.col(f"c_{n}")) for n in RESPONSE_FEATURES]
+        *[
+            F.struct(F.lit(n).alias("feature"), F.col(f"c_{n}").alias("value"))
+            for n in RESPONSE_FEATURES
+        ]
     )
     return attributed.select(
         "outcome_id", "base_value", "raw_score", F.map_from_entries(entries).alias("contributions")
