@@ -201,10 +201,11 @@ ALL_FACTORS = factor_list((*RULES, DELTA, *ADHERENCE))
 @reg.add(
     "d10_non_response_analysis",
     "outcomes patients",
-    f"""WITH {CASES}, fx AS (SELECT outcome_id, unnest({ALL_FACTORS}) AS f, generate_subscripts({ALL_FACTORS}, 1) AS i FROM cases),
- rk AS (SELECT outcome_id, (f).n AS name, (f).s AS s, row_number() OVER (PARTITION BY outcome_id ORDER BY (f).s DESC, i) AS rn FROM fx)
+    f"""WITH {CASES}, nr AS (SELECT *, row_number() OVER () AS rid FROM cases),
+ fx AS (SELECT rid, outcome_id, unnest({ALL_FACTORS}) AS f, generate_subscripts({ALL_FACTORS}, 1) AS i FROM nr),
+ rk AS (SELECT rid, outcome_id, (f).n AS name, (f).s AS s, row_number() OVER (PARTITION BY rid ORDER BY (f).s DESC, i) AS rn FROM fx)
  SELECT outcome_id, string_agg(name, ';' ORDER BY rn) FILTER (WHERE rn <= 6) AS factors, {r6('avg(s)')} AS overall_confidence
- FROM rk GROUP BY 1""",
+ FROM rk GROUP BY rid, outcome_id""",
 )
 def _(v):
     analysed = O.non_response_analysis(cases(v), digits=None)

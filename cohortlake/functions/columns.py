@@ -69,7 +69,7 @@ def to_date(c: Column | str) -> Column:
 def parse_list(c: Column | str) -> Column:
     """``a|b``, ``a,b`` or ``['a', 'b']`` to an array without blanks; null gives []."""
     bare = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[\[\]'\"]", "")
-    return F.filter(F.transform(F.split(bare, r"[|,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(bare, r"[|,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def list_count(c: Column | str) -> Column:
@@ -135,7 +135,8 @@ def age_at(birth: Column | str, death: Column | str, as_of: Column) -> Column:
     """Whole years lived at death, or at ``as_of``; never negative."""
     born, end = to_date(birth), F.coalesce(to_date(death), as_of)
     before_birthday = (F.month(end) * 100 + F.day(end)) < (F.month(born) * 100 + F.day(born))
-    return F.greatest(F.year(end) - F.year(born) - before_birthday.cast("int"), F.lit(0))
+    years = F.year(end) - F.year(born) - before_birthday.cast("int")
+    return F.when(years < 0, 0).otherwise(years)
 
 
 # --- outcome columns ------------------------------------------------------------------
