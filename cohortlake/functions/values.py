@@ -241,6 +241,26 @@ CONDITION_PATTERNS = (
     r"(?:Non-Alcoholic\s*Fatty\s*Liver\s*Disease|NAFLD|NASH|Cirrhosis)",
 )
 
+# Words of which every alternative of the pattern at the same place contains one.
+CONDITION_WORDS = (
+    ("diabet", "t2d"),
+    ("hypertension", "blood", "htn"),
+    ("cancer", "carcinoma", "malignancy", "oncology", "melanoma"),
+    ("failure", "chf", "fibrillation", "artery", "cad"),
+    ("kidney", "ckd", "renal", "esrd"),
+    ("copd", "asthma", "pulmonary", "lung"),
+    ("depress", "anxiety", "bipolar"),
+    ("obesity", "bmi", "metabolic"),
+    ("arthritis", "psoriasis", "lupus"),
+    ("fatty", "nafld", "nash", "cirrhosis"),
+)
+# Words of which every lab name contains one, and the start of every dose unit.
+LAB_WORDS = (
+    "hba1c", "egfr", "pressure", "bp", "bmi", "creatinine", "alt", "ast", "ldl", "hdl",
+    "cholesterol", "triglycerides", "glucose", "uacr", "platelets", "hemoglobin",
+)
+DOSE_HINT = r"(?i)\d\s*(?:mg|g|mcg|ml|u|i)"
+
 DOSE_PATTERN = (
     r"(\b[A-Z][a-z0-9\-]+(?:\s+[A-Z][a-z0-9\-]+)?)\s*"
     r"(\d+(?:\.\d+)?\s*(?:mg|g|mcg|ml|mg\/kg|units?|IU))"

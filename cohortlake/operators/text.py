@@ -13,11 +13,12 @@ from cohortlake.functions import columns as C
 from cohortlake.functions import values as V
 
 FLAGS = "(?i)"
+BLANKS = " \t\r\f\x0b"
 
 
 def lines_of(text: Column) -> Column:
     """Trimmed lines without blank ones."""
-    trimmed = F.transform(F.split(text, "\n"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    trimmed = F.transform(F.split(text, "\n"), lambda s: F.btrim(s, F.lit(BLANKS)))
     return F.filter(trimmed, lambda s: s != "")
 
 
@@ -34,22 +35,23 @@ def document_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _has_negation(line: Column) -> Column:
-    return C.contains_any(F.lower(line), V.NEGATION_TRIGGERS)
-
-
 def with_lines(docs: DataFrame) -> DataFrame:
-    """Documents with ``_lines``: an array of (line_no, line, negated, section).
+    """Documents with ``_lines``: an array of (line_no, line, low, negated, section).
 
     A line is negated if it, or the line before it, holds a trigger.  Its section is
     that of the last header above it; headers themselves have none.
     """
+    # Lower case is worked out once per line, not once per word looked for.
+    folded = F.transform(
+        lines_of(F.col("text")), lambda s: F.struct(s.alias("line"), F.lower(s).alias("low"))
+    )
     marked = F.transform(
-        lines_of(F.col("text")),
+        folded,
         lambda s: F.struct(
-            s.alias("line"),
-            _has_negation(s).alias("trigger"),
-            _header(F.lower(s)).alias("header"),
+            s["line"].alias("line"),
+            s["low"].alias("low"),
+            C.contains_any(s["low"], V.NEGATION_TRIGGERS).alias("trigger"),
+            _header(s["low"]).alias("header"),
         ),
     )
     staged = C.computed_once(docs, _marked=marked)
@@ -67,6 +69,7 @@ def with_lines(docs: DataFrame) -> DataFrame:
         return F.struct(
             i.alias("line_no"),
             m["line"].alias("line"),
+            m["low"].alias("low"),
             (m["trigger"] | F.when(i == 0, F.lit(False)).otherwise(before)).alias("negated"),
             F.when(m["header"].isNull(), last["section"]).alias("section"),
         )
@@ -83,11 +86,11 @@ def _header(lower: Column) -> Column:
 
 
 def negation_context(docs: DataFrame) -> DataFrame:
-    return with_lines(docs).select("doc_id", F.inline("_lines")).drop("section")
+    return with_lines(docs).select("doc_id", F.inline("_lines")).drop("section", "low")
 
 
 def section_state(docs: DataFrame) -> DataFrame:
-    return with_lines(docs).select("doc_id", F.inline("_lines")).drop("negated")
+    return with_lines(docs).select("doc_id", F.inline("_lines")).drop("negated", "low")
 
 
 # --- conditions -----------------------------------------------------------------------
@@ -97,8 +100,15 @@ def _condition_arrays(lines: Column) -> Column:
     """Distinct (condition, negated) entries of a document's lines."""
 
     def hits(entry: Column) -> Column:
+        # A pattern is only tried on a line that has one of its words.
         found = F.array(
-            *[F.regexp_extract(entry["line"], FLAGS + p, 0) for p in V.CONDITION_PATTERNS]
+            *[
+                F.when(
+                    C.contains_any(entry["low"], words),
+                    F.regexp_extract(entry["line"], FLAGS + pattern, 0),
+                )
+                for words, pattern in zip(V.CONDITION_WORDS, V.CONDITION_PATTERNS)
+            ]
         )
         return F.transform(
             F.filter(found, lambda f: f != ""),
@@ -150,13 +160,17 @@ def _medication_array(text: Column) -> Column:
             whole.alias("snippet"),
         )
 
-    snippets = F.regexp_extract_all(text, F.lit(window), F.lit(1))
+    # Without a number in front of a unit there is no dose to look for.
+    snippets = F.when(
+        text.rlike(V.DOSE_HINT), F.regexp_extract_all(text, F.lit(window), F.lit(1))
+    ).otherwise(F.array().cast("array<string>"))
     return F.filter(
         F.transform(snippets, one), lambda m: ~F.lower(m["medication"]).isin(*V.DOSE_STOP_WORDS)
     )
 
 
-def _lab_array(text: Column) -> Column:
+def _lab_array(text: Column, low: Column) -> Column:
+    """Every lab limit in a text, given also in lower case."""
     pattern = FLAGS + V.LAB_PATTERN
 
     def one(snippet: Column) -> Column:
@@ -172,7 +186,10 @@ def _lab_array(text: Column) -> Column:
             snippet.alias("snippet"),
         )
 
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one)
+    snippets = F.when(
+        C.contains_any(low, V.LAB_WORDS), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    ).otherwise(F.array().cast("array<string>"))
+    return F.transform(snippets, one)
 
 
 def _listed(items: Column, limit: int | None) -> Column:
@@ -188,9 +205,9 @@ def extract_medications(docs: DataFrame, limit: int | None = 10) -> DataFrame:
 
 def extract_labs(docs: DataFrame, limit: int | None = 10) -> DataFrame:
     """The first lab limits of every document."""
-    return docs.select("doc_id", _listed(_lab_array(F.col("text")), limit)).select(
-        "doc_id", "ordinal", "_i.*"
-    )
+    folded = C.computed_once(docs, _low=F.lower("text"))
+    labs = _lab_array(F.col("text"), F.col("_low"))
+    return folded.select("doc_id", _listed(labs, limit)).select("doc_id", "ordinal", "_i.*")
 
 
 # --- criteria -------------------------------------------------------------------------------
@@ -281,10 +298,10 @@ def _default_rules(conditions: Column, labs: Column) -> Column:
 def extracted(docs: DataFrame) -> DataFrame:
     """Documents with all entities as array columns, in one pass over the text."""
     staged = C.computed_once(
-        with_lines(docs),
+        C.computed_once(with_lines(docs), _low=F.lower("text")),
         conditions=_condition_arrays(F.col("_lines")),
         medications=_medication_array(F.col("text")),
-        labs=_lab_array(F.col("text")),
+        labs=_lab_array(F.col("text"), F.col("_low")),
         inclusion=_section_rules(F.col("_lines"), "inclusion"),
         exclusion=_section_rules(F.col("_lines"), "exclusion"),
     )

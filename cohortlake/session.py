@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -40,3 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, purpose: str) -> str:
     """A new path for one run in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+# Inputs between these sizes (bytes) are spread over all cores; larger ones come in
+# enough pieces of their own, and smaller ones are not worth a shuffle.
+SPREAD_FROM, SPREAD_TO = 1 << 20, 64 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread the rows of an input so small that its file may be a single task."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if SPREAD_FROM <= size <= SPREAD_TO:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df

@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlake.session import spread_small
+
 VIEW_SQL: dict[str, str] = {
     "patients": """
 SELECT concat('P', lpad(cast(c_custkey AS STRING), 7, '0')) AS patient_id, c_name AS external_id,
@@ -101,7 +103,7 @@ class ClinicalViews:
         self.directory = directory
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        return spread_small(self.spark.read.parquet(f"{self.directory}/{name}.parquet"))
 
     def view(self, name: str) -> DataFrame:
         text = VIEW_SQL[name]

@@ -178,3 +178,23 @@ def test_lab_bound_of_a_question(spark):
         spark.createDataFrame([("hba1c above 8.5 in severe cases",)], "text string")
     ).first()
     assert row.min_hba1c == 8.5
+
+
+def alternatives(pattern):
+    """The alternatives of a pattern as plain lower-case text."""
+    body = pattern.removeprefix("(?:").removesuffix(")").replace(r"\s*", " ").lower()
+    return body.split("|")
+
+
+def test_every_condition_alternative_has_a_word():
+    assert len(V.CONDITION_WORDS) == len(V.CONDITION_PATTERNS)
+    for words, pattern in zip(V.CONDITION_WORDS, V.CONDITION_PATTERNS):
+        for text in alternatives(pattern):
+            assert any(w in text for w in words), text
+
+
+def test_every_lab_name_has_a_word():
+    names = V.LAB_PATTERN[1 : V.LAB_PATTERN.index(")")].replace(r"\s*", " ").lower().split("|")
+    assert len(names) == 17
+    for name in names:
+        assert any(w in name for w in V.LAB_WORDS), name
