@@ -376,11 +376,7 @@ def _(v):
  JOIN medications m ON o.patient_id = m.patient_id AND o.trial_id = m.trial_id) x""",
 )
 def _(v):
-    from cohortlake.operators.lakehouse import outcomes_with_meds
-
-    return Q.distinct_pairs(
-        outcomes_with_meds(v.outcomes, v.medications), "drug_class", "response_status"
-    )
+    return Q.drug_response_pairs(v.outcomes, v.medications)
 
 
 OFFSETS = """msgs AS (SELECT *, row_number() OVER (PARTITION BY topic, partition_id ORDER BY event_id) + 1000 AS "offset" FROM (

@@ -81,17 +81,37 @@ def outcomes_with_meds(outcomes: DataFrame, medications: DataFrame) -> DataFrame
 
 
 def drug_effectiveness_silver(outcomes: DataFrame, medications: DataFrame) -> DataFrame:
-    """Per medication: class, patients, mean change, response rate, adverse events."""
+    """Per medication: class, patients, mean change, response rate, adverse events.
+
+    The figures are those of ``outcomes_with_meds``, but both sides are counted per
+    patient and trial first, so a pair with many of both costs one row per drug.
+    """
+    keys = ["patient_id", "trial_id"]
+    drugs = (
+        medications.where(F.col("medication_name").isNotNull())
+        .groupBy(*keys, "medication_name")
+        .agg(F.count(F.lit(1)).alias("_m"), F.min("drug_class").alias("_class"))
+    )
+    results = outcomes.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(C.responded()).alias("_pos"),
+        F.count("change").alias("_n_change"),
+        F.sum("change").alias("_change"),
+        F.count("adverse_events").alias("_ae"),
+    )
+
+    def times(c: str) -> Column:
+        return F.sum(F.col("_m") * F.col(c))
+
     return (
-        outcomes_with_meds(outcomes, medications)
-        .where(F.col("medication_name").isNotNull())
+        drugs.join(results, keys)
         .groupBy("medication_name")
         .agg(
-            F.min("drug_class").alias("drug_class"),
+            F.min("_class").alias("drug_class"),
             F.countDistinct("patient_id").alias("patient_count"),
-            F.avg("change").alias("mean_change"),
-            F.avg(C.responded().cast("double")).alias("response_rate"),
-            F.count("adverse_events").alias("adverse_event_count"),
+            F.try_divide(times("_change"), times("_n_change")).alias("mean_change"),
+            F.try_divide(times("_pos"), times("_n")).alias("response_rate"),
+            times("_ae").alias("adverse_event_count"),
         )
         .orderBy(F.desc("response_rate"), "medication_name")
     )

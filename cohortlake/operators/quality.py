@@ -203,6 +203,19 @@ def distinct_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.countDistinct(a, b).alias("distinct_pairs"))
 
 
+def drug_response_pairs(
+    outcomes: DataFrame, medications: DataFrame, keys: Sequence[str] = ("patient_id", "trial_id")
+) -> DataFrame:
+    """Distinct drug-class and response pairs that occur together on the keys.
+
+    Each side is made distinct before the join, which then has at most one row per
+    class and response of a key.
+    """
+    drugs = medications.select(*keys, "drug_class").distinct()
+    results = outcomes.select(*keys, "response_status").distinct()
+    return distinct_pairs(drugs.join(results, list(keys)), "drug_class", "response_status")
+
+
 def non_response_factors(
     outcomes: DataFrame, medications: DataFrame, patients: DataFrame, digits: int | None = 1
 ) -> DataFrame:

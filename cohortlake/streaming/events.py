@@ -131,10 +131,17 @@ def stream_outcomes_sink(path: str) -> BatchWriter:
 
 
 def audit_sink(path: str, order: str = "event_id") -> BatchWriter:
-    """One audit entry per event, with ids that go on from the earlier batches."""
+    """One audit entry per event, with ids that go on from the earlier batches.
+
+    Ids grow with the batches, so the batch before holds the largest one; the whole
+    log is only read when that batch is missing or empty.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         log = read_batches(batch.sparkSession, path, AUDIT_ENTRY, before=batch_id)
+        if "batch_id" in log.columns:
+            previous = log.where(F.col("batch_id") == batch_id - 1)
+            log = log if previous.isEmpty() else previous
         entries = stream_audit(classify_event_stream(batch))
         numbered = numbered_entries(log.select("log_id"), entries, order)
         _write(numbered.select(*AUDIT_ENTRY.names), path, batch_id)
