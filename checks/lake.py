@@ -481,7 +481,7 @@ def _(v):
  FROM fact GROUP BY 1""",
 )
 def _(v):
-    return L.trial_kpis(fact(v), digits=None)
+    return L.trial_kpis(fact(v), digits=None, trials=v.trials)
 
 
 @reg.add(

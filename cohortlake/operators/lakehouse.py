@@ -193,20 +193,26 @@ def trial_title_join(aggregate: DataFrame, fact: DataFrame) -> DataFrame:
     return aggregate.join(trial_titles(fact), "trial_id", "left")
 
 
-def trial_kpis(fact: DataFrame, digits: int | None = 4) -> DataFrame:
-    """Per trial: patients, responders, mean changes, rate and title in one pass."""
-    title = [F.min_by("title", "outcome_id").alias("title")] if "title" in fact.columns else []
-    return (
-        fact.groupBy("trial_id")
-        .agg(
-            F.countDistinct("patient_id").alias("total_enrolled"),
-            F.count_if(C.responded()).alias("positive_responses"),
-            F.avg("change").alias("avg_outcome_change"),
-            F.avg("change_pct").alias("avg_change_pct"),
-            *title,
-        )
-        .withColumn("response_rate", _rates(digits, "positive_responses", "total_enrolled"))
-    )
+def trial_kpis(
+    fact: DataFrame, digits: int | None = 4, trials: DataFrame | None = None
+) -> DataFrame:
+    """Per trial: patients, responders, mean changes, rate and title.
+
+    With the trials table given, titles are joined to the finished aggregate, which
+    then holds numbers only and stays a hash aggregate; else they come from the fact.
+    """
+    own = [F.min_by("title", "outcome_id").alias("title")]
+    from_fact = own if trials is None and "title" in fact.columns else []
+    kpis = fact.groupBy("trial_id").agg(
+        F.countDistinct("patient_id").alias("total_enrolled"),
+        F.count_if(C.responded()).alias("positive_responses"),
+        F.avg("change").alias("avg_outcome_change"),
+        F.avg("change_pct").alias("avg_change_pct"),
+        *from_fact,
+    )
+    if trials is not None:
+        kpis = kpis.join(trials.select("trial_id", "title"), "trial_id", "left")
+    return kpis.withColumn("response_rate", _rates(digits, "positive_responses", "total_enrolled"))
 
 
 def cohort_stats(fact: DataFrame, digits: bool = True) -> DataFrame:

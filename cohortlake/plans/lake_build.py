@@ -72,7 +72,7 @@ def build_gold(spark: SparkSession, lake: str) -> list[str]:
     made = {
         "population_kpis": L.population_kpis(fact, patients, trials),
         "drug_effectiveness": L.drug_effectiveness_gold(fact),
-        "trial_kpis": L.trial_kpis(fact),
+        "trial_kpis": L.trial_kpis(fact, trials=trials),
         "cohort_stats": L.cohort_stats(fact),
     }
     return [write_table(df, lake, "gold", n) for n, df in made.items()]
