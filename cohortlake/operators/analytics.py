@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import columns as C
 from cohortlake.functions import values as V
-from cohortlake.operators.records import restrict_to, trials_with_conditions
+from cohortlake.operators.records import trials_with_conditions
 from cohortlake.operators.skew import exact_quantile
 
 
@@ -427,21 +427,27 @@ def cohort_slice(
 ) -> DataFrame:
     """Outcomes of the patients that pass the filters.
 
-    A drug filter that matches no medication at all leaves the slice as it is.
+    A patient or drug filter that matches nobody at all leaves the slice as it is.
     """
-    people = slice_patients(patients, wanted)
-    rows = restrict_to(outcomes, people) if wanted.conditions or wanted.min_age else outcomes
+    rows = outcomes
+    if wanted.conditions or wanted.min_age:
+        rows = _members_or_all(rows, slice_patients(patients, wanted))
     if wanted.min_baseline:
         rows = rows.where(F.col("baseline_value") >= wanted.min_baseline)
     if wanted.drugs:
         drugs = C.any_of(C.has_word("drug_class", d) for d in wanted.drugs)
-        takers = medications.where(drugs).select("patient_id").distinct()
-        none_found = (takers.limit(1).agg(F.count(F.lit(1)).alias("n"))).scalar() == 0
-        flagged = rows.join(takers.withColumn("_taker", F.lit(True)), "patient_id", "left")
-        rows = flagged.where(F.col("_taker") | none_found).drop("_taker")
+        rows = _members_or_all(rows, medications.where(drugs))
     return rows
 
 
+def _members_or_all(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of the given patients, or all rows when there are none."""
+    ids = members.select("patient_id").distinct()
+    nobody = ids.limit(1).agg(F.count(F.lit(1)).alias("n")).scalar() == 0
+    flagged = rows.join(ids.withColumn("_member", F.lit(True)), "patient_id", "left")
+    return flagged.where(F.col("_member") | nobody).drop("_member")
+
+
 def slice_summary(rows: DataFrame, digits: bool = True) -> DataFrame:
     """One row: size, responders, rate and exact median change of a slice."""
     one, two = (1, 2) if digits else (None, None)

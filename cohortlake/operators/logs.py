@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlake.functions import columns as C
 from cohortlake.operators.skew import sequence_numbers
 
 # First offset of a topic and the id formats.
@@ -31,7 +32,7 @@ def to_event_messages(
     most of the rows is numbered by many tasks.
     """
     keyed = outcomes.withColumns(
-        {"_day": F.col("measurement_date"), "_digest": F.md5("outcome_id")}
+        {"_day": C.to_date("measurement_date"), "_digest": F.md5("outcome_id")}
     )
     numbered = sequence_numbers(
         keyed,

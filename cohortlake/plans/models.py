@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import columns as C
 from cohortlake.functions import values as V
+from cohortlake.session import shared_dir
 
 # Features and training parameters.
 CATEGORIES = ("gender", "phase", "drug_class")
@@ -129,7 +130,12 @@ class ResponseModel:
 
 
 def train_response_model(features: DataFrame, trees: int = TREES) -> ResponseModel:
-    """Gradient-boosted trees on the training side of the hash split."""
+    """Gradient-boosted trees on the training side of the hash split.
+
+    Boosting writes its residuals to the shared folder every ten trees, so a lost
+    executor does not send it back to the first tree.
+    """
+    shared_dir(features.sparkSession)
     codes = category_codes(features)
     train, _ = split_by_hash(features)
     untrained = ResponseModel(None, codes)
