@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import col
 
+# Copies of one row that one task writes out at a time.
+COPIES_PER_PIECE = 10_000
+PIECES_PER_BUCKET = 64
+
 
 def exact_quantile(
     df: DataFrame,
@@ -80,31 +84,48 @@ def sequence_numbers(
     order: Sequence[Column | str],
     bucket: Sequence[Column | str],
     groups: Sequence[str] = (),
-    start: Column | int = 1,
+    start: int = 1,
+    piece: int = COPIES_PER_PIECE,
 ) -> DataFrame:
     """Gap-free numbers in ``order``, per group, without sorting a group in one task.
 
     ``bucket`` must be a prefix of the order at a coarser grain (a day, a range of
     ids, the first digits of a digest): rows are numbered inside a bucket, and each
     bucket starts where the counts of the earlier ones end.
+
+    Equal rows are counted first and written out again at the end, in pieces of at
+    most ``piece`` copies.  Pieces beyond the first few of a row form buckets of their
+    own, after the other rows of its bucket, so that a row with very many copies is
+    spread as well.
     """
     groups = list(groups)
-    marks = [f"_b{i}" for i in range(len(bucket))]
-    keyed = df.withColumns({m: col(b) for m, b in zip(marks, bucket)})
-    sizes = keyed.groupBy(*groups, *marks).agg(F.count(F.lit(1)).alias("_size"))
+    marks = [f"_b{i}" for i in range(len(bucket) + 1)]
+    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    pieces = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / piece).cast("int"))
+    left = F.col("_copies") - F.col("_piece").cast("long") * piece
+    buckets = [*[col(b) for b in bucket], F.floor(F.col("_piece") / PIECES_PER_BUCKET)]
+    keyed = (
+        copies.withColumn("_piece", F.explode(pieces))
+        .withColumn("_size", F.least(F.lit(piece).cast("long"), left))
+        .withColumns(dict(zip(marks, buckets)))
+    )
+    sizes = keyed.groupBy(*groups, *marks).agg(F.sum("_size").alias("_total"))
     by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    running = by_group.orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = by_group.orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(
-        *groups, *marks, F.coalesce(F.sum("_size").over(running), F.lit(0)).alias("_before")
+        *groups, *marks, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
     )
-    in_bucket = Window.partitionBy(*groups, *marks).orderBy(*[col(o) for o in order])
-    first = F.lit(start) if isinstance(start, int) else start
+    in_bucket = (
+        Window.partitionBy(*groups, *marks)
+        .orderBy(*[col(o) for o in order], "_piece")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    first = F.col("_before") + F.coalesce(F.sum("_size").over(in_bucket), F.lit(0)) + start
     return (
         _null_safe_join(keyed, starts, [*groups, *marks])
-        .withColumn(
-            name, (F.col("_before") + F.row_number().over(in_bucket) - 1 + first).cast("long")
-        )
-        .drop("_before", *marks)
+        .withColumn("_first", first)
+        .withColumn(name, F.explode(F.sequence("_first", F.col("_first") + F.col("_size") - 1)))
+        .drop("_copies", "_piece", "_size", "_before", "_first", *marks)
     )
 
 

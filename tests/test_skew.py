@@ -69,6 +69,21 @@ def test_sequence_numbers_without_groups(spark):
     assert all(r.n == r.id + 1 for r in numbered.collect())
 
 
+def test_copies_get_numbers_of_their_own(spark):
+    rows = [("g", 1)] * 700 + [("g", 2)] * 3 + [("g", 5)] + [("h", 1)] * 2
+    df = spark.createDataFrame(rows, "g string, id long").repartition(3)
+    numbered = skew.sequence_numbers(
+        df, "n", order=["id"], bucket=[(df.id / 4).cast("long")], groups=["g"], piece=10
+    ).collect()
+    own = sorted((r.n, r.id) for r in numbered if r.g == "g")
+    assert [n for n, _ in own] == list(range(1, 705))
+    assert sorted(i for _, i in own) == sorted(i for g, i in rows if g == "g")
+    # The first pieces come in order; later ones follow the rest of their bucket.
+    assert [i for _, i in own[:640]] == [1] * 640 and [i for _, i in own[640:643]] == [2] * 3
+    assert own[-1] == (704, 5) and {i for _, i in own[643:703]} == {1}
+    assert sorted(r.n for r in numbered if r.g == "h") == [1, 2]
+
+
 def test_contains_join_equals_brute_force(spark):
     texts = ["Type 2 Diabetes", "diabetes", "Renal", "x", "", "Chronic Kidney Disease", "ab"]
     parts = ["diab", "KIDNEY", "x", "al", "zzz", "type 2 diabetes mellitus", "e"]
