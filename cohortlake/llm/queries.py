@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import simhash
+from cohortlake.llm import simhash, toxicity
 from cohortlake.llm.common import table
 
 QUERIES = {}
@@ -27,3 +27,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-word shingles, at most 4 differing bits, all of ``documents``."""
     found = simhash.near_copies(table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all of ``documents`` by a field trained on the rows not held out."""
+    docs = table(spark, sf_dir, "documents")
+    crf = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score_documents(docs, crf)
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        toxicity.held_out("id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"),
+        F.transform("spans", lambda s: s["start"]).alias("span_starts"),
+    )
