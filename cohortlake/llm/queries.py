@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import simhash, toxicity
+from cohortlake.llm import fingerprints, simhash, toxicity
 from cohortlake.llm.common import table
 
 QUERIES = {}
@@ -43,3 +43,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").alias("n_spans"),
         F.transform("spans", lambda s: s["start"]).alias("span_starts"),
     )
+
+
+@query("op9_document_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of 128 five-word shingle hashes of all ``documents`` and their edited texts."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"), k=128, shingle=5)
