@@ -33,7 +33,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all of ``documents`` by a field trained on the rows not held out."""
     docs = table(spark, sf_dir, "documents")
-    crf = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    crf = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_documents(docs, crf)
     return scored.select(
         F.col("id").alias("doc_id"),

@@ -116,17 +116,23 @@ def feature_keys(token: str) -> list[int]:
     return [zlib.crc32(f.encode("utf-8", "replace")) for f in features_of(token)]
 
 
-def unlike(docs: list[list[str]], shingle: int = 5, most: float = 0.3) -> list[int]:
-    """Positions of documents that are no near copies of earlier ones of the sample: copies
-    repeat their words together, which would pass for evidence about each word."""
-    seen: set[int] = set()
-    kept = []
-    for i, tokens in enumerate(docs):
-        own = {hash(tuple(tokens[j : j + shingle])) for j in range(max(1, len(tokens) - shingle + 1))}
-        if len(own & seen) <= most * len(own):
-            kept.append(i)
-            seen |= own
-    return kept
+def unlike(word: np.ndarray, doc: np.ndarray, docs: int, shingle: int = 5, most: float = 0.3) -> np.ndarray:
+    """Which documents are no near copies of earlier ones of the sample: copies repeat their
+    words together, which would pass for evidence about each word."""
+    n = len(word) - shingle + 1
+    if n <= 0:
+        return np.ones(docs, bool)
+    value = np.zeros(n, np.uint64)
+    for j in range(shingle):
+        value = value * np.uint64(0x9E3779B97F4A7C15) + word[j : j + n].astype(np.uint64) + np.uint64(1)
+    inside = doc[:n] == doc[shingle - 1 :]
+    value, of = value[inside], doc[:n][inside]
+    order = np.lexsort((of, value))
+    value, of = value[order], of[order]
+    starts = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, np.int64)
+    first = np.repeat(of[starts], np.diff(np.r_[starts, len(value)]))
+    early = np.bincount(of[first < of], minlength=docs)
+    return early <= most * np.bincount(of, minlength=docs)
 
 
 def marking_features(
@@ -157,20 +163,19 @@ def fit(
     training only.  Without both labels the field stays at its start, and finds nothing.
     """
     crf = Crf(bits)
-    docs = [tokens_of(t) for t in texts]
-    kept = unlike(docs)
-    docs, toxic = [docs[i] for i in kept], [toxic[i] for i in kept]
-    if len(set(toxic)) < 2 or not any(docs):
-        return crf
     names: dict[str, int] = {}
-    ids = [np.array([names.setdefault(t, len(names)) for t in d], np.int64) for d in docs]
-    word = np.concatenate(ids)
+    ids = [np.array([names.setdefault(t, len(names)) for t in tokens_of(text)], np.int64) for text in texts]
+    word, doc = np.concatenate([np.zeros(0, np.int64), *ids]), np.repeat(np.arange(len(ids)), [len(d) for d in ids])
+    kept = np.flatnonzero(unlike(word, doc, len(ids)))
+    ids, toxic = [ids[i] for i in kept if len(ids[i])], np.array([toxic[i] for i in kept if len(ids[i])], bool)
+    if not toxic.any() or toxic.all():
+        return crf
+    word, doc = np.concatenate(ids), np.repeat(np.arange(len(ids)), [len(d) for d in ids])
     keys = [feature_keys(t) for t in names]
     key = np.array([k for ks in keys for k in ks], np.int64)
     owner = np.repeat(np.arange(len(names)), [len(ks) for ks in keys])
     # Distinct pairs of a document and a word, then of a document and a feature.  A stem's
     # evidence is that of its words but the most frequent one, which speaks for itself.
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     pairs = np.unique(doc * len(names) + word)
     pair_doc, pair_word = pairs // len(names), pairs % len(names)
     whole = np.zeros(len(key), bool)
@@ -184,14 +189,15 @@ def fit(
     many = (ends - starts)[pair_word]
     at = spoken[np.repeat(starts[pair_word] - np.cumsum(many) + many, many) + np.arange(many.sum())]
     found = np.unique(np.repeat(pair_doc, many) << 32 | key[at])
-    marks = marking_features(found >> 32, found & 0xFFFFFFFF, np.array(toxic, bool))
+    marks = marking_features(found >> 32, found & 0xFFFFFFFF, toxic)
     # Stems that mark nothing are no features.
     useful = whole | np.isin(key, marks)
     key, owner = key[useful], owner[useful]
     marked = np.bincount(owner, np.isin(key, marks), len(names)) > 0
-    y = marked[word] & np.repeat(np.array(toxic, bool), [len(d) for d in docs])
-    lengths = np.concatenate([[min(256, len(d) - i) for i in range(0, len(d), 256)] for d in docs if d]).astype(np.int64)
-    flat = key & ((1 << bits) - 1)
+    y = marked[word] & toxic[doc]
+    lengths = np.concatenate([[min(256, len(d) - i) for i in range(0, len(d), 256)] for d in ids]).astype(np.int64)
+    del pairs, pair_doc, pair_word, many, at, found, frequent, order, ids, doc, names
+    flat, words = key & ((1 << bits) - 1), len(keys)
     first = np.zeros(len(word), bool)
     first[np.cumsum(lengths) - lengths] = True
     inner = np.flatnonzero(~first)
@@ -201,18 +207,18 @@ def fit(
     weights = np.zeros(1 << bits)
     scale = max(1, int(y.sum()))
     for _ in range(rounds):
-        of_word = np.bincount(owner, weights[flat], len(names))
+        of_word = np.bincount(owner, weights[flat], words)
         e = of_word[word] + crf.bias
         ahead, back = chain_odds(e, lengths, moves)
         odds = ahead * back
         p = odds / (1 + odds)
         pull = y - p
-        g = np.bincount(flat, np.bincount(word, pull, len(names))[owner], 1 << bits) / scale - decay * weights
-        # Expected label pairs: odds of the four pairs at each inner position.
+        g = np.bincount(flat, np.bincount(word, pull, words)[owner], 1 << bits) / scale - decay * weights
+        # Expected label pairs, from the odds of the four pairs at each inner position.
         before, x = ahead[inner - 1], np.exp(np.clip(e[inner], -60, 60)) * back[inner]
         m = np.exp(moves)
-        pairs = np.stack([np.full(len(inner), m[0]), m[1] * x, m[2] * before, m[3] * before * x])
-        want = (pairs / pairs.sum(axis=0)).sum(axis=1)
+        total = m[0] + m[1] * x + m[2] * before + m[3] * before * x
+        want = m * [np.sum(1 / total), np.sum(x / total), np.sum(before / total), np.sum(before * x / total)]
         gm, gb = (seen - want) / scale, pull.sum() / scale
         sums += g * g
         move_sums += gm * gm
@@ -233,8 +239,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def training_rows(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", most: int = 2500,
-) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from, at most ``most`` of either label.
+) -> DataFrame:
+    """``text, y`` to learn from: at most ``most`` texts of either label.
 
     Never a held-out row or a null label; an id with several labels counts as toxic if one
     says so.  Which rows are taken is decided by a digest of their text.
@@ -242,19 +248,34 @@ def training_rows(
     known = (
         labels.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).alias("key"))
-        .agg(F.max(F.col(label_col).cast("int")).alias("y"))
+        .agg((F.max(F.col(label_col).cast("int")) > 0).cast("int").alias("y"))
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     # Digests and ids alone are ranked; the chosen texts are fetched afterwards.
     digests = rows.select("id", F.xxhash64("text").alias("h")).join(known, F.col("id") == F.col("key"))
-    chosen = None
-    for y in (0, 1):
-        part = digests.filter(F.col("y") == y).orderBy("h", "id").limit(most)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.select("key", "h", "y").distinct()
+    clean, toxic = (digests.filter(F.col("y") == y).orderBy("h", "id").limit(most) for y in (0, 1))
+    chosen = clean.unionByName(toxic).select("key", "h", "y").distinct()
     found = rows.join(F.broadcast(chosen), (F.col("id") == F.col("key")) & (F.xxhash64("text") == F.col("h")))
-    found = found.select("h", "text", "y").distinct().orderBy("h", "y").collect()
-    return [r["text"] or "" for r in found], [int(r["y"] > 0) for r in found]
+    return found.select("text", "y").distinct()
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    label_col: str = "toxic", most: int = 2500,
+) -> Crf:
+    """The field learnt from ``training_rows``, a bounded sample, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())})
+        crf = fit([t for t, _ in rows], [y for _, y in rows])
+        yield pa.RecordBatch.from_pylist([{"weights": crf.weights.tobytes(), "moves": crf.moves.tolist(), "bias": crf.bias}])
+
+    sample = training_rows(docs, labels, id_col, text_col, label_col, most)
+    model = sample.repartition(1).mapInArrow(run, "weights binary, moves array<double>, bias double").first()
+    if model is None:  # nothing to learn from
+        return Crf()
+    weights = np.frombuffer(model["weights"], np.float32)
+    return Crf(len(weights).bit_length() - 1, weights, model["bias"], np.array(model["moves"]))
 
 
 def _tagged(crf: Crf, spans: bool, least: float):
@@ -325,7 +346,7 @@ def drop_toxic(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
-    crf = fit(*training_rows(docs, labels, id_col, text_col))
+    crf = train(docs, labels, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _tagged(crf, False, threshold)

@@ -83,7 +83,7 @@ def test_training_rows_and_filter(spark):
     marks = spark.createDataFrame(
         [(i, y) for i, y in enumerate(labels)] + [(0, None), (None, 1), (900, 0), (5, labels[5])], "doc_id bigint, toxic int"
     )
-    got, y = toxicity.training_rows(docs, marks, most=60)
+    got, y = zip(*[(r.text, r.y) for r in toxicity.training_rows(docs, marks, most=60).collect()])
     assert sum(y) <= 60 and len(y) - sum(y) <= 60 and len(y) > 100
     known = dict(zip(texts, labels))
     held = {r.doc_id for r in docs.filter(toxicity.held_out()).collect()}
