@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import fingerprints, simhash, toxicity
+from cohortlake.llm import fingerprints, html_text, simhash, toxicity
 from cohortlake.llm.common import table
 
 QUERIES = {}
@@ -49,3 +49,28 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of 128 five-word shingle hashes of all ``documents`` and their edited texts."""
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"), k=128, shingle=5)
+
+
+# Of these pages: the lines of the article element, cut at its block elements.
+ARTICLE_SQL = r"""
+WITH body AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS body FROM pages
+), pieces AS (
+  SELECT page_id, url, list_transform(
+    regexp_split_to_array(regexp_replace(body, '<br[^>]*>', ' ', 'g'), '</?(?:p|h1)(?: [^>]*)?>'),
+    lambda x: regexp_replace(x, '<[^>]*>', '', 'g')) AS pieces FROM body
+), decoded AS (
+  SELECT page_id, url, list_transform(pieces, lambda x: trim(regexp_replace(
+    replace(replace(replace(replace(regexp_replace(x, '&amp;|&amp', chr(1), 'g'),
+      '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), chr(1), '&'), '\s+', ' ', 'g'))) AS lines FROM pieces
+), joined AS (
+  SELECT page_id, url, array_to_string(list_filter(lines, lambda x: x <> ''), chr(10)) AS text FROM decoded
+)
+SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM joined
+"""
+
+
+@query("op5_html_text", ARTICLE_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all ``pages``."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
