@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import fingerprints, html_text, simhash, toxicity
+from cohortlake.llm import fingerprints, html_text, simhash, toxicity, url_filter
 from cohortlake.llm.common import table
 
 QUERIES = {}
@@ -74,3 +74,46 @@ SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, ''))
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all ``pages``."""
     return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+# Where no host rule fits: listings, session pages and logins are no documents.
+PATTERN_RULES = (
+    ("listing page", "block", r"[?&]page=[0-9]+(?:[&#]|$)", ["page"]),
+    ("session", "block", r"(?i)[?&;](?:jsessionid|phpsessid)=", []),
+    ("login", "block", r"(?i)/login(?:[/?#]|$)", ["login"]),
+)
+
+URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), places AS (
+  SELECT page_id, url,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM parts
+), judged AS (
+  SELECT *,
+    CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+         WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    CASE WHEN regexp_matches(url, '[?&]page=[0-9]+([&#]|$)') THEN 'listing page'
+         WHEN regexp_matches(url, '(?i)[?&;](jsessionid|phpsessid)=') THEN 'session'
+         WHEN regexp_matches(url, '(?i)/login([/?#]|$)') THEN 'login' END AS other
+  FROM places
+)
+SELECT page_id, url, host, path, rule, CASE WHEN rule IS NULL THEN other END AS pattern_rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+       WHEN other IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+
+@query("op4_url_filter", URL_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every url of ``pages`` against four host rules and three pattern rules."""
+    rules = url_filter.host_rules(spark, HOST_RULES).unionByName(url_filter.pattern_rules(spark, PATTERN_RULES))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
