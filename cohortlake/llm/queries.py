@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import fingerprints, html_text, simhash, toxicity, url_filter
+from cohortlake.llm import decontaminate, fingerprints, html_text, simhash, toxicity, url_filter
 from cohortlake.llm.common import table
 
 QUERIES = {}
@@ -117,3 +117,49 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url of ``pages`` against four host rules and three pattern rules."""
     rules = url_filter.host_rules(spark, HOST_RULES).unionByName(url_filter.pattern_rules(spark, PATTERN_RULES))
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def _seed_sql(source: str, key: str) -> str:
+    """Places of the masks in the word lists of a table, with the words they take."""
+    parts = []
+    for mask in decontaminate.MASKS:
+        taken = " || ' ' || ".join(f"w[at + {i + 1}]" for i, bit in enumerate(mask) if bit == "1")
+        parts.append(
+            f"SELECT {key}, at, '{mask} ' || {taken} AS seed FROM"
+            f" (SELECT {key}, w, unnest(range(len(w) - {len(mask)} + 1)) AS at FROM {source} WHERE len(w) >= {len(mask)})"
+        )
+    return " UNION ALL ".join(parts)
+
+
+LEAK_SQL = rf"""
+WITH d AS (
+  SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM documents
+), b AS (
+  SELECT min(item_id) AS item_id, w FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+    FROM benchmark) GROUP BY w
+), hits AS (
+  SELECT DISTINCT s.doc_id, t.item_id, s.at - t.at AS shift
+  FROM ({_seed_sql("d", "doc_id")}) s JOIN ({_seed_sql("b", "item_id")}) t USING (seed)
+), laid AS (
+  SELECT doc_id, item_id, shift, least(13, len(b.w)) AS n, d.w AS dw, b.w AS iw,
+    greatest(0, -shift) AS first, least(len(b.w), len(d.w) - shift) AS past
+  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)
+), windows AS (
+  SELECT doc_id, item_id, shift, n, s AS item_start, s + shift AS doc_start,
+    len(list_filter(range(s, s + n), lambda j: iw[j + 1] = dw[j + shift + 1])) AS n_equal
+  FROM (SELECT *, unnest(range(first, past - n + 1)) AS s FROM laid)
+)
+SELECT doc_id, item_id, CAST(doc_start AS INTEGER) AS doc_start, CAST(item_start AS INTEGER) AS item_start,
+  CAST(n AS INTEGER) AS n_window, CAST(n_equal AS INTEGER) AS n_equal, n_equal / n AS similarity
+FROM windows WHERE n_equal >= ceil(0.8 * n - 1e-9)
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, doc_start, item_start) = 1
+"""
+
+
+@query("op2_benchmark_leaks", LEAK_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` against all of ``benchmark``."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.benchmark_leaks(docs, benchmark).drop("key")
