@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import decontaminate, fingerprints, html_text, simhash, toxicity, url_filter
+from cohortlake.llm import (
+    decontaminate,
+    fingerprints,
+    html_text,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from cohortlake.llm.common import table
 
 QUERIES = {}
@@ -163,3 +171,37 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` against all of ``benchmark``."""
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.benchmark_leaks(docs, benchmark).drop("key")
+
+
+REPEAT_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), suffixes AS (
+  SELECT doc_id, at, substr(x, 2 * at + 1, 100) AS s FROM (SELECT doc_id, x, n, unnest(range(n - 49)) AS at FROM d WHERE n >= 50)
+), firsts AS (
+  SELECT s, min(doc_id) AS owner FROM suffixes GROUP BY s
+), repeated AS (
+  SELECT DISTINCT doc_id, at FROM suffixes JOIN firsts USING (s) WHERE owner < doc_id
+), bytes AS (
+  SELECT doc_id, at, substr(x, 2 * at + 1, 2) AS b FROM (SELECT doc_id, x, unnest(range(n)) AS at FROM d)
+), covered AS (
+  SELECT b.doc_id, b.at, b.b,
+    coalesce(b.at - max(r.at) OVER (PARTITION BY b.doc_id ORDER BY b.at) < 50, false) AS gone
+  FROM bytes b LEFT JOIN repeated r ON r.doc_id = b.doc_id AND r.at = b.at
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY at), false) AS opens FROM covered
+), kept AS (
+  SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (opens) AS BIGINT) AS n_spans,
+    coalesce(string_agg(b, '' ORDER BY at) FILTER (NOT gone), '') AS x
+  FROM edges GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept.x, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op6_suffix_dedup", REPEAT_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 50 bytes that repeat across all of ``documents``."""
+    return suffix_dedup.repeated_text(table(spark, sf_dir, "documents"), least=50)
