@@ -131,10 +131,10 @@ def _seed_sql(source: str, key: str) -> str:
     """Places of the masks in the word lists of a table, with the words they take."""
     parts = []
     for mask in decontaminate.MASKS:
-        taken = " || ' ' || ".join(f"w[at + {i + 1}]" for i, bit in enumerate(mask) if bit == "1")
+        taken = " || ' ' || ".join(f"w[pos + {i + 1}]" for i, bit in enumerate(mask) if bit == "1")
         parts.append(
-            f"SELECT {key}, at, '{mask} ' || {taken} AS seed FROM"
-            f" (SELECT {key}, w, unnest(range(len(w) - {len(mask)} + 1)) AS at FROM {source} WHERE len(w) >= {len(mask)})"
+            f"SELECT {key}, pos, '{mask} ' || {taken} AS seed FROM"
+            f" (SELECT {key}, w, unnest(range(len(w) - {len(mask)} + 1)) AS pos FROM {source} WHERE len(w) >= {len(mask)})"
         )
     return " UNION ALL ".join(parts)
 
@@ -148,7 +148,7 @@ WITH d AS (
     SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
     FROM benchmark) GROUP BY w
 ), hits AS (
-  SELECT DISTINCT s.doc_id, t.item_id, s.at - t.at AS shift
+  SELECT DISTINCT s.doc_id, t.item_id, s.pos - t.pos AS shift
   FROM ({_seed_sql("d", "doc_id")}) s JOIN ({_seed_sql("b", "item_id")}) t USING (seed)
 ), laid AS (
   SELECT doc_id, item_id, shift, least(13, len(b.w)) AS n, d.w AS dw, b.w AS iw,
@@ -177,22 +177,22 @@ REPEAT_SQL = """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
 ), suffixes AS (
-  SELECT doc_id, at, substr(x, 2 * at + 1, 100) AS s FROM (SELECT doc_id, x, n, unnest(range(n - 49)) AS at FROM d WHERE n >= 50)
+  SELECT doc_id, pos, substr(x, 2 * pos + 1, 100) AS s FROM (SELECT doc_id, x, n, unnest(range(n - 49)) AS pos FROM d WHERE n >= 50)
 ), firsts AS (
   SELECT s, min(doc_id) AS owner FROM suffixes GROUP BY s
 ), repeated AS (
-  SELECT DISTINCT doc_id, at FROM suffixes JOIN firsts USING (s) WHERE owner < doc_id
+  SELECT DISTINCT doc_id, pos FROM suffixes JOIN firsts USING (s) WHERE owner < doc_id
 ), bytes AS (
-  SELECT doc_id, at, substr(x, 2 * at + 1, 2) AS b FROM (SELECT doc_id, x, unnest(range(n)) AS at FROM d)
+  SELECT doc_id, pos, substr(x, 2 * pos + 1, 2) AS b FROM (SELECT doc_id, x, unnest(range(n)) AS pos FROM d)
 ), covered AS (
-  SELECT b.doc_id, b.at, b.b,
-    coalesce(b.at - max(r.at) OVER (PARTITION BY b.doc_id ORDER BY b.at) < 50, false) AS gone
-  FROM bytes b LEFT JOIN repeated r ON r.doc_id = b.doc_id AND r.at = b.at
+  SELECT b.doc_id, b.pos, b.b,
+    coalesce(b.pos - max(r.pos) OVER (PARTITION BY b.doc_id ORDER BY b.pos) < 50, false) AS gone
+  FROM bytes b LEFT JOIN repeated r ON r.doc_id = b.doc_id AND r.pos = b.pos
 ), edges AS (
-  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY at), false) AS opens FROM covered
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM covered
 ), kept AS (
   SELECT doc_id, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed, CAST(count(*) FILTER (opens) AS BIGINT) AS n_spans,
-    coalesce(string_agg(b, '' ORDER BY at) FILTER (NOT gone), '') AS x
+    coalesce(string_agg(b, '' ORDER BY pos) FILTER (NOT gone), '') AS x
   FROM edges GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
