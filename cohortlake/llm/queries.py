@@ -11,6 +11,7 @@ from cohortlake.llm import (
     html_text,
     simhash,
     suffix_dedup,
+    token_counts,
     toxicity,
     url_filter,
 )
@@ -205,3 +206,12 @@ FROM d LEFT JOIN kept USING (doc_id)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that repeat across all of ``documents``."""
     return suffix_dedup.repeated_text(table(spark, sf_dir, "documents"), least=50)
+
+
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all ``documents`` under a public vocabulary of 32,000 scored pieces."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
