@@ -9,6 +9,8 @@ from cohortlake.llm import (
     decontaminate,
     fingerprints,
     html_text,
+    mixing,
+    quality,
     simhash,
     suffix_dedup,
     token_counts,
@@ -215,3 +217,95 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all ``documents`` under a public vocabulary of 32,000 scored pieces."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all ``documents``; no labels are read."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs))
+
+
+def mix_levels() -> list[mixing.Level]:
+    """Domains are groups of sources; every level's weights are among siblings."""
+    domain = F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 4
+    lang = F.col("lang")
+    return [
+        mixing.Level("domain", F.concat(F.lit("domain"), domain.cast("string")), F.when(domain == 0, 4000).otherwise(2000)),
+        mixing.Level("lang", lang, F.when(lang == "en", 4000).when(lang == "de", 3000).otherwise(1500)),
+        mixing.Level("source", F.col("source"), F.lit(1)),
+    ]
+
+
+def half_of_all():
+    return F.floor(F.col("total") * 0.5)
+
+
+def _level_sql(depth: int, name: str, path: list[str], parent: list[str], weight: str) -> str:
+    """The children of one level and how their parent's budget is split."""
+    keys, above = ", ".join(path), ", ".join(parent)
+    by = f"PARTITION BY {above}" if parent else ""
+    source = f"JOIN g{depth - 1} USING ({above})" if parent else ", g_top"
+    return f"""
+n{depth} AS (SELECT {keys}, CAST(sum(tokens) * 2 AS HUGEINT) AS cap, CAST(max({weight}) AS HUGEINT) AS w FROM leaves GROUP BY {keys}),
+r{depth} AS (
+  SELECT n.*, b, coalesce(sum(cap) OVER prior, 0) AS cap_before,
+    sum(w) OVER ({by}) - coalesce(sum(w) OVER prior, 0) AS w_left
+  FROM n{depth} n {source}
+  WINDOW prior AS ({by} ORDER BY cap::DOUBLE / w::DOUBLE, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f{depth} AS (SELECT *, cap * w_left <= (b - cap_before) * w AS is_full FROM r{depth}
+), s{depth} AS (
+  SELECT *, b - coalesce(sum(cap) FILTER (is_full) OVER ({by}), 0) AS rest_b, sum(w) FILTER (NOT is_full) OVER ({by}) AS rest_w FROM f{depth}
+), p{depth} AS (
+  SELECT *, CASE WHEN is_full THEN cap ELSE (rest_b * w)::HUGEINT // rest_w::HUGEINT END AS part,
+    CASE WHEN is_full THEN 0 ELSE (rest_b * w)::HUGEINT % rest_w::HUGEINT END AS frac FROM s{depth}
+), g{depth} AS (
+  SELECT {keys}, part + CASE WHEN row_number() OVER ({by} ORDER BY is_full, frac DESC, {name}) <= b - sum(part) OVER ({by}) THEN 1 ELSE 0 END AS b
+  FROM p{depth}
+)"""
+
+
+MIX_SQL = (
+    r"""
+WITH d AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n,
+    'domain' || (CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) % 4) AS domain, lang, source
+  FROM documents
+), leaves AS (
+  SELECT domain, lang, source, sum(n) AS tokens,
+    CASE WHEN domain = 'domain0' THEN 4000 ELSE 2000 END AS w_domain,
+    CASE lang WHEN 'en' THEN 4000 WHEN 'de' THEN 3000 ELSE 1500 END AS w_lang, 1 AS w_source
+  FROM d WHERE n > 0 GROUP BY ALL
+), g_top AS (SELECT CAST(floor(sum(tokens) * 0.5) AS HUGEINT) AS b FROM leaves),"""
+    + _level_sql(0, "domain", ["domain"], [], "w_domain")
+    + ","
+    + _level_sql(1, "lang", ["domain", "lang"], ["domain"], "w_lang")
+    + ","
+    + _level_sql(2, "source", ["domain", "lang", "source"], ["domain", "lang"], "w_source")
+    + r"""
+, plan AS (
+  SELECT domain, lang, source, CAST(b // tokens::HUGEINT AS BIGINT) AS whole, CAST(b % tokens::HUGEINT AS BIGINT) AS rest
+  FROM g2 JOIN leaves USING (domain, lang, source) WHERE b > 0
+), placed AS (
+  SELECT d.*, whole, rest,
+    CAST('0x' || substr(md5('7|' || (whole + 1) || '|' || doc_id || '|' || digest), 1, 15) AS BIGINT) AS h
+  FROM d JOIN plan USING (domain, lang, source) WHERE n > 0
+), run AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, lang, source ORDER BY h, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM placed
+)
+SELECT doc_id, domain, lang, source, CAST(epoch AS BIGINT) AS epoch, CAST(n AS BIGINT) AS n_tokens, CAST(taken AS BIGINT) AS taken
+FROM (
+  SELECT *, unnest(range(1, whole + 1)) AS epoch, n AS taken FROM run
+  UNION ALL
+  SELECT *, whole + 1 AS epoch, greatest(0, least(n, rest - before)) AS taken FROM run
+) WHERE taken > 0
+"""
+)
+
+
+@query("op1_source_mix", MIX_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the tokens of all ``documents``, by domain, language and source, two epochs at most."""
+    return mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), half_of_all(), seed=7, max_epochs=2)
