@@ -162,9 +162,14 @@ class LabelModel:
         return right / (right + wrong)
 
 
-def fit_labels(counts: dict[str, int], rounds: int = 200, smooth: float = 1.0) -> LabelModel:
+def fit_labels(
+    counts: dict[str, int], rounds: int = 200, alarm: float = 0.03, catch: float = 0.5, strength: float = 0.5
+) -> LabelModel:
     """Expectation-maximisation over patterns of votes and how many texts have each.
 
+    Labellers are believed beforehand to vote against few good texts (``alarm``) and to
+    catch ``catch`` of the bad ones, as if from ``strength`` texts for each one of a class:
+    a kind of bad text that only one or two see would otherwise pass for their mistake.
     Starts from the share of votes for a text.  Without texts both votes are as likely.
     """
     size = len(next(iter(counts))) if counts else len(LABELLERS)
@@ -179,7 +184,9 @@ def fit_labels(counts: dict[str, int], rounds: int = 200, smooth: float = 1.0) -
     onehot = votes[:, :, None] == np.arange(3)
     for _ in range(rounds):
         weight = np.stack([n * (1 - good), n * good])
-        chances = np.einsum("yp,plv->ylv", weight, onehot) + smooth
+        belief = np.array([[catch, 1 - catch, 0], [alarm, 1 - alarm, 0]])[:, None, :]
+        chances = np.einsum("yp,plv->ylv", weight, onehot)
+        chances = chances + belief * (1 + strength * weight.sum(axis=1)[:, None, None])
         chances /= chances[:, :, :2].sum(axis=2, keepdims=True)
         chances[:, :, 2] = 1.0
         model = LabelModel(float(np.clip(weight[1].sum() / n.sum(), 1e-6, 1 - 1e-6)), chances)
