@@ -123,3 +123,16 @@ def test_texts_are_cut(spark):
     after = {(r.doc_id, r.text) for r in kept.collect()}
     assert all((i, t) in after for i, t in rows if i in untouched)
     assert sd.without_repeats(docs.limit(0)).collect() == [] and sd.repeated_text(docs.limit(0)).collect() == []
+
+
+def kept_text(rows, row, least=50):
+    """A row's text without the strings that smaller ids have, its broken characters dropped."""
+    if row[1] is None:
+        return None
+    data = row[1].encode()
+    others = {o[p : p + least] for i, t, *_ in rows if t and i < row[0] for o in [t.encode()] for p in range(len(o) - least + 1)}
+    gone = np.zeros(len(data), bool)
+    for p in range(len(data) - least + 1):
+        if data[p : p + least] in others:
+            gone[p : p + least] = True
+    return bytes(b for b, g in zip(data, gone) if not g).decode("utf-8", "ignore")
