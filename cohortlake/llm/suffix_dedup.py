@@ -14,10 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import fresh, mix64, text_or_empty, utf8
+from cohortlake.llm.common import fresh, mix64, stored, text_or_empty, utf8
 
 LEAST = 50
 GRAM = 16
@@ -118,73 +118,76 @@ def _counted(least: int, gram: int):
     return run
 
 
-def repeated_filter(docs: DataFrame, least: int, gram: int) -> np.ndarray:
-    """A Bloom filter of the minimisers that more than one document may have.
+def bloom_filter(values: DataFrame) -> np.ndarray:
+    """A Bloom filter of a column of longs, of a size bounded whatever their number.
 
-    Its size is bounded whatever the input.  A fuller filter lets more pieces through to
-    the sort, which decides exactly; it never loses one.
+    A fuller filter lets more through to the exact steps behind it; it never loses one.
     """
-    counts = docs.select("text").mapInArrow(_counted(least, gram), "h bigint, n int")
-    repeated = counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    bits = 1 << 24
-
-    def run(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(bits // 64, np.uint64)
-        for batch in batches:
-            for p in _places(batch.column(0).to_numpy().view(np.uint64), bits):
-                np.bitwise_or.at(words, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
-        full = np.flatnonzero(words)
-        for i in range(0, len(full), 100_000):
-            part = full[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part].view(np.int64))], names=["at", "word"])
-
-    repeated = repeated.persist()
+    bits = 1 << 20
+    values = values.toDF("v").persist()
     try:
-        while bits < min(MOST_BITS, 16 * repeated.count()):
+        wanted = min(MOST_BITS, 16 * values.count())
+        while bits < wanted:
             bits *= 2
-        set_words = repeated.mapInArrow(lambda x: run(x, bits), "at bigint, word bigint")
-        found = set_words.groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = np.zeros(bits // 64, np.uint64)
+            for batch in batches:
+                for p in _places(batch.column(0).to_numpy().view(np.uint64), bits):
+                    np.bitwise_or.at(words, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
+            full = np.flatnonzero(words)
+            for i in range(0, len(full), 100_000):
+                part = full[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(words[part].view(np.int64))], names=["at", "word"])
+
+        found = values.mapInArrow(run, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     finally:
-        repeated.unpersist()
+        values.unpersist()
     words = np.zeros(bits // 64, np.uint64)
     words[found.column("at").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
     return words
 
 
-def _pieces_of(least: int, gram: int, words, texts: bool):
-    """Pieces whose minimiser is in the filter: with their text and the least and greatest
-    id of the batch's documents that have it, or every place where one occurs."""
+def _pieces_of(least: int, gram: int, words, what: str):
+    """Pieces of the rows ``key, id, text`` that pass a filter.
+
+    ``names`` and ``texts``: those whose minimiser is in it, each once a batch, by name (a
+    digest) or by text, with the least and the greatest id that has it.  ``places``: where
+    those whose name is in it occur.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             key, ident = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             value, start, count = pieces(data, offsets, least, gram)
-            hit = in_filter(words.value, value)
-            value, start, count = value[hit], start[hit], count[hit]
-            doc = np.searchsorted(offsets, start, side="right") - 1
+            if what != "places":
+                hit = in_filter(words.value, value)
+                value, start, count = value[hit], start[hit], count[hit]
             view = data.tobytes()
             ends = start + count + least - 1
-            digest = xxhash.xxh64_intdigest
             name = np.fromiter((digest(view[s:e]) for s, e in zip(start.tolist(), ends.tolist())), np.uint64, len(start))
-            if not texts:
-                columns = [value.view(np.int64), name.view(np.int64), key[doc], ident[doc], start - offsets[doc]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "name", "key", "id", "start"])
+            if what == "places":
+                hit = in_filter(words.value, name)
+                name, start, count = name[hit], start[hit], count[hit]
+                doc = np.searchsorted(offsets, start, side="right") - 1
+                columns = [name.view(np.int64), key[doc], ident[doc], start - offsets[doc], count - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "key", "id", "start", "n"])
                 continue
-            order = np.lexsort((name, value))
-            new = np.r_[True, (value[order][1:] != value[order][:-1]) | (name[order][1:] != name[order][:-1])][: len(order)]
-            first = np.flatnonzero(new)
+            order = np.argsort(name, kind="stable")
+            first = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]][: len(order)])
             if not len(first):
                 continue
-            one, ids = order[first], ident[doc[order]]
+            one, ids = order[first], ident[np.searchsorted(offsets, start[order], side="right") - 1]
+            texts = [view[s:e] for s, e in zip(start[one].tolist(), ends[one].tolist())] if what == "texts" else []
             columns = [
                 pa.array(value[one].view(np.int64)),
-                pa.array(name[one].view(np.int64)),
-                pa.array([view[s:e] for s, e in zip(start[one].tolist(), ends[one].tolist())], pa.binary()),
+                pa.array(texts, pa.binary()) if what == "texts" else pa.array(name[one].view(np.int64)),
                 pa.array(np.minimum.reduceat(ids, first)),
                 pa.array(np.maximum.reduceat(ids, first)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "name", "text", "low", "high"])
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "piece", "low", "high"])
 
     return run
 
@@ -236,81 +239,99 @@ def first_owners(text: np.ndarray, offsets: np.ndarray, owner: np.ndarray, least
 
 
 def _sorted_blocks(least: int):
-    """Runs of suffixes that an earlier document has, from pieces sorted by bucket."""
-    names = ["h", "name", "first", "last", "owner"]
+    """Runs of suffixes that an earlier document has, from the pieces of buckets with
+    several, sorted by bucket and text."""
+    names = ["name", "first", "last", "owner"]
 
-    def merged(h, name, parts, low, high):
+    def merged(h, parts, low, high):
         """Equal pieces, which are neighbours, become one."""
-        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (name[1:] != name[:-1])])
+        other = np.array([a != b for a, b in zip(parts[1:], parts)], bool)
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | other])
         low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
-        return h[first], name[first], [parts[i] for i in first], low, high
+        return h[first], [parts[i] for i in first], low, high
 
-    def runs_of(h, name, parts, low, high) -> pa.RecordBatch:
-        bucket = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
+    def runs_of(h, parts, low, high) -> pa.RecordBatch:
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        many = np.diff(np.r_[starts, len(h)])[bucket] > 1
-        shared = (np.minimum.reduceat(low, starts) < np.maximum.reduceat(high, starts))[bucket]
-        counts = np.array([len(p) for p in parts]) - least + 1
-        # A piece alone in its bucket has one owner: its first document.
-        alone = np.flatnonzero(~many & (low < high))
-        out = [[h[alone], name[alone], np.zeros(len(alone), np.int64), counts[alone] - 1, low[alone]]]
-        mixed = np.flatnonzero(many & shared)
-        if len(mixed):
-            text = np.frombuffer(b"".join(parts[i] for i in mixed), np.uint8)
-            sizes = np.array([len(parts[i]) for i in mixed])
-            offsets = np.r_[0, np.cumsum(sizes)]
-            at, owner = first_owners(text, offsets, low[mixed], least)
-            piece = np.searchsorted(offsets, at, side="right") - 1
-            place = at - offsets[piece]
-            new = np.r_[True, (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1])]
-            a = np.flatnonzero(new)
-            b = np.r_[a[1:], len(at)] - 1
-            keep = owner[a] < high[mixed][piece[a]]
-            a, b = a[keep], b[keep]
-            of = mixed[piece[a]]
-            out.append([h[of], name[of], place[a], place[b], owner[a]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+        bucket = np.cumsum(np.r_[True, h[1:] != h[:-1]]) - 1
+        shared = np.minimum.reduceat(low, starts) < np.maximum.reduceat(high, starts)
+        shared &= np.diff(np.r_[starts, len(h)]) > 1
+        mixed = np.flatnonzero(shared[bucket])
+        if not len(mixed):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=names)
+        offsets = np.r_[0, np.cumsum([len(parts[i]) for i in mixed])]
+        text = np.frombuffer(b"".join(parts[i] for i in mixed), np.uint8)
+        at, owner = first_owners(text, offsets, low[mixed], least)
+        piece = np.searchsorted(offsets, at, side="right") - 1
+        a = np.flatnonzero(np.r_[True, (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1])])
+        b = np.r_[a[1:], len(at)] - 1
+        keep = owner[a] < high[mixed][piece[a]]
+        a, b = a[keep], b[keep]
+        name = np.array([xxhash.xxh64_intdigest(parts[i]) for i in mixed[piece[a]]], np.uint64).view(np.int64)
+        columns = [name, (at - offsets[piece])[a], (at - offsets[piece])[b], owner[a]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * 5
+        h = low = high = np.zeros(0, np.int64)
+        parts: list[bytes] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            kept = merged(*[np.concatenate([k, x]) if i != 2 else [*k, *x] for i, (k, x) in enumerate(zip(kept, now))])
+            now = [batch.column(i).to_numpy() for i in (0, 2, 3)]
+            h, low, high = (np.concatenate(x) for x in zip((h, low, high), now))
+            h, parts, low, high = merged(h, parts + batch.column(1).to_pylist(), low, high)
             # The last bucket may go on in the next batch.
-            end = int(np.argmax(kept[0] == kept[0][-1]))
-            if end and sum(map(len, kept[2])) >= BLOCK_BYTES:
-                yield runs_of(*[x[:end] for x in kept])
-                kept = [x[end:] for x in kept]
-        if len(kept[0]):
-            yield runs_of(*kept)
+            end = int(np.argmax(h == h[-1]))
+            if end and sum(map(len, parts)) >= BLOCK_BYTES:
+                yield runs_of(h[:end], parts[:end], low[:end], high[:end])
+                h, parts, low, high = h[end:], parts[end:], low[end:], high[end:]
+        if len(h):
+            yield runs_of(h, parts, low, high)
 
     return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """``key, spans``: per distinct id and text the ranges of bytes (start, end) covered by
-    a string of ``least`` bytes that a document with a smaller id has too."""
+    a string of ``least`` bytes that a document with a smaller id has too.
+
+    Four readings of the texts keep what moves small.  Minimisers are counted; pieces whose
+    minimiser may repeat are summed up by name; those of buckets with several pieces travel
+    with their text and are sorted (a piece alone in its bucket belongs to the first
+    document that has it); last, the places of pieces with an earlier owner are looked up.
+    """
     if gram < 8 or least < gram + PERIOD:
         raise ValueError("grams have 8 bytes or more, and strings at least 7 more than grams")
-    spark: SparkSession = docs.sparkSession
     rows = docs.select(
         F.xxhash64(id_col, text_or_empty(text_col)).alias("key"),
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"),
         text_or_empty(text_col).alias("text"),
     ).filter(F.octet_length("text") >= least)
-    words = spark.sparkContext.broadcast(repeated_filter(rows, least, gram))
-    texts = rows.mapInArrow(
-        _pieces_of(least, gram, words, True), "h bigint, name bigint, text binary, low bigint, high bigint"
+    send = docs.sparkSession.sparkContext.broadcast
+    counts = rows.select("text").mapInArrow(_counted(least, gram), "h bigint, n int")
+    repeated = send(bloom_filter(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")))
+
+    named = rows.mapInArrow(_pieces_of(least, gram, repeated, "names"), "h bigint, piece bigint, low bigint, high bigint")
+    buckets = named.groupBy("h").agg(
+        F.min("piece").alias("a"), F.max("piece").alias("b"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    sorted_texts = texts.repartition("h").sortWithinPartitions("h", "name")
-    runs = sorted_texts.mapInArrow(_sorted_blocks(least), "h bigint, name bigint, first bigint, last bigint, owner bigint")
+    buckets = stored(buckets.filter("low < high"), "buckets")
+    whole = F.lit(-1).cast("bigint")
+    alone = buckets.filter("a = b").select(
+        F.col("a").alias("name"), F.lit(0).cast("bigint").alias("first"), whole.alias("last"), F.col("low").alias("owner")
+    )
+    several = send(bloom_filter(buckets.filter("a <> b").select("h")))
+    texts = rows.mapInArrow(_pieces_of(least, gram, several, "texts"), "h bigint, piece binary, low bigint, high bigint")
+    texts = texts.repartition("h").sortWithinPartitions("h", "piece")
+    runs = texts.mapInArrow(_sorted_blocks(least), "name bigint, first bigint, last bigint, owner bigint")
+    runs = stored(alone.unionByName(runs), "runs")
+
+    owned = send(bloom_filter(runs.select("name")))
     places = rows.mapInArrow(
-        _pieces_of(least, gram, words, False), "h bigint, name bigint, key bigint, id bigint, start bigint"
+        _pieces_of(least, gram, owned, "places"), "name bigint, key bigint, id bigint, start bigint, n bigint"
     )
-    found = places.join(runs, ["h", "name"]).filter("owner < id")
-    span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + least).alias("b"))
+    found = places.join(runs, "name").filter("owner < id")
+    last = F.when(F.col("last") < 0, F.col("n")).otherwise(F.col("last"))
+    span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + last + least).alias("b"))
     return found.groupBy("key").agg(F.collect_list(span).alias("spans"))
 
 
@@ -329,12 +350,27 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(text)]))
 
 
-def _with_spans(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int) -> tuple[DataFrame, str]:
-    key, spans = fresh(docs, "text_key", "spans")
-    found = repeated_spans(docs, id_col, text_col, least, gram)
-    found = found.select(F.col("key").alias(key), F.col("spans").alias(spans))
-    keyed = F.xxhash64(F.col(id_col), text_or_empty(text_col)) == F.col(key)
-    return docs.join(found, keyed, "left").drop(key), spans
+def _split(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int) -> tuple[DataFrame, DataFrame, str]:
+    """The rows that may lose bytes, with a column of spans (null for none), and the others,
+    whose texts stay where they are."""
+    key, spans, own = fresh(docs, "text_key", "spans", "own_key")
+    found = stored(repeated_spans(docs, id_col, text_col, least, gram), "spans")
+    words = docs.sparkSession.sparkContext.broadcast(bloom_filter(found.select("key")))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), text_or_empty(text_col)))
+    at = len(docs.columns)
+
+    def those(hit: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                inside = in_filter(words.value, batch.column(at).to_numpy().view(np.uint64))
+                yield batch.filter(pa.array(inside == hit))
+
+        return run
+
+    found = found.select(F.col("key").alias(own), F.col("spans").alias(spans))
+    touched = keyed.mapInArrow(those(True), keyed.schema)
+    touched = touched.join(found, F.col(key) == F.col(own), "left").drop(key, own)
+    return touched, keyed.mapInArrow(those(False), keyed.schema).drop(key), spans
 
 
 def repeated_text(
@@ -348,7 +384,13 @@ def repeated_text(
     and empty texts have no bytes; a null id comes after all others.  Repeated rows stay
     repeated; other columns are not read; an empty table gives no rows.
     """
-    rows, spans = _with_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", least, gram)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    touched, others, spans = _split(rows, "id", "text", least, gram)
+    data, zero = text_or_empty("text").cast("binary"), F.lit(0).cast("bigint")
+    others = others.select(
+        "id", F.octet_length(data).cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),
+        F.sha2(data, 256).alias("kept_sha256"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,10 +406,10 @@ def repeated_text(
             )
 
     kind = rows.schema["id"].dataType.simpleString()
-    judged = rows.select("id", text_or_empty("text"), spans).mapInArrow(
+    judged = touched.select("id", text_or_empty("text"), spans).mapInArrow(
         run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
-    return judged.withColumnRenamed("id", id_col)
+    return judged.unionByName(others).withColumnRenamed("id", id_col)
 
 
 def without_repeats(
@@ -375,8 +417,8 @@ def without_repeats(
 ) -> DataFrame:
     """The rows of ``docs`` with the repeated bytes cut out of their text, other columns as
     they are.  Where a cut goes through a character its other bytes go too."""
-    rows, spans = _with_spans(docs, id_col, text_col, least, gram)
-    names, at, of = docs.columns, rows.columns.index(text_col), rows.columns.index(spans)
+    touched, others, spans = _split(docs, id_col, text_col, least, gram)
+    names, at, of = docs.columns, touched.columns.index(text_col), touched.columns.index(spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -389,4 +431,4 @@ def without_repeats(
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, docs.schema)
+    return touched.mapInArrow(run, docs.schema).unionByName(others)
