@@ -580,13 +580,17 @@ def _(v):
 @reg.add(
     "m05_match_buckets",
     "patients trials",
-    f"""WITH {pair_sql('TRUE')}, {ranked_sql(31.0, 20)} SELECT patient_id, trial_id, status, cast(rn AS INT) AS bucket_rank FROM (
- SELECT *, row_number() OVER (PARTITION BY patient_id, status ORDER BY eligibility_score DESC, trial_id) AS rn FROM mt
- WHERE status <> 'Unlikely Eligible') x WHERE rn <= 5""",
+    f"""WITH {pair_sql("p.patient_id = 'P0000012'")} SELECT patient_id, trial_id, eligibility_score, status, cast(rn AS INT) AS bucket_rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY patient_id, status ORDER BY eligibility_score DESC, trial_id) AS rn FROM sc
+ WHERE status <> 'Unlikely Eligible') x WHERE status <> 'Ineligible' OR rn <= 5""",
 )
 def _(v):
-    found = M.match_patients(v.patients, v.trials, observations=labs(v))
-    return M.match_buckets(found).select("patient_id", "trial_id", "status", "bucket_rank")
+    found = M.match_patient(
+        v.patients, v.trials, "P0000012", min_score=0.0, limit=None, observations=labs(v)
+    )
+    return M.match_buckets(found).select(
+        "patient_id", "trial_id", "eligibility_score", "status", "bucket_rank"
+    )
 
 
 @reg.add(

@@ -12,6 +12,10 @@ from cohortlake.functions.columns import col
 # Copies of one row that one task writes out at a time.
 COPIES_PER_PIECE = 10_000
 PIECES_PER_BUCKET = 64
+# Buckets of a round of exact_quantile, and its rounds.
+SPLIT = 1_000
+ROUNDS = 2
+SALTS = 32
 
 
 def exact_quantile(
@@ -24,58 +28,95 @@ def exact_quantile(
 ) -> DataFrame:
     """Exact interpolated quantile of ``value`` per key, one row per key.
 
-    ``percentile`` merges every distinct value of a group in one task.  Here a
-    group is spread three times over: equal values are counted by (key, value);
-    the counts fall into a bounded number of monotone log-scale buckets, whose
-    running total shows which buckets hold the wanted ranks; only the values of
-    those buckets are then ordered.  ``weight`` counts a row that many times.
+    ``percentile`` merges every distinct value of a group in one task.  Here equal values
+    are counted by (key, value).  Their counts fall into buckets, whose running total shows
+    which ones hold the wanted ranks; those are split anew between their own least and
+    greatest value, ``ROUNDS`` times.  The values of the last buckets are ordered: one in
+    ``SPLIT`` to the power of ``ROUNDS`` of a key's range.  Infinite values and NaN have
+    buckets of their own, in the order of ``percentile`` (NaN last).  ``weight`` counts a
+    row that many times; rows without a positive one count nothing.
     """
     keys = list(keys)
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counts = (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
+        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(n.alias("_n"))
-        .withColumn("_bucket", _log_bucket(F.col("_v")))
+        .where(F.col("_n") > 0)
+        .withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
     )
-    buckets = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_n"))
-    # Without keys the frame is the bucket histogram alone: a few thousand rows.
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    position = (F.sum("_n").over(by_key) - 1) * F.lit(q)
-    ranked = buckets.select(
+    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    position = (F.col("_total") - 1) * F.lit(q)
+    wanted = totals.select(
         *keys,
-        "_bucket",
-        (F.sum("_n").over(by_key.orderBy("_bucket")) - F.col("_n")).alias("_before"),
-        "_n",
-        position.alias("_pos"),
+        F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))).alias("_rank"),
+        F.lit(0).cast("long").alias("_before"),
+        F.lit(float("-inf")).alias("_low"),
+        F.lit(float("nan")).alias("_high"),
     )
-    wanted = ranked.where(
-        (F.col("_before") <= F.ceil("_pos")) & (F.col("_before") + F.col("_n") > F.floor("_pos"))
-    ).drop("_n")
-    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy("_v")
-    placed = (
-        _null_safe_join(counts, wanted, [*keys, "_bucket"])
-        .withColumn("_last", F.col("_before") + F.sum("_n").over(in_bucket) - 1)
+    for _ in range(ROUNDS):
+        wanted = _narrowed(counts, wanted, keys)
+    # What is left of a key between the bounds is ordered.
+    inside = _in_bounds(counts, wanted, keys)
+    order = Window.partitionBy(*keys, "_rank").orderBy("_v")
+    placed = inside.withColumn("_last", F.col("_before") + F.sum("_n").over(order) - 1)
+    found = placed.where(F.col("_last") >= F.col("_rank")).groupBy(*keys, "_rank").agg(F.min("_v").alias("_v"))
+    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
+    ends = found.groupBy(*keys).agg(low.alias("_a"), high.alias("_b"))
+    part = position - F.floor(position)
+    between = F.when(F.col("_a").eqNullSafe(F.col("_b")) | (part == 0), F.col("_a")).otherwise(
+        (1 - part) * F.col("_a") + part * F.col("_b")
     )
-    low = F.min(F.when(F.col("_last") >= F.floor("_pos"), F.col("_v")))
-    high = F.min(F.when(F.col("_last") >= F.ceil("_pos"), F.col("_v")))
-    fraction = F.first(F.col("_pos") - F.floor("_pos"))
-    return placed.groupBy(*keys).agg((low + (high - low) * fraction).alias(name))
-
-
-def _log_bucket(v: Column) -> Column:
-    """Order-preserving bucket number: about 2,000 buckets per factor of e squared."""
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * 1000).cast("int")
+    return _null_safe_join(totals, ends, keys).select(*keys, between.alias(name))
+
+
+def _in_bounds(counts: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts between a wanted rank's bounds.  The few wanted rows are copied for every salt,
+    so that the values of a hot key (or of no key) meet them in many tasks."""
+    copies = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = _null_safe_join(counts, copies, [*keys, "_salt"]).drop("_salt")
+    return joined.where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+
+
+def _narrowed(counts: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For every wanted rank the bounds of the bucket that holds it, and the count before."""
+    inside = _in_bounds(counts, wanted, keys)
+    finite = ~F.isnan("_v") & (F.abs(F.col("_v")) != float("inf"))
+    rank = [*keys, "_rank"]
+    ends = inside.where(finite).groupBy(*rank).agg(F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    inside = _null_safe_join(inside, ends, rank, "left")
+    # Halves, so that the width of a range of very large values stays finite.
+    width = F.col("_most") / 2 - F.col("_least") / 2
+    step = F.floor((F.col("_v") / 2 - F.col("_least") / 2) / width * SPLIT).cast("int")
+    bucket = (
+        F.when(F.isnan("_v"), SPLIT + 2)
+        .when(F.col("_v") == float("inf"), SPLIT + 1)
+        .when(F.col("_v") == float("-inf"), -1)
+        .when(width > 0, F.least(F.lit(SPLIT), step))
+        .otherwise(0)
+    )
+    sums = inside.withColumn("_bucket", bucket).groupBy(*rank, "_bucket").agg(
+        F.sum("_n").alias("_n"),
+        F.max("_before").alias("_start"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+    )
+    earlier = Window.partitionBy(*rank).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    holds = (F.col("_before") <= F.col("_rank")) & (F.col("_before") + F.col("_n") > F.col("_rank"))
+    return sums.where(holds).select(*rank, "_before", "_low", "_high")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _null_safe_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
     condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def sequence_numbers(

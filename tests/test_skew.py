@@ -44,6 +44,30 @@ def test_exact_quantile_of_nothing(spark):
     assert skew.exact_quantile(df, ["k"], "v", 0.5, "q").count() == 0
 
 
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 1.0])
+def test_exact_quantile_equals_percentile(spark, q):
+    inf, nan = float("inf"), float("nan")
+    groups = {
+        "nan": [1.0, 2.0, nan],
+        "ends": [-inf, 1.0, 2.0, inf, inf],
+        "tiny": [i * 1e-9 for i in range(2000)],
+        "near": [6 + i * 1e-4 for i in range(3000)],
+        "huge": [-1.7e308, 1.7e308, 5.0, 0.0],
+        "same": [3.0] * 50,
+        "lows": [-inf] * 3 + [nan] * 2,
+    }
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.q for r in skew.exact_quantile(df, ["k"], "v", q, "q").collect()}
+    df.createOrReplaceTempView("quantile_rows")
+    want = {r.k: r.p for r in spark.sql(f"SELECT k, percentile(v, {q}) AS p FROM quantile_rows GROUP BY k").collect()}
+    for k in groups:
+        assert got[k] == pytest.approx(want[k], rel=1e-12, nan_ok=True), k
+    bare = skew.exact_quantile(df.where("k = 'near'"), [], "v", q, "q").first().q
+    assert bare == pytest.approx(want["near"], rel=1e-12)
+    assert skew.exact_quantile(df.where("false"), [], "v", q, "q").first().q is None
+
+
 def test_null_key_is_a_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
     got = {r.k: r.q for r in skew.exact_quantile(df, ["k"], "v", 0.5, "q").collect()}
