@@ -170,16 +170,14 @@ def _(v):
 @reg.add(
     "d07_biomarker_delta_factor",
     "outcomes",
-    f"""WITH {EVALUATED} SELECT outcome_id, {r6(f'least(0.88, 0.5 + (minimal - {DELTA_PCT}) / 100)')} AS raw_strength FROM ev
- WHERE {INSUFFICIENT}""",
+    # The decimal of the shortest text is what Spark rounds.
+    f"""WITH {EVALUATED} SELECT outcome_id, cast(round(cast(cast(least(0.88, 0.5 + (minimal - {DELTA_PCT}) / 100) AS VARCHAR)
+  AS DECIMAL(38, 20)), 2) AS DOUBLE) AS strength FROM ev WHERE {INSUFFICIENT}""",
 )
 def _(v):
-    held = O.evaluate_outcomes(v.outcomes).withColumn("f", O.delta_factor()).where(F.size("f") > 0)
-    minimal = C.threshold(F.col("outcome_type"), "minimal")
-    base, end = F.col("baseline_value"), F.col("followup_value")
-    pct = F.abs(end - base) / F.abs(base) * 100
-    return held.select(
-        "outcome_id", F.least(F.lit(0.88), 0.5 + (minimal - pct) / 100).alias("raw_strength")
+    held = O.evaluate_outcomes(v.outcomes)
+    return held.select("outcome_id", F.explode(O.delta_factor()).alias("f")).select(
+        "outcome_id", "f.strength"
     )
 
 
@@ -550,20 +548,19 @@ def _(v):
 @reg.add(
     "j09_candidate_pairs",
     "patients trials",
-    """WITH tc AS (SELECT condition, count(*) AS trials FROM trials GROUP BY 1)
- SELECT patient_id, cast(sum(trials) AS BIGINT) AS candidates FROM patients JOIN tc ON contains(lower(conditions), lower(condition)) GROUP BY 1""",
+    """SELECT patient_id, cast(count(*) AS BIGINT) AS candidates FROM patients p JOIN trials t
+  ON contains(lower(p.conditions), lower(t.condition)) AND p.age >= coalesce(t.min_age, 18)
+  AND (t.max_age IS NULL OR p.age <= t.max_age) AND (t.gender = 'ALL' OR p.gender = t.gender) GROUP BY 1""",
 )
 def _(v):
-    from cohortlake.operators.analytics import condition_trial_counts, patient_conditions
-    from cohortlake.operators.skew import contains_join
-
-    held = patient_conditions(v.patients).withColumnRenamed("condition", "held")
-    counts = condition_trial_counts(v.trials)
-    vocabulary = contains_join(held.select("held").distinct(), "held", counts, "condition")
+    checks, lists, facts = M.match_inputs(v.patients, v.trials, labs(v))
+    pairs = M.candidate_pairs(facts, lists).select("profile", "signature")
+    trials = checks.groupBy("signature").agg(F.count(F.lit(1)).alias("trials"))
+    per_profile = pairs.join(trials, "signature").groupBy("profile")
     return (
-        held.join(vocabulary, "held")
-        .groupBy("patient_id")
-        .agg(F.sum("trials").alias("candidates"))
+        facts.select("patient_id", "profile")
+        .join(per_profile.agg(F.sum("trials").alias("candidates")), "profile")
+        .select("patient_id", "candidates")
     )
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from checks.base import POSITIVE, Registry, r6, sql_list
+from cohortlake.schemas import TableSchema
+from cohortlake.sources.raw import coerce_types, require
 from cohortlake.functions import columns as C
 from cohortlake.operators import lakehouse as L
 from cohortlake.operators import records as R
@@ -21,20 +24,33 @@ AGE_GROUP = """CASE WHEN age > 0 AND age <= 30 THEN '<30' WHEN age <= 45 THEN '3
 # --- projections ---------------------------------------------------------------
 
 
+NUMBER_TEXT = "regexp_extract(text, '[0-9][0-9.]*', 0)"
+
+
 @reg.add(
     "p01_coerce_types",
     "",
-    f"""SELECT doc_id, {r6("try_cast(regexp_extract(text, '[0-9][0-9.]*', 0) AS DOUBLE)")} AS as_double,
- CASE WHEN floor(try_cast(regexp_extract(text, '[0-9][0-9.]*', 0) AS DOUBLE)) = try_cast(regexp_extract(text, '[0-9][0-9.]*', 0) AS DOUBLE)
-  AND try_cast(regexp_extract(text, '[0-9][0-9.]*', 0) AS DOUBLE) < 9e18
-  THEN cast(try_cast(regexp_extract(text, '[0-9][0-9.]*', 0) AS DOUBLE) AS BIGINT) END AS as_long
- FROM documents""",
+    f"""SELECT doc_id, {r6(f"try_cast({NUMBER_TEXT} AS DOUBLE)")} AS as_double,
+ CASE WHEN floor(try_cast({NUMBER_TEXT} AS DOUBLE)) = try_cast({NUMBER_TEXT} AS DOUBLE)
+  AND try_cast({NUMBER_TEXT} AS DOUBLE) < 9e18 THEN cast(try_cast({NUMBER_TEXT} AS DOUBLE) AS BIGINT) END AS as_long,
+ CASE cast(doc_id % 5 AS VARCHAR) WHEN '1' THEN true WHEN '0' THEN false END AS as_bool, lang AS as_text,
+ cast(NULL AS VARCHAR) AS absent FROM documents""",
 )
 def _(v):
-    found = F.regexp_extract("text", "[0-9][0-9.]*", 0)
-    return v.table("documents").select(
-        "doc_id", C.to_double(found).alias("as_double"), C.to_long(found).alias("as_long")
+    number = F.regexp_extract("text", "[0-9][0-9.]*", 0)
+    raw = v.table("documents").select(
+        "doc_id", number.alias("as_double"), number.alias("as_long"),
+        (F.col("doc_id") % 5).cast("string").alias("as_bool"), F.col("lang").alias("as_text"),
     )
+    declared = TableSchema(
+        "numbers",
+        (
+            ("as_double", T.DoubleType()), ("as_long", T.LongType()), ("as_bool", T.BooleanType()),
+            ("as_text", T.StringType()), ("absent", T.StringType()),
+        ),
+        (),
+    )
+    return coerce_types(raw, declared)
 
 
 @reg.add(
@@ -165,13 +181,10 @@ def _(v):
 @reg.add(
     "p14_require",
     "trials",
-    """SELECT count(*) AS rows_in, count(CASE WHEN min_age IS NOT NULL AND max_age IS NOT NULL THEN 1 END) AS rows_kept,
- count(*) - count(CASE WHEN min_age IS NOT NULL AND max_age IS NOT NULL THEN 1 END) AS rows_dropped FROM trials""",
+    "SELECT trial_id, min_age, max_age FROM trials WHERE min_age IS NOT NULL AND max_age IS NOT NULL",
 )
 def _(v):
-    from cohortlake.sources.raw import required_report
-
-    return required_report(v.trials, ["min_age", "max_age"])
+    return require(v.trials, ["min_age", "max_age"]).select("trial_id", "min_age", "max_age")
 
 
 @reg.add(

@@ -9,8 +9,6 @@ from cohortlake.functions import columns as C
 from cohortlake.operators import analytics as A
 from cohortlake.operators import logs as G
 from cohortlake.operators import quality as Q
-from cohortlake.sources.documents import layer_inventory
-from cohortlake.sources.events import replay_events
 
 reg = Registry()
 
@@ -379,33 +377,6 @@ def _(v):
     return Q.drug_response_pairs(v.outcomes, v.medications)
 
 
-OFFSETS = """msgs AS (SELECT *, row_number() OVER (PARTITION BY topic, partition_id ORDER BY event_id) + 1000 AS "offset" FROM (
- SELECT *, cast(0 AS INT) AS partition_id FROM lab_events) e)"""
-
-
-def messages(v):
-    return G.assign_offsets(v.lab_events.withColumn("partition_id", F.lit(0)))
-
-
-@reg.add(
-    "a28_topic_metrics",
-    "lab_events",
-    f"""WITH {OFFSETS}, committed AS (SELECT topic, partition_id, max("offset") AS committed_offset FROM msgs
-  WHERE event_time < TIMESTAMP '2024-01-15' GROUP BY 1, 2)
- SELECT m.topic, m.partition_id, message_count, latest_offset, committed_offset, latest_offset - committed_offset AS lag FROM (
-  SELECT topic, partition_id, count(*) AS message_count, max("offset") AS latest_offset FROM msgs GROUP BY 1, 2) m
- LEFT JOIN committed c ON m.topic = c.topic AND m.partition_id = c.partition_id""",
-)
-def _(v):
-    sent = messages(v)
-    committed = (
-        sent.where(F.col("event_time") < F.lit("2024-01-15").cast("timestamp_ntz"))
-        .groupBy("topic", "partition_id")
-        .agg(F.max("offset").alias("committed_offset"))
-    )
-    return G.consumer_lag(sent, committed)
-
-
 @reg.add(
     "a29_trial_response_rates",
     "outcomes",
@@ -494,24 +465,6 @@ def _(v):
 # --- logs ----------------------------------------------------------------------------------
 
 
-@reg.add(
-    "s06_replay_events",
-    "lab_events",
-    f"""WITH {OFFSETS} SELECT event_id, topic, "offset", patient_id FROM msgs WHERE topic = 'lab.results' AND "offset" > 1500
- ORDER BY "offset" LIMIT 50""",
-)
-def _(v):
-    return replay_events(messages(v), "lab.results", 1500).select(
-        "event_id", "topic", "offset", "patient_id"
-    )
-
-
-@reg.add("s09_layer_inventory")
-def _(v):
-    lake, _, layer = v.directory.rstrip("/").rpartition("/")
-    return layer_inventory(v.spark, lake, [layer])
-
-
 @reg.add(
     "k03_to_event_messages",
     "outcomes",
@@ -529,15 +482,6 @@ def _(v):
     )
 
 
-@reg.add(
-    "w08_assign_offsets",
-    "lab_events",
-    f"""WITH {OFFSETS} SELECT event_id, topic, "offset" FROM msgs""",
-)
-def _(v):
-    return messages(v).select("event_id", "topic", "offset")
-
-
 AUDIT = """old AS (SELECT printf('AUD-%04d', row_number() OVER (ORDER BY event_id)) AS log_id,
   concat('Patient ', patient_id, ' / ', topic) AS resource, 'seed' AS entry_type FROM lab_events WHERE topic = 'trial.events'),
  new AS (SELECT printf('AUD-%04d', (SELECT count(*) FROM old) + row_number() OVER (ORDER BY event_id)) AS log_id,

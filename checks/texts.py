@@ -120,7 +120,7 @@ def _(v):
 @reg.add(
     "t03_extract_medications",
     "protocol_docs",
-    f"WITH {DOSES} SELECT doc_id, ordinal, medication, dose, snippet FROM ms WHERE ordinal < 10",
+    f"WITH {DOSES} SELECT doc_id, ordinal, medication, dose, snippet FROM ms",
 )
 def _(v):
     return T.extract_medications(v.protocol_docs).select(
@@ -142,7 +142,7 @@ def _(v):
 @reg.add(
     "t05_extract_labs",
     "protocol_docs",
-    f"WITH {LABS} SELECT * FROM lb WHERE ordinal < 10",
+    f"WITH {LABS} SELECT * FROM lb",
 )
 def _(v):
     return T.extract_labs(v.protocol_docs).drop("confidence")
@@ -151,7 +151,7 @@ def _(v):
 @reg.add(
     "t06_extract_criteria",
     "protocol_docs",
-    f"WITH {CONTEXT}, {RULES} SELECT {', '.join(RULE_COLUMNS)} FROM ru WHERE ordinal < 8",
+    f"WITH {CONTEXT}, {RULES} SELECT {', '.join(RULE_COLUMNS)} FROM ru",
 )
 def _(v):
     return T.extract_criteria(v.protocol_docs).select(*RULE_COLUMNS)

@@ -17,8 +17,8 @@ FEATURES = (
     "age", "hba1c", "bmi", "medication_count", "has_diabetes", "has_hypertension", "has_obesity",
 )
 
-# Query patients that one many-query search takes; more are refused.
-MAX_QUERIES = 1_000
+# Query patients of a many-query search that are compared at a time.
+QUERY_BLOCK = 1_000
 
 
 def patient_features(
@@ -134,29 +134,32 @@ def knn_top_k(pairs: DataFrame, query: str, k: int) -> DataFrame:
 
 
 def similar_patients_of(
-    features: DataFrame, queries: DataFrame, k: int = 10, max_queries: int = MAX_QUERIES
+    features: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK
 ) -> DataFrame:
-    """Nearest patients of a few query patients (a frame of patient_id).
+    """Nearest patients of a set of query patients (a frame of patient_id).
 
-    The number of queries is checked first.  They travel as one small array that each
-    candidate row is compared with, and the per-task top-n drops the rest at once.
+    The set is taken in blocks of about ``block`` queries.  A block travels as one array
+    that each candidate row is compared with, and the per-task top-n drops the rest at
+    once.
     """
-    wanted = queries.select("patient_id").distinct().limit(max_queries + 1).count()
-    if wanted > max_queries:
-        raise ValueError(f"more than {max_queries} query patients; split the set")
+    wanted = queries.select("patient_id").distinct()
+    blocks = max(1, math.ceil(wanted.count() / block))
     scaled = min_max_scale(features)
     names = [f"s_{c}" for c in FEATURES]
-    targets = (
-        restrict_to(scaled, queries)
-        .agg(F.collect_list(F.struct(F.col("patient_id").alias("query_id"), *names)).alias("t"))
-        .scalar()
-    )
-    pairs = (
-        scaled.withColumn("_t", F.explode(targets))
-        .withColumn("query_id", F.col("_t.query_id"))
-        .withColumn("distance", _distance(F.col("_t"), FEATURES))
-        .select("query_id", "patient_id", "age", "gender", "condition_list", "distance")
+    held = restrict_to(scaled, wanted).withColumn(
+        "_block", F.pmod(F.xxhash64("patient_id"), F.lit(blocks))
     )
+    target = F.struct(F.col("patient_id").alias("query_id"), *names)
+    pairs = None
+    for b in range(blocks):
+        targets = held.where(F.col("_block") == b).agg(F.collect_list(target).alias("t")).scalar()
+        found = (
+            scaled.withColumn("_t", F.explode(targets))
+            .withColumn("query_id", F.col("_t.query_id"))
+            .withColumn("distance", _distance(F.col("_t"), FEATURES))
+            .select("query_id", "patient_id", "age", "gender", "condition_list", "distance")
+        )
+        pairs = found if pairs is None else pairs.unionByName(found)
     return knn_top_k(pairs, "query_id", neighbour_count(k)).withColumn(
         "similarity_score", similarity_score(F.col("distance"), len(FEATURES))
     )

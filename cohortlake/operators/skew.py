@@ -45,7 +45,10 @@ def exact_quantile(
         .where(F.col("_n") > 0)
         .withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
     )
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    finite = F.when(~F.isnan("_v") & (F.abs(F.col("_v")) != float("inf")), F.col("_v"))
+    totals = counts.groupBy(*keys).agg(
+        F.sum("_n").alias("_total"), F.min(finite).alias("_least"), F.max(finite).alias("_most")
+    )
     position = (F.col("_total") - 1) * F.lit(q)
     wanted = totals.select(
         *keys,
@@ -53,6 +56,8 @@ def exact_quantile(
         F.lit(0).cast("long").alias("_before"),
         F.lit(float("-inf")).alias("_low"),
         F.lit(float("nan")).alias("_high"),
+        "_least",
+        "_most",
     )
     for _ in range(ROUNDS):
         wanted = _narrowed(counts, wanted, keys)
@@ -81,10 +86,7 @@ def _in_bounds(counts: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> Dat
 def _narrowed(counts: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """For every wanted rank the bounds of the bucket that holds it, and the count before."""
     inside = _in_bounds(counts, wanted, keys)
-    finite = ~F.isnan("_v") & (F.abs(F.col("_v")) != float("inf"))
     rank = [*keys, "_rank"]
-    ends = inside.where(finite).groupBy(*rank).agg(F.min("_v").alias("_least"), F.max("_v").alias("_most"))
-    inside = _null_safe_join(inside, ends, rank, "left")
     # Halves, so that the width of a range of very large values stays finite.
     width = F.col("_most") / 2 - F.col("_least") / 2
     step = F.floor((F.col("_v") / 2 - F.col("_least") / 2) / width * SPLIT).cast("int")
@@ -104,7 +106,8 @@ def _narrowed(counts: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> Data
     earlier = Window.partitionBy(*rank).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
     holds = (F.col("_before") <= F.col("_rank")) & (F.col("_before") + F.col("_n") > F.col("_rank"))
-    return sums.where(holds).select(*rank, "_before", "_low", "_high")
+    ends = [F.col("_low").alias("_least"), F.col("_high").alias("_most")]
+    return sums.where(holds).select(*rank, "_before", "_low", "_high", *ends)
 
 
 def _null_safe_join(

@@ -196,15 +196,15 @@ def _listed(items: Column, limit: int | None) -> Column:
     return F.posexplode(items if limit is None else F.slice(items, 1, limit)).alias("ordinal", "_i")
 
 
-def extract_medications(docs: DataFrame, limit: int | None = 10) -> DataFrame:
-    """The first doses of every document."""
+def extract_medications(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """The doses of every document, or the first ``limit``."""
     return docs.select("doc_id", _listed(_medication_array(F.col("text")), limit)).select(
         "doc_id", "ordinal", "_i.*"
     )
 
 
-def extract_labs(docs: DataFrame, limit: int | None = 10) -> DataFrame:
-    """The first lab limits of every document."""
+def extract_labs(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """The lab limits of every document, or the first ``limit``."""
     folded = C.computed_once(docs, _low=F.lower("text"))
     labs = _lab_array(F.col("text"), F.col("_low"))
     return folded.select("doc_id", _listed(labs, limit)).select("doc_id", "ordinal", "_i.*")
@@ -316,8 +316,8 @@ def extracted(docs: DataFrame) -> DataFrame:
     )
 
 
-def extract_criteria(docs: DataFrame, limit: int | None = 8) -> DataFrame:
-    """Rules from the inclusion and exclusion sections, the first ones of each kind."""
+def extract_criteria(docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rules from the inclusion and exclusion sections, or the first ``limit`` of each kind."""
     sections = with_lines(docs)
     result = None
     for section in ("inclusion", "exclusion"):
@@ -327,7 +327,7 @@ def extract_criteria(docs: DataFrame, limit: int | None = 8) -> DataFrame:
     return result
 
 
-def default_criteria(docs: DataFrame, limit: int | None = 8) -> DataFrame:
+def default_criteria(docs: DataFrame, limit: int | None = None) -> DataFrame:
     """Rules of the documents that have no section rules."""
     rows = extracted(docs).where("from_defaults")
     return rows.select("doc_id", _listed(F.col("inclusion"), limit)).select(

@@ -38,7 +38,6 @@ COHORT_FEATURES = (
 )
 TREES, DEPTH, STEP, SUBSAMPLE, COLUMN_SAMPLE, SEED = 100, 4, 0.08, 0.8, "0.8", 42
 CLUSTERS, RESTARTS = 5, 10
-MAX_CATEGORIES = 10_000
 STRONG_FROM, MODERATE_FROM = 0.70, 0.45
 
 
@@ -80,23 +79,19 @@ def category_codes(features: DataFrame, columns: tuple[str, ...] = CATEGORIES) -
 def encode_categories(
     features: DataFrame, codes: DataFrame, columns: tuple[str, ...] = CATEGORIES
 ) -> DataFrame:
-    """Category columns replaced by their codes; an unseen value becomes 0.
+    """Category columns replaced by their codes; an unseen or null value becomes 0.
 
-    The codes travel as one map per column, so the feature rows are not shuffled.  A
-    column with more than ``MAX_CATEGORIES`` values is refused.
+    A left join per column, whatever the number of values: a small vocabulary is
+    broadcast by its measured size, a large one is shuffled.
     """
-    entry = F.struct("value", F.col("code").cast("double").alias("code"))
-
-    def lookup(c: str) -> Column:
-        own = codes.where(F.col("column") == c).limit(MAX_CATEGORIES + 1)
-        too_many = F.raise_error(F.lit(f"{c} has more than {MAX_CATEGORIES} categories"))
-        table = F.map_from_entries(F.collect_list(entry))
-        checked = F.when(F.count(F.lit(1)) > MAX_CATEGORIES, too_many).otherwise(table)
-        return own.agg(checked.alias("m")).scalar()
-
-    return features.withColumns(
-        {c: F.coalesce(F.try_element_at(lookup(c), F.col(c)), F.lit(0.0)) for c in columns}
-    )
+    order = features.columns
+    for c in columns:
+        own = codes.where(F.col("column") == c).select(
+            F.col("value").alias(f"_{c}"), F.col("code").cast("double").alias("_code")
+        )
+        joined = features.join(own, F.col(c) == F.col(f"_{c}"), "left").drop(c, f"_{c}")
+        features = joined.withColumn(c, F.coalesce("_code", F.lit(0.0))).drop("_code")
+    return features.select(*order)
 
 
 def split_by_hash(df: DataFrame, key: str = "outcome_id") -> tuple[DataFrame, DataFrame]:

@@ -57,10 +57,14 @@ def test_many_queries(world, spark):
         assert [d for _, d in got] == pytest.approx(sorted(distance)[:33])
 
 
-def test_too_many_queries_are_refused(world):
+def test_blocks_of_queries_change_nothing(world):
     features, _ = world
-    with pytest.raises(ValueError):
-        S.similar_patients_of(features, features, max_queries=10)
+    columns = ("query_id", "patient_id", "rank", "distance")
+    whole, blocks = (
+        sorted(S.similar_patients_of(features, features, k=3, block=n).select(*columns).collect())
+        for n in (1_000, 17)
+    )
+    assert whole == blocks and len({r.query_id for r in whole}) == features.count()
 
 
 def test_missing_lab_values(spark):

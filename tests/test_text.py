@@ -97,9 +97,10 @@ def test_labs(doc):
     ]
 
 
-def test_only_ten_items_are_listed(doc):
+def test_all_items_are_listed_unless_a_limit_is_given(doc):
     text = " ".join(f"BMI {i}" for i in range(20, 35))
-    assert T.extract_labs(doc(text)).count() == 10
+    assert T.extract_labs(doc(text)).count() == 15
+    assert T.extract_labs(doc(text), 10).count() == 10
     assert T.document_summary(doc(text)).first().labs == 15
 
 
