@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import functions as F
 
 from checks.base import POSITIVE, Registry, r6, sql_list
+from checks.clinical import pair_sql, ranked_sql
 from cohortlake.functions import columns as C
 from cohortlake.operators import lakehouse as L
 from cohortlake.plans import models as P
@@ -193,7 +194,17 @@ def _(v):
     return v.spark.read.parquet(out).select("event_id", "patient_id", "age", "conditions")
 
 
-@reg.add("x05_rematch_stream")
+LATEST = """newest AS (SELECT patient_id, max_by(value, (event_time, event_id)) AS hba1c FROM lab_events
+  WHERE value IS NOT NULL GROUP BY 1),
+ people AS (SELECT patient_id, age, gender, conditions, n.hba1c FROM patients JOIN newest n USING (patient_id))"""
+
+
+@reg.add(
+    "x05_rematch_stream",
+    "patients trials lab_events",
+    f"""WITH {LATEST}, {pair_sql('TRUE').replace('FROM patients p', 'FROM people p')}, {ranked_sql(31.0, 20)}
+ SELECT patient_id, trial_id, eligibility_score, cast(rank AS INT) AS rank FROM mt""",
+)
 def _(v):
     out = run(
         v,

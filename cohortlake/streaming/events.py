@@ -6,6 +6,7 @@ when the batch is run again, so a restart after a lost node leaves no doubles.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -96,8 +97,10 @@ def run_group(
     The group's checkpoint keeps its position: a new run goes on where the last one
     stopped, and other groups are not affected.
     """
+    # The same name in every run, and another one for other checkpoints.
+    digest = hashlib.sha256(checkpoints.encode()).hexdigest()[:12]
     writer = (
-        stream.writeStream.queryName(f"{group}-{abs(hash(checkpoints)) % 10_000}")
+        stream.writeStream.queryName(f"{group}-{digest}")
         .option("checkpointLocation", f"{checkpoints.rstrip('/')}/{group}")
         .foreachBatch(write_batch)
     )
@@ -118,7 +121,9 @@ def read_batches(
         found = spark.read.parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    return found if before is None else found.where(F.col("batch_id") < before)
+    if before is None or "batch_id" not in found.columns:
+        return found
+    return found.where(F.col("batch_id") < before)
 
 
 def stream_outcomes_sink(path: str) -> BatchWriter:
@@ -133,15 +138,15 @@ def stream_outcomes_sink(path: str) -> BatchWriter:
 def audit_sink(path: str, order: str = "event_id") -> BatchWriter:
     """One audit entry per event, with ids that go on from the earlier batches.
 
-    Ids grow with the batches, so the batch before holds the largest one; the whole
-    log is only read when that batch is missing or empty.
+    Ids grow with the batches, so the batch before holds the largest one.  Its folder is
+    read by name; the whole log is only listed when that batch is missing or empty.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        log = read_batches(batch.sparkSession, path, AUDIT_ENTRY, before=batch_id)
-        if "batch_id" in log.columns:
-            previous = log.where(F.col("batch_id") == batch_id - 1)
-            log = log if previous.isEmpty() else previous
+        spark = batch.sparkSession
+        log = read_batches(spark, f"{path}/batch_id={batch_id - 1}", AUDIT_ENTRY)
+        if log.isEmpty():
+            log = read_batches(spark, path, AUDIT_ENTRY, before=batch_id)
         entries = stream_audit(classify_event_stream(batch))
         numbered = numbered_entries(log.select("log_id"), entries, order)
         _write(numbered.select(*AUDIT_ENTRY.names), path, batch_id)
@@ -167,17 +172,46 @@ def compact_latest(spark: SparkSession, path: str, target: str) -> None:
 
 
 def rematch_sink(
-    path: str, patients: DataFrame, trials: DataFrame, min_score: float = 31.0, limit: int = 20
+    path: str,
+    patients: DataFrame,
+    trials: DataFrame,
+    min_score: float = 31.0,
+    limit: int = 20,
+    readings: str | None = None,
+    known: DataFrame | None = None,
+    labs: DataFrame | None = None,
 ) -> BatchWriter:
-    """Match the patients of a batch again with their newest readings."""
+    """Match the patients of a batch again with all their newest readings.
+
+    The newest readings of every batch are kept under ``readings`` (by default beside the
+    results) and laid over those of earlier batches, those of a compacted ``known`` table
+    (see ``compact_latest``), and the patients' own ``labs`` (patient_id, name, value), in
+    that order.  A repeated batch replaces its own readings and sees no later ones.
+    """
+    kept = readings or f"{path.rstrip('/')}-readings"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_values(batch.where(F.col("value").isNotNull()))
-        readings = newest.select(
+        spark = batch.sparkSession
+        columns = ["patient_id", "biomarker", "value", "event_time", "event_id"]
+        own = latest_values(batch.where(F.col("value").isNotNull())).select(*columns)
+        _write(own, kept, batch_id)
+        newest = read_batches(spark, f"{kept}/batch_id={batch_id}", own.schema)
+        people = newest.select("patient_id").distinct()
+        earlier = read_batches(spark, kept, own.schema, before=batch_id).select(*columns)
+        seen = newest.unionByName(earlier)
+        if known is not None:
+            seen = seen.unionByName(known.select(*columns))
+        held = latest_values(seen.join(people, "patient_id", "left_semi")).select(
             "patient_id", F.col("biomarker").alias("name"), "value", F.lit(0).alias("position")
         )
-        people = restrict_to(patients, newest)
-        found = match_patients(people, trials, min_score, limit, observations=readings)
+        if labs is not None:
+            first = labs.join(people, "patient_id", "left_semi").select(
+                "patient_id", "name", F.col("value").cast("double").alias("value"), F.lit(1).alias("position")
+            )
+            held = held.unionByName(first.join(held, ["patient_id", "name"], "left_anti"))
+        found = match_patients(
+            restrict_to(patients, people), trials, min_score, limit, observations=held
+        )
         _write(found, path, batch_id)
 
     return write

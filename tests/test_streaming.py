@@ -142,6 +142,34 @@ def test_static_join_and_rematch(spark, tmp_path):
     assert [(r.patient_id, r.status, r.eligibility_score) for r in rows] == [("P1", "Eligible", 100.0)]
 
 
+def test_rematch_keeps_readings_of_earlier_batches(spark, tmp_path):
+    out = str(tmp_path / "out")
+    patients = spark.createDataFrame(
+        [("P1", 50, "F", "Type 2 Diabetes", "")],
+        "patient_id string, age int, gender string, conditions string, medications string",
+    )
+    trials = spark.createDataFrame(
+        [("T1", "One", "Phase 3", "Type 2 Diabetes", 18, 75, "ALL")],
+        "trial_id string, title string, phase string, condition string, min_age int, max_age int, gender string",
+    )
+    schema = "event_id long, patient_id string, biomarker string, value double, event_time timestamp_ntz"
+    at = START
+    batches = [[(1, "P1", "HbA1c", 8.0, at)], [(2, "P1", "BMI", 25.0, at)], [(3, "P1", "BMI", 26.0, at)]]
+    write = X.rematch_sink(out, patients, trials)
+    for i, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, schema), i)
+    write(spark.createDataFrame(batches[1], schema), 1)
+    rows = spark.read.parquet(out).collect()
+    assert [(r.status, r.eligibility_score) for r in rows] == [("Eligible", 100.0)] * 3
+    alone = X.rematch_sink(str(tmp_path / "alone"), patients, trials)
+    alone(spark.createDataFrame(batches[1], schema), 0)
+    assert spark.read.parquet(str(tmp_path / "alone")).first().status == "Potentially Eligible"
+    labs = spark.createDataFrame([("P1", "HbA1c", 8.0)], "patient_id string, name string, value double")
+    with_labs = X.rematch_sink(str(tmp_path / "labs"), patients, trials, labs=labs)
+    with_labs(spark.createDataFrame(batches[1], schema), 0)
+    assert spark.read.parquet(str(tmp_path / "labs")).first().status == "Eligible"
+
+
 def test_outcome_event_deltas(spark):
     payload = ("HbA1c", 9.0, None, None, None)
     frame = spark.createDataFrame([("E", "P", "T", "X", payload, "2024-01-01T00:00:00")], OUTCOME_EVENT)
