@@ -268,10 +268,20 @@ def trained(spark, directory: str):
     return features, P.train_response_model(features)
 
 
-@reg.add("l04_evaluate_classifier")
+# Trained rows have no SQL; what has to hold of every one of them does.
+METRICS = ("accuracy", "roc_auc", *(f"{m}_{y}" for y in (0, 1) for m in ("precision", "recall", "f1")))
+
+
+@reg.add(
+    "l04_evaluate_classifier",
+    "",
+    " UNION ALL ".join(f"SELECT '{m}' AS metric, true AS in_range" for m in METRICS),
+)
 def _(v):
     features, model = trained(v.spark, v.directory)
-    return P.evaluate_classifier(model, features)
+    return P.evaluate_classifier(model, features).select(
+        "metric", F.col("value").between(0.0, 1.0).alias("in_range")
+    )
 
 
 @reg.add("l05_feature_importances")
@@ -280,16 +290,32 @@ def _(v):
     return P.feature_importances(model, v.spark)
 
 
-@reg.add("l06_score_responses")
+@reg.add("l06_score_responses", "outcomes", "SELECT outcome_id, true AS in_range, true AS class_fits FROM outcomes")
 def _(v):
     features, model = trained(v.spark, v.directory)
-    return P.score_responses(model, features)
+    p = F.col("probability")
+    wanted = (
+        F.when(p >= 0.70, "Strong Response")
+        .when(p >= 0.45, "Moderate Response")
+        .otherwise("Minimal/No Response")
+    )
+    return P.score_responses(model, features, digits=False).select(
+        "outcome_id",
+        (p.between(0.0, 1.0) & F.col("confidence").between(0.0, 1.0)).alias("in_range"),
+        (F.col("predicted_response") == wanted).alias("class_fits"),
+    )
 
 
-@reg.add("l07_attribute_scores")
+@reg.add("l07_attribute_scores", "outcomes", "SELECT outcome_id, true AS additive, 'treeshap_exact_additive' AS method FROM outcomes")
 def _(v):
     features, model = trained(v.spark, v.directory)
-    return P.attribute_scores(model, features)
+    found = P.attribute_scores(model, features)
+    p = P.score_responses(model, features, digits=False).select("outcome_id", "probability")
+    odds = F.log(F.col("probability") / (1 - F.col("probability")))
+    parts = sum((F.col(c) for c in found.columns if c.startswith("c_")), F.col("base_value"))
+    return found.join(p, "outcome_id").select(
+        "outcome_id", (F.abs(parts - odds) < 1e-6).alias("additive"), "method"
+    )
 
 
 @reg.add("d09_attribution_factors")
@@ -317,10 +343,12 @@ def _(v):
     return P.named_profiles(P.cohort_profiles(P.assign_cohort(model, features)))
 
 
-@reg.add("l10_assign_cohort")
+@reg.add("l10_assign_cohort", "outcomes", "SELECT outcome_id, true AS in_range FROM outcomes")
 def _(v):
     features, model = clustered(v.spark, v.directory)
-    return P.assign_cohort(model, features).select("outcome_id", "cluster", "similarity_score")
+    found = P.assign_cohort(model, features)
+    inside = F.col("cluster").between(0, 4) & F.col("similarity_score").between(0.0, 1.0)
+    return found.select("outcome_id", inside.alias("in_range"))
 
 
 @reg.add("l11_clustering_quality")

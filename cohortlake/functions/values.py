@@ -151,6 +151,10 @@ EVIDENCE = {
 }
 COHORT_SIZE = 1250
 
+# How attributions were made.
+SHAPLEY_METHOD = "treeshap_exact_additive"
+IMPORTANCE_METHOD = "global_feature_importance_fallback"
+
 # --- Fixed values: template pathways (category, title, description, rationale, evidence)
 
 

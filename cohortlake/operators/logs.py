@@ -8,25 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import columns as C
-from cohortlake.operators.skew import sequence_numbers
+from cohortlake.operators.skew import id_buckets, sequence_numbers
 
 # First offset of a topic and the id formats.
 FIRST_OFFSET = 1001
 EVENT_ID = "EVT-%05d"
 LOG_ID = "AUD-%04d"
 
-ID_RANGE = 65_536
-
-
-def id_range(column: str) -> Column:
-    """Range of a unique whole-number id: a bounded bucket in id order."""
-    return F.floor(F.col(column) / ID_RANGE)
-
-
 def to_event_messages(
     outcomes: DataFrame, topic: str = "patient.events", emitted_at: Column | None = None
 ) -> DataFrame:
-    """Outcome rows as keyed JSON messages, numbered by date.
+    """Outcome rows (unique by outcome_id) as keyed JSON messages, numbered by date.
 
     Rows of one day are ordered by the digest of their id, so that even a day with
     most of the rows is numbered by many tasks.
@@ -39,6 +31,7 @@ def to_event_messages(
         "_n",
         order=["_day", "_digest", "outcome_id"],
         bucket=["_day", F.substring("_digest", 1, 2)],
+        unique=True,
     )
     payload = F.struct(
         "outcome_type", "baseline_value", "followup_value", "change", "response_status"
@@ -71,7 +64,7 @@ def assign_offsets(
     ``order`` is a unique whole number.
     """
     numbered = sequence_numbers(
-        events, "offset", order=[order], bucket=[id_range(order)], groups=groups, start=0
+        events, "offset", [order], [id_buckets(events, order)], groups, start=0, unique=True
     )
     if existing is None:
         return numbered.withColumn("offset", F.col("offset") + FIRST_OFFSET)
@@ -112,7 +105,7 @@ def numbered_entries(
 ) -> DataFrame:
     """New entries with the next free ids.  ``order`` is a unique whole number."""
     last = log.agg(F.coalesce(F.max(log_number("log_id")), F.lit(0))).scalar()
-    numbered = sequence_numbers(new_rows, "_n", order=[order], bucket=[id_range(order)])
+    numbered = sequence_numbers(new_rows, "_n", [order], [id_buckets(new_rows, order)], unique=True)
     return numbered.withColumns(
         {
             "log_id": F.format_string(LOG_ID, F.col("_n") + last),

@@ -130,6 +130,7 @@ def sequence_numbers(
     groups: Sequence[str] = (),
     start: int = 1,
     piece: int = COPIES_PER_PIECE,
+    unique: bool = False,
 ) -> DataFrame:
     """Gap-free numbers in ``order``, per group, without sorting a group in one task.
 
@@ -137,12 +138,16 @@ def sequence_numbers(
     ids, the first digits of a digest): rows are numbered inside a bucket, and each
     bucket starts where the counts of the earlier ones end.
 
-    Equal rows are counted first and written out again at the end, in pieces of at
+    With ``unique`` no two rows of a group are equal in ``order``: only order and bucket
+    columns are counted, and whole rows move once.  Else equal rows are counted first and
+    written out again at the end, in pieces of at
     most ``piece`` copies.  Pieces beyond the first few of a row form buckets of their
     own, after the other rows of its bucket, so that a row with very many copies is
     spread as well.
     """
     groups = list(groups)
+    if unique:
+        return _numbered_once(df, name, order, bucket, groups, start)
     marks = [f"_b{i}" for i in range(len(bucket) + 1)]
     copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
     pieces = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / piece).cast("int"))
@@ -173,6 +178,40 @@ def sequence_numbers(
     )
 
 
+def _numbered_once(
+    df: DataFrame,
+    name: str,
+    order: Sequence[Column | str],
+    bucket: Sequence[Column | str],
+    groups: list[str],
+    start: int,
+) -> DataFrame:
+    marks = [f"_b{i}" for i in range(len(bucket))]
+    keyed = df.withColumns(dict(zip(marks, [col(b) for b in bucket])))
+    sizes = keyed.groupBy(*groups, *marks).agg(F.count(F.lit(1)).alias("_total"))
+    by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    earlier = by_group.orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        *groups, *marks, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
+    )
+    place = F.row_number().over(Window.partitionBy(*groups, *marks).orderBy(*[col(o) for o in order]))
+    return (
+        _null_safe_join(keyed, starts, [*groups, *marks])
+        .withColumn(name, F.col("_before") + place + (start - 1))
+        .drop("_before", *marks)
+    )
+
+
+def id_buckets(df: DataFrame, column: str, rows: int = 65_536) -> Column:
+    """Ranges of a whole-number id as buckets in id order: as many as ``rows`` go into the
+    row count, evenly wide between the least and the greatest id, however sparse."""
+    seen = df.agg(F.struct(F.min(column).alias("a"), F.max(column).alias("b"), F.count(column).alias("n")))
+    s = seen.scalar()
+    buckets = F.ceil(s["n"] / F.lit(rows))
+    width = F.greatest(F.ceil((s["b"] - s["a"] + 1) / F.greatest(buckets, F.lit(1))), F.lit(1))
+    return F.floor((F.col(column) - s["a"]) / width)
+
+
 def contains_join(
     left: DataFrame, text: str, right: DataFrame, fragment: str, ignore_case: bool = True
 ) -> DataFrame:

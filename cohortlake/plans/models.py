@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -209,73 +210,94 @@ def score_responses(
 
 
 @dataclass(frozen=True)
-class _Tree:
-    """Nodes of one tree as arrays; a leaf has feature -1."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-
-def _tree_arrays(root, weight: float) -> _Tree:
-    rows: list[list[float]] = []
-
-    def visit(node) -> int:
-        at = len(rows)
-        rows.append([-1, 0.0, -1, -1, weight * node.prediction()])
-        if node.subtreeDepth() > 0:
-            split = node.split()
-            rows[at][0], rows[at][1] = split.featureIndex(), split.threshold()
-            rows[at][2] = visit(node.leftChild())
-            rows[at][3] = visit(node.rightChild())
-        return at
-
-    visit(root)
-    feature, threshold, left, right, value = (np.array(c) for c in zip(*rows))
-    return _Tree(feature.astype(int), threshold, left.astype(int), right.astype(int), value)
-
-
-def _path_contributions(trees: list[_Tree], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Change of the node mean at every split, summed per feature, and the root means."""
-    contributions, base = np.zeros(x.shape), 0.0
-    rows = np.arange(len(x))
-    for t in trees:
-        base += t.value[0]
-        at = np.zeros(len(x), dtype=int)
-        while True:
-            feature = t.feature[at]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            go_left = x[rows, np.maximum(feature, 0)] <= t.threshold[at]
-            step = np.where(go_left, t.left[at], t.right[at])
-            after = np.where(inner, step, at)
-            delta = t.value[after] - t.value[at]
-            np.add.at(contributions, (rows[inner], feature[inner]), delta[inner])
-            at = after
-    return contributions, base
+class Leaf:
+    """A leaf with the splits on its path, by feature: the interval (low, high] a row's value
+    must lie in, and the share of training rows that go the path's way at those splits."""
+
+    value: float
+    features: tuple[int, ...]
+    low: tuple[float, ...]
+    high: tuple[float, ...]
+    share: tuple[float, ...]
+
+    def shapley(self) -> np.ndarray:
+        """Contribution of each feature for every pattern of held conditions (a bit each).
+
+        The value of a set of known features is the leaf's, times its held conditions for
+        the known ones and its shares for the others; a feature's contribution is its mean
+        gain over all orders.  Paths are short, so all sets are taken.
+        """
+        m = len(self.features)
+        table = np.zeros((1 << m, m))
+        for pattern in range(1 << m):
+            held = [float(pattern >> j & 1) for j in range(m)]
+            for i in range(m):
+                others = [j for j in range(m) if j != i]
+                for size in range(m):
+                    weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
+                    for known in itertools.combinations(others, size):
+                        part = math.prod(held[j] if j in known else self.share[j] for j in others)
+                        table[pattern, i] += weight * part * (held[i] - self.share[i])
+        return self.value * table
+
+    def expected(self) -> float:
+        return self.value * math.prod(self.share)
+
+
+def tree_leaves(root, weight: float) -> list[Leaf]:
+    """The leaves of a fitted tree; a saved model keeps the row counts of its nodes."""
+    found: list[Leaf] = []
+
+    def visit(node, path: dict[int, tuple[float, float, float]]) -> None:
+        if node.subtreeDepth() == 0:
+            limits = list(zip(*path.values())) or [(), (), ()]
+            found.append(Leaf(weight * node.prediction(), tuple(path), *(tuple(x) for x in limits)))
+            return
+        split, rows = node.split(), node.impurityStats().count()
+        f, t = split.featureIndex(), split.threshold()
+        low, high, share = path.get(f, (-math.inf, math.inf, 1.0))
+        left, right = node.leftChild(), node.rightChild()
+        visit(left, path | {f: (low, min(high, t), share * left.impurityStats().count() / rows)})
+        visit(right, path | {f: (max(low, t), high, share * right.impurityStats().count() / rows)})
+
+    visit(root, {})
+    return found
+
+
+def shapley_values(leaves: list[Leaf], x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Exact contributions of each feature to the summed leaf values of every row, and the
+    value expected without any feature."""
+    out, base = np.zeros(x.shape), 0.0
+    for leaf in leaves:
+        base += leaf.expected()
+        pattern = np.zeros(len(x), np.int64)
+        for j, (f, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
+            pattern |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << j
+        if leaf.features:
+            out[:, list(leaf.features)] += leaf.shapley()[pattern]
+    return out, base
 
 
 def attribute_scores(trained: ResponseModel, features: DataFrame) -> DataFrame:
-    """Additive contribution of each feature to the log-odds of every row.
+    """Shapley value of each feature for the log-odds of every row, along the trees' paths.
 
     ``base_value`` plus the contributions is ``raw_score``, the model's log-odds.  The
-    trees are a few thousand numbers; rows stream through in Arrow batches.
+    trees are a few thousand numbers; rows stream through in Arrow batches.  ``method``
+    tells the values from those of ``importance_attributions``.
     """
     model = trained.model
     # The classifier's log-odds are twice its margin.
-    trees = [
-        _tree_arrays(t._call_java("rootNode"), 2.0 * w)
+    leaves = [
+        leaf
         for t, w in zip(model.trees, model.treeWeights)
+        for leaf in tree_leaves(t._call_java("rootNode"), 2.0 * w)
     ]
     names = list(RESPONSE_FEATURES)
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, len(names)))
-            parts, base = _path_contributions(trees, x)
+            parts, base = shapley_values(leaves, x)
             yield pd.DataFrame(
                 {
                     "outcome_id": batch["outcome_id"],
@@ -289,7 +311,22 @@ def attribute_scores(trained: ResponseModel, features: DataFrame) -> DataFrame:
         f"c_{n} double" for n in names
     )
     vectors = trained.vectors(features).select("outcome_id", vector_to_array("features").alias("x"))
-    return vectors.mapInPandas(attribute, schema)
+    return vectors.mapInPandas(attribute, schema).withColumn("method", F.lit(V.SHAPLEY_METHOD))
+
+
+def importance_attributions(features: DataFrame, importances: DataFrame) -> DataFrame:
+    """The stand-in where only the global importances of a model are at hand: the same ones
+    for every row, with no base value and no score."""
+    held = importances.groupBy().pivot("feature", list(RESPONSE_FEATURES)).agg(F.first("importance"))
+    scalars = held.agg(F.struct(*[F.first(n).alias(n) for n in RESPONSE_FEATURES])).scalar()
+    none = F.lit(None).cast("double")
+    return features.withColumn("_w", scalars).select(
+        "outcome_id",
+        none.alias("base_value"),
+        none.alias("raw_score"),
+        *[F.coalesce(F.col(f"_w.{n}"), F.lit(0.0)).alias(f"c_{n}") for n in RESPONSE_FEATURES],
+        F.lit(V.IMPORTANCE_METHOD).alias("method"),
+    )
 
 
 def contribution_map(attributed: DataFrame) -> DataFrame:

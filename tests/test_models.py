@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +67,79 @@ def test_split_is_repeatable_and_complete(features):
     assert 60 < test.count() < 180
 
 
+def test_shapley_values_of_small_trees():
+    """Against all orders of the features, with the trees walked node by node."""
+    rng = random.Random(1)
+
+    class Stats:
+        def __init__(self, n):
+            self.n = n
+
+        def count(self):
+            return self.n
+
+    class Node:
+        def __init__(self, depth, rows):
+            self.rows, self.depth = rows, depth if rows > 1 else 0
+            self.value = rng.gauss(0, 1)
+            if self.depth:
+                self.f, self.t, cut = rng.randrange(3), rng.random(), rng.randrange(1, rows)
+                self.kids = Node(depth - 1, cut), Node(depth - 1, rows - cut)
+
+        def subtreeDepth(self):
+            return self.depth
+
+        def prediction(self):
+            return self.value
+
+        def impurityStats(self):
+            return Stats(self.rows)
+
+        def split(self):
+            return self
+
+        def featureIndex(self):
+            return self.f
+
+        def threshold(self):
+            return self.t
+
+        def leftChild(self):
+            return self.kids[0]
+
+        def rightChild(self):
+            return self.kids[1]
+
+    def value(node, x, known):
+        if not node.depth:
+            return node.value
+        a, b = node.kids
+        if node.f in known:
+            return value(a if x[node.f] <= node.t else b, x, known)
+        return (a.rows * value(a, x, known) + b.rows * value(b, x, known)) / node.rows
+
+    for _ in range(6):
+        root = Node(4, 100)
+        x = np.array([[rng.random() for _ in range(3)] for _ in range(8)])
+        got, base = P.shapley_values(P.tree_leaves(root, 1.0), x)
+        assert base == pytest.approx(value(root, x[0], set()))
+        for row, parts in zip(x, got):
+            want = np.zeros(3)
+            for order in itertools.permutations(range(3)):
+                for i, f in enumerate(order):
+                    gain = value(root, row, set(order[: i + 1])) - value(root, row, set(order[:i]))
+                    want[f] += gain / 6
+            assert parts == pytest.approx(want, abs=1e-12)
+
+
+def test_importances_stand_in(spark, trained, features):
+    weights = P.feature_importances(trained, spark)
+    row = P.importance_attributions(features, weights).first()
+    assert row.method == "global_feature_importance_fallback" and row.base_value is None
+    top = weights.first()
+    assert row[f"c_{top.feature}"] == pytest.approx(top.importance)
+
+
 def test_attributions_add_up(trained, features):
     assert P.additive_gap(trained, features).first().gap < 1e-9
     rows = P.ranked_contributions(P.attribute_scores(trained, features)).take(5)

@@ -44,6 +44,21 @@ def test_exact_quantile_of_nothing(spark):
     assert skew.exact_quantile(df, ["k"], "v", 0.5, "q").count() == 0
 
 
+def test_sparse_unique_ids(spark):
+    ids = [i * 1_000_000 for i in range(20)] + [7]
+    df = spark.createDataFrame([(i, f"x{i}") for i in ids], "id long, t string")
+    assert df.select(skew.id_buckets(df, "id").alias("b")).distinct().count() == 1
+    for rows in (65_536, 4, 1):
+        numbered = skew.sequence_numbers(df, "n", ["id"], [skew.id_buckets(df, "id", rows)], unique=True)
+        assert [r.id for r in numbered.orderBy("n").collect()] == sorted(ids)
+        assert sorted(r.n for r in numbered.collect()) == list(range(1, 22))
+    grouped = df.withColumn("g", df.id % 3)
+    numbered = skew.sequence_numbers(grouped, "n", ["id"], [skew.id_buckets(df, "id", 5)], ["g"], unique=True)
+    for g in range(3):
+        own = sorted(i for i in ids if i % 3 == g)
+        assert {r.id: r.n for r in numbered.where(f"g = {g}").collect()} == {x: i + 1 for i, x in enumerate(own)}
+
+
 @pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 1.0])
 def test_exact_quantile_equals_percentile(spark, q):
     inf, nan = float("inf"), float("nan")
