@@ -69,9 +69,11 @@ class Lines:
         self.lines: list[Line] = []
         self.pieces: list[str] = []
         self.linked = 0
-        # Open elements: name, beside the article or not.
+        # Open elements that matter (blocks, links, those beside the article): name, beside or
+        # not.  ``names`` counts them by name, ``open`` those not beside, and all beside.
         self.stack: list[tuple[str, bool]] = []
-        self.open = Counter()
+        self.names: Counter = Counter()
+        self.open: Counter = Counter()
         last = 0
         for m in MARKUP.finditer(page):
             self.add(page[last : m.start()])
@@ -102,13 +104,16 @@ class Lines:
     def close(self, count: int) -> None:
         for _ in range(count):
             tag, beside = self.stack.pop()
+            self.names[tag] -= 1
             if tag in BLOCK or beside:
                 self.flush(gap=beside)
             self.open[tag] -= not beside
             self.open["beside"] -= beside
 
     def end(self, tag: str) -> None:
-        depth = next((i for i, s in enumerate(reversed(self.stack), 1) if s[0] == tag), 0)
+        depth = 0
+        if self.names[tag]:
+            depth = next(i for i, s in enumerate(reversed(self.stack), 1) if s[0] == tag)
         around = self.stack[len(self.stack) - depth + 1 :] if depth else []
         # The end tag of an inline element does not close blocks in it.
         if depth and (tag in BLOCK or not any(s[0] in BLOCK for s in around)):
@@ -119,8 +124,10 @@ class Lines:
     def start(self, tag: str, rest: str) -> None:
         if tag == "br":
             self.add(" ")
-        if tag == "body" and any(s[0] == "head" for s in self.stack):
+        if tag == "body" and self.names["head"]:
             self.end("head")
+        if tag == "a" and self.names["a"]:
+            self.end("a")
         if tag in BLOCK:
             # A block ends an open paragraph, and one of its own kind in the same list or table.
             ends = SAME_ENDS.get(tag, set()) | {"p"}
@@ -137,9 +144,12 @@ class Lines:
             beside = bool(words and LESSER.search(words))
         else:
             beside = tag in ASIDE or tag not in ("html", "body") and bool(words and BESIDE.search(words))
+        if not (beside or tag in BLOCK or tag == "a"):
+            return
         if beside:
             self.flush()
         self.stack.append((tag, beside))
+        self.names[tag] += 1
         self.open[tag] += not beside
         self.open["beside"] += beside
 

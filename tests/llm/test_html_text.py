@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -38,6 +40,14 @@ def test_pages(name):
     assert html_text.main_text(page) == want
 
 
+def test_unclosed_elements_take_linear_time():
+    many = 20_000
+    page = "<article>" + "<b><font><a href=x>" * many + "<hr></i></section></nav>" * many + "<p>text</p></article>" + "</div>" * many
+    start = time.perf_counter()
+    assert html_text.main_text(page) == "text"
+    assert time.perf_counter() - start < 20
+
+
 def test_surges_and_dives():
     lengths = np.array([0, 5, 0, 0, 0, 0, 7, 0, 8, 0, 0, 0, 1])
     assert html_text.surges(lengths, 3) == [(1, 2), (6, 9), (12, 13)]
