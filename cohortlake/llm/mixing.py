@@ -79,15 +79,16 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], budget: Column, max_e
             "cap", F.when(F.col(f"weight_{name}") > 0, F.col("cap")).otherwise(F.lit(0)).cast(EXACT)
         )
     nodes = nodes.withColumn(ROOT, F.lit(0))
-    total = nodes.groupBy(ROOT).agg(F.sum("tokens").alias("total"), F.sum("cap").alias("most"))
-    most = F.least(budget.cast(EXACT), F.col("most")).cast(EXACT)
-    budgets, parent = total.select(ROOT, most.alias("parent_budget")), [ROOT]
+    total = nodes.agg(F.sum("tokens").alias("total"), F.sum("cap").alias("most"))
+    whole = total.select(F.least(budget.cast(EXACT), F.col("most")).cast(EXACT)).scalar()
+    budgets, parent = None, [ROOT]
     for depth, name in enumerate(levels):
         path = [ROOT, *levels[: depth + 1]]
         children = nodes.groupBy(*path).agg(
             F.sum("cap").cast(EXACT).alias("cap"), F.max(f"weight_{name}").alias("weight")
         ).filter("cap > 0")
-        budgets = _shares(children.join(budgets, parent), parent, name).select(*path, F.col("budget").alias("parent_budget"))
+        held = children.withColumn("parent_budget", whole) if budgets is None else children.join(budgets, parent)
+        budgets = _shares(held, parent, name).select(*path, F.col("budget").alias("parent_budget"))
         parent = path
     budgets = budgets.drop(ROOT).withColumnRenamed("parent_budget", "budget")
     found = leaves.select(*levels, "tokens").join(budgets, list(levels), "left")
