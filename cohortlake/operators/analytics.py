@@ -297,7 +297,7 @@ def trial_performance(
         percent(F.count_if(C.responded()), F.count(F.lit(1)), one).alias("response_rate"),
         F.count_if(~C.blank("adverse_events")).alias("adverse_events_count"),
     )
-    medians = exact_quantile(outcomes, ["trial_id"], "change", 0.5, "_median")
+    medians = exact_quantile(outcomes, ["trial_id"], "change", 0.5, "_median", rounds=1)
     return (
         trials.select("trial_id", "title", "phase")
         .join(enrolled, "trial_id", "left")

@@ -25,14 +25,15 @@ def exact_quantile(
     q: float,
     name: str,
     weight: str | None = None,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """Exact interpolated quantile of ``value`` per key, one row per key.
 
     ``percentile`` merges every distinct value of a group in one task.  Here equal values
     are counted by (key, value).  Their counts fall into buckets, whose running total shows
     which ones hold the wanted ranks; those are split anew between their own least and
-    greatest value, ``ROUNDS`` times.  The values of the last buckets are ordered: one in
-    ``SPLIT`` to the power of ``ROUNDS`` of a key's range.  Infinite values and NaN have
+    greatest value, ``rounds`` times.  The values of the last buckets are ordered: one in
+    ``SPLIT`` to the power of ``rounds`` of a key's range.  Infinite values and NaN have
     buckets of their own, in the order of ``percentile`` (NaN last).  ``weight`` counts a
     row that many times; rows without a positive one count nothing.
     """
@@ -59,7 +60,7 @@ def exact_quantile(
         "_least",
         "_most",
     )
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         wanted = _narrowed(counts, wanted, keys)
     # What is left of a key between the bounds is ordered.
     inside = _in_bounds(counts, wanted, keys)
