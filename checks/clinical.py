@@ -691,6 +691,19 @@ def _(v):
     return S.similar_patients_of(features(v), queries).select("query_id", "rank", "distance")
 
 
+@reg.add(
+    "w05_knn_of_every_20th",
+    "patients medications",
+    f"""WITH {FEATURES}, {SCALED}, q AS (SELECT * FROM sc WHERE cast(substr(patient_id, 2) AS BIGINT) % 20 = 0),
+ rk AS (SELECT q.patient_id AS query_id, a.patient_id, {DISTANCE} AS distance,
+  row_number() OVER (PARTITION BY q.patient_id ORDER BY round({DISTANCE}, 9), a.patient_id) AS rank FROM sc a CROSS JOIN q)
+ SELECT query_id, patient_id, cast(rank AS INT) AS rank, {r6('distance')} AS distance FROM rk WHERE rank <= 30""",
+)
+def _(v):
+    queries = v.patients.where(F.substring("patient_id", 2, 18).cast("bigint") % 20 == 0)
+    return S.similar_patients_of(features(v), queries).select("query_id", "patient_id", "rank", "distance")
+
+
 JACCARD = """jd AS (SELECT a.patient_id, a.age, 0.50 * (CASE WHEN len(list_distinct(list_concat(q.cl, a.cl))) = 0 THEN 0.5
   ELSE 1 - len(list_intersect(q.cl, a.cl)) * 1.0 / len(list_distinct(list_concat(q.cl, a.cl))) END)
   + 0.35 * least(abs(q.age - a.age) / 50.0, 1.0) + 0.15 * (CASE WHEN a.gender = q.gender THEN 0.0 ELSE 0.2 END) AS distance

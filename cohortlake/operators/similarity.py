@@ -128,8 +128,11 @@ def similar_patients(
 
 
 def knn_top_k(pairs: DataFrame, query: str, k: int) -> DataFrame:
-    """The k nearest candidates of every query; each task keeps k rows a query."""
-    window = Window.partitionBy(query).orderBy("distance", "patient_id")
+    """The k nearest candidates of every query; each task keeps k rows a query.
+
+    Distances that agree to nine decimals are equal: the last bits of a sum depend on its order.
+    """
+    window = Window.partitionBy(query).orderBy(F.round("distance", 9), "patient_id")
     return pairs.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 

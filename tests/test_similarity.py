@@ -57,6 +57,13 @@ def test_many_queries(world, spark):
         assert [d for _, d in got] == pytest.approx(sorted(distance)[:33])
 
 
+def test_last_bits_do_not_order_neighbours(spark):
+    rows = [("q", "B", 0.3), ("q", "A", 0.1 + 0.2), ("q", "C", 0.2)]
+    pairs = spark.createDataFrame(rows, "query_id string, patient_id string, distance double")
+    got = S.knn_top_k(pairs, "query_id", 2).orderBy("rank").collect()
+    assert [r.patient_id for r in got] == ["C", "A"]
+
+
 def test_blocks_of_queries_change_nothing(world):
     features, _ = world
     columns = ("query_id", "patient_id", "rank", "distance")
