@@ -594,6 +594,20 @@ def _(v):
     )
 
 
+@reg.add(
+    "m05_match_buckets_of_all",
+    "patients trials",
+    f"""WITH {pair_sql('TRUE')} SELECT patient_id, trial_id, eligibility_score, status, cast(row_number() OVER (
+ PARTITION BY patient_id, status ORDER BY eligibility_score DESC, trial_id) AS INT) AS bucket_rank FROM sc
+ WHERE status IN ('Eligible', 'Potentially Eligible')""",
+)
+def _(v):
+    found = M.match_patients(v.patients, v.trials, min_score=None, limit=None, observations=labs(v))
+    return M.match_buckets(found).select(
+        "patient_id", "trial_id", "eligibility_score", "status", "bucket_rank"
+    )
+
+
 @reg.add(
     "m02_evaluate_criteria",
     "patients trials enrollments",
