@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ MASKS = ("11101011", "110100111")
 WINDOW = 13
 SHARE = 0.8
 LEAST_WORDS = 5
+# Words that a mask for a short text takes, where its length allows.
+MASK_WORDS = 6
 # Rows up to which a side of two or three numbers a row is broadcast (some 8 MB).
 SMALL_ROWS = 200_000
 
@@ -43,6 +48,18 @@ def seeds(hashes: str, masks: list[str]) -> Column:
     return F.concat(*found)
 
 
+def masks_for(n: int, share: float = SHARE) -> list[str]:
+    """Masks of which one hits ``n`` words at some place, wherever the differences are that
+    ``share`` allows: the words are cut into groups, and a mask leaves out as many groups as
+    words may differ.  The fewest groups that leave ``MASK_WORDS`` words, else single words."""
+    free = min(n - 1, n - math.ceil(share * n - 1e-9))
+    groups = next((g for g in range(free + 1, n) if (g - free) * (n // g) >= MASK_WORDS), n)
+    out = set()
+    for gone in itertools.combinations(range(groups), free):
+        out.add("".join(("0" if g in gone else "1") * (n // groups) for g in range(groups)).strip("0"))
+    return sorted(out)
+
+
 def when_small(df: DataFrame) -> DataFrame:
     """The frame settled, and marked for broadcast if it has at most ``SMALL_ROWS`` rows."""
     df = settled(df)
@@ -52,7 +69,7 @@ def when_small(df: DataFrame) -> DataFrame:
 def benchmark_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text: str = "text", masks: tuple[str, ...] = MASKS,
-    window: int = WINDOW, share: float = SHARE, least_words: int = LEAST_WORDS,
+    window: int = WINDOW, share: float = SHARE, least_words: int = LEAST_WORDS, short: bool = False,
 ) -> DataFrame:
     """Which documents hold which benchmark texts: ``key, id_col, item_col, doc_start,
     item_start, n_window, n_equal, similarity``, a row per distinct document and text.
@@ -64,19 +81,25 @@ def benchmark_leaks(
     beyond that, pairs on which no mask agrees are not looked at.  The row names the best
     window: most equal words, then first in the document, then in the text.
 
-    A text shorter than a mask is looked up whole; one of fewer than ``least_words`` words
-    is no evidence and never found.  Of equal texts the least item id stands for all.
+    With ``short`` a text of fewer words than a window has the masks of its length, and every
+    place where at least ``share`` of its words agree is found; without, it has the same masks
+    as others, and one shorter than a mask is looked up whole.  A text of fewer than
+    ``least_words`` words is no evidence and never found.  Of equal texts the least item id stands for all.
     Null texts have no words; repeated rows (same id and text) give one row; other columns
     are not read.  ``key`` is the digest of id and text that says which rows are meant.
     """
     items = benchmark.select(F.col(item_col).alias("item"), word_hashes(text_or_empty(item_text)).alias("iw"))
     items = settled(items.filter(F.size("iw") >= least_words).groupBy("iw").agg(F.min("item").alias("item")))
     items = items.withColumn("item_key", F.xxhash64("iw"))
-    # Texts shorter than a mask: at most one more mask for each length below it.
-    shortest = min(map(len, masks))
-    lengths = [r["n"] for r in items.select(F.size("iw").alias("n")).filter(F.col("n") < shortest).distinct().collect()]
-    every = [*masks, *("1" * n for n in sorted(lengths))]
-    marks = items.select("item_key", F.inline(seeds("iw", every))).withColumnRenamed("at", "item_at")
+    # Only lengths that occur add masks: those of the length, or one that takes every word.
+    limit = window if short else min(map(len, masks))
+    lengths = [r["n"] for r in items.select(F.size("iw").alias("n")).filter(F.col("n") < limit).distinct().collect()]
+    of = {n: masks_for(n, share) if short else ["1" * n] for n in sorted(lengths)}
+    every = list(dict.fromkeys([*masks, *itertools.chain(*of.values())]))
+    own = seeds("iw", list(masks))
+    for n, some in of.items():
+        own = F.when(F.size("iw") == n, seeds("iw", some)).otherwise(own)
+    marks = items.select("item_key", F.inline(own)).withColumnRenamed("at", "item_at")
     marks = when_small(marks)
 
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))

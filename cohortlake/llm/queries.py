@@ -173,7 +173,7 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, d
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` against all of ``benchmark``."""
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return decontaminate.benchmark_leaks(docs, benchmark).drop("key")
+    return decontaminate.benchmark_leaks(docs, benchmark, short=True).drop("key")
 
 
 REPEAT_SQL = """

@@ -33,7 +33,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark text."""
-    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"), short=True)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

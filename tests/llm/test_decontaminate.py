@@ -5,7 +5,9 @@ import math
 import random
 import re
 
+import corpus_pipeline
 from cohortlake.llm import decontaminate as dc
+from cohortlake.llm.queries import QUERIES
 
 SCHEMA = "doc_id bigint, text string, item_id string"
 
@@ -94,6 +96,37 @@ def test_against_all_shifts(spark):
     )
 
 
+def test_masks_of_short_texts_hit_all_allowed_differences():
+    for n in range(1, dc.WINDOW):
+        masks = dc.masks_for(n)
+        for gone in itertools.combinations(range(n), n - math.ceil(0.8 * n - 1e-9)):
+            assert any(
+                all(s + k not in gone for k, bit in enumerate(m) if bit == "1") for m in masks for s in range(n - len(m) + 1)
+            ), (n, gone)
+
+
+def test_short_texts_against_all_shifts(spark, tmp_path):
+    """op2 and the pipeline's stage on texts of 5 to 12 words, with no mask in the brute force."""
+    rng = random.Random(8)
+    items = [(n, " ".join(f"t{n}x{i}" for i in range(n))) for n in range(5, 13)] + [(20, "a b c d e f g h")]
+    docs = []
+    for n, t in items:
+        for k in (1, 2):
+            for gone in itertools.combinations(range(len(t.split())), k):
+                words = [f"z{rng.randrange(9)}" if i in gone else w for i, w in enumerate(t.split())]
+                docs.append((len(docs), " ".join([*rng.choices("uvw", k=rng.randrange(4)), *words, "end"])))
+    docs += [(900 + i, " ".join(rng.choices("abcdefgh", k=40))) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = QUERIES["op2_benchmark_leaks"](spark, str(tmp_path)).collect()
+    want = brute(docs, items, every=True)
+    assert {(r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_window, r.n_equal) for r in got} == want
+    assert {x[4] for x in want} == set(range(5, 13))
+    kept = corpus_pipeline.benchmark_stage(spark, frame, str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {x[0] for x in want}
+
+
 def test_large_sides_join_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(dc, "SMALL_ROWS", 0)
     docs, items = make(random.Random(6))
