@@ -3,7 +3,8 @@
 Suffixes are compared by their first ``least`` bytes, which is all that decides whether a
 string of that length repeats.  A suffix goes to the bucket of the least k-gram hash in
 those bytes (its minimiser), so equal ones meet; neighbouring suffixes of one bucket travel
-as one piece of text.  Buckets are sorted one block at a time.
+as one piece of text.  Buckets are sorted one block at a time; one that may be larger than
+a block is dealt out by the hash of the whole string instead.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import fresh, mix64, stored, text_or_empty, utf8
+from cohortlake.llm.common import fresh, in_chunks, mix64, stored, text_or_empty, utf8
 
 LEAST = 50
 GRAM = 16
@@ -27,6 +28,8 @@ PERIOD, COVER = 7, (0, 1, 3)
 # Bytes hashed at a time (they stay in the processor's cache), and bytes of pieces sorted at a time.
 HASH_BYTES = 1 << 16
 BLOCK_BYTES = 1 << 22
+# A bucket of more pieces than this (some 3 MB; equal ones count once a batch) is split.
+HOT_PIECES = 1 << 15
 # The filter of repeated minimisers has 16 bits for each, and at most so many in all (32 MiB).
 MOST_BITS = 1 << 28
 LAST_ID = (1 << 63) - 1
@@ -88,6 +91,32 @@ def pieces(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def split_hot(
+    data: np.ndarray, value: np.ndarray, start: np.ndarray, count: np.ndarray, hot: np.ndarray, least: int
+) -> tuple[np.ndarray, ...]:
+    """The pieces, and for each whether its minimiser is among ``hot`` (sorted); those are cut
+    into their suffixes, each in the bucket of the hash of its first ``least`` bytes."""
+    at = np.minimum(np.searchsorted(hot, value), len(hot) - 1)
+    inside = hot[at] == value
+    if not inside.any():
+        return value, start, count, inside
+    sizes = np.where(inside, count, 1)
+    of = np.repeat(np.arange(len(value)), sizes)
+    step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    value, start, count, inside = value[of], start[of] + step, np.where(inside, 1, count)[of], inside[of]
+    where = start[inside]
+    hashes = np.empty(len(where), np.uint64)
+    for a in range(0, len(where), HASH_BYTES // 8):
+        rows = where[a : a + HASH_BYTES // 8]
+        windows = data[rows[:, None] + np.arange(least)]
+        got = np.zeros(len(rows), np.uint64)
+        for i in range(least):
+            got = mix64(got + windows[:, i].astype(np.uint64) + np.uint64(1))
+        hashes[a : a + HASH_BYTES // 8] = got
+    value[inside] = hashes
+    return value, start, count, inside
+
+
 def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix64(hashes + np.uint64(i)) & np.uint64(bits - 1)).astype(np.int64) for i in (1, 2, 3)]
 
@@ -148,21 +177,33 @@ def bloom_filter(values: DataFrame) -> np.ndarray:
     return words
 
 
-def _pieces_of(least: int, gram: int, words, what: str):
-    """Pieces of the rows ``key, id, text`` that pass a filter.
+def _pieces_of(least: int, gram: int, words, what: str, hot):
+    """Pieces of the rows ``key, id, text`` that pass a filter.  Those of ``hot`` minimisers
+    are cut into their suffixes.
 
-    ``names`` and ``texts``: those whose minimiser is in it, each once a batch, by name (a
+    ``hot``: these alone, each once a batch, by name.  ``names`` and ``texts``: those whose minimiser is in it, each once a batch, by name (a
     digest) or by text, with the least and the greatest id that has it.  ``places``: where
     those whose name is in it occur.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
+    def smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches whose suffixes, should all be cut out, stay few."""
         for batch in batches:
+            sizes = np.diff(utf8(batch.column(2))[1]).tolist()
+            for a, b in in_chunks(sizes, BLOCK_BYTES):
+                yield batch.slice(a, b - a)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, split = xxhash.xxh64_intdigest, hot.value
+        for batch in smaller(batches) if len(split) else batches:
             data, offsets = utf8(batch.column(2))
             key, ident = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             value, start, count = pieces(data, offsets, least, gram)
-            if what != "places":
+            if len(split):
+                value, start, count, inside = split_hot(data, value, start, count, split, least)
+            if what == "hot":
+                value, start, count = value[inside], start[inside], count[inside]
+            elif what != "places":
                 hit = in_filter(words.value, value)
                 value, start, count = value[hit], start[hit], count[hit]
             view = data.tobytes()
@@ -298,6 +339,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, least: int = LEA
     minimiser may repeat are summed up by name; those of buckets with several pieces travel
     with their text and are sorted (a piece alone in its bucket belongs to the first
     document that has it); last, the places of pieces with an earlier owner are looked up.
+    Buckets of more than ``HOT_PIECES`` pieces cost a fifth reading: their strings are dealt
+    out one by one, by hash, and need no text unless two hashes are equal.
     """
     if gram < 8 or least < gram + PERIOD:
         raise ValueError("grams have 8 bytes or more, and strings at least 7 more than grams")
@@ -310,24 +353,37 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, least: int = LEA
     counts = rows.select("text").mapInArrow(_counted(least, gram), "h bigint, n int")
     repeated = send(bloom_filter(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")))
 
-    named = rows.mapInArrow(_pieces_of(least, gram, repeated, "names"), "h bigint, piece bigint, low bigint, high bigint")
-    buckets = named.groupBy("h").agg(
-        F.min("piece").alias("a"), F.max("piece").alias("b"), F.min("low").alias("low"), F.max("high").alias("high")
-    )
-    buckets = stored(buckets.filter("low < high"), "buckets")
+    kind = "h bigint, piece bigint, low bigint, high bigint"
+
+    def summed(named: DataFrame, purpose: str) -> DataFrame:
+        buckets = named.groupBy("h").agg(
+            F.min("piece").alias("a"), F.max("piece").alias("b"), F.min("low").alias("low"),
+            F.max("high").alias("high"), F.count(F.lit(1)).alias("n"),
+        )
+        return stored(buckets.filter("low < high"), purpose)
+
+    none = send(np.zeros(0, np.uint64))
+    buckets = summed(rows.mapInArrow(_pieces_of(least, gram, repeated, "names", none), kind), "buckets")
+    large = buckets.filter((F.col("n") > HOT_PIECES) & (F.col("a") != F.col("b")))
+    large = large.select("h").toArrow().column("h").to_numpy()
+    hot = send(np.sort(large.view(np.uint64)))
+    if len(large):
+        # Equal strings share their hash: a bucket now holds one string, seldom two.
+        cut = summed(rows.mapInArrow(_pieces_of(least, gram, none, "hot", hot), kind), "cut-buckets")
+        buckets = buckets.filter((F.col("n") <= HOT_PIECES) | (F.col("a") == F.col("b"))).unionByName(cut)
     whole = F.lit(-1).cast("bigint")
     alone = buckets.filter("a = b").select(
         F.col("a").alias("name"), F.lit(0).cast("bigint").alias("first"), whole.alias("last"), F.col("low").alias("owner")
     )
     several = send(bloom_filter(buckets.filter("a <> b").select("h")))
-    texts = rows.mapInArrow(_pieces_of(least, gram, several, "texts"), "h bigint, piece binary, low bigint, high bigint")
+    texts = rows.mapInArrow(_pieces_of(least, gram, several, "texts", hot), "h bigint, piece binary, low bigint, high bigint")
     texts = texts.repartition("h").sortWithinPartitions("h", "piece")
     runs = texts.mapInArrow(_sorted_blocks(least), "name bigint, first bigint, last bigint, owner bigint")
     runs = stored(alone.unionByName(runs), "runs")
 
     owned = send(bloom_filter(runs.select("name")))
     places = rows.mapInArrow(
-        _pieces_of(least, gram, owned, "places"), "name bigint, key bigint, id bigint, start bigint, n bigint"
+        _pieces_of(least, gram, owned, "places", hot), "name bigint, key bigint, id bigint, start bigint, n bigint"
     )
     found = places.join(runs, "name").filter("owner < id")
     last = F.when(F.col("last") < 0, F.col("n")).otherwise(F.col("last"))

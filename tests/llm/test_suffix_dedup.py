@@ -107,6 +107,43 @@ def test_small_blocks_and_full_filter(spark, monkeypatch):
     assert sd.in_filter(words, np.arange(99, dtype=np.uint64)).all()
 
 
+def test_hot_minimiser_is_shared_out(spark, monkeypatch):
+    """A frequent 16-byte string in many contexts: no task gets all its pieces."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    some = lambda k: "".join(rng.choices(letters, k=k))
+    common = min((some(16) for _ in range(4000)), key=lambda t: sd.gram_hashes(np.frombuffer(t.encode(), np.uint8), 16)[0])
+    rows = [(i, some(rng.randrange(40, 80)) + common + some(rng.randrange(40, 80))) for i in range(300)]
+    for i in range(40):
+        t = rng.choice(rows)[1]
+        rows.append((1000 + i, some(9) + t[rng.randrange(30) : len(t) - rng.randrange(30)] + some(9)))
+    rows += [(2000, rows[0][1]), (None, rows[1][1]), (2001, None), (2002, "")]
+    sorted_blocks = sd._sorted_blocks
+
+    def watched(least):
+        run = sorted_blocks(least)
+
+        def checked(batches):
+            def seen():
+                for batch in batches:
+                    h = batch.column(0).to_numpy()
+                    if len(h) and np.unique(h, return_counts=True)[1].max() > 64:
+                        raise ValueError("a bucket was sent whole")
+                    yield batch
+
+            return run(seen())
+
+        return checked
+
+    monkeypatch.setattr(sd, "HOT_PIECES", 60, raising=False)
+    monkeypatch.setattr(sd, "_sorted_blocks", watched)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(str(tuple(r)) for r in sd.repeated_text(docs).collect()) == brute(rows)
+    # The same where every bucket of two pieces is split.
+    monkeypatch.setattr(sd, "HOT_PIECES", 1)
+    assert sorted(str(tuple(r)) for r in sd.repeated_text(docs).collect()) == brute(rows)
+
+
 def test_texts_are_cut(spark):
     rows = documents(random.Random(5), 30)
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
