@@ -227,8 +227,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_levels() -> list[mixing.Level]:
-    """Domains are groups of sources; every level's weights are among siblings."""
-    domain = F.regexp_extract("source", "([0-9]+)", 1).cast("int") % 4
+    """Domains are groups of sources; every level's weights are among siblings.
+
+    The last two digits of a source's first number decide, so it may have any length; a source
+    without a number is in the domain ``(none)``."""
+    domain = F.right(F.regexp_extract("source", "([0-9]+)", 1), F.lit(2)).try_cast("int") % 4
     lang = F.col("lang")
     return [
         mixing.Level("domain", F.concat(F.lit("domain"), domain.cast("string")), F.when(domain == 0, 4000).otherwise(2000)),

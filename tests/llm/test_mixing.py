@@ -7,7 +7,9 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortlake.llm import mixing
+from cohortlake.llm.queries import QUERIES
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n bigint, id string"
 WEIGHT = {"en": 3, "de": 2, "fr": 0, "(none)": 1}
@@ -104,6 +106,20 @@ def test_shortage_goes_to_siblings_first(spark):
     assert got == {"a": 10, "b": 996, "c": 1000} or got == {"a": 10, "b": 1000, "c": 996}
 
 
+def test_sources_without_a_number(spark, tmp_path):
+    domain_of = {"src3": "domain3", "src12": "domain0", "": "(none)", "web": "(none)", None: "(none)",
+                 "crawl 98765432109876543211": "domain3", "a6b7": "domain2", "00": "domain0"}
+    rows = [(i, "w " * 30, "en", s) for i, s in enumerate(list(domain_of) * 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op1_source_mix"](spark, str(tmp_path)).collect()
+    assert sum(r.taken for r in got) == 30 * len(rows) // 2
+    named = {("(none)" if s is None else s, d) for s, d in domain_of.items()}
+    assert {(r.source, r.domain) for r in got} == named
+    mixed = corpus_pipeline.mix_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.epoch, r.taken) for r in mixed) == sorted((r.doc_id, r.epoch, r.taken) for r in got)
+
+
 def test_texts_and_empty(spark):
     rows = documents(random.Random(5), 60)
     docs = spark.createDataFrame([(*r, 1, "clash") for r in rows], SCHEMA)
