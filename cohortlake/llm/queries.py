@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlake.llm import (
+    bpe,
     decontaminate,
     fingerprints,
     html_text,
@@ -312,3 +313,12 @@ FROM (
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half the tokens of all ``documents``, by domain, language and source, two epochs at most."""
     return mixing.mix(table(spark, sf_dir, "documents"), mix_levels(), half_of_all(), seed=7, max_epochs=2)
+
+
+WORD_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+
+
+@query("op11_bpe_round_trip")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` encoded and decoded with a public vocabulary of byte pairs."""
+    return bpe.token_digests(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
