@@ -8,7 +8,6 @@ put end to end.  Fragments are short and few, also where words are long or new.
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -26,6 +25,30 @@ from cohortlake.llm.common import fresh, in_chunks, text_or_empty, utf8
 
 # The characters with the property White_Space, which \s stands for in vocabulary files.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NO_SPACE = regex.compile(f"[^{SPACES}]+")
+# Separators that Python's split() takes for white space.
+SEPARATORS = regex.compile(r"[\x1c-\x1f]")
+# How the vocabulary files that are read here normalise texts and cut them to words.
+NORMAL_FORM = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+PRE_TOKENS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 # Ranges of code points that became letters or numbers after Unicode 16, whose
 # classes vocabulary files count on.  The tables at hand are newer.
 LATER = (
@@ -46,9 +69,9 @@ LOWER = (
     (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1),
     (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
 )
-# Bytes of text encoded at a time; words and fragments remembered by a worker; longer ones are not.
+# Bytes of text encoded at a time; runs that a worker remembers (besides those of the last chunk).
 CHUNK_BYTES = 1 << 22
-REMEMBERED, LONG = 1 << 19, 64
+REMEMBERED = 1 << 19
 
 
 def _set(ranges: tuple[tuple[int, int], ...]) -> str:
@@ -89,40 +112,12 @@ class Vocabulary:
         self.tokens = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         # Symbols: a byte inside a word, or (256 more) at its end.
         letters = byte_letters()
-        self.symbols = [0] * 512
+        self.symbols = np.zeros(512, np.int64)
         for letter, byte in letters.items():
             self.symbols[byte], self.symbols[byte + 256] = ids[letter], ids[letter + suffix]
-        self.merges = {}
-        for rank, pair in enumerate(model["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[left], ids[right]] = rank, ids[left + right]
-        self.joined = self._pairs_inside_tokens()
+        self._set_merges(model["merges"], ids)
         self._set_texts(spec)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[tuple[int, ...], list[int]] = {}
-
-    def _pairs_inside_tokens(self) -> list[set[int]]:
-        """For every symbol those that follow it inside some token.  The pairs inside a
-        token are those inside its two parts and the one where the parts meet."""
-        first: dict[int, set[int]] = {}
-        last: dict[int, set[int]] = {}
-        for symbol, token in enumerate(self.symbols):
-            first.setdefault(token, set()).add(symbol)
-            last.setdefault(token, set()).add(symbol)
-        follows = [set() for _ in range(512)]
-        grows = True
-        while grows:  # once, if parts come before what is made of them
-            grows = False
-            for (left, right), (_, token) in self.merges.items():
-                if left in last and right in first:
-                    for symbol in last[left]:
-                        follows[symbol] |= first[right]
-                    for of, part in ((first, left), (last, right)):
-                        have = of.setdefault(token, set())
-                        if not of[part] <= have:
-                            have |= of[part]
-                            grows = True
-        return follows
+        self._forget()
 
     def _set_texts(self, spec: dict) -> None:
         """How texts are cut: special tokens, normal form, pre-tokens."""
@@ -132,119 +127,170 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in added}
         longest = sorted(self.special, key=len, reverse=True)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
-        self.steps = []
-        normalizer = spec["normalizer"] or {"type": "Sequence", "normalizers": []}
-        for step in normalizer["normalizers"] if normalizer["type"] == "Sequence" else [normalizer]:
-            if step["type"] in ("NFC", "NFD", "NFKC", "NFKD"):
-                self.steps.append(lambda text, form=step["type"]: unicodedata.normalize(form, text))
-            elif step["type"] == "Replace" and "Regex" in step["pattern"]:
-                pattern = regex.compile(with_spaces(step["pattern"]["Regex"]))
-                self.steps.append(lambda text, p=pattern, by=step["content"]: p.sub(lambda _: by, text))
-            elif step["type"] == "Lowercase":
-                self.steps.append(lower)
-            else:
-                raise ValueError(f"unknown normal form {step['type']}")
-        split, levels = spec["pre_tokenizer"]["pretokenizers"]
-        plain = levels["type"] == "ByteLevel" and not levels["add_prefix_space"] and not levels["use_regex"]
-        if split["type"] != "Split" or split["behavior"] != "Removed" or not split["invert"] or not plain:
-            raise ValueError("pre-tokens must be the matches of one pattern, as bytes")
-        pattern = with_spaces(split["pattern"]["Regex"])
+        if spec["normalizer"] != NORMAL_FORM or spec["pre_tokenizer"] != PRE_TOKENS:
+            raise ValueError("texts must be normalised and cut as by NORMAL_FORM and PRE_TOKENS")
+        pattern = PRE_TOKENS["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACES)
         self.pre_tokens = regex.compile(pattern)
         self.rare = regex.compile(f"[{_set(LATER)}]")
-        exact = pattern
-        for kind in ("L", "N"):
-            older = rf"[\p{{{kind}}}--[{_set(LATER)}]]"
-            exact = exact.replace(rf"\p{{{kind}}}", older)
-        self.rare_pre_tokens = regex.compile(exact, regex.V1)
-
-    def fragment_ids(self, symbols: list[int]) -> list[int]:
-        """The tokens of a fragment: the pair of least rank is merged first, of equal ones the leftmost."""
-        n, merges = len(symbols), self.merges
-        token = [self.symbols[s] for s in symbols]
-        if n == 1:
-            return token
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = []
-        for i in range(n - 1):
-            if (found := merges.get((token[i], token[i + 1]))) is not None:
-                heap.append((found[0], i, token[i], token[i + 1], found[1]))
-        heapq.heapify(heap)
-        while heap:
-            _, i, left, right, made = heapq.heappop(heap)
-            j = after[i]
-            if token[i] != left or j < 0 or token[j] != right:
-                continue  # one of the two has been merged
-            token[i], token[j] = made, -1
-            after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (found := merges.get((made, token[k]))) is not None:
-                    heapq.heappush(heap, (found[0], i, made, token[k], found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((token[h], made))) is not None:
-                heapq.heappush(heap, (found[0], h, token[h], made, found[1]))
-        return [t for t in token if t >= 0]
-
-    def word_fragments(self, word: bytes) -> list[list[int]]:
-        """The symbols of a word, split at its certain cuts."""
-        symbols = list(word)
-        symbols[-1] += 256
-        cuts = [0, *(i for i in range(1, len(symbols)) if symbols[i] not in self.joined[symbols[i - 1]]), len(symbols)]
-        return [symbols[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for symbols in self.word_fragments(word.encode("utf-8", "surrogatepass")):
-            if len(symbols) == 1:
-                out.append(self.symbols[symbols[0]])
-                continue
-            name = tuple(symbols)
-            if (found := self.fragments.get(name)) is None:
-                found = self.fragment_ids(symbols)
-                if len(symbols) <= LONG:
-                    if len(self.fragments) >= REMEMBERED:
-                        self.fragments.clear()
-                    self.fragments[name] = found
-            out += found
-        return tuple(out)
-
-    def _plain_ids(self, text: str) -> list[int]:
-        for step in self.steps:
-            text = step(text)
-        usual = text.isascii() or not self.rare.search(text)
-        known, parts = self.words, []
-        for word in (self.pre_tokens if usual else self.rare_pre_tokens).findall(text):
-            found = known.get(word)
-            if found is None:
-                found = self.word_ids(word)
-                if len(word) <= LONG:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[word] = found
-            parts.append(found)
-        return list(chain.from_iterable(parts))
-
-    def encode(self, text: str) -> list[int]:
-        if self.at_special is None or "<" not in text and not self.at_special.search(text):
-            return self._plain_ids(text)
-        out: list[int] = []
-        for i, part in enumerate(self.at_special.split(text)):
-            out += [self.special[part]] if i % 2 else self._plain_ids(part) if part else []
-        return out
-
-
-def with_spaces(pattern: str) -> str:
-    """The pattern with \\s written out, inside and outside of classes."""
-    out, inside, i = [], False, 0
-    while i < len(pattern):
-        if pattern[i] == "\\":
-            two = pattern[i : i + 2]
-            out.append((SPACES if inside else f"[{SPACES}]") if two == "\\s" else two)
-            i += 2
-            continue
-        inside = pattern[i] == "[" or inside and pattern[i] != "]"
-        out.append(pattern[i])
-        i += 1
-    return "".join(out)
+        for kind in (r"\p{L}", r"\p{N}"):
+            pattern = pattern.replace(kind, f"[{kind}--[{_set(LATER)}]]")
+        self.rare_pre_tokens = regex.compile(pattern, regex.V1)
+
+    def _set_merges(self, merges: list, ids: dict[str, int]) -> None:
+        """Pairs of tokens as sorted keys, with their ranks and what they become."""
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in merges]
+        left, right, made = (np.array(x, np.int64) for x in zip(*((ids[a], ids[b], ids[a + b]) for a, b in pairs)))
+        order = np.argsort(left << 32 | right)
+        self.keys, self.ranks, self.made = (left << 32 | right)[order], order, made[order]
+        # Ranks may be taken one after the other if no token is made before its parts, nor twice.
+        born = np.full(max(ids.values()) + 1, -1)
+        born[made] = np.arange(len(made))
+        rank = np.arange(len(made))
+        if len(np.unique(made)) < len(made) or (born[left] >= rank).any() or (born[right] >= rank).any():
+            raise ValueError("merges must come after those that make their parts, and make a token once")
+        # The pairs inside a token are those inside its parts and the one where the parts
+        # meet, so the pairs inside tokens are those where the parts of a merge meet.
+        first, last = np.zeros((2, len(born)), np.int64)
+        first[self.symbols] = last[self.symbols] = np.arange(512)
+        self.joined = np.zeros((512, 512), bool)
+        for a, b, c in zip(left.tolist(), right.tolist(), made.tolist()):
+            first[c], last[c] = first[a], last[b]
+            self.joined[last[a], first[b]] = True
+
+    def _merge_at(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Places in ``keys`` of pairs of tokens; -1 for those that are never merged."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def cuts(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where fragments start in words that lie end to end: at their starts and certain cuts."""
+        new = np.r_[True, ~self.joined[symbols[:-1], symbols[1:]]]
+        new[starts] = True
+        return np.flatnonzero(new)
+
+    def merged(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of fragments that lie end to end, and the place of the first symbol of each.
+
+        In every round the pair of least rank of each fragment is merged wherever it occurs
+        in it, from left to right; no new pair can come before it (see ``_set_merges``).
+        """
+        token, place = self.symbols[symbols], np.arange(len(symbols))
+        fragment = np.zeros(len(symbols), np.int64)
+        fragment[starts[1:]] = 1
+        fragment = np.cumsum(fragment)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        never = len(self.keys)
+        at = self._merge_at(token[:-1], token[1:])
+        at[fragment[1:] != fragment[:-1]] = -1
+        at = np.r_[at, -1]
+        while len(token):
+            rank = np.where(at >= 0, self.ranks[at], never)
+            heads = np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1]])
+            least = np.minimum.reduceat(rank, heads)
+            sizes = np.diff(np.r_[heads, len(token)])
+            active = np.repeat(least < never, sizes)
+            if not active.all():  # fragments with nothing to merge are finished
+                done.append((place[~active], token[~active]))
+                token, place, fragment, at, rank = (x[active] for x in (token, place, fragment, at, rank))
+                if not len(token):
+                    break
+                heads = np.flatnonzero(np.r_[True, fragment[1:] != fragment[:-1]])
+                least, sizes = least[least < never], np.diff(np.r_[heads, len(token)])
+            here = np.flatnonzero(rank == np.repeat(least, sizes))
+            # In a run of overlapping pairs (of one letter) every second one is merged.
+            run = np.flatnonzero(np.r_[True, np.diff(here) != 1])
+            here = here[(np.arange(len(here)) - np.repeat(run, np.diff(np.r_[run, len(here)]))) % 2 == 0]
+            token[here] = self.made[at[here]]
+            keep = np.ones(len(token), bool)
+            keep[here + 1] = False
+            touched = np.zeros(len(token), bool)
+            touched[here] = True
+            token, place, fragment, at, touched = (x[keep] for x in (token, place, fragment, at, touched))
+            # Only pairs with a new token change.
+            again = np.flatnonzero(touched | np.r_[touched[1:], False])
+            again = again[again < len(token) - 1]
+            at[again] = np.where(
+                fragment[again] == fragment[again + 1], self._merge_at(token[again], token[again + 1]), -1
+            )
+            at[-1] = -1
+        if not done:
+            return token, place
+        place, token = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(place)
+        return token[order], place[order]
+
+    def words_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words, from their fragments, end to end, and how many each word has."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        spelled = [w.encode("utf-8", "surrogatepass") for w in words]
+        ends = np.cumsum([len(w) for w in spelled])
+        symbols = np.frombuffer(b"".join(spelled), np.uint8).astype(np.int64)
+        symbols[ends - 1] += 256
+        token, place = self.merged(symbols, self.cuts(symbols, np.r_[0, ends[:-1]]))
+        return token, np.diff(np.searchsorted(place, ends), prepend=0)
+
+    def _pre_tokens(self, run: str) -> list[str]:
+        run = lower(run)
+        usual = run.isascii() or not self.rare.search(run)
+        return (self.pre_tokens if usual else self.rare_pre_tokens).findall(run)
+
+    def _learn(self, runs: list[str]) -> None:
+        """Remember the tokens of runs without white space."""
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        new = list(set(runs).difference(self.known))
+        words = [self._pre_tokens(r) for r in new]
+        sizes = np.array([len(w) for w in words], np.int64)
+        distinct = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+        tokens, counts = self.words_ids(list(distinct))
+        of = np.fromiter(map(distinct.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
+        self.tokens_of = np.r_[self.tokens_of, tokens[_ranges(np.cumsum(counts)[of] - counts[of], counts[of])]]
+        per_run = np.diff(np.r_[0, np.cumsum(counts[of])][np.cumsum(np.r_[0, sizes])])
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(per_run)]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.tokens_of, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def _runs(self, text: str) -> list[str]:
+        """The runs of a text without white space: no pre-token reaches over any."""
+        text = unicodedata.normalize("NFC", text)
+        return NO_SPACE.findall(text) if SEPARATORS.search(text) else text.split()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of the texts end to end, and how many each has."""
+        runs, sizes, special = [], [], []  # special tokens: place among the runs, id
+        for text in texts:
+            begin = len(runs)
+            if any(s in text for s in self.special):
+                for i, x in enumerate(self.at_special.split(text)):
+                    if i % 2:
+                        special.append((len(runs), self.special[x]))
+                        runs.append("")
+                    else:
+                        runs += self._runs(x)
+            else:
+                runs += self._runs(text)
+            sizes.append(len(runs) - begin)
+        self._learn(runs)
+        at = np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
+        begins, counts = self.ends[at], self.ends[at + 1] - self.ends[at]
+        known = self.tokens_of
+        if special:  # they stand at the end of what is known
+            place, ids = (np.array(x, np.int64) for x in zip(*special))
+            begins[place], counts[place] = len(known) + np.arange(len(place)), 1
+            known = np.r_[known, ids]
+        ids = known[_ranges(begins, counts)]
+        return ids.astype(np.int32), np.diff(np.r_[0, np.cumsum(counts)][np.cumsum([0, *sizes])])
+
+
+def _ranges(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of every range, end to end."""
+    step = np.repeat(begins - (np.cumsum(counts) - counts), counts)
+    return step + np.arange(len(step))
 
 
 def _sent(docs: DataFrame, path: str):
@@ -283,9 +329,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
             sizes = np.diff(utf8(batch.column(len(names)))[1]).tolist()
             for a, b in in_chunks(sizes, CHUNK_BYTES):
                 part = batch.slice(a, b - a)
-                found = [np.array(vocabulary.encode(t), np.int32) for t in part.column(len(names)).to_pylist()]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                found, counts = vocabulary.encode(part.column(len(names)).to_pylist())
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(found))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*names, ids_col])
 
     kind = StructType([*docs.schema, StructField(ids_col, ArrayType(IntegerType()))])

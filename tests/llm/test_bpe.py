@@ -6,6 +6,7 @@ import hashlib
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -58,7 +59,7 @@ def some_texts(rng, n):
 
 def test_ids_equal_the_librarys(vocabulary, other):
     for text in [*TEXTS, *some_texts(random.Random(1), 3000)]:
-        assert vocabulary.encode(text) == other.encode(text, add_special_tokens=False).ids, ascii(text)
+        assert vocabulary.encode([text])[0].tolist() == other.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
 def test_all_letters(vocabulary, other):
@@ -66,30 +67,46 @@ def test_all_letters(vocabulary, other):
     starts = [*range(0, 0x3400, 64), *range(0xA000, 0xD800, 64), *range(0xF900, 0x1F000, 64), *range(0x323B0, 0x33600, 64)]
     for start in starts:
         text = "".join(f"a{chr(c)}b {chr(c)} " for c in range(start, start + 64) if not 0xD800 <= c < 0xE000)
-        ours, theirs = vocabulary.encode(text), other.encode(text, add_special_tokens=False).ids
+        ours, theirs = vocabulary.encode([text])[0].tolist(), other.encode(text, add_special_tokens=False).ids
         assert ours == theirs, hex(start)
 
 
+def plain_merging(vocabulary, word):
+    """The pair of least rank first, of equal ones the leftmost, without any cut."""
+    merges = {int(k): (int(r), int(m)) for k, r, m in zip(vocabulary.keys, vocabulary.ranks, vocabulary.made)}
+    token = [int(vocabulary.symbols[b + 256 * (i == len(word) - 1)]) for i, b in enumerate(word)]
+    while True:
+        found = [(merges[a << 32 | b], i) for i, (a, b) in enumerate(zip(token, token[1:])) if a << 32 | b in merges]
+        if not found:
+            return token
+        (_, made), i = min(found, key=lambda f: (f[0][0], f[1]))
+        token[i : i + 2] = [made]
+
+
 def test_cuts_are_certain(vocabulary):
     """Fragments encoded apart give the tokens of the whole word merged at once."""
     rng = random.Random(2)
+    words = ["".join(rng.choices("etaoinshrdluqxzjk'-é日", k=rng.randrange(1, 30))) for _ in range(200)]
     cut = 0
-    for _ in range(3000):
-        word = "".join(rng.choices("etaoinshrdluqxzjk'-é日", k=rng.randrange(1, 30))).encode()
-        symbols = [*word[:-1], word[-1] + 256]
-        parts = vocabulary.word_fragments(word)
-        assert sum(parts, []) == symbols
-        cut += len(parts) > 1
-        assert sum((vocabulary.fragment_ids(p) for p in parts), []) == vocabulary.fragment_ids(symbols)
-    assert cut > 500
-
-
-def test_merging_order():
-    """The least rank first, of equal ones the leftmost; long runs stay below quadratic."""
-    vocabulary = bpe.Vocabulary(Path(WORD_VOCABULARY).read_bytes())
-    symbols = [ord("a")] * 200_000
-    ids = vocabulary.fragment_ids(symbols)
-    assert sum(len(vocabulary.tokens[i]) for i in ids) == 200_000
+    tokens, counts = vocabulary.words_ids(words)
+    for word, ids in zip(words, np.split(tokens, np.cumsum(counts)[:-1])):
+        data = word.encode()
+        symbols = np.array([*data[:-1], data[-1] + 256])
+        cut += len(vocabulary.cuts(symbols, np.array([0]))) > 1
+        whole, _ = vocabulary.merged(symbols, np.array([0]))
+        assert list(ids) == whole.tolist() == plain_merging(vocabulary, data)
+    assert cut > 50
+
+
+def test_one_long_word(vocabulary, other):
+    for word in ("a" * 100_001, "ha" * 50_000, "!" * 70_001):
+        assert vocabulary.encode([word])[0].tolist() == other.encode(word, add_special_tokens=False).ids
+
+
+def test_words_are_forgotten(vocabulary, other, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    for text in TEXTS * 2:
+        assert vocabulary.encode([text])[0].tolist() == other.encode(text, add_special_tokens=False).ids
 
 
 def test_query(spark, tmp_path, other):
