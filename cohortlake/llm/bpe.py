@@ -8,6 +8,7 @@ put end to end.  Fragments are short and few, also where words are long or new.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from cohortlake.llm.common import fresh, in_chunks, text_or_empty, utf8
 
@@ -70,7 +71,7 @@ LOWER = (
     (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
 )
 # Bytes of text encoded at a time; runs that a worker remembers (besides those of the last chunk).
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 20
 REMEMBERED = 1 << 19
 
 
@@ -99,6 +100,30 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class _Spellings:
+    """What ids stand for, to be written out joined by a space; None for ids of nothing."""
+
+    def __init__(self, spelled: list[str | None]):
+        data = [b"" if s is None else s.encode() + b" " for s in spelled]
+        self.sizes = np.array([len(d) for d in data])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(data), np.uint8)
+
+    def written(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of lists of ids that lie end to end, and where each list's begin and end."""
+        ids = ids.astype(np.int64)
+        real = (ids >= 0) & (ids < len(self.sizes))
+        ids = np.where(real, ids, 0)
+        sizes = np.where(real, self.sizes[ids], 0)
+        per_list = np.diff(np.r_[0, np.cumsum(sizes)][np.cumsum(np.r_[0, counts])])
+        begins = np.where(real, self.begins[ids], 0)
+        data = self.data[_ranges(begins, sizes)]
+        past = np.cumsum(per_list)
+        keep = np.ones(len(data), bool)
+        keep[past[per_list > 0] - 1] = False  # the last space of every list
+        return data[keep], np.r_[0, np.cumsum(per_list - (per_list > 0))]
+
+
 class Vocabulary:
     """A vocabulary file (JSON) of byte-pair merges with an end-of-word mark."""
 
@@ -109,7 +134,9 @@ class Vocabulary:
         if model.get("type") != "BPE" or not suffix or model.get("continuing_subword_prefix"):
             raise ValueError("not a vocabulary of byte pairs with an end-of-word mark")
         ids = model["vocab"]
-        self.tokens = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        tokens = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.tokens = _Spellings([tokens.get(i) for i in range(max(tokens) + 1)])
+        self.numbers = _Spellings([str(i) for i in range(max(tokens) + 1)])
         # Symbols: a byte inside a word, or (256 more) at its end.
         letters = byte_letters()
         self.symbols = np.zeros(512, np.int64)
@@ -350,11 +377,15 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _vocabulary(sent.value).tokens
         for batch in batches:
-            lists = batch.column(len(names))
-            for a, b in in_chunks(lists.value_lengths().to_pylist(), CHUNK_BYTES // 4):
+            sizes = batch.column(len(names)).value_lengths().to_pylist()
+            for a, b in in_chunks(sizes, CHUNK_BYTES // 4):
                 part = batch.slice(a, b - a)
-                found = [" ".join([tokens[i] for i in x if i in tokens]) for x in part.column(len(names)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string())], names=[*names, text_col])
+                ids = part.column(len(names)).flatten().fill_null(-1).to_numpy()
+                data, ends = tokens.written(ids, np.array(sizes[a:b]))
+                text = pa.Array.from_buffers(
+                    pa.large_string(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
+                )
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], text.cast(pa.string())], names=[*names, text_col])
 
     kind = StructType([*df.schema, StructField(text_col, StringType())])
     empty = F.array().cast("array<int>")
@@ -362,15 +393,31 @@ def decode(df: DataFrame, path: str, ids_col: str = "token_ids", text_col: str =
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256`` of every text: how many tokens it has,
-    and digests of its ids (decimal, joined by a space) and of what they decode to."""
-    # The text is encoded once and not kept.
-    rows = encode(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path)
-    rows = decode(rows.select("id", "token_ids"), path)
-    numbers = F.array_join(F.col("token_ids").cast("array<string>"), " ")
-    return rows.select(
-        F.col("id").alias(id_col),
-        F.size("token_ids").cast("bigint").alias("n_tokens"),
-        F.sha2(numbers, 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    """``id_col, n_tokens, ids_sha256, decoded_sha256`` of every text: how many tokens
+    ``encode`` gives, and digests of the ids (decimal, joined by a space) and of what
+    ``decode`` makes of them, without a column of either.
+
+    Null and empty texts have no tokens and the digests of the empty text.  Repeated rows
+    stay repeated, null ids stay; other columns are not read; an empty table gives no rows.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    sent, names = _sent(docs, path), ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def digests(spelled: tuple[np.ndarray, np.ndarray]) -> list[str]:
+        data, ends = spelled[0].tobytes(), spelled[1].tolist()
+        return [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(sent.value)
+        for batch in batches:
+            sizes = np.diff(utf8(batch.column(1))[1]).tolist()
+            for a, b in in_chunks(sizes, CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                ids, counts = vocabulary.encode(part.column(1).to_pylist())
+                found = [digests(s.written(ids, counts)) for s in (vocabulary.numbers, vocabulary.tokens)]
+                columns = [pa.array(counts.astype(np.int64)), *(pa.array(f, pa.string()) for f in found)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
+
+    kinds = zip(names[1:], (LongType(), StringType(), StringType()))
+    kind = StructType([rows.schema["id"], *(StructField(c, t) for c, t in kinds)])
+    return rows.mapInArrow(run, kind).withColumnRenamed("id", id_col)
