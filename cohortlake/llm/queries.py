@@ -17,6 +17,7 @@ from cohortlake.llm import (
     token_counts,
     toxicity,
     url_filter,
+    whitening,
 )
 from cohortlake.llm.common import table
 
@@ -322,3 +323,10 @@ WORD_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` encoded and decoded with a public vocabulary of byte pairs."""
     return bpe.token_digests(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``embeddings`` projected on the 16 leading components of the distinct ones."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors, wanted=16))
