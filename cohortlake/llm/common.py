@@ -28,11 +28,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The same rows as a Parquet table in the shared folder (smaller than a checkpoint)."""
+def stored_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """The same rows as a Parquet table in the shared folder (smaller than a checkpoint), and
+    its path, for ``remove``."""
     path = work_path(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    return stored_at(df, purpose)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table of this run that nothing reads any more from the shared folder."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(conf).delete(place, True)
 
 
 def partitions(spark: SparkSession) -> int:

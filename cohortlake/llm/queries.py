@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm import (
     bpe,
+    collocations,
     decontaminate,
     fingerprints,
     html_text,
@@ -330,3 +331,48 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``embeddings`` projected on the 16 leading components of the distinct ones."""
     vectors = table(spark, sf_dir, "embeddings")
     return whitening.whiten(vectors, whitening.fit(vectors, wanted=16))
+
+
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), starts AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), spans AS (
+  SELECT lang, w, i, unnest(range(1, least(5, len(w) - i + 1) + 1)) AS k FROM starts
+), f AS (
+  SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS n FROM spans GROUP BY ALL HAVING count(*) >= 100
+), total AS (
+  SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang
+), cuts AS (
+  SELECT lang, phrase, n AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.n AS l, r.n AS r, t.n AS n,
+    (1000 * c.a::HUGEINT * t.n::HUGEINT) // (l.n::HUGEINT * r.n::HUGEINT) AS score
+  FROM cuts c JOIN total t USING (lang)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1 :], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), sub AS (
+  SELECT lang, n, string_split(phrase, ' ') AS w, k, unnest(range(1, k + 1)) AS i FROM f WHERE k > 2
+), inside AS (
+  SELECT lang, array_to_string(w[i : j], ' ') AS phrase, max(n) AS around
+  FROM (SELECT *, unnest(range(i + 1, k + 1)) AS j FROM sub) WHERE j - i + 1 < k GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE around IS NULL OR 100 * around < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrases", PHRASE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of 2 to 5 words in all ``documents``, 100 times or more in a language, the 2000 best of each."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
