@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -99,3 +100,12 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are gone.
+
+    Its cleaner acts when the driver's JVM collects garbage, which it seldom does in a run
+    that leaves most work to executors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import fresh, in_chunks, mix64, stored, text_or_empty, utf8
+from cohortlake.llm.common import fresh, in_chunks, mix64, release, remove, stored, stored_at, text_or_empty, utf8
 
 LEAST = 50
 GRAM = 16
@@ -27,7 +27,7 @@ GRAM = 16
 PERIOD, COVER = 7, (0, 1, 3)
 # Bytes hashed at a time (they stay in the processor's cache), and bytes of pieces sorted at a time.
 HASH_BYTES = 1 << 16
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 # A bucket of more pieces than this (some 3 MB; equal ones count once a batch) is split.
 HOT_PIECES = 1 << 15
 # The filter of repeated minimisers has 16 bits for each, and at most so many in all (32 MiB).
@@ -211,10 +211,10 @@ def _pieces_of(least: int, gram: int, words, what: str, hot):
             name = np.fromiter((digest(view[s:e]) for s, e in zip(start.tolist(), ends.tolist())), np.uint64, len(start))
             if what == "places":
                 hit = in_filter(words.value, name)
-                name, start, count = name[hit], start[hit], count[hit]
+                value, name, start, count = value[hit], name[hit], start[hit], count[hit]
                 doc = np.searchsorted(offsets, start, side="right") - 1
-                columns = [name.view(np.int64), key[doc], ident[doc], start - offsets[doc], count - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "key", "id", "start", "n"])
+                columns = [value.view(np.int64), name.view(np.int64), key[doc], ident[doc], start - offsets[doc], count - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "name", "key", "id", "start", "n"])
                 continue
             order = np.argsort(name, kind="stable")
             first = np.flatnonzero(np.r_[True, name[order][1:] != name[order][:-1]][: len(order)])
@@ -248,41 +248,67 @@ def _ranks(columns: list[np.ndarray]) -> np.ndarray:
 def first_owners(text: np.ndarray, offsets: np.ndarray, owner: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """For every suffix of a block, the least owner of a suffix with the same first bytes.
 
-    ``text`` holds the pieces end to end.  Suffixes at the cover's positions are ranked by
-    ``least - 6`` bytes first.  Two suffixes tie if their first and last 8 bytes agree and,
-    at the shift that brings both to the cover, their ranks do.  For each shift the suffixes
-    that it brings there are sorted by that key; every pair of residues has its shift.
-    Returns positions in ``text`` and owners.
+    ``text`` holds the pieces end to end.  Suffixes are sorted by their first and last 8
+    bytes; most differ in those.  Ties of several owners are resolved by the cover: their
+    positions that fall on it are ranked by ``least - 6`` bytes, and two tied suffixes are
+    equal if, at the shift that brings both to the cover, their ranks agree.  Every pair of
+    residues has its shift.  Returns positions in ``text`` and owners.
     """
-    sizes = np.diff(offsets)
-    place = np.arange(len(text)) - np.repeat(offsets[:-1], sizes)
-    left = np.repeat(sizes, sizes) - place
-    word = np.zeros(len(text), np.uint64)
-    word[: len(text) - 7] = np.lib.stride_tricks.sliding_window_view(text, 8).copy().view(">u8")[:, 0]
-    residue = place % PERIOD
-    depth = least - PERIOD + 1
-    sample = np.flatnonzero((left >= depth) & np.isin(residue, COVER))
-    rank = np.full(len(text), -1, np.int64)
-    rank[sample] = _ranks([word[sample + i] for i in [*range(0, depth - 8, 8), depth - 8]])
-    at = np.flatnonzero(left >= least)
-    ends = _ranks([word[at], word[at + least - 8]])
-    own = np.repeat(owner, sizes)[at]
-    least_own = own.copy()
+    counts = np.diff(offsets) - least + 1
+    piece = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    at = (offsets[:-1] - np.cumsum(counts) + counts).astype(np.int32)[piece]
+    at += np.arange(len(at), dtype=np.int32)
+    word = np.lib.stride_tricks.sliding_window_view(text, 8)
+    best = owner[piece]
+
+    def words(places: np.ndarray) -> np.ndarray:
+        return word[places].view(">u8")[:, 0]
+
+    # Pairs of words that differ may share this key; equal ones always do.
+    key = mix64(words(at).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words(at + (least - 8)))
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[heads, len(key)])
+    del key
+    own = best[order]
+    several = np.minimum.reduceat(own, heads) < np.maximum.reduceat(own, heads)
+    tied = np.sort(order[np.repeat(several, sizes)])
+    del order, own
+    if not len(tied):
+        return at, best
+
+    place = at[tied]
+    ends = _ranks([words(place), words(place + (least - 8))])
+    depth, on_cover = least - PERIOD + 1, np.isin(np.arange(PERIOD), COVER)
+    sample = np.zeros(len(text), bool)
+    shifts = []
     for shift in range(PERIOD):
-        here = np.flatnonzero(np.isin((residue[at] + shift) % PERIOD, COVER))
+        here = np.flatnonzero(on_cover[(place + shift) % PERIOD])
+        sample[place[here] + shift] = True
+        shifts.append(here)
+    sample = np.flatnonzero(sample)
+    rank = np.zeros(len(text), np.int32)
+    rank[sample] = _ranks([words(sample + i) for i in [*range(0, depth - 8, 8), depth - 8]])
+    own = best[tied]
+    found = own.copy()
+    for shift, here in enumerate(shifts):
         if not len(here):
             continue
-        ties = _ranks([ends[here], rank[at[here] + shift]])
-        best = np.full(ties.max() + 1, LAST_ID)
-        np.minimum.at(best, ties, own[here])
-        least_own[here] = np.minimum(least_own[here], best[ties])
-    return at, least_own
+        tie = ends[here] << 32 | rank[place[here] + shift]
+        order = np.argsort(tie)
+        heads = np.flatnonzero(np.r_[True, np.diff(tie[order]) != 0])
+        first = np.minimum.reduceat(own[here[order]], heads)
+        here = here[order]
+        found[here] = np.minimum(found[here], np.repeat(first, np.diff(np.r_[heads, len(here)])))
+    best[tied] = found
+    return at, best
 
 
 def _sorted_blocks(least: int):
     """Runs of suffixes that an earlier document has, from the pieces of buckets with
     several, sorted by bucket and text."""
-    names = ["name", "first", "last", "owner"]
+    names = ["h", "name", "first", "last", "owner"]
 
     def merged(h, parts, low, high):
         """Equal pieces, which are neighbours, become one."""
@@ -298,7 +324,7 @@ def _sorted_blocks(least: int):
         shared &= np.diff(np.r_[starts, len(h)]) > 1
         mixed = np.flatnonzero(shared[bucket])
         if not len(mixed):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=names)
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=names)
         offsets = np.r_[0, np.cumsum([len(parts[i]) for i in mixed])]
         text = np.frombuffer(b"".join(parts[i] for i in mixed), np.uint8)
         at, owner = first_owners(text, offsets, low[mixed], least)
@@ -307,8 +333,9 @@ def _sorted_blocks(least: int):
         b = np.r_[a[1:], len(at)] - 1
         keep = owner[a] < high[mixed][piece[a]]
         a, b = a[keep], b[keep]
-        name = np.array([xxhash.xxh64_intdigest(parts[i]) for i in mixed[piece[a]]], np.uint64).view(np.int64)
-        columns = [name, (at - offsets[piece])[a], (at - offsets[piece])[b], owner[a]]
+        of = mixed[piece[a]]
+        name = np.array([xxhash.xxh64_intdigest(parts[i]) for i in of], np.uint64).view(np.int64)
+        columns = [h[of], name, at[a] - offsets[piece[a]], at[b] - offsets[piece[b]], owner[a]]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +360,7 @@ def _sorted_blocks(least: int):
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """``key, spans``: per distinct id and text the ranges of bytes (start, end) covered by
-    a string of ``least`` bytes that a document with a smaller id has too.
+    a string of ``least`` bytes that a document with a smaller id has too; written to the shared folder.
 
     Four readings of the texts keep what moves small.  Minimisers are counted; pieces whose
     minimiser may repeat are summed up by name; those of buckets with several pieces travel
@@ -346,12 +373,25 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, least: int = LEA
         raise ValueError("grams have 8 bytes or more, and strings at least 7 more than grams")
     rows = docs.select(
         F.xxhash64(id_col, text_or_empty(text_col)).alias("key"),
-        F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST_ID)).alias("id"),
+        F.coalesce(F.col(id_col).try_cast("bigint"), F.lit(LAST_ID)).alias("id"),
         text_or_empty(text_col).alias("text"),
     ).filter(F.octet_length("text") >= least)
-    send = docs.sparkSession.sparkContext.broadcast
+    spark, paths, sent = docs.sparkSession, [], []
+
+    def send(value: np.ndarray):
+        sent.append(spark.sparkContext.broadcast(value))
+        return sent[-1]
+
+    def settle(df: DataFrame, purpose: str) -> DataFrame:
+        """Stored; what the tasks needed for it is dropped, also shuffles that nothing reads any more."""
+        out, path = stored_at(df, purpose)
+        paths.append(path)
+        release(spark)
+        return out
+
     counts = rows.select("text").mapInArrow(_counted(least, gram), "h bigint, n int")
     repeated = send(bloom_filter(counts.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")))
+    release(spark)
 
     kind = "h bigint, piece bigint, low bigint, high bigint"
 
@@ -360,10 +400,11 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, least: int = LEA
             F.min("piece").alias("a"), F.max("piece").alias("b"), F.min("low").alias("low"),
             F.max("high").alias("high"), F.count(F.lit(1)).alias("n"),
         )
-        return stored(buckets.filter("low < high"), purpose)
+        return settle(buckets.filter("low < high"), purpose)
 
     none = send(np.zeros(0, np.uint64))
     buckets = summed(rows.mapInArrow(_pieces_of(least, gram, repeated, "names", none), kind), "buckets")
+    repeated.destroy()
     large = buckets.filter((F.col("n") > HOT_PIECES) & (F.col("a") != F.col("b")))
     large = large.select("h").toArrow().column("h").to_numpy()
     hot = send(np.sort(large.view(np.uint64)))
@@ -373,22 +414,29 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, least: int = LEA
         buckets = buckets.filter((F.col("n") <= HOT_PIECES) | (F.col("a") == F.col("b"))).unionByName(cut)
     whole = F.lit(-1).cast("bigint")
     alone = buckets.filter("a = b").select(
-        F.col("a").alias("name"), F.lit(0).cast("bigint").alias("first"), whole.alias("last"), F.col("low").alias("owner")
+        "h", F.col("a").alias("name"), F.lit(0).cast("bigint").alias("first"), whole.alias("last"), F.col("low").alias("owner")
     )
     several = send(bloom_filter(buckets.filter("a <> b").select("h")))
     texts = rows.mapInArrow(_pieces_of(least, gram, several, "texts", hot), "h bigint, piece binary, low bigint, high bigint")
     texts = texts.repartition("h").sortWithinPartitions("h", "piece")
-    runs = texts.mapInArrow(_sorted_blocks(least), "name bigint, first bigint, last bigint, owner bigint")
-    runs = stored(alone.unionByName(runs), "runs")
+    runs = texts.mapInArrow(_sorted_blocks(least), "h bigint, name bigint, first bigint, last bigint, owner bigint")
+    runs = settle(alone.unionByName(runs), "runs")
+    several.destroy()
 
     owned = send(bloom_filter(runs.select("name")))
     places = rows.mapInArrow(
-        _pieces_of(least, gram, owned, "places", hot), "name bigint, key bigint, id bigint, start bigint, n bigint"
+        _pieces_of(least, gram, owned, "places", hot), "h bigint, name bigint, key bigint, id bigint, start bigint, n bigint"
     )
-    found = places.join(runs, "name").filter("owner < id")
+    found = places.join(runs, ["h", "name"]).filter("owner < id")
     last = F.when(F.col("last") < 0, F.col("n")).otherwise(F.col("last"))
     span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + last + least).alias("b"))
-    return found.groupBy("key").agg(F.collect_list(span).alias("spans"))
+    found = stored(found.groupBy("key").agg(F.collect_list(span).alias("spans")), "spans")
+    for value in (none, hot, owned):
+        value.destroy()
+    for path in paths:
+        remove(spark, path)
+    release(spark)
+    return found
 
 
 def _union(spans: list[dict]) -> list[tuple[int, int]]:
@@ -410,7 +458,7 @@ def _split(docs: DataFrame, id_col: str, text_col: str, least: int, gram: int) -
     """The rows that may lose bytes, with a column of spans (null for none), and the others,
     whose texts stay where they are."""
     key, spans, own = fresh(docs, "text_key", "spans", "own_key")
-    found = stored(repeated_spans(docs, id_col, text_col, least, gram), "spans")
+    found = repeated_spans(docs, id_col, text_col, least, gram)
     words = docs.sparkSession.sparkContext.broadcast(bloom_filter(found.select("key")))
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), text_or_empty(text_col)))
     at = len(docs.columns)
@@ -437,7 +485,8 @@ def repeated_text(
     A text is its UTF-8 bytes.  A byte is removed if it is covered by a string of ``least``
     bytes that also starts in a document with a smaller id; strings lie within one text and
     are judged on the input.  Rows with the same id do not count against each other.  Null
-    and empty texts have no bytes; a null id comes after all others.  Repeated rows stay
+    and empty texts have no bytes; ids are whole numbers, and a null id, or one that is no
+    number, comes after all others.  Repeated rows stay
     repeated; other columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
