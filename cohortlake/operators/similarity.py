@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,13 +13,14 @@ from cohortlake.functions import values as V
 from cohortlake.operators.analytics import percent
 from cohortlake.operators.records import restrict_to
 from cohortlake.operators.skew import exact_quantile
+from cohortlake.session import settled
 
 FEATURES = (
     "age", "hba1c", "bmi", "medication_count", "has_diabetes", "has_hypertension", "has_obesity",
 )
 
-# Query patients of a many-query search that are compared at a time.
-QUERY_BLOCK = 1_000
+# Points of a cell on the finest level, about.
+CELL_POINTS = 8
 
 
 def patient_features(
@@ -127,44 +129,127 @@ def similar_patients(
     )
 
 
-def knn_top_k(pairs: DataFrame, query: str, k: int) -> DataFrame:
+def knn_top_k(pairs: DataFrame, query: str, k: int, key: str = "patient_id") -> DataFrame:
     """The k nearest candidates of every query; each task keeps k rows a query.
 
     Distances that agree to nine decimals are equal: the last bits of a sum depend on its order.
     """
-    window = Window.partitionBy(query).orderBy(F.round("distance", 9), "patient_id")
+    window = Window.partitionBy(query).orderBy(F.round("distance", 9), key)
     return pairs.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
 
 
+def feature_cells(points: DataFrame, columns: Sequence[str], bits: int) -> DataFrame:
+    """``points`` with ``_cell``: for each column the number of cut points that lie below the
+    value, in ``bits`` bits.  The cut points are approximate quantiles, so outliers do not
+    thin out the cells; the first bits of all columns name a coarser cell."""
+    parts = 1 << bits
+    cuts = points.agg(
+        F.struct(
+            *[F.percentile_approx(c, [i / parts for i in range(1, parts)], 20 * parts).alias(c) for c in columns]
+        ).alias("cuts")
+    )
+    held = points.withColumn("_cuts", cuts.scalar())
+
+    def number(c: str) -> Column:
+        return F.size(F.filter(F.col("_cuts")[c], lambda cut: cut < F.col(c)))
+
+    return held.withColumn("_cell", F.array(*map(number, columns))).drop("_cuts")
+
+
+def _coarser(bits: int) -> Column:
+    """The name of the cell of the first levels, ``bits`` bits finer cells are left out."""
+    return F.transform("_cell", lambda n: F.shiftright(n, bits))
+
+
+def _box_distance(target: Column, columns: Sequence[str], farthest: bool) -> Column:
+    """The distance of a point to the nearest or farthest place of a box."""
+    total = F.lit(0.0)
+    for c in columns:
+        below, above = F.col(f"lo_{c}") - target[c], target[c] - F.col(f"hi_{c}")
+        if farthest:
+            apart = F.greatest(F.abs(below), F.abs(above))
+        else:
+            apart = F.greatest(below, above, F.lit(0.0))
+        total = total + apart * apart
+    return F.sqrt(total)
+
+
+def cell_levels(points: DataFrame, columns: Sequence[str], bits: int) -> list[DataFrame]:
+    """For every level, from the coarsest: ``_parent, _node, _count`` and the least and
+    greatest value of each column over the points of the cell.  Coarser cells are summed up
+    from finer ones."""
+    ends = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
+    sums = [F.sum("_count").alias("_count"), *ends]
+    first = points.withColumns({"_count": F.lit(1), **{f"{n}_{c}": F.col(c) for c in columns for n in ("lo", "hi")}})
+    cells = settled(first.groupBy("_cell").agg(*sums))
+    out = []
+    for left in range(bits - 1, -1, -1):
+        nodes = cells.withColumns({"_parent": _coarser(left + 1), "_node": _coarser(left)})
+        out.append(nodes.groupBy("_parent", "_node").agg(*sums))
+    return out
+
+
+def nearest_points(
+    points: DataFrame, queries: DataFrame, key: str, columns: Sequence[str], k: int, bits: int | None = None,
+    about: int = CELL_POINTS,
+) -> DataFrame:
+    """``query_id, rank, distance`` and the columns of ``points``: the k nearest points of every query.
+
+    ``queries`` has ``query_id`` and the same numeric ``columns``.  Cells are taken apart
+    level by level for all queries at once: among the cells that are left to a query, the
+    farthest places of the nearest ones that together hold k points bound the distance
+    of the k-th neighbour, and cells whose nearest place is beyond go.  Only points of the
+    last cells meet the query.  Of points that are equal in all columns no more than k, by
+    ``key``, take part, so crowded places cost no more.  Distances that agree to nine
+    decimals are equal and ordered by ``key``.
+    """
+    if bits is None:
+        # Some four columns split the points evenly, the others only in two.
+        bits = max(1, min(8, math.ceil(math.log2(max(2, points.count() / about)) / 4)))
+    equal = Window.partitionBy(*columns).orderBy(key)
+    kept = points.withColumn("_equal", F.row_number().over(equal)).where(F.col("_equal") <= k).drop("_equal")
+    kept = settled(feature_cells(kept, columns, bits))
+    target = F.struct(*columns).alias("_t")
+    left = queries.select("query_id", target, F.array(*[F.lit(0) for _ in columns]).alias("_parent"))
+    by_query = Window.partitionBy("query_id")
+    nearer = by_query.orderBy("_far", "_node").rowsBetween(Window.unboundedPreceding, 0)
+    for nodes in cell_levels(kept, columns, bits):
+        # Square roots are rounded; neighbours that agree to nine decimals are kept too.
+        seen = left.join(nodes, "_parent").select(
+            "query_id", "_t", "_node", "_count",
+            _box_distance(F.col("_t"), columns, False).alias("_near"),
+            _box_distance(F.col("_t"), columns, True).alias("_far"),
+        )
+        enough = F.when(F.sum("_count").over(nearer) >= k, F.col("_far"))
+        bound = F.coalesce(F.min("_enough").over(by_query), F.lit(float("inf")))
+        seen = seen.withColumn("_enough", enough).withColumn("_bound", bound)
+        left = seen.where(F.col("_near") <= F.col("_bound") + 2e-9).select(
+            "query_id", "_t", F.col("_node").alias("_parent")
+        )
+        left = settled(left)
+    pairs = left.join(kept.withColumnRenamed("_cell", "_parent"), "_parent").drop("_parent")
+    total = F.lit(0.0)
+    for c in columns:
+        total = total + F.pow(F.col(c) - F.col("_t")[c], F.lit(2.0))
+    pairs = pairs.withColumn("distance", F.sqrt(total)).drop("_t")
+    return knn_top_k(pairs, "query_id", k, key)
+
+
 def similar_patients_of(
-    features: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK
+    features: DataFrame, queries: DataFrame, k: int = 10, bits: int | None = None
 ) -> DataFrame:
-    """Nearest patients of a set of query patients (a frame of patient_id).
+    """Nearest patients of every patient of a set (a frame of patient_id), themselves included.
 
-    The set is taken in blocks of about ``block`` queries.  A block travels as one array
-    that each candidate row is compared with, and the per-task top-n drops the rest at
-    once.
+    One join for all queries over cells of the scaled features, see ``nearest_points``.
+    Patients that are not in ``features`` are left out; the set may name one twice.
     """
-    wanted = queries.select("patient_id").distinct()
-    blocks = max(1, math.ceil(wanted.count() / block))
-    scaled = min_max_scale(features)
     names = [f"s_{c}" for c in FEATURES]
-    held = restrict_to(scaled, wanted).withColumn(
-        "_block", F.pmod(F.xxhash64("patient_id"), F.lit(blocks))
-    )
-    target = F.struct(F.col("patient_id").alias("query_id"), *names)
-    pairs = None
-    for b in range(blocks):
-        targets = held.where(F.col("_block") == b).agg(F.collect_list(target).alias("t")).scalar()
-        found = (
-            scaled.withColumn("_t", F.explode(targets))
-            .withColumn("query_id", F.col("_t.query_id"))
-            .withColumn("distance", _distance(F.col("_t"), FEATURES))
-            .select("query_id", "patient_id", "age", "gender", "condition_list", "distance")
-        )
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return knn_top_k(pairs, "query_id", neighbour_count(k)).withColumn(
-        "similarity_score", similarity_score(F.col("distance"), len(FEATURES))
+    scaled = settled(min_max_scale(features).select("patient_id", "age", "gender", "condition_list", *names))
+    wanted = restrict_to(scaled, queries.select("patient_id")).select(F.col("patient_id").alias("query_id"), *names)
+    found = nearest_points(scaled, wanted, "patient_id", names, neighbour_count(k), bits)
+    return found.select(
+        "query_id", "patient_id", "age", "gender", "condition_list", "distance", "rank",
+        similarity_score(F.col("distance"), len(FEATURES)).alias("similarity_score"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -41,3 +41,9 @@ def work_path(spark: SparkSession, purpose: str) -> str:
     """A new path for one run in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, in the shared checkpoint folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

@@ -64,14 +64,59 @@ def test_last_bits_do_not_order_neighbours(spark):
     assert [r.patient_id for r in got] == ["C", "A"]
 
 
-def test_blocks_of_queries_change_nothing(world):
+def test_cells_change_nothing(world):
     features, _ = world
     columns = ("query_id", "patient_id", "rank", "distance")
-    whole, blocks = (
-        sorted(S.similar_patients_of(features, features, k=3, block=n).select(*columns).collect())
-        for n in (1_000, 17)
-    )
-    assert whole == blocks and len({r.query_id for r in whole}) == features.count()
+    found = [
+        sorted(S.similar_patients_of(features, features, k=3, bits=n).select(*columns).collect()) for n in (1, 3)
+    ]
+    assert found[0] == found[1] and len({r.query_id for r in found[0]}) == features.count()
+
+
+def brute_nearest(x, targets, k):
+    """Row numbers of the k nearest rows, ties to nine decimals by row number."""
+    out = {}
+    for t in targets:
+        distance = np.round(np.sqrt(((x - x[t]) ** 2).sum(1)), 9)
+        out[t] = [int(i) for i in np.lexsort((np.arange(len(x)), distance))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["even", "outlier", "crowded", "few"])
+def test_nearest_points(spark, kind):
+    rng = np.random.default_rng(8)
+    x = np.c_[rng.random((600, 3)), rng.integers(0, 2, (600, 2))]
+    if kind == "outlier":  # all but two rows lie in a thousandth of the range
+        x[:, 0] /= 1000
+        x[7, 0], x[8, 0] = 1.0, -5e6
+    if kind == "crowded":  # two thirds of the rows are equal, and many tie
+        x[:400] = x[0]
+        x[400:, 0] = np.round(x[400:, 0], 1)
+    if kind == "few":
+        x = x[:9]
+    columns = [f"c{i}" for i in range(5)]
+    rows = [(i, *map(float, r)) for i, r in enumerate(x)]
+    points = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in columns))
+    targets = list(range(0, len(x), 40))
+    queries = points.where(points.id.isin(targets)).withColumnRenamed("id", "query_id")
+    got = {}
+    for r in S.nearest_points(points, queries, "id", columns, 12).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    want = brute_nearest(x, targets, 12)
+    assert {q: [i for _, i in sorted(r)] for q, r in got.items()} == want
+
+
+def test_most_pairs_are_never_formed(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.random((4000, 4))
+    columns = [f"c{i}" for i in range(4)]
+    points = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in columns))
+    queries = points.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    formed = []
+    top = S.knn_top_k
+    monkeypatch.setattr(S, "knn_top_k", lambda pairs, *rest: formed.append(pairs.count()) or top(pairs, *rest))
+    found = S.nearest_points(points, queries, "id", columns, 30)
+    assert found.count() == 200 * 30 and formed[0] < 200 * 4000 / 10
 
 
 def test_missing_lab_values(spark):
