@@ -24,6 +24,8 @@ SCALE, OFFSET = 64, 1_000_000
 # Larger entries are treated like those that are not finite, so that sums of a block fit 64 bits.
 LARGEST = float(1 << 45)
 BLOCK_BYTES = 1 << 20
+# Groups in which the sums of tasks are added up.
+GROUPS = 32
 # Products per correction equation, most columns of the subspace per wanted component, rounds.
 INNER, WIDEST, ROUNDS = 5, 4, 60
 EPS = float(np.finfo(np.float64).eps)
@@ -119,18 +121,28 @@ class _Passes:
         dim, whole, fraction = self.dim, self.whole, self.fraction
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(size)
+            sums, seen = np.zeros(size), False
             for batch in batches:
                 for width, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                     x = np.frombuffer(data.as_buffer(), f"<i{width}").reshape(-1, dim)
                     sums += of((x - whole) - fraction).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(sums)], names=["i", "s"])
+                    seen = True
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["part"])
+
+        def add(parts: pa.Table) -> pa.Table:
+            sums = np.zeros(size)
+            for part in parts.column("part"):
+                sums += np.frombuffer(part.as_buffer())
+            return pa.table({"part": pa.array([sums.tobytes()], pa.binary())})
 
         self.passes += 1
-        parts = self.blocks.select("width", "data").mapInArrow(run, "i bigint, s double")
-        rows = parts.groupBy("i").agg(F.sum("s").alias("s")).toArrow()
+        # One row a task; they are added up in groups, and the few sums that are left here.
+        parts = self.blocks.select("width", "data").mapInArrow(run, "part binary")
+        parts = parts.withColumn("group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
         out = np.zeros(size)
-        out[rows.column("i").to_numpy()] = rows.column("s").to_numpy()
+        for row in parts.groupBy("group").applyInArrow(add, "part binary").collect():
+            out += np.frombuffer(bytes(row.part))
         return out
 
     def product(self, columns: np.ndarray) -> np.ndarray:
