@@ -173,7 +173,8 @@ def mix(
 
 
 def mixed_texts(docs: DataFrame, levels: Sequence[Level], budget: Column, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``mix`` with the text each gives: whole, or its first ``taken`` words.
+    """The rows of ``mix`` with the text each gives: whole, or its first ``taken`` words as
+    they stand there, without white space after the last.
 
     Wholly equal rows of ``docs`` give as many rows of the mix as they take."""
     chosen = mix(docs, levels, budget, id_col, text_col, key=True, **options)
@@ -182,5 +183,6 @@ def mixed_texts(docs: DataFrame, levels: Sequence[Level], budget: Column, id_col
     rows = chosen.join(texts, F.col("key") == F.col(key))
     words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.slice(words, 1, F.col("taken").cast("int")), "")
-    given = F.when(F.col("taken") >= F.col("n_tokens"), F.col(text)).otherwise(F.rtrim(part))
+    part = F.regexp_replace(part, r"[\x20\x09-\x0D]+\z", "")
+    given = F.when(F.col("taken") >= F.col("n_tokens"), F.col(text)).otherwise(part)
     return rows.withColumn(text_col, given).drop("key", key, *([text] if text != text_col else []))

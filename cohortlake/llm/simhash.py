@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.common import fresh, settled, text_or_empty, utf8
@@ -39,8 +39,10 @@ def simhash(text: bytes, shingle: int) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``id, fp`` (a signed long) per row.  A-Z are lower-cased, words split at ASCII white
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4
+) -> DataFrame:
+    """``id, fp`` (a signed long) and ``key`` (a digest of id and text) per row.  A-Z are lower-cased, words split at ASCII white
     space; a text with fewer words than a shingle is one shingle, one without words (or a
     null) has fingerprint zero."""
 
@@ -50,10 +52,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             view = data.tobytes()
             fps = [simhash(view[s:e], shingle) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, batch.column(2)], names=["id", "fp", "key"])
+
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), _row_key(id_col, text_col).alias("key"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint, key bigint")
+
 
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+def _row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(id_col, text_or_empty(text_col))
 
 
 def masks(radius: int) -> list[int]:
@@ -154,6 +160,20 @@ def near_links(fps: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(_bucket_links(radius), "a bigint, b bigint").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """The rows ``id, fp, key`` of the documents, and ``node, root, component_id`` of every
+    distinct fingerprint."""
+    rows = settled(fingerprints(docs, id_col, text_col, shingle))
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = connected_components(near_links(nodes.select("fp"), radius))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+    rooted = settled(rooted)
+    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows, rooted.join(first, "root").select(F.col("fp").alias("node"), "root", "component_id")
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
@@ -166,15 +186,7 @@ def near_copies(
     only if no row of the component has an id.  Repeated rows stay repeated, other
     columns are not read, and an empty table gives no rows.
     """
-    rows = settled(fingerprints(docs, id_col, text_col, shingle))
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(near_links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = settled(rooted)
-    first = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(first, "root").select(F.col("fp").alias("node"), "component_id")
+    rows, of_fp = _grouped(docs, id_col, text_col, shingle, radius)
     return rows.join(of_fp, rows["fp"] == of_fp["node"], "left").select(
         F.col("id").alias(id_col), "fp", "component_id"
     )
@@ -187,11 +199,31 @@ def hex_fingerprint(column: str):
 def drop_near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its group, with all their columns.
+    """One row of each group of near copies, with all its columns: that with the least id,
+    null ids last; of rows with one id, the least by a digest of the text.
 
-    Of rows that repeat an id all stay or go together; rows with a null id stay.
+    Rows that share an id but not a group are judged each in its own.  Of rows equal in id
+    and text one stays, whatever their other columns hold.  Null and empty texts are near
+    copies of each other.  An empty table gives an empty one.
     """
-    (other,) = fresh(docs, "other_id")
-    found = near_copies(docs, id_col, text_col, shingle, radius)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(other)).distinct()
-    return docs.join(gone, F.col(id_col) == F.col(other), "left_anti")
+    rows, of_fp = _grouped(docs, id_col, text_col, shingle, radius)
+    rows = rows.join(of_fp, rows["fp"] == of_fp["node"]).select("root", "id", "key")
+    # Equal rows are counted first, so that a large group is a few rows a task.
+    counted = settled(rows.groupBy("root", "id", "key").agg(F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "n")
+    best = counted.groupBy("root").agg(F.min(order).alias("best"))
+    key, other, own = fresh(docs, "row_key", "other_id", "own_key")
+
+    def those(found: DataFrame) -> DataFrame:
+        return found.select(F.col("id").alias(other), F.col("key").alias(own))
+
+    same = (F.col(key) == F.col(own)) & F.col(id_col).eqNullSafe(F.col(other))
+    kept = best.select(F.col("root").alias("own_root"), "best")
+    gone = counted.join(kept, F.col("root") == F.col("own_root"))
+    gone = those(gone.filter((F.col("key") != F.col("best.key")) | ~F.col("id").eqNullSafe(F.col("best.id"))))
+    left = docs.withColumn(key, _row_key(id_col, text_col)).join(gone, same, "left_anti")
+    several = settled(those(best.select("best.*").filter("n > 1")))
+    if not several.isEmpty():
+        once = left.join(several, same, "left_semi").dropDuplicates([id_col, key])
+        left = left.join(several, same, "left_anti").unionByName(once)
+    return left.drop(key)

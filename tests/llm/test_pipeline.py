@@ -84,7 +84,7 @@ def test_every_stage_against_brute_force(spark, tables):
 
 def check_mix(got, docs):
     """Budgets as filled step by step; whole epochs of all a leaf has, and a prefix of one."""
-    leaves = {}
+    leaves, texts = {}, {r[0]: r[1] for r in docs}
     for i, text, lang, source, _ in docs:
         n = len((text or "").split())
         number = int(source[3:]) if source else None
@@ -99,7 +99,9 @@ def check_mix(got, docs):
     taken = {}
     for r in got:
         taken.setdefault((r.domain, r.lang, r.source), []).append(r)
-        assert len(r.text.split()) == r.taken and leaves[r.domain, r.lang, r.source][r.doc_id] == r.n_tokens
+        text = texts[r.doc_id]
+        assert len(r.text.split()) == r.taken and text.startswith(r.text) and r.text.rstrip() == (r.text if r.taken < r.n_tokens else text.rstrip())
+        assert leaves[r.domain, r.lang, r.source][r.doc_id] == r.n_tokens
     for domain, b in fill(budget, {k: (c, weight.get(k, 2000)) for k, c in domains.items()}).items():
         langs = {}
         for k, c in cap.items():
@@ -125,5 +127,5 @@ def test_empty_tables(spark, tables, tmp_path):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)

@@ -99,3 +99,29 @@ def test_components_of_paths_and_stars(spark):
     for a, b in links * 60:
         label[a] = label[b] = min(label[a], label[b])
     assert got == {x: r for x, r in label.items() if x != 200}
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows that share an id with different texts, equal rows, and rows without an id."""
+    rows = [(1, "A A A B", "x"), (5, "C C C D", "x"), (5, "A A A B", "x"), (7, "c c c d", "y"), (8, "E", "x"), (8, "E", "z"),
+            (None, "F G", "x"), (None, "F G", "x"), (None, "f g", "x"), (9, None, "x"), (10, "", "x"), (None, "c c c d", "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, row_key string")
+    kept = simhash.drop_near_copies(docs, shingle=4, radius=0)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect())
+    assert got == [(0, "f g"), (1, "a a a b"), (5, "c c c d"), (8, "e"), (9, "")]
+    assert simhash.drop_near_copies(docs.limit(0)).collect() == []
+
+
+def test_one_row_of_each_group_by_brute_force(spark):
+    rng = random.Random(12)
+    base = [" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 9))) for _ in range(25)]
+    rows = [(rng.choice([None, *range(20)]), rng.choice(base)) for _ in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    fps = [(i, brute_fingerprint(r[1])) for i, r in enumerate(rows)]
+    groups = {}
+    for r, c in zip(rows, brute_components(fps, 4)):
+        groups.setdefault(c, []).append(r)
+    least = [min((i is None, i or 0) for i, _ in g) for g in groups.values()]
+    got = [(r.doc_id is None, r.doc_id or 0) for r in simhash.drop_near_copies(docs).collect()]
+    assert sorted(got) == sorted(least)
