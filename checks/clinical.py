@@ -534,6 +534,15 @@ FIELDS = ("patient_id", "trial_id", "met", "failed", "missing", "eligibility_sco
     "patients trials",
     f"WITH {pair_sql('TRUE')}, {ranked_sql(31.0, 20)} SELECT {', '.join(FIELDS)}, cast(rank AS INT) AS rank FROM mt",
 )
+def _(v):
+    return M.match_patients(v.patients, v.trials, 31.0, observations=labs(v)).select(*FIELDS, "rank")
+
+
+@reg.add(
+    "m04_match_patients_any_score",
+    "patients trials",
+    f"WITH {pair_sql('TRUE')}, {ranked_sql(0.0, 20)} SELECT {', '.join(FIELDS)}, cast(rank AS INT) AS rank FROM mt",
+)
 def _(v):
     return M.match_patients(v.patients, v.trials, observations=labs(v)).select(*FIELDS, "rank")
 
