@@ -470,15 +470,17 @@ def _(v):
     "outcomes",
     f"""SELECT 'patient.events' AS topic, patient_id AS key, printf('EVT-%05d', row_number() OVER (
   ORDER BY measurement_date, md5(outcome_id), outcome_id)) AS event_id, trial_id, 'OUTCOME_RECORDED' AS event_type, outcome_type,
- {r6('baseline_value')} AS baseline_value, {r6('followup_value')} AS followup_value, response_status FROM outcomes""",
+ {r6('baseline_value')} AS baseline_value, {r6('followup_value')} AS followup_value, {r6('change')} AS change,
+ response_status, '2024-05-06 07:08:09' AS timestamp FROM outcomes""",
 )
 def _(v):
     from cohortlake.schemas import OUTCOME_EVENT
 
-    sent = G.to_event_messages(v.outcomes)
+    sent = G.to_event_messages(v.outcomes, emitted_at=F.lit("2024-05-06 07:08:09").cast("timestamp"))
     return sent.select("topic", "key", F.from_json("value", OUTCOME_EVENT).alias("e")).select(
         "topic", "key", "e.event_id", "e.trial_id", "e.event_type", "e.payload.outcome_type",
-        "e.payload.baseline_value", "e.payload.followup_value", "e.payload.response_status",
+        "e.payload.baseline_value", "e.payload.followup_value", "e.payload.change", "e.payload.response_status",
+        "e.timestamp",
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import columns as C
-from cohortlake.operators.skew import id_buckets, sequence_numbers
+from cohortlake.operators.skew import sequence_numbers
 
 # First offset of a topic and the id formats.
 FIRST_OFFSET = 1001
@@ -20,19 +20,12 @@ def to_event_messages(
 ) -> DataFrame:
     """Outcome rows (unique by outcome_id) as keyed JSON messages, numbered by date.
 
-    Rows of one day are ordered by the digest of their id, so that even a day with
-    most of the rows is numbered by many tasks.
+    Rows of one day are ordered by the digest of their id.
     """
     keyed = outcomes.withColumns(
         {"_day": C.to_date("measurement_date"), "_digest": F.md5("outcome_id")}
     )
-    numbered = sequence_numbers(
-        keyed,
-        "_n",
-        order=["_day", "_digest", "outcome_id"],
-        bucket=["_day", F.substring("_digest", 1, 2)],
-        unique=True,
-    )
+    numbered = sequence_numbers(keyed, "_n", order=["_day", "_digest", "outcome_id"], unique=True)
     payload = F.struct(
         "outcome_type", "baseline_value", "followup_value", "change", "response_status"
     )
@@ -63,9 +56,7 @@ def assign_offsets(
     With ``existing`` messages the numbering goes on after their largest offset.
     ``order`` is a unique whole number.
     """
-    numbered = sequence_numbers(
-        events, "offset", [order], [id_buckets(events, order)], groups, start=0, unique=True
-    )
+    numbered = sequence_numbers(events, "offset", [order], groups, start=0, unique=True)
     if existing is None:
         return numbered.withColumn("offset", F.col("offset") + FIRST_OFFSET)
     latest = existing.groupBy(*groups).agg((F.max("offset") + 1).alias("_next"))
@@ -105,7 +96,7 @@ def numbered_entries(
 ) -> DataFrame:
     """New entries with the next free ids.  ``order`` is a unique whole number."""
     last = log.agg(F.coalesce(F.max(log_number("log_id")), F.lit(0))).scalar()
-    numbered = sequence_numbers(new_rows, "_n", [order], [id_buckets(new_rows, order)], unique=True)
+    numbered = sequence_numbers(new_rows, "_n", [order], unique=True)
     return numbered.withColumns(
         {
             "log_id": F.format_string(LOG_ID, F.col("_n") + last),

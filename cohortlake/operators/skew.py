@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import col
+from cohortlake.session import settled
 
 # Copies of one row that one task writes out at a time.
 COPIES_PER_PIECE = 10_000
-PIECES_PER_BUCKET = 64
+# Rows of a range that is numbered by one task, about, and at the very most.
+ROWS_PER_RANGE, MOST_ROWS = 65_536, 4_000_000
 # Buckets of a round of exact_quantile, and its rounds.
 SPLIT = 1_000
 ROUNDS = 2
@@ -123,94 +126,73 @@ def _null_safe_join(
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _in_ranges(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``df`` in ranges of the keys of about ``rows`` rows, whose ends Spark takes from a
+    sample of the keys: ``_range`` and ``_place``, the row's place in it (from 0).
+
+    Written to the shared folder, so that a lost executor does not change places.
+    """
+    n = df.count()
+    most = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / MOST_ROWS))
+    ranges = max(1, min(math.ceil(n / rows), most))
+    ordered = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    # The upper bits are the range, the lower 33 count its rows.
+    kept = settled(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    return kept.withColumns(
+        {"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}
+    ).drop("_at")
+
+
 def sequence_numbers(
     df: DataFrame,
     name: str,
     order: Sequence[Column | str],
-    bucket: Sequence[Column | str],
     groups: Sequence[str] = (),
     start: int = 1,
     piece: int = COPIES_PER_PIECE,
     unique: bool = False,
+    rows: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Gap-free numbers in ``order``, per group, without sorting a group in one task.
 
-    ``bucket`` must be a prefix of the order at a coarser grain (a day, a range of
-    ids, the first digits of a digest): rows are numbered inside a bucket, and each
-    bucket starts where the counts of the earlier ones end.
+    Rows move once, to ranges of the order that are about equally long, whatever the values
+    (see ``_in_ranges``); a range's numbers begin where the counts of the earlier ones end.
 
-    With ``unique`` no two rows of a group are equal in ``order``: only order and bucket
-    columns are counted, and whole rows move once.  Else equal rows are counted first and
-    written out again at the end, in pieces of at
-    most ``piece`` copies.  Pieces beyond the first few of a row form buckets of their
-    own, after the other rows of its bucket, so that a row with very many copies is
-    spread as well.
+    With ``unique`` no two rows of a group are equal in ``order``.  Else equal rows are
+    counted first and written out again at the end, in pieces of at most ``piece`` copies
+    that may lie in several ranges, so that a row with very many copies is spread too.
     """
     groups = list(groups)
+    marks = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns(dict(zip(marks, [col(o) for o in order])))
+    keys = [*groups, *marks]
     if unique:
-        return _numbered_once(df, name, order, bucket, groups, start)
-    marks = [f"_b{i}" for i in range(len(bucket) + 1)]
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    pieces = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / piece).cast("int"))
-    left = F.col("_copies") - F.col("_piece").cast("long") * piece
-    buckets = [*[col(b) for b in bucket], F.floor(F.col("_piece") / PIECES_PER_BUCKET)]
-    keyed = (
-        copies.withColumn("_piece", F.explode(pieces))
-        .withColumn("_size", F.least(F.lit(piece).cast("long"), left))
-        .withColumns(dict(zip(marks, buckets)))
-    )
-    sizes = keyed.groupBy(*groups, *marks).agg(F.sum("_size").alias("_total"))
-    by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    earlier = by_group.orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *groups, *marks, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
-    )
-    in_bucket = (
-        Window.partitionBy(*groups, *marks)
-        .orderBy(*[col(o) for o in order], "_piece")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    first = F.col("_before") + F.coalesce(F.sum("_size").over(in_bucket), F.lit(0)) + start
-    return (
-        _null_safe_join(keyed, starts, [*groups, *marks])
-        .withColumn("_first", first)
-        .withColumn(name, F.explode(F.sequence("_first", F.col("_first") + F.col("_size") - 1)))
-        .drop("_copies", "_piece", "_size", "_before", "_first", *marks)
-    )
-
-
-def _numbered_once(
-    df: DataFrame,
-    name: str,
-    order: Sequence[Column | str],
-    bucket: Sequence[Column | str],
-    groups: list[str],
-    start: int,
-) -> DataFrame:
-    marks = [f"_b{i}" for i in range(len(bucket))]
-    keyed = df.withColumns(dict(zip(marks, [col(b) for b in bucket])))
-    sizes = keyed.groupBy(*groups, *marks).agg(F.count(F.lit(1)).alias("_total"))
-    by_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    earlier = by_group.orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *groups, *marks, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before")
-    )
-    place = F.row_number().over(Window.partitionBy(*groups, *marks).orderBy(*[col(o) for o in order]))
-    return (
-        _null_safe_join(keyed, starts, [*groups, *marks])
-        .withColumn(name, F.col("_before") + place + (start - 1))
-        .drop("_before", *marks)
-    )
-
-
-def id_buckets(df: DataFrame, column: str, rows: int = 65_536) -> Column:
-    """Ranges of a whole-number id as buckets in id order: as many as ``rows`` go into the
-    row count, evenly wide between the least and the greatest id, however sparse."""
-    seen = df.agg(F.struct(F.min(column).alias("a"), F.max(column).alias("b"), F.count(column).alias("n")))
-    s = seen.scalar()
-    buckets = F.ceil(s["n"] / F.lit(rows))
-    width = F.greatest(F.ceil((s["b"] - s["a"] + 1) / F.greatest(buckets, F.lit(1))), F.lit(1))
-    return F.floor((F.col(column) - s["a"]) / width)
+        sized = keyed.withColumn("_size", F.lit(1).cast("long"))
+    else:
+        copies = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_copies"))
+        pieces = F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / piece).cast("int"))
+        left = F.col("_copies") - F.col("_piece").cast("long") * piece
+        sized = copies.withColumn("_piece", F.explode(pieces)).withColumn(
+            "_size", F.least(F.lit(piece).cast("long"), left)
+        ).drop("_copies")
+        # Rows that differ in other columns only may stand in any order.
+        keys = [*keys, *[c for c in df.columns if c not in groups], "_piece"]
+    placed = _in_ranges(sized, keys, rows)
+    sizes = placed.groupBy("_range").agg(F.sum("_size").alias("_total"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    placed = placed.join(starts, "_range")
+    if not unique:
+        within = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("_place", F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    numbered = placed.withColumn("_first", F.col("_before") + F.col("_place"))
+    if groups:
+        heads = numbered.groupBy(*groups).agg(F.min("_first").alias("_head"))
+        numbered = _null_safe_join(numbered, heads, groups).withColumn("_first", F.col("_first") - F.col("_head"))
+    first = F.col("_first") + start
+    if not unique:
+        first = F.explode(F.sequence(first, first + F.col("_size") - 1))
+    return numbered.withColumn(name, first).select(*df.columns, name)
 
 
 def contains_join(

@@ -73,7 +73,6 @@ def _parts(df: DataFrame, columns: tuple[str, ...], name: str, max_items: int) -
         df.withColumns({"_day": day, "_digest": digest}),
         "_n",
         order=["_day", "_digest"],
-        bucket=["_day", F.substring("_digest", 1, 2)],
         groups=["external_id"],
         start=0,
     )

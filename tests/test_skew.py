@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlake.operators import skew
 
@@ -47,18 +48,36 @@ def test_exact_quantile_of_nothing(spark):
 def test_sparse_unique_ids(spark):
     ids = [i * 1_000_000 for i in range(20)] + [7]
     df = spark.createDataFrame([(i, f"x{i}") for i in ids], "id long, t string")
-    assert df.select(skew.id_buckets(df, "id").alias("b")).distinct().count() == 1
     for rows in (65_536, 4, 1):
-        numbered = skew.sequence_numbers(df, "n", ["id"], [skew.id_buckets(df, "id", rows)], unique=True)
-        assert [r.id for r in numbered.orderBy("n").collect()] == sorted(ids)
-        assert sorted(r.n for r in numbered.collect()) == list(range(1, 22))
+        numbered = skew.sequence_numbers(df, "n", ["id"], unique=True, rows=rows)
+        assert numbered.columns == ["id", "t", "n"]
+        assert [(r.n, r.id) for r in numbered.orderBy("n").collect()] == list(enumerate(sorted(ids), 1))
     grouped = df.withColumn("g", df.id % 3)
-    numbered = skew.sequence_numbers(grouped, "n", ["id"], [skew.id_buckets(df, "id", 5)], ["g"], unique=True)
+    numbered = skew.sequence_numbers(grouped, "n", ["id"], ["g"], unique=True, rows=5)
     for g in range(3):
         own = sorted(i for i in ids if i % 3 == g)
         assert {r.id: r.n for r in numbered.where(f"g = {g}").collect()} == {x: i + 1 for i, x in enumerate(own)}
 
 
+@pytest.mark.parametrize("kind", ["one far id", "powers", "one day"])
+def test_ranges_are_about_equally_long(spark, kind):
+    """Neither a far id nor ids of every scale nor a day with all rows crowd a range."""
+    far = F.when(F.col("id") == 0, F.lit(10**17)).otherwise(F.col("id"))
+    value = {"one far id": far, "powers": F.pow(F.lit(1.0005), F.col("id")), "one day": F.md5(F.col("id").cast("string"))}
+    df = spark.range(40_000).repartition(4).select(value[kind].alias("v"))
+    placed = skew._in_ranges(df, ["v"], 12_000)
+    sizes = [r["count"] for r in placed.groupBy("_range").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 10_000
+    order = [r.v for r in placed.orderBy("_range", "_place").collect()]
+    assert order == sorted(order)
+
+
+def test_nothing_to_number(spark):
+    df = spark.createDataFrame([], "g string, id long")
+    for unique in (True, False):
+        assert skew.sequence_numbers(df, "n", ["id"], ["g"], unique=unique).collect() == []
+
+
 @pytest.mark.parametrize("q", [0.0, 0.3, 0.5, 1.0])
 def test_exact_quantile_equals_percentile(spark, q):
     inf, nan = float("inf"), float("nan")
@@ -93,9 +112,7 @@ def test_sequence_numbers_follow_the_order(spark):
     rng = random.Random(1)
     rows = [("hot" if i % 3 else f"g{i % 5}", i) for i in rng.sample(range(100_000), 2000)]
     df = spark.createDataFrame(rows, "g string, id long").repartition(7)
-    numbered = skew.sequence_numbers(
-        df, "n", order=["id"], bucket=[(df.id / 1000).cast("long")], groups=["g"], start=1001
-    )
+    numbered = skew.sequence_numbers(df, "n", order=["id"], groups=["g"], start=1001, rows=500)
     got = {(r.g, r.id): r.n for r in numbered.collect()}
     for group in {g for g, _ in rows}:
         ids = sorted(i for g, i in rows if g == group)
@@ -104,23 +121,28 @@ def test_sequence_numbers_follow_the_order(spark):
 
 def test_sequence_numbers_without_groups(spark):
     df = spark.range(500).repartition(5)
-    numbered = skew.sequence_numbers(df, "n", order=["id"], bucket=[(df.id / 64).cast("long")])
+    numbered = skew.sequence_numbers(df, "n", order=[F.col("id") * 2], rows=100)
     assert all(r.n == r.id + 1 for r in numbered.collect())
 
 
 def test_copies_get_numbers_of_their_own(spark):
     rows = [("g", 1)] * 700 + [("g", 2)] * 3 + [("g", 5)] + [("h", 1)] * 2
     df = spark.createDataFrame(rows, "g string, id long").repartition(3)
-    numbered = skew.sequence_numbers(
-        df, "n", order=["id"], bucket=[(df.id / 4).cast("long")], groups=["g"], piece=10
-    ).collect()
-    own = sorted((r.n, r.id) for r in numbered if r.g == "g")
-    assert [n for n, _ in own] == list(range(1, 705))
-    assert sorted(i for _, i in own) == sorted(i for g, i in rows if g == "g")
-    # The first pieces come in order; later ones follow the rest of their bucket.
-    assert [i for _, i in own[:640]] == [1] * 640 and [i for _, i in own[640:643]] == [2] * 3
-    assert own[-1] == (704, 5) and {i for _, i in own[643:703]} == {1}
-    assert sorted(r.n for r in numbered if r.g == "h") == [1, 2]
+    placed = []
+    in_ranges = skew._in_ranges
+
+    def watched(*args):
+        placed.append(in_ranges(*args))
+        return placed[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(skew, "_in_ranges", watched)
+        numbered = skew.sequence_numbers(df, "n", order=["id"], groups=["g"], piece=10, rows=20).collect()
+    assert sorted((r.g, r.n, r.id) for r in numbered) == [
+        *[("g", n, i) for n, i in enumerate(sorted(i for g, i in rows if g == "g"), 1)], ("h", 1, 1), ("h", 2, 1)
+    ]
+    # The 700 copies lie in several ranges.
+    assert placed[0].where("id = 1").select("_range").distinct().count() > 1
 
 
 def test_contains_join_equals_brute_force(spark):
