@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.llm.common import in_chunks, mix64, remove, stored, stored_at, text_or_empty, utf8, work_path
+from cohortlake.llm.common import in_chunks, mix64, release, remove, stored, stored_at, text_or_empty, utf8, work_path
 from cohortlake.llm.decontaminate import when_small
 from cohortlake.llm.suffix_dedup import bloom_filter, in_filter
 
-LEAST, LONGEST, SHARDS = 100, 5, 4
+LEAST, LONGEST, SHARDS = 100, 5, 3
 NO_LANG = "und"
 # Bytes of text worked on at a time.
 CHUNK_BYTES = 1 << 21
@@ -108,6 +108,65 @@ def _digests_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["v"])
 
 
+def _reached(filters: list[np.ndarray], digests: np.ndarray) -> np.ndarray:
+    """The scan in which a phrase reached the threshold; one after the last for not yet."""
+    out = np.full(len(digests), len(filters) + 1, np.int64)
+    for scan in range(len(filters), 0, -1):
+        out[in_filter(filters[scan - 1], digests)] = scan
+    return out
+
+
+class _Chunk:
+    """Texts as numbered words, and the phrases of one length, numbered by language.
+
+    ``code`` has the phrase at each place ``at`` that is left, ``first`` where each phrase
+    occurs first, ``since`` the scan in which the later of its subphrases reached the
+    threshold."""
+
+    def __init__(self, langs: list[bytes], data: np.ndarray, offsets: np.ndarray, filters: list[np.ndarray]):
+        self.words, self.piece, self.text_of = words_of(data, offsets)
+        self.filters, self.length = filters, 1
+        if not len(self.words):
+            return
+        self.lang_names, lang_of = np.unique(np.array(langs, object), return_inverse=True)
+        self.lang = lang_of[self.text_of]
+        word, seen = _numbered(self.words)
+        self.lang_hash = _hashes(self.lang_names.tolist())
+        self.word_hash = _hashes(self.words.take(pa.array(seen)).to_pylist())[word]
+        self.spaced, self.begins = spaced(self.words)
+        self.code, self.first = _numbered(pa.array(word * len(self.lang_names) + self.lang))
+        self.at, self.since = np.arange(len(word)), np.zeros(len(self.first), np.int64)
+
+    def reached(self) -> np.ndarray:
+        """The scan in which each phrase reached the threshold."""
+        place = self.at[self.first]
+        words = self.word_hash[place[:, None] + np.arange(self.length)]
+        return _reached(self.filters, _digests(self.lang_hash[self.lang[place]], words))
+
+    def lengthen(self) -> bool:
+        """Go on to the phrases that are a word longer and whose subphrases have both
+        reached the threshold; false if there is none.  They are numbered by those of both."""
+        when, at = self.reached(), self.at
+        good = when[self.code] <= len(self.filters)
+        follows = good[:-1] & good[1:] & (at[1:] == at[:-1] + 1) & (self.piece[at[1:]] == self.piece[at[:-1]])
+        follows = np.flatnonzero(follows)
+        left, right, self.at = self.code[follows], self.code[follows + 1], at[follows]
+        self.code, self.first = _numbered(pa.array(left * len(when) + right))
+        self.since = np.maximum(when[left[self.first]], when[right[self.first]])
+        self.length += 1
+        return len(follows) > 0
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Iterator[_Chunk]:
+    for batch in batches:
+        langs = [x.encode("utf-8", "surrogatepass") for x in batch.column(0).to_pylist()]
+        data, offsets = utf8(batch.column(1))
+        for a, b in in_chunks(np.diff(offsets).tolist(), CHUNK_BYTES):
+            chunk = _Chunk(langs[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], filters)
+            if len(chunk.words):
+                yield chunk
+
+
 def _scan(filters, now: int, shards: int, longest: int):
     """Counts of the phrases that are counted in scan ``now`` (from 1), by language.
 
@@ -116,63 +175,59 @@ def _scan(filters, now: int, shards: int, longest: int):
     its subphrases reached it, for one cycle.  Rows of an empty phrase count all words.
     """
 
-    def reached(digests: np.ndarray) -> np.ndarray:
-        """The scan in which a phrase reached the threshold (``now`` for not yet)."""
-        out = np.full(len(digests), now, np.int64)
-        for scan in range(len(filters.value), 0, -1):
-            out[in_filter(filters.value[scan - 1], digests)] = scan
-        return out
-
-    def counts(langs: list[bytes], data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array, int, np.ndarray]]:
-        words, piece, of = words_of(data, offsets)
-        if not len(words):
-            return
-        lang_names, lang_of = np.unique(np.array(langs, object), return_inverse=True)
-        lang = lang_of[of]
-        word, seen = _numbered(words)
-        lang_hash = _hashes(lang_names.tolist())
-        word_hash = _hashes(words.take(pa.array(seen)).to_pylist())[word]
-        text, begins = spaced(words)
-        # Phrases of one length are numbered; those of the next by the numbers of both subphrases.
-        code, first = _numbered(pa.array(word * len(lang_names) + lang))
-        at, since = np.arange(len(code)), np.zeros(len(first), np.int64)
+    def counts(chunk: _Chunk) -> Iterator[tuple[np.ndarray, pa.Array, int, np.ndarray]]:
         if now <= shards:
-            total = np.bincount(lang, minlength=len(lang_names))
-            yield lang_names, pa.array([b""] * len(total), pa.large_binary()), 0, total
-        for length in range(1, longest + 1):
-            active = np.flatnonzero((since < now) & (now <= since + shards))
+            total = np.bincount(chunk.lang, minlength=len(chunk.lang_names))
+            yield chunk.lang_names, pa.array([b""] * len(total), pa.large_binary()), 0, total
+        while True:
+            active = np.flatnonzero((chunk.since < now) & (now <= chunk.since + shards))
             if len(active):
-                place = at[first[active]]
-                yield lang_names[lang[place]], _phrases(text, begins, place, length), length, np.bincount(code)[active]
-            if length == longest or now == 1:
-                return
-            place = at[first]
-            when = reached(_digests(lang_hash[lang[place]], word_hash[place[:, None] + np.arange(length)]))
-            # Places where the phrase goes on with one that has reached the threshold too.
-            good = when[code] < now
-            follows = good[:-1] & good[1:] & (at[1:] == at[:-1] + 1) & (piece[at[1:]] == piece[at[:-1]])
-            follows = np.flatnonzero(follows)
-            if not len(follows):
+                place = chunk.at[chunk.first[active]]
+                phrases = _phrases(chunk.spaced, chunk.begins, place, chunk.length)
+                yield chunk.lang_names[chunk.lang[place]], phrases, chunk.length, np.bincount(chunk.code)[active]
+            if chunk.length == longest or now == 1 or not chunk.lengthen():
                 return
-            left, right, at = code[follows], code[follows + 1], at[follows]
-            code, first = _numbered(pa.array(left * len(when) + right))
-            since = np.maximum(when[left[first]], when[right[first]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "phrase", "length", "n"]
-        for batch in batches:
-            langs = [x.encode("utf-8", "surrogatepass") for x in batch.column(0).to_pylist()]
-            data, offsets = utf8(batch.column(1))
-            for a, b in in_chunks(np.diff(offsets).tolist(), CHUNK_BYTES):
-                begin, end = offsets[a], offsets[b]
-                for own, phrases, length, n in counts(langs[a:b], data[begin:end], offsets[a : b + 1] - begin):
-                    columns = [
-                        pa.array(own, pa.binary()).cast(pa.string()),
-                        phrases.cast(pa.large_string()).cast(pa.string()),
-                        pa.array(np.full(len(n), length, np.int32)),
-                        pa.array(n.astype(np.int64)),
-                    ]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+        for chunk in _chunks(batches, filters.value):
+            for own, phrases, length, n in counts(chunk):
+                columns = [
+                    pa.array(own, pa.binary()).cast(pa.string()),
+                    phrases.cast(pa.large_string()).cast(pa.string()),
+                    pa.array(np.full(len(n), length, np.int32)),
+                    pa.array(n.astype(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _trim(filters, shards: int):
+    """Texts without what no later scan counts, after the words have had their cycle.
+
+    Two neighbours stay together if the pair of them is still being counted or has reached
+    the threshold; no longer phrase over another pair can.  Elsewhere the text is cut, and
+    words without a neighbour go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, filters.value):
+            live = np.zeros(len(chunk.words), bool)
+            if chunk.lengthen():
+                pairs = (chunk.since + shards > len(filters.value)) | (chunk.reached() <= len(filters.value))
+                live[chunk.at] = pairs[chunk.code]
+            text = chunk.spaced
+            text[chunk.begins[1:][~live] - 1] = 0x0A
+            kept = np.flatnonzero(live | np.r_[False, live[:-1]])
+            sizes = chunk.begins[kept + 1] - chunk.begins[kept]
+            past = np.cumsum(sizes)
+            data = text[np.repeat(chunk.begins[kept] - (past - sizes), sizes) + np.arange(sizes.sum())]
+            heads = np.flatnonzero(np.r_[True, np.diff(chunk.text_of[kept]) != 0][: len(kept)])
+            ends = np.r_[0, past][np.r_[heads, len(kept)]].astype(np.int64)
+            texts = pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            langs = pa.array(chunk.lang_names[chunk.lang[kept[heads]]], pa.binary())
+            columns = [langs.cast(pa.string()), texts.cast(pa.large_string()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "text"])
 
     return run
 
@@ -207,7 +262,7 @@ def frequent_phrases(
     kind = "lang string, phrase string, length int, n bigint"
     filters: list[np.ndarray] = []
     finished: list[DataFrame] = []
-    counting, of_scan = None, None
+    counting, of_scan, used = None, None, [used]
     last_reached, now = 0, 0
     counted = (F.col("n") >= least) | (F.col("length") == 0) & (F.col("n") > 0)
     while now < shards or now < last_reached + shards:
@@ -226,21 +281,31 @@ def frequent_phrases(
             "scan",
         )
         sent.destroy()
-        new = state.filter((F.col("n") >= least) & (F.col("had") < least) & F.col("length").between(1, longest - 1))
+        # The few rows that have reached the threshold, once out of all.
+        hits, path_of_hits = stored_at(state.filter(counted), "hits")
+        used.append(path_of_hits)
+        new = hits.filter((F.col("had") < least) & F.col("length").between(1, longest - 1))
         filters.append(bloom_filter(new.select("lang", "phrase").mapInArrow(_digests_of, "v bigint")))
         if filters[-1].any():
             last_reached = now
         done = F.col("first") + shards - 1 <= now
-        finished.append(stored(state.filter(done & counted).select("lang", "phrase", "length", "n"), "finished"))
+        finished.append(hits.filter(done).select("lang", "phrase", "length", "n"))
         counting = state.filter(~done).withColumn("had", F.col("n"))
         if of_scan:
             remove(spark, of_scan)
         of_scan = path
+        if now == 2 * shards:
+            sent = spark.sparkContext.broadcast(filters)
+            small = [stored_at(p.mapInArrow(_trim(sent, shards), "lang string, text string"), "trimmed") for p in parts]
+            parts = [p for p, _ in small]
+            used += [path for _, path in small]
+            sent.destroy()
+        release(spark)
     found = counting.filter(counted).select("lang", "phrase", "length", "n")
     for part in finished:
         found = found.unionByName(part)
     found = stored(found, "phrases")
-    for path in (used, of_scan):
+    for path in [*used, of_scan]:
         remove(spark, path)
     return found
 

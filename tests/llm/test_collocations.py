@@ -155,3 +155,26 @@ def test_lengths_are_interleaved():
     out = co._scan(Sent([words_, pairs]), 3, 4, 5)(iter([batch]))
     lengths = {length for r in out for length in r.column(2).to_pylist()}
     assert lengths == {0, 1, 2, 3}
+
+
+def test_trimmed_texts_keep_what_later_scans_count():
+    """After the words' cycle a pair stays if it has reached the threshold or is being counted."""
+    from cohortlake.llm.suffix_dedup import _places
+
+    def filter_of(*phrases):
+        rows = pa.RecordBatch.from_arrays([pa.array(["en"] * len(phrases)), pa.array(phrases)], names=["a", "b"])
+        words_ = np.zeros(1 << 14, np.uint64)
+        if phrases:
+            known = np.array(next(co._digests_of(iter([rows]))).column(0).to_pylist(), np.int64).view(np.uint64)
+            for p in _places(known, len(words_) * 64):
+                np.bitwise_or.at(words_, p >> 6, np.uint64(1) << (p & 63).astype(np.uint64))
+        return words_
+
+    # Two shards, four scans: "late" has reached the threshold in the third.
+    filters = [filter_of("a", "b", "c"), filter_of("a b"), filter_of("late"), filter_of()]
+    texts = ["A b x a b late c a", "c a. b", "x", "", "b late. a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 5), pa.array(texts)], names=["lang", "text"])
+    out = next(co._trim(Sent(filters), 2)(iter([batch])))
+    assert out.column(1).to_pylist() == ["a b\na b late c\n", "b late\na b\n"]
+    # Trimmed again they stay as they are.
+    assert next(co._trim(Sent(filters), 2)(iter([out]))).column(1).to_pylist() == out.column(1).to_pylist()
