@@ -173,7 +173,7 @@ def _(v):
     once = X.without_duplicates(doubled, "30 days")
 
     def writer(path):
-        return lambda batch, batch_id: X._write(batch, path, batch_id)
+        return lambda batch, batch_id: X.write_batch(batch, path, batch_id)
 
     out = run(v, once, "dedup", writer)
     return v.spark.read.parquet(out).select("event_id", "patient_id")
@@ -188,7 +188,7 @@ def _(v):
     joined = X.stream_static_join(event_stream(v), v.patients)
 
     def writer(path):
-        return lambda batch, batch_id: X._write(batch, path, batch_id)
+        return lambda batch, batch_id: X.write_batch(batch, path, batch_id)
 
     out = run(v, joined, "join", writer)
     return v.spark.read.parquet(out).select("event_id", "patient_id", "age", "conditions")
@@ -208,7 +208,7 @@ LATEST = """newest AS (SELECT patient_id, max_by(value, (event_time, event_id))
 def _(v):
     out = run(
         v,
-        event_stream(v),
+        X.newest_readings(event_stream(v)),
         "rematch",
         lambda path: X.rematch_sink(path, v.patients, v.trials),
     )

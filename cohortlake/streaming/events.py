@@ -1,25 +1,29 @@
 """Structured Streaming over event topics.
 
-Every sink writes a batch to its own folder, ``batch_id=N``, and replaces that folder
-when the batch is run again, so a restart after a lost node leaves no doubles.
+Every sink writes a batch to a folder of its own and records it when it is whole (see
+``batches``), so a restart after a lost node leaves no doubles and no halves.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType
 
 from cohortlake.functions import columns as C
-from cohortlake.operators.logs import numbered_entries, stream_audit
+from cohortlake.operators.logs import LOG_ID, numbered_entries, stream_audit
 from cohortlake.operators.matching import match_patients
 from cohortlake.operators.outcomes import classify_events
 from cohortlake.operators.records import restrict_to
 from cohortlake.schemas import AUDIT_ENTRY
+from cohortlake.session import settled
+from cohortlake.streaming.batches import batch_record, finished_batches, read_batches, write_batch
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -109,28 +113,11 @@ def run_group(
     return writer.trigger(processingTime=interval).start()
 
 
-def _write(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
-def read_batches(
-    spark: SparkSession, path: str, schema, before: int | None = None
-) -> DataFrame:
-    """All batches written so far, or those before a batch; empty when there are none."""
-    try:
-        found = spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
-    if before is None or "batch_id" not in found.columns:
-        return found
-    return found.where(F.col("batch_id") < before)
-
-
 def stream_outcomes_sink(path: str) -> BatchWriter:
     """Classified events into the silver streaming table."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write(classify_event_stream(batch), path, batch_id)
+        write_batch(classify_event_stream(batch), path, batch_id)
 
     return write
 
@@ -138,37 +125,90 @@ def stream_outcomes_sink(path: str) -> BatchWriter:
 def audit_sink(path: str, order: str = "event_id") -> BatchWriter:
     """One audit entry per event, with ids that go on from the earlier batches.
 
-    Ids grow with the batches, so the batch before holds the largest one.  Its folder is
-    read by name; the whole log is only listed when that batch is missing or empty.
+    The record of a batch holds the last number given, so the next one reads no entries.
     """
 
+    def last_before(spark: SparkSession, batch_id: int) -> int:
+        record = batch_record(spark, path, batch_id - 1)
+        if record is None:  # a table that began at another number, or a batch that is missing
+            earlier = [b for b in finished_batches(spark, path) if b < batch_id]
+            record = batch_record(spark, path, earlier[-1]) if earlier else None
+        return record["last"] if record else 0
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        log = read_batches(spark, f"{path}/batch_id={batch_id - 1}", AUDIT_ENTRY)
-        if log.isEmpty():
-            log = read_batches(spark, path, AUDIT_ENTRY, before=batch_id)
-        entries = stream_audit(classify_event_stream(batch))
-        numbered = numbered_entries(log.select("log_id"), entries, order)
-        _write(numbered.select(*AUDIT_ENTRY.names), path, batch_id)
+        last = last_before(spark, batch_id)
+        log = spark.range(1).select(F.format_string(LOG_ID, F.lit(last)).alias("log_id"))
+        entries = settled(stream_audit(classify_event_stream(batch)))
+        numbered = numbered_entries(log, entries, order)
+        write_batch(numbered.select(*AUDIT_ENTRY.names), path, batch_id, last=last + entries.count())
 
     return write
 
 
 def latest_values_sink(path: str) -> BatchWriter:
-    """Newest readings of each batch; ``latest_values`` over the table merges them.
-
-    Streaming state would keep every patient for ever, files keep them at rest.
-    """
+    """Newest readings of each batch; ``latest_values`` over the table merges them."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _write(latest_values(batch), path, batch_id)
+        write_batch(latest_values(batch), path, batch_id)
 
     return write
 
 
+READINGS = "patient_id string, biomarker string, value double, event_time timestamp, event_id string"
+
+
 def compact_latest(spark: SparkSession, path: str, target: str) -> None:
     """Rewrite the batches of a latest-values table as one row per patient and biomarker."""
-    latest_values(spark.read.parquet(path)).write.mode("overwrite").parquet(target)
+    latest_values(read_batches(spark, path, READINGS)).write.mode("overwrite").parquet(target)
+
+
+def newest_readings(events: DataFrame) -> DataFrame:
+    """For every patient with a reading in a batch all the newest readings known of them:
+    ``patient_id, biomarker, value, event_time, event_id``.
+
+    What is known of a patient is keyed state of the stream, kept with its checkpoint: a
+    batch costs what its own patients ask for, however many batches there were.  Each task
+    first keeps the newest readings of its own rows, so a patient with very many events is
+    a few rows a task.  Readings without a value or a patient are none; older ones that
+    come late change nothing; equal times are ordered by event id.  Events without a time
+    come before all others, those without an id before those with one (as id 0 or empty).
+    """
+    columns = ["patient_id", "biomarker", "value", "event_time", "event_id"]
+    of_id = events.schema["event_id"].dataType
+    none = F.lit("" if isinstance(of_id, StringType) else 0).cast(of_id)
+    rows = with_event_time(events).where(F.col("value").isNotNull() & F.col("patient_id").isNotNull()).select(
+        "patient_id",
+        "biomarker",
+        F.col("value").cast("double").alias("value"),
+        F.coalesce(F.unix_micros("event_time"), F.lit(-(1 << 62))).alias("event_time"),
+        F.coalesce("event_id", none).alias("event_id"),
+    )
+    state = f"biomarker array<string>, value array<double>, event_time array<bigint>, event_id array<{of_id.simpleString()}>"
+
+    def newest(frames: Iterable[pd.DataFrame], keys: list[str]) -> pd.DataFrame:
+        both = pd.concat(list(frames), ignore_index=True)
+        both = both.sort_values(["event_time", "event_id"], kind="stable")
+        return both.drop_duplicates(keys, keep="last")
+
+    def of_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield newest([frame], ["patient_id", "biomarker"])
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        known = pd.DataFrame(columns=columns[1:])
+        if held.exists:
+            known = pd.DataFrame(dict(zip(columns[1:], map(list, held.get))))
+        for frame in frames:
+            seen = frame[columns[1:]]
+            known = newest([known, seen] if len(known) else [seen], ["biomarker"])
+        held.update(tuple(known[c].tolist() for c in columns[1:]))
+        yield known.assign(patient_id=key[0])[columns]
+
+    merged = rows.mapInPandas(of_task, rows.schema).groupBy("patient_id")
+    found = merged.applyInPandasWithState(update, rows.schema, state, "append", GroupStateTimeout.NoTimeout)
+    when = F.when(F.col("event_time") > -(1 << 62), F.timestamp_micros("event_time"))
+    return found.withColumn("event_time", when)
 
 
 def rematch_sink(
@@ -177,31 +217,19 @@ def rematch_sink(
     trials: DataFrame,
     min_score: float = 31.0,
     limit: int = 20,
-    readings: str | None = None,
-    known: DataFrame | None = None,
     labs: DataFrame | None = None,
 ) -> BatchWriter:
-    """Match the patients of a batch again with all their newest readings.
+    """Match the patients of every batch again, with their newest readings.
 
-    The newest readings of every batch are kept under ``readings`` (by default beside the
-    results) and laid over those of earlier batches, those of a compacted ``known`` table
-    (see ``compact_latest``), and the patients' own ``labs`` (patient_id, name, value), in
-    that order.  A repeated batch replaces its own readings and sees no later ones.
+    A batch holds all that is known of its patients, as ``newest_readings`` gives it, so no
+    earlier batch is read.  The patients' own ``labs`` (patient_id, name, value) stand in
+    for readings that have never come.
     """
-    kept = readings or f"{path.rstrip('/')}-readings"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = ["patient_id", "biomarker", "value", "event_time", "event_id"]
-        own = latest_values(batch.where(F.col("value").isNotNull())).select(*columns)
-        _write(own, kept, batch_id)
-        newest = read_batches(spark, f"{kept}/batch_id={batch_id}", own.schema)
+        newest = settled(latest_values(batch.where(F.col("value").isNotNull())))
         people = newest.select("patient_id").distinct()
-        earlier = read_batches(spark, kept, own.schema, before=batch_id).select(*columns)
-        seen = newest.unionByName(earlier)
-        if known is not None:
-            seen = seen.unionByName(known.select(*columns))
-        held = latest_values(seen.join(people, "patient_id", "left_semi")).select(
+        held = newest.select(
             "patient_id", F.col("biomarker").alias("name"), "value", F.lit(0).alias("position")
         )
         if labs is not None:
@@ -212,6 +240,6 @@ def rematch_sink(
         found = match_patients(
             restrict_to(patients, people), trials, min_score, limit, observations=held
         )
-        _write(found, path, batch_id)
+        write_batch(found, path, batch_id)
 
     return write

@@ -3,12 +3,14 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.operators.logs import log_number
 from cohortlake.schemas import AUDIT_ENTRY, LAB_EVENT, OUTCOME_EVENT
 from cohortlake.session import configure, shared_dir, work_path
 from cohortlake.sources.events import read_events
+from cohortlake.streaming import batches
 from cohortlake.streaming import events as X
 
 START = dt.datetime(2024, 1, 1)
@@ -137,37 +139,114 @@ def test_static_join_and_rematch(spark, tmp_path):
     )
     joined = X.stream_static_join(stream(spark, source), patients)
     assert joined.isStreaming and {"age", "conditions"} <= set(joined.columns)
-    run(spark, source, "m", state, X.rematch_sink(out, patients, trials))
+    X.run_group(X.newest_readings(stream(spark, source)), "m", state, X.rematch_sink(out, patients, trials)).awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert [(r.patient_id, r.status, r.eligibility_score) for r in rows] == [("P1", "Eligible", 100.0)]
 
 
-def test_rematch_keeps_readings_of_earlier_batches(spark, tmp_path):
-    out = str(tmp_path / "out")
+def reading(i, patient, biomarker, value, minute):
+    return {
+        "event_id": str(i), "event_type": "lab.results", "patient_id": patient, "biomarker": biomarker, "value": value,
+        "unit": "", "event_time": (START + dt.timedelta(minutes=minute)).isoformat(),
+    }
+
+
+def world(spark):
     patients = spark.createDataFrame(
-        [("P1", 50, "F", "Type 2 Diabetes", "")],
+        [(p, 50, "F", "Type 2 Diabetes", "") for p in ("P1", "P2", "P3")],
         "patient_id string, age int, gender string, conditions string, medications string",
     )
     trials = spark.createDataFrame(
         [("T1", "One", "Phase 3", "Type 2 Diabetes", 18, 75, "ALL")],
         "trial_id string, title string, phase string, condition string, min_age int, max_age int, gender string",
     )
-    schema = "event_id long, patient_id string, biomarker string, value double, event_time timestamp_ntz"
-    at = START
-    batches = [[(1, "P1", "HbA1c", 8.0, at)], [(2, "P1", "BMI", 25.0, at)], [(3, "P1", "BMI", 26.0, at)]]
-    write = X.rematch_sink(out, patients, trials)
+    return patients, trials
+
+
+def test_rematch_remembers_readings_and_reads_no_earlier_batch(spark, tmp_path):
+    """Batch by batch, with restarts; the folders and records of all but the last are gone."""
+    source, out, state = tmp_path / "in", tmp_path / "out", str(tmp_path / "state")
+    source.mkdir()
+    patients, trials = world(spark)
+    batches = [
+        [reading(1, "P1", "HbA1c", 8.0, 1)],
+        [reading(2, "P2", "HbA1c", 6.0, 2), reading(3, "P1", "BMI", 25.0, 3)],
+        [reading(4, "P1", "BMI", 26.0, 4), reading(5, "P2", "HbA1c", 9.0, 0)],
+        [reading(6, "P2", "HbA1c", 8.5, 9), reading(7, "P3", "BMI", 30.0, 9), reading(8, "P2", "HbA1c", 8.4, 8)],
+    ]
+    want = [
+        {"P1": "Eligible"}, {"P1": "Eligible", "P2": "Potentially Eligible"},
+        # The late reading of P2 is older than the one known.
+        {"P1": "Eligible", "P2": "Potentially Eligible"}, {"P2": "Eligible", "P3": "Potentially Eligible"},
+    ]
     for i, rows in enumerate(batches):
-        write(spark.createDataFrame(rows, schema), i)
-    write(spark.createDataFrame(batches[1], schema), 1)
-    rows = spark.read.parquet(out).collect()
-    assert [(r.status, r.eligibility_score) for r in rows] == [("Eligible", 100.0)] * 3
-    alone = X.rematch_sink(str(tmp_path / "alone"), patients, trials)
-    alone(spark.createDataFrame(batches[1], schema), 0)
-    assert spark.read.parquet(str(tmp_path / "alone")).first().status == "Potentially Eligible"
+        (source / f"{i}.json").write_text("\n".join(map(json.dumps, rows)))
+        events = X.newest_readings(stream(spark, source))
+        X.run_group(events, "m", state, X.rematch_sink(str(out), patients, trials)).awaitTermination()
+        found = X.read_batches(spark, str(out), None, only=i)
+        assert {r.patient_id: r.status for r in found.collect()} == want[i]
+        for old in out.glob(f"batch_id={i}/**/*.parquet"):
+            old.write_bytes(b"not to be read")
+        (out / "_commits" / f"{i}.json").write_text("{}")
+
+
+def test_newest_readings_of_a_batch(spark, tmp_path):
+    """A patient with very many events is a few rows a task; ties go by event id."""
+    source = tmp_path / "in"
+    source.mkdir()
+    rows = [reading(i, "hot", f"B{i % 3}", float(i), i % 50) for i in range(600)] + [reading(900, "P2", "B0", None, 5)]
+    rows += [dict(reading(901, "P3", "B0", 1.0, 5), event_time=None), reading(902, None, "B0", 1.0, 5)]
+    (source / "a.json").write_text("\n".join(map(json.dumps, rows)))
+    got = []
+    query = X.run_group(
+        X.newest_readings(stream(spark, source)), "n", str(tmp_path / "state"), lambda batch, _: got.extend(batch.collect())
+    )
+    query.awaitTermination()
+    want = {}
+    for r in rows[:600]:
+        key = (r["event_time"], int(r["event_id"]))
+        want[r["biomarker"]] = max(want.get(r["biomarker"], (key, 0.0)), (key, r["value"]))
+    assert {r.biomarker: r.value for r in got if r.patient_id == "hot"} == {b: v for b, (_, v) in want.items()}
+    assert [(r.patient_id, r.event_time, r.event_id) for r in got if r.patient_id != "hot"] == [("P3", None, 901)]
+
+
+def test_own_labs_stand_in_for_readings(spark, tmp_path):
+    patients, trials = world(spark)
+    schema = "event_id long, patient_id string, biomarker string, value double, event_time timestamp"
+    batch = spark.createDataFrame([(2, "P1", "BMI", 25.0, START)], schema)
     labs = spark.createDataFrame([("P1", "HbA1c", 8.0)], "patient_id string, name string, value double")
-    with_labs = X.rematch_sink(str(tmp_path / "labs"), patients, trials, labs=labs)
-    with_labs(spark.createDataFrame(batches[1], schema), 0)
-    assert spark.read.parquet(str(tmp_path / "labs")).first().status == "Eligible"
+    for given, status in ((None, "Potentially Eligible"), (labs, "Eligible")):
+        out = str(tmp_path / status)
+        X.rematch_sink(out, patients, trials, labs=given)(batch, 0)
+        assert X.read_batches(spark, out, None).first().status == status
+
+
+def test_half_written_batches_are_not_seen(spark, tmp_path):
+    out = str(tmp_path / "out")
+    one, two, three = (spark.createDataFrame([(i,)], "a int") for i in (1, 2, 3))
+    batches.write_batch(one, out, 0, last=5)
+
+    def fails(rows):
+        for row in rows:
+            if row.a == 2:
+                raise RuntimeError("lost")
+            yield row
+
+    broken = spark.createDataFrame(one.unionByName(two).rdd.mapPartitions(fails), "a int")
+    with pytest.raises(Exception):
+        batches.write_batch(broken, out, 1)
+    # A whole folder whose record was never written, and a repeat that fails midway.
+    two.write.parquet(f"{out}/batch_id=1/run=half")
+    with pytest.raises(Exception):
+        batches.write_batch(broken, out, 0)
+    assert [(r.a, r.batch_id) for r in X.read_batches(spark, out, "a int").collect()] == [(1, 0)]
+    assert batches.finished_batches(spark, out) == [0] and batches.batch_record(spark, out, 0)["last"] == 5
+    batches.write_batch(three, out, 1)
+    batches.write_batch(two, out, 0)
+    rows = X.read_batches(spark, out, "a int")
+    assert sorted((r.a, r.batch_id) for r in rows.collect()) == [(2, 0), (3, 1)] and rows.columns == ["a", "batch_id"]
+    assert [r.a for r in X.read_batches(spark, out, "a int", before=1).collect()] == [2]
+    assert X.read_batches(spark, str(tmp_path / "none"), "a int").columns == ["a", "batch_id"]
 
 
 def test_outcome_event_deltas(spark):
