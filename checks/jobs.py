@@ -272,6 +272,20 @@ def trained(spark, directory: str):
 METRICS = ("accuracy", "roc_auc", *(f"{m}_{y}" for y in (0, 1) for m in ("precision", "recall", "f1")))
 
 
+@reg.add(
+    "l03_stratified_split",
+    "patients trials outcomes medications",
+    f"""WITH {FEATURES_SQL}, t AS (SELECT label, count(*) AS n, cast(floor(count(*) * 0.8 + 0.5) AS BIGINT) AS trained FROM fe GROUP BY 1)
+ SELECT label, 'train' AS side, trained AS n FROM t UNION ALL SELECT label, 'held out', n - trained FROM t""",
+)
+def _(v):
+    train, held_out = P.stratified_split(P.response_features(fact(v)))
+    sides = train.select("label", F.lit("train").alias("side")).unionByName(
+        held_out.select("label", F.lit("held out").alias("side"))
+    )
+    return sides.groupBy("label", "side").agg(F.count(F.lit(1)).alias("n"))
+
+
 @reg.add(
     "l04_evaluate_classifier",
     "",

@@ -15,10 +15,6 @@ from cohortlake.session import settled
 COPIES_PER_PIECE = 10_000
 # Rows of a range that is numbered by one task, about, and at the very most.
 ROWS_PER_RANGE, MOST_ROWS = 65_536, 4_000_000
-# Buckets of a round of exact_quantile, and its rounds.
-SPLIT = 1_000
-ROUNDS = 2
-SALTS = 32
 
 
 def exact_quantile(
@@ -28,17 +24,16 @@ def exact_quantile(
     q: float,
     name: str,
     weight: str | None = None,
-    rounds: int = ROUNDS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Exact interpolated quantile of ``value`` per key, one row per key.
 
     ``percentile`` merges every distinct value of a group in one task.  Here equal values
-    are counted by (key, value).  Their counts fall into buckets, whose running total shows
-    which ones hold the wanted ranks; those are split anew between their own least and
-    greatest value, ``rounds`` times.  The values of the last buckets are ordered: one in
-    ``SPLIT`` to the power of ``rounds`` of a key's range.  Infinite values and NaN have
-    buckets of their own, in the order of ``percentile`` (NaN last).  ``weight`` counts a
-    row that many times; rows without a positive one count nothing.
+    are counted by (key, value), and the counts move once, to ranges of key and value that
+    are about equally long however the values are spread.  The counts of a key's ranges
+    show which ones hold the wanted ranks; only the values of those are added up one by one.
+    Infinite values and NaN are ordered as by ``percentile`` (NaN last).  ``weight`` counts
+    a row that many times; rows without a positive one count nothing.
     """
     keys = list(keys)
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -47,71 +42,35 @@ def exact_quantile(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(n.alias("_n"))
         .where(F.col("_n") > 0)
-        .withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
     )
-    finite = F.when(~F.isnan("_v") & (F.abs(F.col("_v")) != float("inf")), F.col("_v"))
-    totals = counts.groupBy(*keys).agg(
-        F.sum("_n").alias("_total"), F.min(finite).alias("_least"), F.max(finite).alias("_most")
+    placed = _in_ranges(counts, [*keys, "_v"], rows or ROWS_PER_RANGE)
+    sums = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
+    of_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = of_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns(
+        {
+            "_before": F.coalesce(F.sum("_sum").over(earlier), F.lit(0)),
+            "_position": (F.sum("_sum").over(of_key) - 1) * F.lit(q),
+        }
     )
-    position = (F.col("_total") - 1) * F.lit(q)
-    wanted = totals.select(
-        *keys,
-        F.explode(F.array_distinct(F.array(F.floor(position), F.ceil(position)))).alias("_rank"),
-        F.lit(0).cast("long").alias("_before"),
-        F.lit(float("-inf")).alias("_low"),
-        F.lit(float("nan")).alias("_high"),
-        "_least",
-        "_most",
-    )
-    for _ in range(rounds):
-        wanted = _narrowed(counts, wanted, keys)
-    # What is left of a key between the bounds is ordered.
-    inside = _in_bounds(counts, wanted, keys)
-    order = Window.partitionBy(*keys, "_rank").orderBy("_v")
-    placed = inside.withColumn("_last", F.col("_before") + F.sum("_n").over(order) - 1)
-    found = placed.where(F.col("_last") >= F.col("_rank")).groupBy(*keys, "_rank").agg(F.min("_v").alias("_v"))
-    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
-    ends = found.groupBy(*keys).agg(low.alias("_a"), high.alias("_b"))
-    part = position - F.floor(position)
-    between = F.when(F.col("_a").eqNullSafe(F.col("_b")) | (part == 0), F.col("_a")).otherwise(
-        (1 - part) * F.col("_a") + part * F.col("_b")
-    )
-    return _null_safe_join(totals, ends, keys).select(*keys, between.alias(name))
-
-
-def _in_bounds(counts: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Counts between a wanted rank's bounds.  The few wanted rows are copied for every salt,
-    so that the values of a hot key (or of no key) meet them in many tasks."""
-    copies = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = _null_safe_join(counts, copies, [*keys, "_salt"]).drop("_salt")
-    return joined.where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
-
-
-def _narrowed(counts: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For every wanted rank the bounds of the bucket that holds it, and the count before."""
-    inside = _in_bounds(counts, wanted, keys)
-    rank = [*keys, "_rank"]
-    # Halves, so that the width of a range of very large values stays finite.
-    width = F.col("_most") / 2 - F.col("_least") / 2
-    step = F.floor((F.col("_v") / 2 - F.col("_least") / 2) / width * SPLIT).cast("int")
-    bucket = (
-        F.when(F.isnan("_v"), SPLIT + 2)
-        .when(F.col("_v") == float("inf"), SPLIT + 1)
-        .when(F.col("_v") == float("-inf"), -1)
-        .when(width > 0, F.least(F.lit(SPLIT), step))
-        .otherwise(0)
-    )
-    sums = inside.withColumn("_bucket", bucket).groupBy(*rank, "_bucket").agg(
-        F.sum("_n").alias("_n"),
-        F.max("_before").alias("_start"),
-        F.min("_v").alias("_low"),
-        F.max("_v").alias("_high"),
+
+    def holds(rank: Column, before: str, size: str) -> Column:
+        return (F.col(before) <= rank) & (rank < F.col(before) + F.col(size))
+
+    low, high = F.floor("_position"), F.ceil("_position")
+    wanted = sums.where(holds(low, "_before", "_sum") | holds(high, "_before", "_sum")).drop("_sum")
+    inside = _null_safe_join(placed, wanted, [*keys, "_range"])
+    in_range = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(in_range), F.lit(0)))
+    ends = inside.groupBy(*keys).agg(
+        F.max(F.when(holds(low, "_start", "_n"), F.col("_v"))).alias("_a"),
+        F.max(F.when(holds(high, "_start", "_n"), F.col("_v"))).alias("_b"),
+        F.max(F.col("_position") - low).alias("_part"),
     )
-    earlier = Window.partitionBy(*rank).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.col("_start") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    holds = (F.col("_before") <= F.col("_rank")) & (F.col("_before") + F.col("_n") > F.col("_rank"))
-    ends = [F.col("_low").alias("_least"), F.col("_high").alias("_most")]
-    return sums.where(holds).select(*rank, "_before", "_low", "_high", *ends)
+    between = F.when(
+        F.col("_a").eqNullSafe(F.col("_b")) | (F.col("_part") == 0), F.col("_a")
+    ).otherwise((1 - F.col("_part")) * F.col("_a") + F.col("_part") * F.col("_b"))
+    return ends.select(*keys, between.alias(name))
 
 
 def _null_safe_join(
@@ -132,12 +91,16 @@ def _in_ranges(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
 
     Written to the shared folder, so that a lost executor does not change places.
     """
-    n = df.count()
-    most = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / MOST_ROWS))
-    ranges = max(1, min(math.ceil(n / rows), most))
-    ordered = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
-    # The upper bits are the range, the lower 33 count its rows.
-    kept = settled(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    df = df.persist()  # read three times: counted, sampled, moved
+    try:
+        n = df.count()
+        most = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / MOST_ROWS))
+        ranges = max(1, min(math.ceil(n / rows), most))
+        ordered = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+        # The upper bits are the range, the lower 33 count its rows.
+        kept = settled(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    finally:
+        df.unpersist()
     return kept.withColumns(
         {"_range": F.shiftright("_at", 33), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}
     ).drop("_at")

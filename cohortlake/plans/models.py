@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import columns as C
 from cohortlake.functions import values as V
+from cohortlake.operators.skew import sequence_numbers
 from cohortlake.session import shared_dir
 
 # Features and training parameters.
@@ -38,6 +39,7 @@ COHORT_FEATURES = (
     "responded",
 )
 TREES, DEPTH, STEP, SUBSAMPLE, COLUMN_SAMPLE, SEED = 100, 4, 0.08, 0.8, "0.8", 42
+TRAIN_SHARE = 0.8
 CLUSTERS, RESTARTS = 5, 10
 STRONG_FROM, MODERATE_FROM = 0.70, 0.45
 
@@ -95,10 +97,22 @@ def encode_categories(
     return features.select(*order)
 
 
-def split_by_hash(df: DataFrame, key: str = "outcome_id") -> tuple[DataFrame, DataFrame]:
-    """80/20 split that a rerun repeats exactly; each label is split in the same ratio."""
-    bucket = F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.lit(100))
-    return df.where(bucket < 80), df.where(bucket >= 80)
+def stratified_split(
+    df: DataFrame, label: str = "label", key: str = "outcome_id", share: float = TRAIN_SHARE
+) -> tuple[DataFrame, DataFrame]:
+    """A training and a held-out side that a rerun repeats exactly.
+
+    Of every label (null is one too) the rows with the least hashes of their key train:
+    ``share`` of them, rounded to a whole row.  The rows are ranked by ranges of the hash, so
+    a label with nearly all rows is ranked by many tasks.
+    """
+    drawn = F.xxhash64(F.lit(SEED), F.col(key))
+    ranked = sequence_numbers(df, "_rank", [drawn, key], [label], unique=True)
+    sizes = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * share + 0.5).alias("_trained"))
+    sizes = sizes.select(F.col(label).alias("_label"), "_trained")
+    held = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    trains = F.col("_rank") <= F.col("_trained")
+    return held.where(trains).select(*df.columns), held.where(~trains).select(*df.columns)
 
 
 # --- response model -----------------------------------------------------------------------
@@ -126,14 +140,14 @@ class ResponseModel:
 
 
 def train_response_model(features: DataFrame, trees: int = TREES) -> ResponseModel:
-    """Gradient-boosted trees on the training side of the hash split.
+    """Gradient-boosted trees on the training side of the stratified split.
 
     Boosting writes its residuals to the shared folder every ten trees, so a lost
     executor does not send it back to the first tree.
     """
     shared_dir(features.sparkSession)
     codes = category_codes(features)
-    train, _ = split_by_hash(features)
+    train, _ = stratified_split(features)
     untrained = ResponseModel(None, codes)
     data = untrained.vectors(train).select("features", "label")
     data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -153,7 +167,7 @@ def train_response_model(features: DataFrame, trees: int = TREES) -> ResponseMod
 
 def evaluate_classifier(trained: ResponseModel, features: DataFrame) -> DataFrame:
     """Accuracy, ROC-AUC and per-class scores on the held-out side, as (metric, value)."""
-    _, held_out = split_by_hash(features)
+    _, held_out = stratified_split(features)
     scored = trained.model.transform(trained.vectors(held_out)).select(
         "label", "prediction", "rawPrediction", "probability"
     )

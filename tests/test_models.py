@@ -60,11 +60,21 @@ def test_codes_are_sorted_and_unseen_is_zero(spark, features):
     assert P.encode_categories(odd, codes).first().phase == 0.0
 
 
-def test_split_is_repeatable_and_complete(features):
-    train, test = P.split_by_hash(features)
-    assert train.count() + test.count() == features.count()
-    assert {r.outcome_id for r in test.collect()} == {r.outcome_id for r in P.split_by_hash(features)[1].collect()}
-    assert 60 < test.count() < 180
+def test_split_is_repeatable_and_stratified(features):
+    train, test = P.stratified_split(features)
+    ids = [{r.outcome_id for r in side.collect()} for side in (train, test)]
+    assert ids[0].isdisjoint(ids[1]) and len(ids[0]) + len(ids[1]) == features.count()
+    assert {r.outcome_id for r in P.stratified_split(features.repartition(3))[1].collect()} == ids[1]
+    for label, n in features.groupBy("label").count().collect():
+        assert train.where(F.col("label") == label).count() == int(n * 0.8 + 0.5)
+
+
+def test_split_of_few_and_unlabelled_rows(spark):
+    rows = [(f"o{i}", None if i < 7 else 1.0) for i in range(8)]
+    train, test = P.stratified_split(spark.createDataFrame(rows, "outcome_id string, label double"))
+    assert sorted((r.label or 0.0) for r in train.collect()) == [0.0] * 6 + [1.0] and test.count() == 1
+    empty = spark.createDataFrame([], "outcome_id string, label double")
+    assert [side.count() for side in P.stratified_split(empty)] == [0, 0]
 
 
 def test_shapley_values_of_small_trees():

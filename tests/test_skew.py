@@ -102,6 +102,21 @@ def test_exact_quantile_equals_percentile(spark, q):
     assert skew.exact_quantile(df.where("false"), [], "v", q, "q").first().q is None
 
 
+@pytest.mark.parametrize("rows", [50, 400])
+def test_exact_quantile_by_ranges(spark, rows):
+    """Values of two far scales, in many ranges, some of which hold the ends of several keys."""
+    rng = random.Random(3)
+    data = [("hot" if i % 3 else f"k{i % 7}", rng.choice([rng.random(), 1e9 * rng.random(), 1e17, -1e300])) for i in range(4000)]
+    df = spark.createDataFrame(data, "k string, v double")
+    for q in (0.1, 0.5, 0.9):
+        got = {r.k: r.q for r in skew.exact_quantile(df, ["k"], "v", q, "q", rows=rows).collect()}
+        for key in got:
+            assert got[key] == pytest.approx(np.quantile([v for k, v in data if k == key], q), rel=1e-9), (key, q)
+    counts = df.groupBy("k", "v").count()
+    sizes = [r["count"] for r in skew._in_ranges(counts, ["k", "v"], 800).groupBy("_range").count().collect()]
+    assert len(sizes) > 2 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
 def test_null_key_is_a_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "k string, v double")
     got = {r.k: r.q for r in skew.exact_quantile(df, ["k"], "v", 0.5, "q").collect()}
