@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 # markup (up to its end tag), or a tag.  Quoted attribute values may hold a ">".
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|math|iframe|select|object|canvas|xmp)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|svg|annotation|annotation-xml|iframe|select|object|canvas|xmp)"
     r"(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)",
@@ -31,13 +31,19 @@ BLOCK = set(
 )
 ASIDE = set("nav header footer aside form menu dialog button head fieldset label".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-# Class, id or role words of blocks beside the article, whatever their element.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|cookies?|consent|"
-    r"complementary|contentinfo|dialog|disqus|footer|header|masthead|menu|menubar|modal|nav|navbar|navigation|"
-    r"newsletter|notice|notices|notification|popup|promo|promoted|related|replies|respond|search|share|sharing|"
-    r"sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])"
+# Names (class, id or role) of blocks beside the article: one of these words, alone or with
+# words for the place or form of a block.  Only containers are judged by name.
+BESIDE = set(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent "
+    "complementary contentinfo dialog disqus footer header masthead menu menubar modal nav navbar navigation newsletter "
+    "notice notices notification popup promo promoted related replies respond search share sharing sidebar social sponsor "
+    "sponsored subscribe toolbar widget widgets".split()
 )
+PLACES = set("area bar bottom box buttons container form group left links list main page right side site top wrap wrapper".split())
+CONTAINERS = set("aside details div dl fieldset figure footer form header menu nav ol section span table td ul".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+# Elements that hold lines of one kind: text that belongs together stands in the same one.
+BOXES = set("article blockquote body div main section td".split())
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 # Articles that are reader comments or pointers to other articles.
 LESSER = re.compile(r"(?:^|[\s_-])(?:ad|advert|comments?|promo|promoted|related|repl(?:y|ies)|sponsored|teaser)(?:$|[\s_-])")
@@ -48,14 +54,25 @@ SPACES = re.compile(r"\s+")
 SAME_ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
+def is_beside(words: str) -> bool:
+    """Whether one of the names says that a block stands beside the article."""
+    for name in words.split():
+        parts = set(re.split("[_-]+", name)) - {""}
+        if parts & BESIDE and parts <= BESIDE | PLACES:
+            return True
+    return False
+
+
 class Line(NamedTuple):
-    """A line of a page with its markup gone: text, how much of it is links, and whether
-    it stands in an article and in a main element."""
+    """A line of a page with its markup gone: text, how much of it is links, whether it
+    stands in an article and in a main element, which box holds it, whether it is a heading."""
 
     text: str
     linked: int
     article: bool
     main: bool
+    box: int
+    heading: bool
 
 
 class Lines:
@@ -74,6 +91,7 @@ class Lines:
         self.stack: list[tuple[str, bool]] = []
         self.names: Counter = Counter()
         self.open: Counter = Counter()
+        self.boxes, self.box = [0], 0
         last = 0
         for m in MARKUP.finditer(page):
             self.add(page[last : m.start()])
@@ -94,7 +112,8 @@ class Lines:
 
     def flush(self, gap: bool = False) -> None:
         text = SPACES.sub(" ", "".join(self.pieces)).strip()
-        where = self.open["article"] > 0, self.open["main"] > 0
+        heading = bool(self.stack) and self.stack[-1][0] in HEADINGS
+        where = self.open["article"] > 0, self.open["main"] > 0, self.boxes[-1], heading
         if text:
             self.lines.append(Line(text, self.linked, *where))
         if gap:
@@ -103,10 +122,13 @@ class Lines:
 
     def close(self, count: int) -> None:
         for _ in range(count):
-            tag, beside = self.stack.pop()
-            self.names[tag] -= 1
+            tag, beside = self.stack[-1]
             if tag in BLOCK or beside:
                 self.flush(gap=beside)
+            self.stack.pop()
+            self.names[tag] -= 1
+            if tag in BOXES:
+                self.boxes.pop()
             self.open[tag] -= not beside
             self.open["beside"] -= beside
 
@@ -142,14 +164,19 @@ class Lines:
         words = " ".join(x for found in NAMES.findall(rest) for x in found).lower() if rest else ""
         if tag in ("article", "main"):
             beside = bool(words and LESSER.search(words))
+        elif tag == "header" and self.open["article"]:
+            beside = bool(words) and is_beside(words)  # an article's own head has its title
         else:
-            beside = tag in ASIDE or tag not in ("html", "body") and bool(words and BESIDE.search(words))
+            beside = tag in ASIDE or tag in CONTAINERS and bool(words) and is_beside(words)
         if not (beside or tag in BLOCK or tag == "a"):
             return
         if beside:
             self.flush()
         self.stack.append((tag, beside))
         self.names[tag] += 1
+        if tag in BOXES:
+            self.box += 1
+            self.boxes.append(self.box)
         self.open[tag] += not beside
         self.open["beside"] += beside
 
@@ -174,26 +201,56 @@ def surges(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
     return found
 
 
+def line_weights(lines: list[Line], window: int = WINDOW) -> tuple[np.ndarray, list[bool] | None]:
+    """What every line weighs, and which lines stand in an article (or else main element)
+    that has text; None if the page has neither.
+
+    A line weighs its length.  In an article, links weigh nothing where ``window`` lines in
+    a row, no headings, are mostly links (a menu, not a sentence that is a link), and lines
+    outside weigh nothing; without an article no line that is mostly links weighs anything.
+    """
+    inside = [x.article for x in lines] if any(x.article and x.text for x in lines) else [x.main for x in lines]
+    named = any(i and x.text for i, x in zip(inside, lines))
+    links = np.array([x.linked > LINK_SHARE * len(x.text) and not x.heading for x in lines], bool)
+    weights = np.array([len(x.text) for x in lines], np.int64)
+    if named:
+        ends = np.flatnonzero(np.diff(np.r_[False, links, False]))
+        for a, b in zip(ends[::2], ends[1::2]):
+            if b - a < window:
+                links[a:b] = False
+        weights[~np.array(inside, bool)] = 0
+    some = np.where(links, 0, weights)
+    return (some if some.any() else weights * named), inside if named else None
+
+
 def main_text(page: str | None, window: int = WINDOW) -> str:
     """The main text of one page: lines between surge and dive, joined by line ends.
 
-    Where articles (or else main elements) have text, lines outside them weigh nothing, and
-    the text of all surges is kept.  Elsewhere lines that are mostly links weigh nothing,
-    and of the surges the one with the most text is kept, with every other at least a fifth
-    as long.  Lines without weight inside a kept range stay out of the text.
+    In an article (or else a main element) the text of all surges is kept.  Elsewhere the
+    boxes decide: those with at least a fifth of the text of the largest are the page's own,
+    and a surge reaches from its first line in one of them to its last.  So a short closing
+    paragraph behind a list of links stays, and a line of its own below the text goes.
+    Lines without weight stay where the kept text stands.
     """
     if not page:
         return ""
     lines = Lines(page).lines
-    inside = [x.article for x in lines] if any(x.article and x.text for x in lines) else [x.main for x in lines]
-    named = any(i and x.text for i, x in zip(inside, lines))
-    counts = inside if named else [x.linked <= LINK_SHARE * len(x.text) for x in lines]
-    weights = np.array([len(x.text) * c for x, c in zip(lines, counts)], np.int64)
-    ranges = surges(weights, window)
-    if not named and ranges:
-        sizes = [int(weights[a:b].sum()) for a, b in ranges]
-        ranges = [r for r, n in zip(ranges, sizes) if 5 * n >= max(sizes)]
-    return "\n".join(lines[i].text for a, b in ranges for i in range(a, b) if weights[i])
+    weights, inside = line_weights(lines, window)
+    kept = inside
+    if inside is None:
+        sizes: Counter = Counter()
+        for x, n in zip(lines, weights.tolist()):
+            sizes[x.box] += n
+        most = max(sizes.values(), default=0)
+        kept = [5 * sizes[x.box] >= most > 0 for x in lines]
+    out = []
+    for a, b in surges(weights, window):
+        own = [i for i in range(a, b) if kept[i] and weights[i]]
+        for i in range(own[0], own[-1] + 1) if own else ():
+            x = lines[i]
+            if x.text and (weights[i] or kept[i] and (inside is None or x.linked <= LINK_SHARE * len(x.text))):
+                out.append(x.text)
+    return "\n".join(out)
 
 
 def extract_text(

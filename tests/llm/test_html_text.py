@@ -26,6 +26,18 @@ CASES = {
         f'<body><ul><li><a href="/a">Link one</a></li><li><a href="/b">Link two</a></li></ul><div class="sidebar">Side</div>'
         f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='footer'>foot</div></body>", f"{LONG}\n{LONG}"),
     "main": (f"<div>outside</div><main><p>{LONG}</p></main>", LONG),
+    "closing paragraph": (
+        f'<body><div><p>{LONG}</p><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li><li><a href="/c">Three</a></li></ul>'
+        f"<p>Short end.</p></div><div>&copy; site</div></body>", f"{LONG}\nShort end."),
+    "names": (
+        f"<article><header><h1>Title</h1></header><h2 class='section-header'>Part</h2><section class='related-work'><p>{LONG}</p></section>"
+        f"<p class='notice-of-terms'>Terms.</p><div class='site-footer'>foot</div><div class='cookie-notice'>eat</div>"
+        f"<div id=share-buttons>share</div></article>", f"Title\nPart\n{LONG}\nTerms."),
+    "formula": ("<article><p>Then <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</article>", "Then x=1 holds."),
+    "linked heading": (f"<article><h1><a href='/'>Title</a></h1><p>{LONG}</p><p><a href='/s'>Source</a></p></article>", f"Title\n{LONG}\nSource"),
+    "menu in an article": (
+        f"<article><p>{LONG}</p><ul><li><a href=/1>a</a><li><a href=/2>b</a><li><a href=/3>c</a></ul><p>End.</p></article>", f"{LONG}\nEnd."),
+    "only links": ("<article><p><a href=/>one</a><p><a href=/>two</a><p><a href=/>three</a></article>", "one\ntwo\nthree"),
     "head": ("<head><title>t</title><meta charset=x><body><article>x</article>", "x"),
     "no markup": ("just  text", "just text"),
     "empty": ("", ""),
@@ -40,6 +52,19 @@ def test_pages(name):
     assert html_text.main_text(page) == want
 
 
+def test_the_window_matters():
+    """Two links in a row are text for a window of three lines and a menu for one of two."""
+    page = f"<article><p>{LONG}</p><p><a href=/1>one</a></p><p><a href=/2>two</a></p><p>End.</p></article>"
+    assert html_text.main_text(page, 3) == f"{LONG}\none\ntwo\nEnd."
+    assert html_text.main_text(page, 2) == f"{LONG}\nEnd."
+    # Without an article, a wide window joins what a narrow one keeps apart.
+    gap = "<ul><li><a href=/a>x</a></li><li><a href=/b>y</a></li></ul>"
+    page = f"<body><div><p>{LONG}</p></div>{gap}<div><p>Far.</p></div></body>"
+    assert html_text.main_text(page, 2) == LONG and html_text.main_text(page, 4) == LONG
+    page = f"<body><div><p>{LONG}</p>{gap}</div><div><p>{LONG[:30]}</p></div></body>"
+    assert html_text.main_text(page, 2) == f"{LONG}\n{LONG[:30]}" and "x\ny" in html_text.main_text(page, 4)
+
+
 def test_unclosed_elements_take_linear_time():
     many = 20_000
     page = "<article>" + "<b><font><a href=x>" * many + "<hr></i></section></nav>" * many + "<p>text</p></article>" + "</div>" * many
