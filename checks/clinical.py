@@ -745,6 +745,19 @@ def _(v):
     )
 
 
+@reg.add(
+    "n04_similar_patients_jaccard_of_every_20th",
+    "patients medications",
+    f"""WITH {FEATURES}, {JACCARD.replace("SELECT a.patient_id, a.age,", "SELECT q.patient_id AS query_id, a.patient_id, a.age,").replace(
+    "patient_id = 'P0000042'", "cast(substr(patient_id, 2) AS BIGINT) % 20 = 0")},
+ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), patient_id) AS rank FROM jd)
+ SELECT query_id, patient_id, cast(rank AS INT) AS rank, {r6('distance')} AS distance FROM rk WHERE rank <= 30""",
+)
+def _(v):
+    queries = v.patients.where(F.substring("patient_id", 2, 18).cast("bigint") % 20 == 0)
+    return S.similar_patients_jaccard_of(features(v), queries).select("query_id", "patient_id", "rank", "distance")
+
+
 @reg.add(
     "u04_condition_distance",
     "patients medications",

@@ -44,9 +44,14 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def to_long(c: Column | str) -> Column:
-    """Text to integer, null when the text is not a whole number."""
-    number = F.trim(col(c)).try_cast("double")
-    return F.when(number == F.floor(number), number.try_cast("long"))
+    """Text to integer, null when the text is not a whole number.
+
+    Digits are cast as they are; only other spellings (``1e3``, ``12.0``) are doubles first,
+    which are exact up to 2^53."""
+    text = F.trim(col(c))
+    number = text.try_cast("double")
+    spelled = F.when(number == F.floor(number), number.try_cast("long"))
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long")).otherwise(spelled)
 
 
 def to_double(c: Column | str) -> Column:
@@ -155,11 +160,11 @@ def has_adverse_event(c: Column | str = "adverse_events") -> Column:
 def cohort_label(conditions: Column | str, is_responder: Column) -> Column:
     diabetic = has_word(conditions, "diabetes")
     return (
-        F.when(diabetic & ~is_responder, "Treatment-Resistant Diabetic")
-        .when(diabetic, "Responsive Diabetic")
-        .when(has_word(conditions, "hypertension"), "Hypertension-Only")
-        .when(has_word(conditions, "obesity"), "Obesity-Only")
-        .otherwise("Mixed Comorbidities")
+        F.when(diabetic & ~is_responder, V.RESISTANT_LABEL)
+        .when(diabetic, V.RESPONSIVE_LABEL)
+        .when(has_word(conditions, "hypertension"), V.HYPERTENSION_LABEL)
+        .when(has_word(conditions, "obesity"), V.OBESITY_LABEL)
+        .otherwise(V.OTHER_LABEL)
     )
 
 

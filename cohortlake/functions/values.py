@@ -241,6 +241,38 @@ CLUSTER_NAMES = (
     "Standard Maintenance Cohort",
 )
 
+# --- Fixed values: cohorts of outcomes and of cases ---------------------------
+
+RESISTANT_LABEL = "Treatment-Resistant Diabetic"
+RESPONSIVE_LABEL = "Responsive Diabetic"
+HYPERTENSION_LABEL = "Hypertension-Only"
+OBESITY_LABEL = "Obesity-Only"
+OTHER_LABEL = "Mixed Comorbidities"
+
+RESISTANT_COHORT = "Treatment-Resistant Research Cohort"
+MODERATE_COHORT = "Moderate Responder Research Cohort"
+STRONG_COHORT = "Strong Responder Research Cohort"
+GENERAL_COHORT = "General Study Cohort"
+
+# --- Fixed values: texts of attribution factors -------------------------------
+
+ATTRIBUTION_CATEGORY = "ML Feature Attribution"
+ATTRIBUTION_NAME = "Negative Driver: "
+ATTRIBUTION_LEVEL = "High"
+ATTRIBUTION_TEXT = "Model attribution identified %s as an adverse predictor (%+.2f log-odds)."
+
+# --- Fixed values: texts of derived criteria, before and after the value ------
+
+MIN_AGE_NAME = "Minimum age "
+MIN_AGE_TEXT = ("Minimum age: ", " years")
+ADULT_NAME = "Age ≥ 18 (adult)"
+ADULT_TEXT = "Age ≥ 18 years (adult participation)"
+MAX_AGE_NAME = "Maximum age "
+MAX_AGE_TEXT = ("Maximum age: ", " years")
+DIAGNOSIS_TEXT = ("Diagnosis of ", " required for enrollment")
+GENDER_TEXT = "Participant gender: "
+HBA1C_TEXT = ("HbA1c ≥ ", "% at screening")
+
 # --- Fixed values: text patterns ---------------------------------------------
 
 NEGATION_TRIGGERS = (

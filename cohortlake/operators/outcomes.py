@@ -202,12 +202,12 @@ def attribution_factors(contributions: Column | str) -> Column:
     def one(e: Column) -> Column:
         label = F.initcap(F.replace(e["key"], F.lit("_"), F.lit(" ")))
         return F.struct(
-            F.lit("ML Feature Attribution").alias("category"),
-            F.concat(F.lit("Negative Driver: "), label).alias("name"),
+            F.lit(V.ATTRIBUTION_CATEGORY).alias("category"),
+            F.concat(F.lit(V.ATTRIBUTION_NAME), label).alias("name"),
             F.least(F.lit(0.92), F.round(F.abs(e["value"]), 2)).alias("strength"),
-            F.lit("High").alias("evidence_level"),
+            F.lit(V.ATTRIBUTION_LEVEL).alias("evidence_level"),
             F.format_string(
-                "Model attribution identified %s as an adverse predictor (%+.2f log-odds).",
+                V.ATTRIBUTION_TEXT,
                 label,
                 e["value"],
             ).alias("description"),
@@ -336,10 +336,10 @@ def cohort_resemblance(cases: DataFrame, k: int = 5) -> DataFrame:
     )
     first = F.try_element_at("_found", F.lit(1))["cohort_name"]
     primary = (
-        F.when(status.isin(V.MINIMAL, V.NO_RESPONSE), "Treatment-Resistant Research Cohort")
-        .when(status == V.MODERATE, "Moderate Responder Research Cohort")
-        .when(status == V.STRONG, "Strong Responder Research Cohort")
-        .otherwise(F.coalesce(first, F.lit("General Study Cohort")))
+        F.when(status.isin(V.MINIMAL, V.NO_RESPONSE), V.RESISTANT_COHORT)
+        .when(status == V.MODERATE, V.MODERATE_COHORT)
+        .when(status == V.STRONG, V.STRONG_COHORT)
+        .otherwise(F.coalesce(first, F.lit(V.GENERAL_COHORT)))
     )
     return (
         marked.withColumn("_found", found)

@@ -21,6 +21,8 @@ FEATURES = (
 
 # Points of a cell on the finest level, about.
 CELL_POINTS = 8
+# Tasks over which the sets of a common condition are dealt out.
+SALTS = 8
 
 
 def patient_features(
@@ -189,6 +191,18 @@ def cell_levels(points: DataFrame, columns: Sequence[str], bits: int) -> list[Da
     return out
 
 
+def _still_near(seen: DataFrame, k: int) -> DataFrame:
+    """The nodes (``query_id, _count, _near, _far``) that may hold one of a query's k nearest
+    points, with ``_bound``: the farthest places of the nearest nodes that together hold k."""
+    by_query = Window.partitionBy("query_id")
+    nearer = by_query.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)
+    enough = F.when(F.sum("_count").over(nearer) >= k, F.col("_far"))
+    bound = F.coalesce(F.min("_enough").over(by_query), F.lit(float("inf")))
+    held = seen.withColumn("_enough", enough).withColumn("_bound", bound).drop("_enough")
+    # Distances are rounded, and neighbours that agree to nine decimals are equal.
+    return held.where(F.col("_near") <= F.col("_bound") + 2e-9)
+
+
 def nearest_points(
     points: DataFrame, queries: DataFrame, key: str, columns: Sequence[str], k: int, bits: int | None = None,
     about: int = CELL_POINTS,
@@ -211,22 +225,13 @@ def nearest_points(
     kept = settled(feature_cells(kept, columns, bits))
     target = F.struct(*columns).alias("_t")
     left = queries.select("query_id", target, F.array(*[F.lit(0) for _ in columns]).alias("_parent"))
-    by_query = Window.partitionBy("query_id")
-    nearer = by_query.orderBy("_far", "_node").rowsBetween(Window.unboundedPreceding, 0)
     for nodes in cell_levels(kept, columns, bits):
-        # Square roots are rounded; neighbours that agree to nine decimals are kept too.
         seen = left.join(nodes, "_parent").select(
             "query_id", "_t", "_node", "_count",
             _box_distance(F.col("_t"), columns, False).alias("_near"),
             _box_distance(F.col("_t"), columns, True).alias("_far"),
         )
-        enough = F.when(F.sum("_count").over(nearer) >= k, F.col("_far"))
-        bound = F.coalesce(F.min("_enough").over(by_query), F.lit(float("inf")))
-        seen = seen.withColumn("_enough", enough).withColumn("_bound", bound)
-        left = seen.where(F.col("_near") <= F.col("_bound") + 2e-9).select(
-            "query_id", "_t", F.col("_node").alias("_parent")
-        )
-        left = settled(left)
+        left = settled(_still_near(seen, k).select("query_id", "_t", F.col("_node").alias("_parent")))
     pairs = left.join(kept.withColumnRenamed("_cell", "_parent"), "_parent").drop("_parent")
     total = F.lit(0.0)
     for c in columns:
@@ -286,6 +291,103 @@ def similar_patients_jaccard(
     )
 
 
+def _profile_distance(conditions: Column, age: Column, gender: Column) -> Column:
+    """From the distance of two condition sets, years between the ages, and equal gender."""
+    apart = F.when(F.coalesce(gender, F.lit(False)), 0.0).otherwise(0.2)
+    return 0.50 * conditions + 0.35 * F.least(age / 50.0, F.lit(1.0)) + 0.15 * apart
+
+
+def _sharing_sets(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of condition sets (``_asked, _set``) that are equal or have a condition in
+    common, from lists of the sets by condition.  A common condition's sets are dealt out
+    over several tasks."""
+    blank = F.array(F.lit(""))
+
+    def terms(c: str) -> Column:
+        return F.explode(F.when(F.size(c) == 0, blank).otherwise(F.col(c)))
+
+    dealt = sets.select("_set", terms("_set").alias("_term")).withColumn(
+        "_salt", F.pmod(F.xxhash64("_set"), F.lit(SALTS)).cast("int")
+    )
+    copies = asked.select("_asked", terms("_asked").alias("_term")).withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    return copies.join(dealt, ["_term", "_salt"]).select("_asked", "_set").distinct()
+
+
+def similar_patients_jaccard_of(features: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Nearest patients by conditions, age and gender of every patient of a set (a frame of
+    patient_id), themselves included: ``query_id, rank, distance, similarity_score`` and the
+    neighbour's columns.
+
+    A set-similarity join.  Query patients meet the condition sets that share a condition
+    with theirs; how old the patients of a set are bounds how near they can be, and sets that
+    cannot hold one of the nearest go.  What is left is taken apart by gender and ten years
+    of age, and only then patients meet.  Sets without a common condition are at least 0.5
+    away: only queries that have not enough nearer patients look at them.  Of patients alike
+    in conditions, age and gender, as many as are asked for take part, by id.
+    """
+    wanted = neighbour_count(k)
+    people = features.select(
+        "patient_id", "age", "gender", "condition_list", F.array_sort(F.array_distinct("condition_list")).alias("_set")
+    )
+    alike = Window.partitionBy("_set", "age", "gender").orderBy("patient_id")
+    asked = restrict_to(people, queries.select("patient_id")).select(
+        F.col("patient_id").alias("query_id"), F.struct("age", "gender").alias("_t"), F.col("_set").alias("_asked")
+    )
+    asked = settled(asked)
+    kept = people.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= wanted).drop("_n")
+    kept = settled(kept.withColumn("_band", F.floor(F.col("age") / 10)))
+    ends = [F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_count").alias("_count")]
+    first = kept.withColumns({"_lo": F.col("age"), "_hi": F.col("age"), "_count": F.lit(1).cast("bigint")})
+    nodes = settled(first.groupBy("_set", "gender", "_band").agg(*ends))
+    sets = settled(nodes.groupBy("_set").agg(*ends))
+
+    def placed(pairs: DataFrame, gender_known: bool) -> DataFrame:
+        """Pairs of a query and a node with the least and greatest distance of its patients."""
+        t = F.col("_t")
+        nearest = F.greatest(F.col("_lo") - t["age"], t["age"] - F.col("_hi"), F.lit(0.0))
+        farthest = F.greatest(F.abs(t["age"] - F.col("_lo")), F.abs(t["age"] - F.col("_hi")))
+        same = t["gender"] == F.col("gender") if gender_known else F.lit(True)
+        other = t["gender"] == F.col("gender") if gender_known else F.lit(False)
+        return pairs.withColumns(
+            {
+                "_near": _profile_distance(F.col("_apart"), nearest, same),
+                "_far": _profile_distance(F.col("_apart"), farthest, other),
+            }
+        )
+
+    apart = condition_distance(F.col("_asked"), F.col("_set")).alias("_apart")
+    pairs = _sharing_sets(asked.select("_asked").distinct(), sets).select("_asked", "_set", apart)
+    near_sets = placed(asked.join(pairs, "_asked").join(sets, "_set"), False)
+    left = settled(_still_near(near_sets, wanted).select("query_id", "_t", "_asked", "_set", "_apart", "_bound"))
+    # Who is as near as patients without a common condition may be looks at all sets.
+    enough = left.where(F.col("_bound") < 0.5 - 2e-9).select("query_id").distinct()
+    short = settled(asked.join(enough, "query_id", "left_anti"))
+    if not short.isEmpty():
+        salt = F.pmod(F.xxhash64("_set"), F.lit(SALTS)).cast("int")
+        copies = short.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        every = copies.join(sets.withColumn("_salt", salt), "_salt").drop("_salt").withColumn("_apart", apart)
+        every = _still_near(placed(every, False), wanted).select(*left.columns)
+        left = settled(left.join(enough, "query_id", "left_semi").unionByName(every))
+    near_nodes = placed(left.drop("_bound").join(nodes, "_set"), True)
+    left = settled(
+        _still_near(near_nodes, wanted).select(
+            "query_id", "_t", "_apart", "_set", F.coalesce("gender", F.lit("")).alias("_gender"), "_band"
+        )
+    )
+    members = kept.withColumn("_gender", F.coalesce("gender", F.lit("")))
+    found = left.join(members, ["_set", "_gender", "_band"])
+    years = F.abs(F.col("_t.age") - F.col("age"))
+    found = found.withColumn(
+        "distance", _profile_distance(F.col("_apart"), years, F.col("gender") == F.col("_t.gender"))
+    )
+    return knn_top_k(found, "query_id", wanted).select(
+        "query_id", "patient_id", "age", "gender", "condition_list", "distance", "rank",
+        C.rounded(F.greatest(F.lit(0.0), 1.0 - F.col("distance")), 3).alias("similarity_score"),
+    )
+
+
 def cohort_treatment_outcomes(
     cohort: DataFrame,
     outcomes: DataFrame,

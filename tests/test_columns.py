@@ -73,6 +73,8 @@ def test_casts_give_null_instead_of_errors(one):
         g=C.to_bool(F.lit("0")), h=C.to_bool(F.lit("yes")), i=C.to_date(F.lit("2024-13-01")),
     )
     assert list(got.values()) == [12, None, None, 1.5, None, True, False, None, None]
+    whole = {"9007199254740993": 2**53 + 1, "-9223372036854775808": -(2**63), "9223372036854775808": None, "+7": 7, "12.0": 12, "1e3": 1000}
+    assert list(one(**{f"c{i}": C.to_long(F.lit(t)) for i, t in enumerate(whole)}).values()) == list(whole.values())
 
 
 @pytest.mark.parametrize(

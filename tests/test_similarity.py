@@ -156,6 +156,34 @@ def test_jaccard(world):
     assert len(rows) == 30 and rows[0].distance == 0.0 and rows[0].similarity_score == 1.0
 
 
+@pytest.mark.parametrize("k", [3, 15])
+def test_jaccard_of_many(spark, k):
+    """Against all pairs: rare and common conditions, none at all, equal patients, null genders."""
+    rng = np.random.default_rng(k)
+    names = ["diabetes", "asthma", "gout", "copd", "obesity", "migraine", "lupus"]
+    rows = []
+    for i in range(400):
+        own = [n for j, n in enumerate(names) if rng.random() < 0.5 / (j + 1)]
+        rows.append((f"P{i:03d}", float(rng.integers(18, 90)), ["Male", "Female", None][int(rng.integers(0, 3))], own + own[:1]))
+    rows += [(f"Q{i:03d}", 50.0, "Male", ["gout", "copd"]) for i in range(80)] + [("R1", 33.0, "Female", ["sarcoidosis"]), ("R2", 90.0, None, [])]
+    features = spark.createDataFrame(rows, "patient_id string, age double, gender string, condition_list array<string>")
+    targets = [r for r in rows if r[0] in ("Q007", "R1", "R2") or r[0][0] == "P" and int(r[0][1:]) % 20 == 0]
+    queries = spark.createDataFrame([(t[0],) for t in targets] + [(targets[0][0],), ("nobody",)], "patient_id string")
+    got = {}
+    for r in S.similar_patients_jaccard_of(features, queries, k).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.patient_id, round(r.distance, 9)))
+    assert set(got) == {t[0] for t in targets}
+    for q, age, gender, own in targets:
+        all_ = []
+        for i, a, g, c in rows:
+            union = set(own) | set(c)
+            conditions = 1 - len(set(own) & set(c)) / len(union) if union else 0.5
+            same = g == gender and g is not None
+            all_.append((round(0.5 * conditions + 0.35 * min(abs(a - age) / 50, 1) + 0.15 * (0 if same else 0.2), 9), i))
+        want = [(n, i, d) for n, (d, i) in enumerate(sorted(all_)[: S.neighbour_count(k)], 1)]
+        assert sorted(got[q]) == want, q
+
+
 def test_cohort_outcomes_equal_a_join(spark, world):
     features, meds = world
     rng = np.random.default_rng(5)
