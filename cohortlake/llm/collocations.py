@@ -132,8 +132,10 @@ class _Chunk:
         self.lang = lang_of[self.text_of]
         word, seen = _numbered(self.words)
         self.lang_hash = _hashes(self.lang_names.tolist())
-        self.word_hash = _hashes(self.words.take(pa.array(seen)).to_pylist())[word]
         self.spaced, self.begins = spaced(self.words)
+        view = self.spaced.tobytes()
+        ends = zip(self.begins[seen].tolist(), (self.begins[seen + 1] - 1).tolist())
+        self.word_hash = _hashes([view[a:b] for a, b in ends])[word]
         self.code, self.first = _numbered(pa.array(word * len(self.lang_names) + self.lang))
         self.at, self.since = np.arange(len(word)), np.zeros(len(self.first), np.int64)
 
