@@ -94,3 +94,72 @@ def test_words_are_measured_once():
     for text in ("Good day.", "A### b$$ C!!!", "x", "ÄÖ Straße 12 3,4"):
         votes, shares = features.of(text)
         assert len(votes) == len(quality.LABELLERS) and abs(sum(v for v in shares.values()) - 1 - 9) < 1e-9
+
+
+def em_text_by_text(votes, rounds=200, alarm=0.03, catch=0.5, strength=0.5):
+    """Expectation-maximisation with a loop over texts and labellers; posteriors by text."""
+    n, size = len(votes), len(votes[0])
+    good = [(v.count("+") + 1) / (v.count("+") + v.count("-") + 2) for v in votes]
+    for _ in range(rounds):
+        of_class = [[1 - g for g in good], good]
+        chance = []
+        for y, (weights, against) in enumerate(zip(of_class, (catch, alarm))):
+            total, own = sum(weights), []
+            for j in range(size):
+                prior = 1 + strength * total
+                minus = sum(w for w, v in zip(weights, votes) if v[j] == "-") + against * prior
+                plus = sum(w for w, v in zip(weights, votes) if v[j] == "+") + (1 - against) * prior
+                own.append({"-": minus / (minus + plus), "+": plus / (minus + plus), "0": 1.0})
+            chance.append(own)
+        prior = min(max(sum(good) / n, 1e-6), 1 - 1e-6)
+        before, good = good, []
+        for v in votes:
+            p = [1 - prior, prior]
+            for y in (0, 1):
+                for j, c in enumerate(v):
+                    p[y] *= chance[y][j][c]
+            good.append(p[1] / (p[0] + p[1]))
+        if max(abs(a - b) for a, b in zip(good, before)) < 1e-9:
+            break
+    return good
+
+
+def scorer_text_by_text(rows, target, rounds=300, decay=1e-3):
+    """Logistic scores trained with a loop over texts and slots."""
+    weights, sums, bias, bias_sum = {}, {}, 0.0, 1e-8
+    for _ in range(rounds):
+        gradient, gb = {s: -decay * w / len(rows) for s, w in weights.items()}, 0.0
+        for row, t in zip(rows, target):
+            z = sum(weights.get(s, 0.0) * v for s, v in row.items()) + bias
+            pull = (t - 1 / (1 + np.exp(-z))) / len(rows)
+            gb += pull
+            for s, v in row.items():
+                gradient[s] = gradient.get(s, 0.0) + pull * v
+        for s, g in gradient.items():
+            sums[s] = sums.get(s, 1e-8) + g * g
+            weights[s] = weights.get(s, 0.0) + 0.5 * g / np.sqrt(sums[s])
+        bias_sum += gb * gb
+        bias += 0.5 * gb / np.sqrt(bias_sum)
+    return lambda row: 1 / (1 + np.exp(-(sum(weights.get(s, 0.0) * v for s, v in row.items()) + bias)))
+
+
+def test_query_against_loops_over_texts(spark, tmp_path):
+    texts, _ = sample(random.Random(5), 30)
+    texts += ["", "Short.", texts[0]]
+    spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    features = quality.Features()
+    found = [features.of(t) for t in texts]
+    votes = [quality.pattern(v) for v, _ in found]
+    posterior = dict(zip(texts, em_text_by_text(votes)))
+    distinct = sorted(set(texts))
+    shares = [features.of(t)[1] for t in distinct]
+    score = scorer_text_by_text(shares, [posterior[t] for t in distinct])
+    from cohortlake.llm.queries import QUERIES
+
+    got = {r.doc_id: r for r in QUERIES["op7_quality"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i].votes == votes[i]
+        assert np.isclose(got[i].posterior, posterior[t], atol=1e-6)
+        assert np.isclose(got[i].score, score(found[i][1]), atol=1e-4)
+        assert got[i].predicted == int(got[i].score >= quality.THRESHOLD)
