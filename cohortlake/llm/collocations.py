@@ -108,11 +108,15 @@ def _digests_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], names=["v"])
 
 
-def _reached(filters: list[np.ndarray], digests: np.ndarray) -> np.ndarray:
-    """The scan in which a phrase reached the threshold; one after the last for not yet."""
+def _reached(filters: list[np.ndarray], digests: np.ndarray, since: np.ndarray) -> np.ndarray:
+    """The scan in which a phrase reached the threshold; one after the last for not yet.
+
+    Only scans after ``since`` count, those in which the phrase was counted.  An earlier filter
+    may let it through by mistake; longer phrases would then count from a scan on in which
+    their subphrases were not looked at, and lose part of their cycle."""
     out = np.full(len(digests), len(filters) + 1, np.int64)
     for scan in range(len(filters), 0, -1):
-        out[in_filter(filters[scan - 1], digests)] = scan
+        out[in_filter(filters[scan - 1], digests) & (since < scan)] = scan
     return out
 
 
@@ -143,7 +147,7 @@ class _Chunk:
         """The scan in which each phrase reached the threshold."""
         place = self.at[self.first]
         words = self.word_hash[place[:, None] + np.arange(self.length)]
-        return _reached(self.filters, _digests(self.lang_hash[self.lang[place]], words))
+        return _reached(self.filters, _digests(self.lang_hash[self.lang[place]], words), self.since)
 
     def lengthen(self) -> bool:
         """Go on to the phrases that are a word longer and whose subphrases have both

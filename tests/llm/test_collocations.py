@@ -178,3 +178,25 @@ def test_trimmed_texts_keep_what_later_scans_count():
     assert out.column(1).to_pylist() == ["a b\na b late c\n", "b late\na b\n"]
     # Trimmed again they stay as they are.
     assert next(co._trim(Sent(filters), 2)(iter([out]))).column(1).to_pylist() == out.column(1).to_pylist()
+
+
+def test_a_pair_let_through_before_its_words_does_not_shorten_the_cycle_of_longer_ones(monkeypatch):
+    """An early filter has "a b" by mistake, while "a" gets there in the third scan: "a b" can get
+    there in the fourth at the earliest, and "a b c" is counted for the three scans after."""
+    got_there = {1: ["b", "c", "a b"], 2: ["b c"], 3: ["a"], 4: ["a b"], 5: [], 6: [], 7: [], 8: []}
+
+    def digests(phrases):
+        rows = pa.RecordBatch.from_arrays([pa.array(["en"] * len(phrases), pa.string()), pa.array(phrases, pa.string())], names=["a", "b"])
+        return {int(v) & (1 << 64) - 1 for v in next(co._digests_of(iter([rows]))).column(0).to_pylist()}
+
+    names = {scan: digests(phrases) for scan, phrases in got_there.items()}
+    monkeypatch.setattr(co, "in_filter", lambda f, d: np.array([int(x) in names[int(f[0])] for x in d], bool))
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["a b c"])], names=["lang", "text"])
+    counted = {}
+    for now in range(1, 9):
+        filters = [np.array([scan]) for scan in range(1, now)]
+        for out in co._scan(Sent(filters), now, 3, 5)(iter([batch])):
+            for phrase in out.column(1).to_pylist():
+                counted.setdefault(phrase, []).append(now)
+    assert counted["a b"] == [4, 5, 6]
+    assert counted["a b c"] == [5, 6, 7]
