@@ -281,22 +281,83 @@ def tree_leaves(root, weight: float) -> list[Leaf]:
 def shapley_values(leaves: list[Leaf], x: np.ndarray) -> tuple[np.ndarray, float]:
     """Exact contributions of each feature to the summed leaf values of every row, and the
     value expected without any feature."""
-    out, base = np.zeros(x.shape), 0.0
-    for leaf in leaves:
-        base += leaf.expected()
-        pattern = np.zeros(len(x), np.int64)
-        for j, (f, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
-            pattern |= ((x[:, f] > low) & (x[:, f] <= high)).astype(np.int64) << j
-        if leaf.features:
-            out[:, list(leaf.features)] += leaf.shapley()[pattern]
-    return out, base
+    return ShapleyTables(leaves, [leaf.shapley() for leaf in leaves], x.shape[1]).values(x)
+
+
+class ShapleyTables:
+    """The contributions of leaves as tables over cells between their limits.
+
+    Whether a row holds a leaf's conditions depends only on which limits each feature lies
+    between.  Neighbouring leaves are summed up to one table as long as it has at most
+    ``CELLS`` cells, so a row costs one look-up for such a group instead of one for a leaf.
+    ``effects`` are the leaves' ``shapley()``, worked out once.
+    """
+
+    CELLS = 2048
+
+    def __init__(self, leaves: list[Leaf], effects: list[np.ndarray], width: int):
+        self.base, self.groups = sum((leaf.expected() for leaf in leaves), 0.0), []
+        cuts = [set() for _ in range(width)]
+        for leaf in leaves:
+            for f, low, high in zip(leaf.features, leaf.low, leaf.high):
+                cuts[f] |= {t for t in (low, high) if math.isfinite(t)}
+        self.cuts = [np.array(sorted(c)) for c in cuts]
+        group: list[int] = []
+        limits: dict[int, set[float]] = {}
+        for i, leaf in enumerate(leaves):
+            if not leaf.features:
+                continue
+            grown = {f: set(c) for f, c in limits.items()}
+            for f, low, high in zip(leaf.features, leaf.low, leaf.high):
+                grown.setdefault(f, set()).update(t for t in (low, high) if math.isfinite(t))
+            if group and math.prod(len(c) + 2 for c in grown.values()) > self.CELLS:
+                self._add([leaves[j] for j in group], [effects[j] for j in group], limits, width)
+                group = []
+                own = zip(leaf.features, leaf.low, leaf.high)
+                grown = {f: {t for t in (low, high) if math.isfinite(t)} for f, low, high in own}
+            group, limits = [*group, i], grown
+        if group:
+            self._add([leaves[j] for j in group], [effects[j] for j in group], limits, width)
+
+    def _add(self, leaves: list[Leaf], effects: list[np.ndarray], limits: dict[int, set[float]], width: int) -> None:
+        ends = {f: np.array(sorted(limits[f])) for f in sorted(limits)}
+        # A cell of a feature lies up to its limit, the last but one above all; the last one
+        # holds values that no condition holds for (NaN).
+        sizes = [len(e) + 2 for e in ends.values()]
+        cells = dict(zip(ends, np.unravel_index(np.arange(math.prod(sizes)), sizes)))
+        table = np.zeros((math.prod(sizes), width))
+        for leaf, effect in zip(leaves, effects):
+            pattern = np.zeros(len(table), np.int64)
+            for j, (f, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
+                top, bottom = np.r_[ends[f], math.inf, -math.inf], np.r_[-math.inf, ends[f], -math.inf]
+                held = (bottom >= low) & (top <= high) & (np.arange(len(top)) < len(top) - 1)
+                pattern |= held[cells[f]].astype(np.int64) << j
+            table[:, list(leaf.features)] += effect[pattern]
+        # From the cell between all limits of a feature to its share of the place in the table.
+        steps = np.r_[np.cumprod(sizes[::-1])[::-1][1:], 1].astype(np.int64)
+        places = {
+            f: np.r_[np.searchsorted(e, np.r_[self.cuts[f], math.inf]), len(e) + 1].astype(np.int64) * step
+            for (f, e), step in zip(ends.items(), steps)
+        }
+        self.groups.append((places, table))
+
+    def values(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        out = np.zeros(x.shape)
+        cell = {}
+        for f, cuts in enumerate(self.cuts):
+            none = np.isnan(x[:, f]) | (x[:, f] == -math.inf)
+            cell[f] = np.where(none, len(cuts) + 1, np.searchsorted(cuts, x[:, f]))
+        for places, table in self.groups:
+            out += table[sum(places[f][cell[f]] for f in places)]
+        return out, self.base
 
 
 def attribute_scores(trained: ResponseModel, features: DataFrame) -> DataFrame:
     """Shapley value of each feature for the log-odds of every row, along the trees' paths.
 
     ``base_value`` plus the contributions is ``raw_score``, the model's log-odds.  The
-    trees are a few thousand numbers; rows stream through in Arrow batches.  ``method``
+    trees are a few thousand numbers, whose tables are built once a task; rows stream
+    through in Arrow batches.  ``method``
     tells the values from those of ``importance_attributions``.
     """
     model = trained.model
@@ -307,11 +368,13 @@ def attribute_scores(trained: ResponseModel, features: DataFrame) -> DataFrame:
         for leaf in tree_leaves(t._call_java("rootNode"), 2.0 * w)
     ]
     names = list(RESPONSE_FEATURES)
+    effects = [leaf.shapley() for leaf in leaves]
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = ShapleyTables(leaves, effects, len(names))
         for batch in batches:
             x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, len(names)))
-            parts, base = shapley_values(leaves, x)
+            parts, base = tables.values(x)
             yield pd.DataFrame(
                 {
                     "outcome_id": batch["outcome_id"],

@@ -194,3 +194,32 @@ def test_cohorts(fact):
     assert all(0 < s <= 1 for s in scores)
     quality = {r.metric: r.value for r in P.clustering_quality(model, features).collect()}
     assert -1 <= quality["silhouette"] <= 1 and quality["inertia"] > 0
+
+
+def test_shapley_tables_over_groups_of_leaves(monkeypatch):
+    """Summed tables give what the leaves give one by one, whatever a table may hold, and the
+    leaves' effects are worked out once, not for each batch."""
+    rng = random.Random(5)
+    leaves = []
+    for _ in range(60):
+        features = rng.sample(range(4), rng.randrange(0, 4))
+        low = [rng.choice([-np.inf, 0.1, 0.2, 0.3]) for _ in features]
+        high = [rng.choice([np.inf, 0.4, 0.6, 0.7]) for _ in features]
+        share = [rng.random() for _ in features]
+        leaves.append(P.Leaf(rng.gauss(0, 1), tuple(features), tuple(low), tuple(high), tuple(share)))
+    x = np.random.default_rng(2).random((500, 4))
+    x[:8] = [[0.1] * 4, [0.2] * 4, [0.3] * 4, [0.4] * 4, [0.7] * 4, [np.nan] * 4, [np.inf] * 4, [-np.inf] * 4]
+    want = np.zeros(x.shape)
+    for leaf in leaves:
+        for j, row in enumerate(x):
+            held = sum((lo < row[f] <= hi) << i for i, (f, lo, hi) in enumerate(zip(leaf.features, leaf.low, leaf.high)))
+            want[j, list(leaf.features)] += leaf.shapley()[held]
+    effects = [leaf.shapley() for leaf in leaves]
+    monkeypatch.delattr(P.Leaf, "shapley")
+    for cells in (1, 50, 5000):
+        monkeypatch.setattr(P.ShapleyTables, "CELLS", cells)
+        tables = P.ShapleyTables(leaves, effects, 4)
+        for rows in (x, x[:3], x[:0]):
+            got, base = tables.values(rows)
+            assert np.allclose(got, want[: len(rows)], atol=1e-12)
+            assert base == pytest.approx(sum(leaf.expected() for leaf in leaves))
