@@ -15,6 +15,18 @@ from cohortlake.session import settled
 COPIES_PER_PIECE = 10_000
 # Rows of a range that is numbered by one task, about, and at the very most.
 ROWS_PER_RANGE, MOST_ROWS = 65_536, 4_000_000
+# A side of a join with at most so many short rows is sent to all tasks.
+SMALL_ROWS = 100_000
+
+
+def when_small(df: DataFrame) -> DataFrame:
+    """The frame settled, and marked for broadcast if it has at most ``SMALL_ROWS`` rows.
+
+    For joins on a key with few values: moved by such a key, most rows would meet in a few
+    tasks.  With more rows the join stays as Spark plans it.
+    """
+    df = settled(df)
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
 def exact_quantile(
@@ -144,13 +156,14 @@ def sequence_numbers(
     sizes = placed.groupBy("_range").agg(F.sum("_size").alias("_total"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
-    placed = placed.join(starts, "_range")
+    # A row per range: the rows stay where they are.
+    placed = placed.join(F.broadcast(starts), "_range")
     if not unique:
         within = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
         placed = placed.withColumn("_place", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     numbered = placed.withColumn("_first", F.col("_before") + F.col("_place"))
     if groups:
-        heads = numbered.groupBy(*groups).agg(F.min("_first").alias("_head"))
+        heads = when_small(numbered.groupBy(*groups).agg(F.min("_first").alias("_head")))
         numbered = _null_safe_join(numbered, heads, groups).withColumn("_first", F.col("_first") - F.col("_head"))
     first = F.col("_first") + start
     if not unique:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import columns as C
 from cohortlake.functions import values as V
-from cohortlake.operators.skew import sequence_numbers
-from cohortlake.session import shared_dir
+from cohortlake.operators.skew import sequence_numbers, when_small
+from cohortlake.session import settled, shared_dir
 
 # Features and training parameters.
 CATEGORIES = ("gender", "phase", "drug_class")
@@ -108,8 +108,9 @@ def stratified_split(
     """
     drawn = F.xxhash64(F.lit(SEED), F.col(key))
     ranked = sequence_numbers(df, "_rank", [drawn, key], [label], unique=True)
-    sizes = df.groupBy(label).agg(F.floor(F.count(F.lit(1)) * share + 0.5).alias("_trained"))
-    sizes = sizes.select(F.col(label).alias("_label"), "_trained")
+    sizes = ranked.groupBy(label).agg(F.floor(F.max("_rank") * share + 0.5).alias("_trained"))
+    # A row per label: moved by label, the rows would meet in as many tasks.
+    sizes = when_small(sizes.select(F.col(label).alias("_label"), "_trained"))
     held = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
     trains = F.col("_rank") <= F.col("_trained")
     return held.where(trains).select(*df.columns), held.where(~trains).select(*df.columns)
