@@ -85,12 +85,16 @@ def encode_categories(
     """Category columns replaced by their codes; an unseen or null value becomes 0.
 
     A left join per column, whatever the number of values: a small vocabulary is
-    broadcast by its measured size, a large one is shuffled.
+    broadcast by its counted rows, as moving the rows by a column of two values would make
+    two tasks of them; a large one is shuffled.
     """
     order = features.columns
+    codes = settled(codes)
     for c in columns:
-        own = codes.where(F.col("column") == c).select(
-            F.col("value").alias(f"_{c}"), F.col("code").cast("double").alias("_code")
+        own = when_small(
+            codes.where(F.col("column") == c).select(
+                F.col("value").alias(f"_{c}"), F.col("code").cast("double").alias("_code")
+            )
         )
         joined = features.join(own, F.col(c) == F.col(f"_{c}"), "left").drop(c, f"_{c}")
         features = joined.withColumn(c, F.coalesce("_code", F.lit(0.0))).drop("_code")
@@ -147,7 +151,7 @@ def train_response_model(features: DataFrame, trees: int = TREES) -> ResponseMod
     executor does not send it back to the first tree.
     """
     shared_dir(features.sparkSession)
-    codes = category_codes(features)
+    codes = settled(category_codes(features))
     train, _ = stratified_split(features)
     untrained = ResponseModel(None, codes)
     data = untrained.vectors(train).select("features", "label")

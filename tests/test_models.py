@@ -223,3 +223,17 @@ def test_shapley_tables_over_groups_of_leaves(monkeypatch):
             got, base = tables.values(rows)
             assert np.allclose(got, want[: len(rows)], atol=1e-12)
             assert base == pytest.approx(sum(leaf.expected() for leaf in leaves))
+
+
+def test_rows_do_not_move_by_a_column_of_few_values(spark, features):
+    """Joined by shuffle, the rows of a gender or of a label would all be read by one task."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        codes = P.category_codes(features)
+        encoded = P.encode_categories(features, codes)
+        sides = P.stratified_split(features)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (encoded, *sides)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in plans)
