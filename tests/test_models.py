@@ -237,3 +237,17 @@ def test_rows_do_not_move_by_a_column_of_few_values(spark, features):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in plans)
+
+
+def test_cohorts_are_fitted_on_plain_vectors(fact, monkeypatch):
+    """Neither the columns of a cache nor the fact itself is read again in every step."""
+    seen, fit = [], P.KMeans.fit
+
+    def watched(self, data):
+        plan = data._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((data.is_cached, "Join" in plan or "UDF" in plan))
+        return fit(self, data)
+
+    monkeypatch.setattr(P.KMeans, "fit", watched)
+    P.train_cohorts(P.cohort_features(fact), restarts=2)
+    assert seen == [(False, False)] * 2
