@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,11 +32,12 @@ class Unigram:
     scores: dict[str, float]
     mark: str = SPACE_MARK
     unknown: float = field(init=False)
-    longest: int = field(init=False)
+    # Every end of a piece, with the score of the piece that it is, else minus infinity.
+    ends: dict[str, float] = field(init=False, repr=False)
 
     def __post_init__(self):
         self.unknown = min(self.scores.values(), default=0.0) - 10.0
-        self.longest = max(map(len, self.scores), default=1)
+        self.ends = {p[i:]: -math.inf for p in self.scores for i in range(len(p))} | self.scores
 
     def states(self, text: str) -> list[tuple[float, int]]:
         """The best (score, -tokens) of every prefix of ``text``, the empty one first."""
@@ -46,19 +48,23 @@ class Unigram:
 
     def extend(self, text: str, end: int, best: list[tuple[float, int]]) -> tuple[float, int]:
         """The forward step: the best way to end a token at ``end``, given the best of all
-        shorter prefixes.  Of equal scores the fewer tokens win."""
+        shorter prefixes.  Of equal scores the fewer tokens win.
+
+        Starts are tried from the last one back: where no piece ends in the characters so
+        far, none ends in more of them."""
         score, tokens = best[end - 1]
         spelled = len(text[end - 1].encode("utf-8", "surrogatepass"))
-        top = (score + self.unknown * spelled, tokens - spelled)
-        scores = self.scores
-        for start in range(max(0, end - self.longest), end):
-            own = scores.get(text[start:end])
-            if own is not None:
-                score, tokens = best[start]
-                now = (score + own, tokens - 1)
-                if now > top:
-                    top = now
-        return top
+        top, most = score + self.unknown * spelled, tokens - spelled
+        known = self.ends.get
+        for start in range(end - 1, -1, -1):
+            own = known(text[start:end])
+            if own is None:
+                break
+            score, tokens = best[start]
+            score += own
+            if score > top or score == top and tokens - 1 > most:
+                top, most = score, tokens - 1
+        return top, most
 
 
 def sentencepiece_unigram(path: str) -> Unigram:

@@ -90,3 +90,22 @@ def test_frames(spark, model):
     want = [(i, len(tc.PRETOKEN.findall(t or "")), sum(trie.count(w) for w in tc.PRETOKEN.findall(t or ""))) for i, t, _ in rows]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert tc.token_counts(spark.createDataFrame([], SCHEMA), VOCABULARY).collect() == []
+
+
+def test_a_step_tries_only_starts_that_a_piece_can_have():
+    class Watched(dict):
+        tried = 0
+
+        def get(self, key):
+            self.tried += 1
+            return super().get(key)
+
+    long = "x" * 30 + "yz"
+    model = tc.Unigram({"▁": -1.0, "b": -2.0, "cab": -3.0, long: -4.0})
+    model.ends = Watched(model.ends)
+    # At the last b of "acab": b, ab, cab and acab, which ends no piece; at c and a one each.
+    for word, tried in (("b", 1 + 2), ("acab", 1 + 1 + 1 + 1 + 4), (long, None)):
+        model.ends.tried = 0
+        got = model.states("▁" + word)[-1]
+        assert (round(got[0], 6), -got[1]) == (brute(model, "▁" + word) if tried else (-5.0, 2))
+        assert tried is None or model.ends.tried == tried
