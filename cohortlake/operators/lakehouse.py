@@ -42,15 +42,26 @@ def first_medication(medications: DataFrame) -> DataFrame:
 def patient_outcomes_fact(
     outcomes: DataFrame, enrollments: DataFrame, patients: DataFrame
 ) -> DataFrame:
-    """Outcomes with enrolment and patient columns; one row per outcome and enrolment."""
+    """Outcomes with enrolment and patient columns; one row per outcome and enrolment.
+
+    The narrow patient columns come first, as the rows move again for the enrolment.
+    """
     enrolled = enrollments.select("patient_id", "trial_id", "arm", "enrollment_date", "status")
     people = silver_patients(patients).select(
         "patient_id", "age", "gender", "comorbidity_count", "medication_count", "has_diabetes"
     )
+    keys = ["patient_id", "trial_id"]
     return (
-        outcomes.join(enrolled, ["patient_id", "trial_id"], "left")
+        outcomes.withColumn("response_positive", C.responded().cast("int"))
         .join(people, "patient_id", "left")
-        .withColumn("response_positive", C.responded().cast("int"))
+        .join(enrolled, keys, "left")
+        .select(
+            *keys,
+            *[c for c in outcomes.columns if c not in keys],
+            *enrolled.columns[2:],
+            *people.columns[1:],
+            "response_positive",
+        )
     )
 
 
