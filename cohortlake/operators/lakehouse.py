@@ -25,18 +25,28 @@ def silver_patients(patients: DataFrame) -> DataFrame:
 def first_medication(medications: DataFrame) -> DataFrame:
     """Earliest investigational drug per patient and trial, first non-null per column.
 
-    An ordered minimum combines on the map side, so no group is sorted in one task.
+    A minimum combines on the map side, so no group is sorted in one task.  Rows with all
+    columns share one minimum, so their date and id move once; only the others have one for
+    each column.  Rows of equal date and id are ordered by their values.
     """
-    order = F.struct("start_date", "medication_id")
+    order, drug = ("start_date", "medication_id"), ("medication_name", "drug_class", "dose")
+    complete = F.lit(True)
+    for c in drug:
+        complete = complete & F.col(c).isNotNull()
+    whole = F.min(F.when(complete, F.struct(*order, *drug))).alias("_whole")
+    parts = [
+        F.min(F.when(~complete & F.col(c).isNotNull(), F.struct(*order, c))).alias(f"_{c}")
+        for c in drug
+    ]
 
     def earliest(c: str) -> Column:
-        return F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+        own = F.struct(*[F.col(f"_whole.{n}").alias(n) for n in (*order, c)])
+        first = F.least(F.when(F.col("_whole").isNotNull(), own), F.col(f"_{c}"))
+        return first[c].alias(c)
 
-    return (
-        investigational_only(medications)
-        .groupBy("patient_id", "trial_id")
-        .agg(*[earliest(c) for c in ("medication_name", "drug_class", "dose")])
-    )
+    keys = ("patient_id", "trial_id")
+    found = investigational_only(medications).groupBy(*keys).agg(whole, *parts)
+    return found.select(*keys, *[earliest(c) for c in drug])
 
 
 def patient_outcomes_fact(
@@ -68,20 +78,39 @@ def patient_outcomes_fact(
 def patient_outcomes(
     outcomes: DataFrame, patients: DataFrame, trials: DataFrame, medications: DataFrame
 ) -> DataFrame:
-    """The full silver fact: outcome, patient, trial, first medication and features."""
-    people = patients.select("patient_id", "gender", "age", "conditions")
+    """The full silver fact: outcome, patient, trial, first medication and features.
+
+    Rows move once for each join, so what is short is joined first and the titles last, and
+    flags are made before their texts move.
+    """
+    flags = C.condition_flags("conditions")
+    people = patients.select("patient_id", "gender", "age", "conditions").withColumns(flags)
     studies = trials.select("trial_id", "title", "phase", "condition", "sponsor")
+    drugs = first_medication(medications)
+    keys = ["patient_id", "trial_id"]
     return (
-        outcomes.join(people, "patient_id", "left")
+        outcomes.withColumn("responded", C.responded())
+        .join(drugs, keys, "left")
+        .join(people, "patient_id", "left")
         .join(studies, "trial_id", "left")
-        .join(first_medication(medications), ["patient_id", "trial_id"], "left")
         .withColumns(
             {
                 "age_group": C.age_group("age"),
-                **C.condition_flags("conditions"),
-                "responded": C.responded(),
+                **{c: F.coalesce(c, F.lit(False)) for c in flags},
             }
         )
+        .select(
+            *keys,
+            *[c for c in outcomes.columns if c not in keys],
+            "gender",
+            "age",
+            "conditions",
+            *studies.columns[1:],
+            *drugs.columns[2:],
+            "age_group",
+            *flags,
+            "responded",
+        )
     )
 
 

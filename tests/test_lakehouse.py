@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from cohortlake.operators import lakehouse as L
@@ -149,3 +151,85 @@ def test_clean_tables_pass_every_check(spark, lake):
     report = {r.check.split()[0]: r for r in Q.data_quality_report(**t).collect()}
     assert report["Age"].status == "PASSED" and report["Duplicate"].violations == 0
     assert report["Biomarker"].pass_rate == 100.0
+
+
+MEDS = (
+    "medication_id string, patient_id string, trial_id string, medication_name string, "
+    "drug_class string, dose string, start_date string, is_investigational boolean"
+)
+
+
+def test_first_medication_against_a_loop(spark):
+    rng = random.Random(4)
+    pick = lambda *values: rng.choice([None, *values])
+    rows = [
+        (f"M{i}", pick("P1", "P2"), pick("T1", "T2"), pick("A", "B"), pick("C", "D"), pick("1 mg"),
+         pick("2024-01-01", "2024-01-02"), True)
+        for i in range(60)
+    ]
+    want = {}
+    for row in sorted(rows, key=lambda r: (r[6] is not None, r[6] or "", r[0])):
+        first = want.setdefault(row[1:3], [None] * 3)
+        for i, v in enumerate(row[3:6]):
+            first[i] = v if first[i] is None else first[i]
+    got = L.first_medication(spark.createDataFrame(rows, MEDS)).collect()
+    assert {tuple(r[:2]): list(r[2:]) for r in got} == want and len(got) == len(want)
+
+
+def test_a_medication_moves_its_id_once(spark):
+    plan = L.first_medication(spark.createDataFrame([], MEDS))._jdf.queryExecution().optimizedPlan()
+    whole = [line for line in plan.toString().splitlines() if "Aggregate [" in line]
+    assert len(whole) == 1 and whole[0].count("isnotnull(dose") >= 1 and whole[0].count("min(") == 4
+    assert "min_by" not in whole[0]
+
+
+def _facts(spark):
+    outcomes = spark.createDataFrame(
+        [("O1", "P1", "T1", "Strong Response"), ("O2", "P9", "T9", None), ("O3", None, "T1", "No Response")],
+        "outcome_id string, patient_id string, trial_id string, response_status string",
+    )
+    patients = spark.createDataFrame(
+        [("P1", "F", 46, "Obesity", "x|y")],
+        "patient_id string, gender string, age int, conditions string, medications string",
+    )
+    trials = spark.createDataFrame(
+        [("T1", "One", "Phase 3", "Obesity", "S")],
+        "trial_id string, title string, phase string, condition string, sponsor string",
+    )
+    meds = spark.createDataFrame([("M1", "P1", "T1", "A", "C", "1 mg", "2024-01-01", True)], MEDS)
+    enrolled = spark.createDataFrame(
+        [("P1", "T1", "A", "2024-01-01", "ACTIVE")],
+        "patient_id string, trial_id string, arm string, enrollment_date string, status string",
+    )
+    return (
+        L.patient_outcomes(outcomes, patients, trials, meds),
+        L.patient_outcomes_fact(outcomes, enrolled, patients),
+    )
+
+
+def test_rows_without_patient_or_trial(spark):
+    full, fact = ({r.outcome_id: r for r in df.collect()} for df in _facts(spark))
+    assert tuple(full["O1"]) == (
+        "P1", "T1", "O1", "Strong Response", "F", 46, "Obesity", "One", "Phase 3", "Obesity", "S",
+        "A", "C", "1 mg", "45-59", False, False, True, True,
+    )
+    assert tuple(full["O2"])[4:] == (None,) * 11 + (False,) * 4
+    assert (full["O3"].title, full["O3"].has_obesity, full["O3"].responded) == ("One", False, False)
+    assert tuple(fact["O1"]) == (
+        "P1", "T1", "O1", "Strong Response", "A", "2024-01-01", "ACTIVE", 46, "F", 1, 2, False, 1,
+    )
+    assert tuple(fact["O2"])[4:] == (None,) * 8 + (0,)
+
+
+def test_long_columns_are_joined_last(spark):
+    def joins(df):
+        lines = df._jdf.queryExecution().analyzed().toString().splitlines()
+        keys = [line.partition("Join LeftOuter, ")[2] for line in lines if "Join LeftOuter" in line]
+        return [("patient_id" in k, "trial_id" in k) for k in keys]
+
+    full, fact = _facts(spark)
+    # From the last join to the first: trials, patients, both keys; enrolments, patients.
+    assert joins(full) == [(False, True), (True, False), (True, True)]
+    assert joins(fact) == [(True, True), (True, False)]
+    texts = full.select("outcome_id", "has_obesity")._jdf.queryExecution().optimizedPlan().toString()
+    assert "conditions" not in texts.partition("Join LeftOuter")[0]
