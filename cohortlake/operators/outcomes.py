@@ -512,23 +512,28 @@ def primary_cases(
         "outcome_id", "outcome_type", "unit", "baseline_value", "followup_value",
         "measurement_date", "adverse_events", "treatment_completed",
     )
+    # Windows instead of minima of structs: columns that nobody asks for are never moved.
+    first = Window.partitionBy(*keys).orderBy(F.col("outcome_id").asc_nulls_last())
+    known = F.col("outcome_id").isNotNull()
     primary = (
         outcomes.join(chosen, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.min_by(F.struct(*fields), "outcome_id").alias("_o"))
-        .select(*keys, "_o.*")
+        .withColumn("_rank", F.row_number().over(first))
+        .where(F.col("_rank") == 1)
+        .select(*keys, *[F.when(known, F.col(c)).alias(c) for c in fields])
     )
+    drug = ("medication_name", "drug_class", "dose", "route", "duration_weeks")
     given = (
         medications.join(chosen, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(
-            F.min_by(
-                F.struct("medication_name", "drug_class", "dose", "route", "duration_weeks"),
-                F.struct("start_date", "medication_id"),
-            ).alias("_m"),
-            F.count(F.lit(1)).alias("interventions"),
+        .withColumns(
+            {
+                "interventions": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
+                "_rank": F.row_number().over(
+                    Window.partitionBy(*keys).orderBy("start_date", "medication_id")
+                ),
+            }
         )
-        .select(*keys, "_m.*", "interventions")
+        .where(F.col("_rank") == 1)
+        .select(*keys, *drug, "interventions")
     )
     joined = primary.join(given, keys, "left").withColumn(
         "has_medication", F.col("interventions").isNotNull()

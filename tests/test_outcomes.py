@@ -246,3 +246,50 @@ def test_lag_of_an_unread_topic_is_everything(spark):
     committed = spark.createDataFrame([("a", 0, 1001)], "topic string, partition_id int, committed_offset long")
     got = {r.topic: r.lag for r in G.consumer_lag(sent, committed).collect()}
     assert got == {"a": 1, "b": 1}
+
+
+def _primary(spark, outcomes):
+    patients = spark.createDataFrame(
+        [("P1", 50, "Obesity", "")], "patient_id string, age int, conditions string, medications string"
+    )
+    enrolled = spark.createDataFrame(
+        [("P1", "T1", "2024-01-01"), ("P1", "T2", "2024-02-01"), ("P2", "T1", None)],
+        "patient_id string, trial_id string, enrollment_date string",
+    )
+    measured = spark.createDataFrame(
+        outcomes,
+        "outcome_id string, patient_id string, trial_id string, outcome_type string, unit string, "
+        "baseline_value double, followup_value double, measurement_date string, "
+        "adverse_events string, treatment_completed boolean",
+    )
+    meds = spark.createDataFrame(
+        [("M2", "P1", "T2", "B", "C", "2 mg", "Oral", 4, "2024-01-01"),
+         ("M1", "P1", "T2", "A", "C", "1 mg", "Oral", 4, "2024-01-01"),
+         ("M0", "P1", "T2", "Z", "C", "1 mg", "Oral", 4, "2024-01-02")],
+        "medication_id string, patient_id string, trial_id string, medication_name string, "
+        "drug_class string, dose string, route string, duration_weeks int, start_date string",
+    )
+    return O.primary_cases(patients, enrolled, measured, meds)
+
+
+def test_primary_cases_take_first_rows(spark):
+    def outcome(i, patient, trial, value):
+        return (i, patient, trial, "HbA1c", "%", value, 1.0, None, None, True)
+
+    rows = [outcome("O2", "P1", "T2", 2.0), outcome("O1", "P1", "T2", 3.0), outcome(None, "P1", "T2", 4.0),
+            outcome("O0", "P1", "T1", 5.0), outcome(None, "P2", "T1", 6.0)]
+    got = {r.patient_id: r for r in _primary(spark, rows).collect()}
+    first = got["P1"]
+    assert (first.trial_id, first.outcome_id, first.baseline_value) == ("T2", "O1", 3.0)
+    assert (first.medication_name, first.dose, first.interventions) == ("A", "1 mg", 3)
+    # Without any outcome id there is a case, but no outcome.
+    assert (got["P2"].outcome_id, got["P2"].baseline_value, got["P2"].interventions) == (None, None, None)
+
+
+def test_primary_cases_move_only_what_is_asked_for(spark):
+    rows = [("O1", "P1", "T2", "HbA1c", "%", 2.0, 1.0, None, None, True)]
+    cases = _primary(spark, rows).select("case_id", "baseline_value", "drug_class")
+    plan = cases._jdf.queryExecution().optimizedPlan().toString()
+    above_the_rows = [line for line in plan.splitlines() if "LogicalRDD" not in line]
+    assert any("baseline_value#" in line for line in above_the_rows)
+    assert not any(f"{c}#" in line for line in above_the_rows for c in ("dose", "unit", "adverse_events"))
