@@ -9,6 +9,9 @@ and then has its exact count.  Scans end when no phrase is being counted any mor
 What phrases have reached the threshold in a scan goes to the tasks of the later ones as a
 Bloom filter.  The filters alone decide in which scans a phrase is counted, so a phrase that
 one lets through by mistake is counted for one full cycle too, and is found to be rare.
+
+Most phrases that are counted are rare, so the scans count by a digest of 64 bits, which can
+only add up too much.  What the filters hold in the end is counted by name.
 """
 
 from __future__ import annotations
@@ -142,12 +145,30 @@ class _Chunk:
         self.word_hash = _hashes([view[a:b] for a, b in ends])[word]
         self.code, self.first = _numbered(pa.array(word * len(self.lang_names) + self.lang))
         self.at, self.since = np.arange(len(word)), np.zeros(len(self.first), np.int64)
+        self._digests = None
+
+    def digests(self) -> np.ndarray:
+        """The digest of each phrase."""
+        if self._digests is None:
+            place = self.at[self.first]
+            words = self.word_hash[place[:, None] + np.arange(self.length)]
+            self._digests = _digests(self.lang_hash[self.lang[place]], words)
+        return self._digests
 
     def reached(self) -> np.ndarray:
         """The scan in which each phrase reached the threshold."""
-        place = self.at[self.first]
-        words = self.word_hash[place[:, None] + np.arange(self.length)]
-        return _reached(self.filters, _digests(self.lang_hash[self.lang[place]], words), self.since)
+        return _reached(self.filters, self.digests(), self.since)
+
+    def named(self, which: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Language, text and count of some of the phrases."""
+        place = self.at[self.first[which]]
+        phrases = _phrases(self.spaced, self.begins, place, self.length)
+        return self.lang_names[self.lang[place]], phrases, np.bincount(self.code)[which]
+
+    def totals(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Rows of an empty phrase, which count all words of each language."""
+        total = np.bincount(self.lang, minlength=len(self.lang_names))
+        return self.lang_names, pa.array([b""] * len(total), pa.large_binary()), total
 
     def lengthen(self) -> bool:
         """Go on to the phrases that are a word longer and whose subphrases have both
@@ -160,6 +181,7 @@ class _Chunk:
         self.code, self.first = _numbered(pa.array(left * len(when) + right))
         self.since = np.maximum(when[left[self.first]], when[right[self.first]])
         self.length += 1
+        self._digests = None
         return len(follows) > 0
 
 
@@ -173,38 +195,60 @@ def _chunks(batches: Iterator[pa.RecordBatch], filters: list[np.ndarray]) -> Ite
                 yield chunk
 
 
-def _scan(filters, now: int, shards: int, longest: int):
+def _named_batch(own: np.ndarray, phrases: pa.Array, length: int | None, n: np.ndarray) -> pa.RecordBatch:
+    columns = {
+        "lang": pa.array(own, pa.binary()).cast(pa.string()),
+        "phrase": phrases.cast(pa.large_string()).cast(pa.string()),
+        "length": pa.array(np.full(len(n), length, np.int32)),
+        "n": pa.array(n.astype(np.int64)),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _scan(filters, now: int, shards: int, longest: int, named: bool = True):
     """Counts of the phrases that are counted in scan ``now`` (from 1), by language.
 
     ``filters`` holds, for each scan before, the digests of phrases that reached the
     threshold in it.  A phrase is counted from the scan after the one in which the later of
     its subphrases reached it, for one cycle.  Rows of an empty phrase count all words.
+
+    Not ``named``, phrases are ``digest, since, length, n``, and there are no rows of an empty one.
     """
 
-    def counts(chunk: _Chunk) -> Iterator[tuple[np.ndarray, pa.Array, int, np.ndarray]]:
-        if now <= shards:
-            total = np.bincount(chunk.lang, minlength=len(chunk.lang_names))
-            yield chunk.lang_names, pa.array([b""] * len(total), pa.large_binary()), 0, total
-        while True:
-            active = np.flatnonzero((chunk.since < now) & (now <= chunk.since + shards))
-            if len(active):
-                place = chunk.at[chunk.first[active]]
-                phrases = _phrases(chunk.spaced, chunk.begins, place, chunk.length)
-                yield chunk.lang_names[chunk.lang[place]], phrases, chunk.length, np.bincount(chunk.code)[active]
-            if chunk.length == longest or now == 1 or not chunk.lengthen():
-                return
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, filters.value):
+            if named and now <= shards:
+                own, phrases, n = chunk.totals()
+                yield _named_batch(own, phrases, 0, n)
+            while True:
+                active = np.flatnonzero((chunk.since < now) & (now <= chunk.since + shards))
+                if len(active) and named:
+                    own, phrases, n = chunk.named(active)
+                    yield _named_batch(own, phrases, chunk.length, n)
+                elif len(active):
+                    columns = [
+                        pa.array(chunk.digests()[active].view(np.int64)),
+                        pa.array(chunk.since[active].astype(np.int32)),
+                        pa.array(np.full(len(active), chunk.length, np.int32)),
+                        pa.array(np.bincount(chunk.code)[active].astype(np.int64)),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["digest", "since", "length", "n"])
+                if chunk.length == longest or now == 1 or not chunk.lengthen():
+                    break
+
+    return run
+
+
+def _named(filters, longest: int):
+    """Counts by name of the phrases of two words or more that have reached the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "phrase", "length", "n"]
         for chunk in _chunks(batches, filters.value):
-            for own, phrases, length, n in counts(chunk):
-                columns = [
-                    pa.array(own, pa.binary()).cast(pa.string()),
-                    phrases.cast(pa.large_string()).cast(pa.string()),
-                    pa.array(np.full(len(n), length, np.int32)),
-                    pa.array(n.astype(np.int64)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            while chunk.length < longest and chunk.lengthen():
+                which = np.flatnonzero(chunk.reached() <= len(filters.value))
+                if len(which):
+                    own, phrases, n = chunk.named(which)
+                    yield _named_batch(own, phrases, chunk.length, n)
 
     return run
 
@@ -214,11 +258,15 @@ def _trim(filters, shards: int):
 
     Two neighbours stay together if the pair of them is still being counted or has reached
     the threshold; no longer phrase over another pair can.  Elsewhere the text is cut, and
-    words without a neighbour go."""
+    words without a neighbour go.
+
+    As these are lost, all words that have reached the threshold follow by name with their
+    count ``n`` (null for texts), and the count of all words by an empty name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches, filters.value):
             live = np.zeros(len(chunk.words), bool)
+            counted = [chunk.totals(), chunk.named(np.flatnonzero(chunk.reached() <= len(filters.value)))]
             if chunk.lengthen():
                 pairs = (chunk.since + shards > len(filters.value)) | (chunk.reached() <= len(filters.value))
                 live[chunk.at] = pairs[chunk.code]
@@ -232,8 +280,11 @@ def _trim(filters, shards: int):
             ends = np.r_[0, past][np.r_[heads, len(kept)]].astype(np.int64)
             texts = pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(ends), pa.py_buffer(data)])
             langs = pa.array(chunk.lang_names[chunk.lang[kept[heads]]], pa.binary())
-            columns = [langs.cast(pa.string()), texts.cast(pa.large_string()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["lang", "text"])
+            columns = [langs.cast(pa.string()), texts.cast(pa.large_string()).cast(pa.string()), pa.nulls(len(texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "text", "n"])
+            for own, words, n in counted:
+                batch = _named_batch(own, words, 1, n)
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 3)], names=["lang", "text", "n"])
 
     return run
 
@@ -265,52 +316,57 @@ def frequent_phrases(
     """
     spark = docs.sparkSession
     parts, used = _sharded(docs, text_col, lang_col, shards)
-    kind = "lang string, phrase string, length int, n bigint"
+    kind = "digest bigint, since int, length int, n bigint"
     filters: list[np.ndarray] = []
-    finished: list[DataFrame] = []
-    counting, of_scan, used = None, None, [used]
+    counting, of_scan, used, words = None, None, [used], None
     last_reached, now = 0, 0
-    counted = (F.col("n") >= least) | (F.col("length") == 0) & (F.col("n") > 0)
+
+    def trimmed() -> tuple[list[DataFrame], list[DataFrame]]:
+        """The shards without what no later scan counts, and the counts of their words."""
+        sent = spark.sparkContext.broadcast(filters)
+        small = [stored_at(p.mapInArrow(_trim(sent, shards), "lang string, text string, n bigint"), "trimmed") for p in parts]
+        used.extend(path for _, path in small)
+        sent.destroy()
+        found = [p.filter("n is not null").select("lang", F.col("text").alias("phrase"), "n") for p, _ in small]
+        return [p.filter("n is null").select("lang", "text") for p, _ in small], found
+
     while now < shards or now < last_reached + shards:
         now += 1
         sent = spark.sparkContext.broadcast(filters)
-        # ``had``: the count before this scan.  ``first``: the scan that met the phrase first,
-        # which may be later than that from which it is counted.
-        both = parts[(now - 1) % shards].mapInArrow(_scan(sent, now, shards, longest), kind)
-        both = both.withColumns({"first": F.lit(now), "had": F.lit(0).cast("bigint")})
+        # ``had``: the count before this scan.  Phrases of one digest that are counted in other
+        # scans, or have other lengths, stay apart; the others' counts can only be too great.
+        both = parts[(now - 1) % shards].mapInArrow(_scan(sent, now, shards, longest, named=False), kind)
+        both = both.withColumn("had", F.lit(0).cast("bigint"))
         if counting is not None:
             both = both.unionByName(counting)
         state, path = stored_at(
-            both.groupBy("lang", "phrase").agg(
-                F.max("length").alias("length"), F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("had").alias("had")
-            ),
-            "scan",
+            both.groupBy("digest", "since", "length").agg(F.sum("n").alias("n"), F.sum("had").alias("had")), "scan"
         )
         sent.destroy()
-        # The few rows that have reached the threshold, once out of all.
-        hits, path_of_hits = stored_at(state.filter(counted), "hits")
+        # The few that have reached the threshold in this scan, once out of all.
+        hits, path_of_hits = stored_at(state.filter((F.col("n") >= least) & (F.col("had") < least)).select("digest", "length"), "hits")
         used.append(path_of_hits)
-        new = hits.filter((F.col("had") < least) & F.col("length").between(1, longest - 1))
-        filters.append(bloom_filter(new.select("lang", "phrase").mapInArrow(_digests_of, "v bigint")))
-        if filters[-1].any():
+        filters.append(bloom_filter(hits.select("digest")))
+        if not hits.filter(F.col("length") < longest).isEmpty():
             last_reached = now
-        done = F.col("first") + shards - 1 <= now
-        finished.append(hits.filter(done).select("lang", "phrase", "length", "n"))
-        counting = state.filter(~done).withColumn("had", F.col("n"))
+        counting = state.filter(F.col("since") + shards > now).withColumn("had", F.col("n"))
         if of_scan:
             remove(spark, of_scan)
         of_scan = path
         if now == 2 * shards:
-            sent = spark.sparkContext.broadcast(filters)
-            small = [stored_at(p.mapInArrow(_trim(sent, shards), "lang string, text string"), "trimmed") for p in parts]
-            parts = [p for p, _ in small]
-            used += [path for _, path in small]
-            sent.destroy()
+            parts, words = trimmed()
         release(spark)
-    found = counting.filter(counted).select("lang", "phrase", "length", "n")
-    for part in finished:
-        found = found.unionByName(part)
-    found = stored(found, "phrases")
+    if words is None:
+        parts, words = trimmed()
+    sent = spark.sparkContext.broadcast(filters)
+    found = None
+    for part, own in zip(parts, words):
+        more = part.mapInArrow(_named(sent, longest), "lang string, phrase string, length int, n bigint")
+        more = more.unionByName(own.withColumn("length", F.when(F.col("phrase") == "", 0).otherwise(1)))
+        found = more if found is None else found.unionByName(more)
+    found = found.groupBy("lang", "phrase").agg(F.max("length").alias("length"), F.sum("n").alias("n"))
+    found = stored(found.filter((F.col("n") >= least) | (F.col("length") == 0) & (F.col("n") > 0)), "phrases")
+    sent.destroy()
     for path in [*used, of_scan]:
         remove(spark, path)
     return found

@@ -200,3 +200,26 @@ def test_a_pair_let_through_before_its_words_does_not_shorten_the_cycle_of_longe
                 counted.setdefault(phrase, []).append(now)
     assert counted["a b"] == [4, 5, 6]
     assert counted["a b c"] == [5, 6, 7]
+
+
+def test_scans_count_by_digest_and_the_end_by_name():
+    """What the scans move has no texts; the words' counts come with the trimmed texts, those of
+    longer phrases from these."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array(["a b c. " * 5 + "a x"])], names=["lang", "text"])
+    once = np.array([(1 << 64) - 1] * 64, np.uint64)  # lets everything through
+    scan = lambda named: list(co._scan(Sent([once]), 2, 2, 3, named=named)(iter([batch])))
+    plain = scan(False)
+    assert all(pa.types.is_integer(f.type) for out in plain for f in out.schema)
+    by_name = [dict(zip(out.schema.names, row)) for out in scan(True) for row in zip(*(c.to_pylist() for c in out.columns))]
+    got = sorted((row["length"], row["n"]) for out in plain for row in out.to_pylist())
+    assert got == sorted((r["length"], r["n"]) for r in by_name if r["length"])
+    assert len({row["digest"] for out in plain for row in out.to_pylist()}) == len(got)
+
+    filters = [once, once]
+    out = list(co._trim(Sent(filters), 1)(iter([batch])))
+    texts = [r for o in out for r in o.to_pylist() if r["n"] is None]
+    words_ = {r["text"]: r["n"] for o in out for r in o.to_pylist() if r["n"] is not None}
+    assert words_ == {"": 17, "a": 6, "b": 5, "c": 5, "x": 1}
+    again = pa.RecordBatch.from_arrays([pa.array([t["lang"] for t in texts]), pa.array([t["text"] for t in texts])], names=["lang", "text"])
+    named = {r["phrase"]: r["n"] for o in co._named(Sent(filters), 2)(iter([again])) for r in o.to_pylist()}
+    assert named == {"a b": 5, "b c": 5, "a x": 1}
