@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -26,7 +25,9 @@ from pyspark.sql import functions as F
 from cohortlake.functions import columns as C
 from cohortlake.functions import values as V
 from cohortlake.operators.skew import sequence_numbers, when_small
-from cohortlake.session import settled, shared_dir
+from cohortlake.plans import boosting
+from cohortlake.plans.leaves import Leaf, ShapleyTables
+from cohortlake.session import settled
 
 # Features and training parameters.
 CATEGORIES = ("gender", "phase", "drug_class")
@@ -107,17 +108,51 @@ def stratified_split(
     """A training and a held-out side that a rerun repeats exactly.
 
     Of every label (null is one too) the rows with the least hashes of their key train:
-    ``share`` of them, rounded to a whole row.  The rows are ranked by ranges of the hash, so
-    a label with nearly all rows is ranked by many tasks.
+    ``share`` of them, rounded to a whole row.  Rows stay where they are: a label's rows are
+    counted by the upper bits of the hash, then by key where the share ends.  ``df`` is read
+    for each of the two counts and for either side, so store it first if it is costly.
     """
-    drawn = F.xxhash64(F.lit(SEED), F.col(key))
-    ranked = sequence_numbers(df, "_rank", [drawn, key], [label], unique=True)
-    sizes = ranked.groupBy(label).agg(F.floor(F.max("_rank") * share + 0.5).alias("_trained"))
-    # A row per label: moved by label, the rows would meet in as many tasks.
-    sizes = when_small(sizes.select(F.col(label).alias("_label"), "_trained"))
-    held = ranked.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
-    trains = F.col("_rank") <= F.col("_trained")
-    return held.where(trains).select(*df.columns), held.where(~trains).select(*df.columns)
+    drawn = F.xxhash64(F.lit(SEED), F.col(key)).alias("_drawn")
+    rows = df.select(F.col(label).alias("_label"), drawn, F.col(key).alias("_key"))
+
+    def ends(counts: DataFrame, order: str, wanted: Column) -> DataFrame:
+        """The place of every label's order at which the rows up to it reach those wanted."""
+        of_label = Window.partitionBy("_label")
+        placed = counts.withColumns(
+            {
+                "_upto": F.sum("_n").over(of_label.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)),
+                "_all": F.sum("_n").over(of_label),
+            }
+        ).withColumn("_wanted", wanted)
+        return placed.where((F.col("_upto") - F.col("_n") < F.col("_wanted")) & (F.col("_wanted") <= F.col("_upto")))
+
+    bucket = F.shiftright("_drawn", 48)
+    by_bucket = rows.groupBy("_label", bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    buckets = when_small(
+        ends(by_bucket, "_bucket", F.floor(F.col("_all") * share + 0.5)).select(
+            F.col("_label").alias("_l"), "_bucket", (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_left")
+        )
+    )
+    near = rows.join(buckets, F.col("_label").eqNullSafe(F.col("_l")) & (bucket == F.col("_bucket")))
+    by_key = near.groupBy("_label", "_left", F.struct("_drawn", "_key").alias("_spot")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = when_small(
+        ends(by_key, "_spot", F.col("_left")).select(
+            F.col("_label").alias("_l"), F.col("_spot").alias("_end"), (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_taken"), F.col("_n").alias("_equal")
+        )
+    )
+    # Labels of which nothing trains have no end.
+    placed = df.withColumn("_spot", F.struct(drawn, F.col(key).alias("_key"))).join(
+        cuts, F.col(label).eqNullSafe(F.col("_l")), "left"
+    )
+    trains = F.coalesce(F.col("_spot") <= F.col("_end"), F.lit(False))
+    if cuts.where(F.col("_taken") < F.col("_equal")).isEmpty():
+        return placed.where(trains).select(*df.columns), placed.where(~trains).select(*df.columns)
+    # Of rows with the key at which the share ends, the first ones by their columns train.
+    tied = F.coalesce((F.col("_spot") == F.col("_end")) & (F.col("_taken") < F.col("_equal")), F.lit(False))
+    numbered = sequence_numbers(placed.where(tied).select(*df.columns, "_taken"), "_rank", [F.col(key).isNull()], [label])
+    parts = [numbered.where(F.col("_rank") <= F.col("_taken")), numbered.where(F.col("_rank") > F.col("_taken"))]
+    sides = [placed.where(~tied & trains), placed.where(~tied & ~trains)]
+    return tuple(a.select(*df.columns).unionByName(b.select(*df.columns)) for a, b in zip(sides, parts))
 
 
 # --- response model -----------------------------------------------------------------------
@@ -147,27 +182,19 @@ class ResponseModel:
 def train_response_model(features: DataFrame, trees: int = TREES) -> ResponseModel:
     """Gradient-boosted trees on the training side of the stratified split.
 
-    Boosting writes its residuals to the shared folder every ten trees, so a lost
-    executor does not send it back to the first tree.
+    The rows are binned and counted once; boosting then reads the counted cells only.
     """
-    shared_dir(features.sparkSession)
     codes = settled(category_codes(features))
     train, _ = stratified_split(features)
-    untrained = ResponseModel(None, codes)
-    data = untrained.vectors(train).select("features", "label")
-    data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = GBTClassifier(
-            maxIter=trees,
-            maxDepth=DEPTH,
-            stepSize=STEP,
-            subsamplingRate=SUBSAMPLE,
-            featureSubsetStrategy=COLUMN_SAMPLE,
-            seed=SEED,
-        ).fit(data)
-    finally:
-        data.unpersist()
-    return ResponseModel(model, codes)
+    params = GBTClassifier(
+        maxIter=trees,
+        maxDepth=DEPTH,
+        stepSize=STEP,
+        subsamplingRate=SUBSAMPLE,
+        featureSubsetStrategy=COLUMN_SAMPLE,
+        seed=SEED,
+    )
+    return ResponseModel(boosting.fit(encode_categories(train, codes), RESPONSE_FEATURES, params), codes)
 
 
 def evaluate_classifier(trained: ResponseModel, features: DataFrame) -> DataFrame:
@@ -228,41 +255,6 @@ def score_responses(
 # --- attribution -----------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Leaf:
-    """A leaf with the splits on its path, by feature: the interval (low, high] a row's value
-    must lie in, and the share of training rows that go the path's way at those splits."""
-
-    value: float
-    features: tuple[int, ...]
-    low: tuple[float, ...]
-    high: tuple[float, ...]
-    share: tuple[float, ...]
-
-    def shapley(self) -> np.ndarray:
-        """Contribution of each feature for every pattern of held conditions (a bit each).
-
-        The value of a set of known features is the leaf's, times its held conditions for
-        the known ones and its shares for the others; a feature's contribution is its mean
-        gain over all orders.  Paths are short, so all sets are taken.
-        """
-        m = len(self.features)
-        table = np.zeros((1 << m, m))
-        for pattern in range(1 << m):
-            held = [float(pattern >> j & 1) for j in range(m)]
-            for i in range(m):
-                others = [j for j in range(m) if j != i]
-                for size in range(m):
-                    weight = math.factorial(size) * math.factorial(m - size - 1) / math.factorial(m)
-                    for known in itertools.combinations(others, size):
-                        part = math.prod(held[j] if j in known else self.share[j] for j in others)
-                        table[pattern, i] += weight * part * (held[i] - self.share[i])
-        return self.value * table
-
-    def expected(self) -> float:
-        return self.value * math.prod(self.share)
-
-
 def tree_leaves(root, weight: float) -> list[Leaf]:
     """The leaves of a fitted tree; a saved model keeps the row counts of its nodes."""
     found: list[Leaf] = []
@@ -289,81 +281,13 @@ def shapley_values(leaves: list[Leaf], x: np.ndarray) -> tuple[np.ndarray, float
     return ShapleyTables(leaves, [leaf.shapley() for leaf in leaves], x.shape[1]).values(x)
 
 
-class ShapleyTables:
-    """The contributions of leaves as tables over cells between their limits.
-
-    Whether a row holds a leaf's conditions depends only on which limits each feature lies
-    between.  Neighbouring leaves are summed up to one table as long as it has at most
-    ``CELLS`` cells, so a row costs one look-up for such a group instead of one for a leaf.
-    ``effects`` are the leaves' ``shapley()``, worked out once.
-    """
-
-    CELLS = 2048
-
-    def __init__(self, leaves: list[Leaf], effects: list[np.ndarray], width: int):
-        self.base, self.groups = sum((leaf.expected() for leaf in leaves), 0.0), []
-        cuts = [set() for _ in range(width)]
-        for leaf in leaves:
-            for f, low, high in zip(leaf.features, leaf.low, leaf.high):
-                cuts[f] |= {t for t in (low, high) if math.isfinite(t)}
-        self.cuts = [np.array(sorted(c)) for c in cuts]
-        group: list[int] = []
-        limits: dict[int, set[float]] = {}
-        for i, leaf in enumerate(leaves):
-            if not leaf.features:
-                continue
-            grown = {f: set(c) for f, c in limits.items()}
-            for f, low, high in zip(leaf.features, leaf.low, leaf.high):
-                grown.setdefault(f, set()).update(t for t in (low, high) if math.isfinite(t))
-            if group and math.prod(len(c) + 2 for c in grown.values()) > self.CELLS:
-                self._add([leaves[j] for j in group], [effects[j] for j in group], limits, width)
-                group = []
-                own = zip(leaf.features, leaf.low, leaf.high)
-                grown = {f: {t for t in (low, high) if math.isfinite(t)} for f, low, high in own}
-            group, limits = [*group, i], grown
-        if group:
-            self._add([leaves[j] for j in group], [effects[j] for j in group], limits, width)
-
-    def _add(self, leaves: list[Leaf], effects: list[np.ndarray], limits: dict[int, set[float]], width: int) -> None:
-        ends = {f: np.array(sorted(limits[f])) for f in sorted(limits)}
-        # A cell of a feature lies up to its limit, the last but one above all; the last one
-        # holds values that no condition holds for (NaN).
-        sizes = [len(e) + 2 for e in ends.values()]
-        cells = dict(zip(ends, np.unravel_index(np.arange(math.prod(sizes)), sizes)))
-        table = np.zeros((math.prod(sizes), width))
-        for leaf, effect in zip(leaves, effects):
-            pattern = np.zeros(len(table), np.int64)
-            for j, (f, low, high) in enumerate(zip(leaf.features, leaf.low, leaf.high)):
-                top, bottom = np.r_[ends[f], math.inf, -math.inf], np.r_[-math.inf, ends[f], -math.inf]
-                held = (bottom >= low) & (top <= high) & (np.arange(len(top)) < len(top) - 1)
-                pattern |= held[cells[f]].astype(np.int64) << j
-            table[:, list(leaf.features)] += effect[pattern]
-        # From the cell between all limits of a feature to its share of the place in the table.
-        steps = np.r_[np.cumprod(sizes[::-1])[::-1][1:], 1].astype(np.int64)
-        places = {
-            f: np.r_[np.searchsorted(e, np.r_[self.cuts[f], math.inf]), len(e) + 1].astype(np.int64) * step
-            for (f, e), step in zip(ends.items(), steps)
-        }
-        self.groups.append((places, table))
-
-    def values(self, x: np.ndarray) -> tuple[np.ndarray, float]:
-        out = np.zeros(x.shape)
-        cell = {}
-        for f, cuts in enumerate(self.cuts):
-            none = np.isnan(x[:, f]) | (x[:, f] == -math.inf)
-            cell[f] = np.where(none, len(cuts) + 1, np.searchsorted(cuts, x[:, f]))
-        for places, table in self.groups:
-            out += table[sum(places[f][cell[f]] for f in places)]
-        return out, self.base
-
-
 def attribute_scores(trained: ResponseModel, features: DataFrame) -> DataFrame:
     """Shapley value of each feature for the log-odds of every row, along the trees' paths.
 
     ``base_value`` plus the contributions is ``raw_score``, the model's log-odds.  The
-    trees are a few thousand numbers, whose tables are built once a task; rows stream
-    through in Arrow batches.  ``method``
-    tells the values from those of ``importance_attributions``.
+    trees are a few thousand numbers, whose tables are built once and sent to all tasks; rows
+    stream through in Arrow batches.  ``method`` tells the values from those of
+    ``importance_attributions``.
     """
     model = trained.model
     # The classifier's log-odds are twice its margin.
@@ -373,27 +297,25 @@ def attribute_scores(trained: ResponseModel, features: DataFrame) -> DataFrame:
         for leaf in tree_leaves(t._call_java("rootNode"), 2.0 * w)
     ]
     names = list(RESPONSE_FEATURES)
-    effects = [leaf.shapley() for leaf in leaves]
+    tables = ShapleyTables(leaves, [leaf.shapley() for leaf in leaves], len(names))
+    sent = features.sparkSession.sparkContext.broadcast(tables)
 
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = ShapleyTables(leaves, effects, len(names))
+    def attribute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = sent.value
         for batch in batches:
-            x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, len(names)))
+            x = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(names))], axis=1)
             parts, base = tables.values(x)
-            yield pd.DataFrame(
-                {
-                    "outcome_id": batch["outcome_id"],
-                    "base_value": base,
-                    "raw_score": base + parts.sum(axis=1),
-                    **{f"c_{n}": parts[:, i] for i, n in enumerate(names)},
-                }
+            found = [np.full(len(x), base), base + parts.sum(axis=1), *parts.T]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in found]],
+                names=["outcome_id", "base_value", "raw_score", *[f"c_{n}" for n in names]],
             )
 
     schema = "outcome_id string, base_value double, raw_score double, " + ", ".join(
         f"c_{n} double" for n in names
     )
-    vectors = trained.vectors(features).select("outcome_id", vector_to_array("features").alias("x"))
-    return vectors.mapInPandas(attribute, schema).withColumn("method", F.lit(V.SHAPLEY_METHOD))
+    encoded = encode_categories(features, trained.codes).select("outcome_id", *names)
+    return encoded.mapInArrow(attribute, schema).withColumn("method", F.lit(V.SHAPLEY_METHOD))
 
 
 def importance_attributions(features: DataFrame, importances: DataFrame) -> DataFrame:

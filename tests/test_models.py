@@ -251,3 +251,60 @@ def test_cohorts_are_fitted_on_plain_vectors(fact, monkeypatch):
     monkeypatch.setattr(P.KMeans, "fit", watched)
     P.train_cohorts(P.cohort_features(fact), restarts=2)
     assert seen == [(False, False)] * 2
+
+
+def test_trees_are_those_of_mllib(spark, features):
+    """With all rows and columns in every tree nothing is drawn, and the trees are the same."""
+    encoded = P.encode_categories(features, P.category_codes(features))
+    params = P.GBTClassifier(
+        maxIter=6, maxDepth=4, stepSize=0.08, subsamplingRate=1.0, featureSubsetStrategy="1.0", maxBins=8
+    )
+    vectors = P.VectorAssembler(inputCols=list(P.RESPONSE_FEATURES), outputCol="features").transform(encoded)
+    want = params.fit(vectors.coalesce(1))
+    got = P.boosting.fit(encoded, P.RESPONSE_FEATURES, params)
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray())
+    rows = [
+        [r.p for r in model.transform(vectors).select(P.vector_to_array("probability")[1].alias("p")).collect()]
+        for model in (got, want)
+    ]
+    assert np.allclose(*rows)
+
+
+def test_training_does_not_depend_on_the_layout(features, monkeypatch):
+    """Equal rows are counted, and the trees are grown on the counts, whatever moved before."""
+    sizes = []
+    drawn = P.boosting.boosted_trees
+
+    def watched(chunks, *args):
+        sizes.append(chunks.map(lambda c: (len(c.margin), int(sum(n.sum() for n in c.counts)))).collect())
+        return drawn(chunks, *args)
+
+    monkeypatch.setattr(P.boosting, "boosted_trees", watched)
+    twice = features.unionByName(features.withColumn("outcome_id", F.concat("outcome_id", F.lit("b"))))
+    a, b = (P.train_response_model(df, trees=3).model for df in (twice, twice.repartition(7)))
+    assert a.toDebugString.split("\n")[1:] == b.toDebugString.split("\n")[1:]
+    [(cells, rows)] = sizes[0]
+    assert sizes[0] == sizes[1] and rows == 960 and cells < 600
+
+
+def test_split_of_repeated_keys(spark):
+    """Copies of the key at which the share ends lie on both sides, none is lost."""
+    rows = [("same", 1.0, i) for i in range(10)] + [(f"o{i}", 0.0, i) for i in range(10)] + [(None, None, 1)] * 10
+    df = spark.createDataFrame(rows, "outcome_id string, label double, v int")
+    train, test = P.stratified_split(df)
+    assert sorted(str(r.label) for r in train.collect()) == ["0.0"] * 8 + ["1.0"] * 8 + ["None"] * 8
+    assert sorted(map(str, train.unionByName(test).collect())) == sorted(map(str, df.collect()))
+    again = P.stratified_split(df.repartition(3))[0]
+    assert sorted(map(str, again.collect())) == sorted(map(str, train.collect()))
+
+
+def test_split_leaves_rows_where_they_are(spark, features):
+    for side in P.stratified_split(features):
+        assert "Exchange hashpartitioning" not in side._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_of_attributions_are_built_once(spark, trained, features, monkeypatch):
+    built, add = [], P.ShapleyTables.__init__
+    monkeypatch.setattr(P.ShapleyTables, "__init__", lambda self, *a: (built.append(1), add(self, *a))[1])
+    rows = P.attribute_scores(trained, features.repartition(3)).collect()
+    assert len(rows) == 600 and len(built) == 1
