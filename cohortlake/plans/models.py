@@ -19,13 +19,14 @@ from pyspark.ml.evaluation import (
 )
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions import columns as C
 from cohortlake.functions import values as V
 from cohortlake.operators.skew import sequence_numbers, when_small
-from cohortlake.plans import boosting
+from cohortlake.plans import boosting, clustering
 from cohortlake.plans.leaves import Leaf, ShapleyTables
 from cohortlake.session import settled
 
@@ -396,11 +397,13 @@ def cohort_features(fact: DataFrame) -> DataFrame:
 
 @dataclass
 class CohortModel:
-    """Scaler and clusters; ``order[i]`` is the number given to raw cluster i."""
+    """Scaler and clusters; ``order[i]`` is the number given to raw cluster i, ``inertia`` the
+    cost of the points in the last step."""
 
     scaler: PipelineModel
     clusters: KMeansModel
     order: list[int]
+    inertia: float = math.nan
 
     def scaled(self, features: DataFrame) -> DataFrame:
         return self.scaler.transform(features)
@@ -412,36 +415,65 @@ class CohortModel:
 def train_cohorts(features: DataFrame, restarts: int = RESTARTS) -> CohortModel:
     """The best of several k-means runs on standardised features.
 
-    Clusters are numbered by response rate, then size, so numbers do not depend on
-    the random start.
+    The runs share every pass over the points.  Clusters are numbered by response rate, then
+    size, so numbers do not depend on the random start.
     """
     from pyspark.ml import Pipeline
 
+    spark = features.sparkSession
     assembler = VectorAssembler(inputCols=list(COHORT_FEATURES), outputCol="raw_features")
     scaler = StandardScaler(
         withMean=True, withStd=True, inputCol="raw_features", outputCol="features"
     )
     scaling = Pipeline(stages=[assembler, scaler]).fit(features)
-    # Every fit keeps plain vectors in memory itself, unless its input is persisted: then each
-    # step would read them from the columns of the cache again, which costs several times more.
-    data = settled(scaling.transform(features).select("features", "responded"))
-    models = [
-        KMeans(k=CLUSTERS, seed=SEED + i, featuresCol="features").fit(data)
-        for i in range(restarts)
-    ]
-    best = min(models, key=lambda m: m.summary.trainingCost)
+    fitted = scaling.stages[-1]
+    mean, deviation = fitted.mean.toArray(), fitted.std.toArray()
+    factor = np.divide(1.0, deviation, out=np.zeros(len(mean)), where=deviation != 0)
+    points = clustering.Points(
+        clustering.packed_points(features, COHORT_FEATURES, mean, factor), len(mean)
+    )
+    params = [KMeans(k=CLUSTERS, seed=SEED + i, featuresCol="features") for i in range(restarts)]
+    try:
+        starts = []
+        for own, candidates, weights in zip(params, *points.starts([p.getSeed() for p in params], CLUSTERS)):
+            if len(candidates) > CLUSTERS:
+                rows = [(Vectors.dense(c), float(w)) for c, w in zip(candidates, weights) if w]
+                near = settled(spark.createDataFrame(rows, ["features", "weight"]).coalesce(1))
+                model = own.copy({own.weightCol: "weight"}).fit(near)
+                candidates = np.array(model.clusterCenters())
+            starts.append(candidates)
+        centres, costs = points.settle(starts, params[0].getMaxIter(), params[0].getTol())
+    finally:
+        points.packed.unpersist()
+    best = int(costs.argmin())
+    clusters = kmeans_model(spark, params[best], centres[best])
     # One row per cluster.
     stats = (
-        best.transform(data)
+        clusters.transform(scaling.transform(features))
         .groupBy("prediction")
         .agg(F.avg("responded").alias("rate"), F.count(F.lit(1)).alias("size"))
         .collect()
     )
     ranked = sorted(stats, key=lambda r: (round(r["rate"], 9), r["size"]))
-    order = [0] * len(best.clusterCenters())
+    order = [0] * len(clusters.clusterCenters())
     for number, row in enumerate(ranked):
         order[row["prediction"]] = number
-    return CohortModel(scaling, best, order)
+    return CohortModel(scaling, clusters, order, float(costs[best]))
+
+
+def kmeans_model(spark: SparkSession, params: KMeans, centres: np.ndarray) -> KMeansModel:
+    """MLlib's model of the given centres."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    vectors = jvm.org.apache.spark.mllib.linalg
+    held = gateway.new_array(vectors.Vector, len(centres))
+    for i, centre in enumerate(centres):
+        values = gateway.new_array(jvm.double, len(centre))
+        for j, value in enumerate(centre):
+            values[j] = float(value)
+        held[i] = vectors.DenseVector(values)
+    inner = jvm.org.apache.spark.mllib.clustering.KMeansModel(held)
+    model = jvm.org.apache.spark.ml.clustering.KMeansModel(params.uid, inner)
+    return params._copyValues(KMeansModel(model))
 
 
 def assign_cohort(
@@ -497,7 +529,6 @@ def clustering_quality(model: CohortModel, features: DataFrame) -> DataFrame:
     """Silhouette and inertia as (metric, value)."""
     placed = model.clusters.transform(model.scaled(features)).select("features", "prediction")
     silhouette = ClusteringEvaluator().evaluate(placed)
-    inertia = float(model.clusters.summary.trainingCost) if model.clusters.hasSummary else math.nan
     return features.sparkSession.createDataFrame(
-        [("silhouette", float(silhouette)), ("inertia", inertia)], "metric string, value double"
+        [("silhouette", float(silhouette)), ("inertia", model.inertia)], "metric string, value double"
     )

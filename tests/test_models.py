@@ -308,3 +308,35 @@ def test_tables_of_attributions_are_built_once(spark, trained, features, monkeyp
     monkeypatch.setattr(P.ShapleyTables, "__init__", lambda self, *a: (built.append(1), add(self, *a))[1])
     rows = P.attribute_scores(trained, features.repartition(3)).collect()
     assert len(rows) == 600 and len(built) == 1
+
+
+def test_steps_of_kmeans_are_those_of_mllib(spark, fact):
+    """From the same start, all restarts at once come to MLlib's centres and costs."""
+    features = P.cohort_features(fact)
+    x = np.array([[r[c] for c in P.COHORT_FEATURES] for r in features.collect()])
+    mean, factor = x.mean(axis=0), 1 / x.std(axis=0, ddof=1)
+    points = P.clustering.Points(P.clustering.packed_points(features, P.COHORT_FEATURES, mean, factor), 7)
+    scaled = spark.createDataFrame([(P.Vectors.dense(r),) for r in (x - mean) * factor], ["features"])
+    starts = [P.KMeans(k=5, seed=s, maxIter=0).fit(scaled).clusterCenters() for s in (1, 2, 3)]
+    centres, costs = points.settle([np.array(s) for s in starts], 20, 1e-4)
+    for s, found, cost in zip((1, 2, 3), centres, costs):
+        want = P.KMeans(k=5, seed=s).fit(scaled)
+        assert np.allclose(found, want.clusterCenters()) and cost == pytest.approx(want.summary.trainingCost)
+
+
+def test_starts_of_kmeans(fact):
+    """Candidates are points, about 2 k a round, and every point counts for its nearest one."""
+    features = P.cohort_features(fact)
+    points = P.clustering.Points(P.clustering.packed_points(features, P.COHORT_FEATURES, np.zeros(7), np.ones(7)), 7)
+    candidates, weights = points.starts([1, 2, 3], 5)
+    own = {tuple(r[c] for c in P.COHORT_FEATURES) for r in features.collect()}
+    for c, w in zip(candidates, weights):
+        assert 5 < len(c) < 60 and w.sum() == 600 and {tuple(r) for r in c} <= own
+    assert len({c.tobytes() for c in candidates}) == 3
+
+
+def test_clusters_of_few_points(spark):
+    rows = [(f"o{i}", 50.0 + i % 3, 1.0, 0.0, 0.0, 0.0, 0.0, float(i % 3 == 2)) for i in range(9)]
+    features = spark.createDataFrame(rows, ["outcome_id", *P.COHORT_FEATURES])
+    model = P.train_cohorts(features, restarts=2)
+    assert len(model.clusters.clusterCenters()) <= 3 and model.inertia == pytest.approx(0.0, abs=1e-9)
