@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import columns as C
 from cohortlake.operators.records import investigational_only, metric_rows
+from cohortlake.session import join_where_dealt
 
 
 def silver_patients(patients: DataFrame) -> DataFrame:
@@ -80,16 +81,19 @@ def patient_outcomes(
 ) -> DataFrame:
     """The full silver fact: outcome, patient, trial, first medication and features.
 
-    Rows move once for each join, so what is short is joined first and the titles last, and
-    flags are made before their texts move.
+    Rows move once for the patient, whose drugs and columns meet them there, and once for the
+    trial; the long titles are joined last, and flags are made before their texts move.
     """
     flags = C.condition_flags("conditions")
     people = patients.select("patient_id", "gender", "age", "conditions").withColumns(flags)
     studies = trials.select("trial_id", "title", "phase", "condition", "sponsor")
-    drugs = first_medication(medications)
+    # Dealt by patient alone, outcomes and drugs meet without being dealt by both keys.
+    join_where_dealt(outcomes.sparkSession)
+    drugs = first_medication(investigational_only(medications).repartition("patient_id"))
     keys = ["patient_id", "trial_id"]
     return (
         outcomes.withColumn("responded", C.responded())
+        .repartition("patient_id")
         .join(drugs, keys, "left")
         .join(people, "patient_id", "left")
         .join(studies, "trial_id", "left")

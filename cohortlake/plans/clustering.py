@@ -14,7 +14,7 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 
 # Points worked on at a time, and the rounds of sampling at the start.
-BLOCK, START_STEPS = 8192, 2
+BLOCK, START_STEPS = 1024, 2
 
 
 def packed_points(df: DataFrame, columns: Sequence[str], mean: np.ndarray, factor: np.ndarray) -> RDD:

@@ -64,7 +64,8 @@ def response_features(fact: DataFrame) -> DataFrame:
         F.coalesce("treatment_completed", F.lit(True)).cast("double").alias("treatment_completed"),
         F.size(F.split(conditions, r"\|")).cast("double").alias("num_conditions"),
         *[F.coalesce(F.col(c), F.lit("Unknown")).alias(c) for c in CATEGORIES],
-        C.responded().cast("double").alias("label"),
+        # The fact's own flag, if it has one, is narrower than the status it was made of.
+        (F.col("responded") if "responded" in fact.columns else C.responded()).cast("double").alias("label"),
     )
 
 

@@ -233,3 +233,23 @@ def test_long_columns_are_joined_last(spark):
     assert joins(fact) == [(True, True), (True, False)]
     texts = full.select("outcome_id", "has_obesity")._jdf.queryExecution().optimizedPlan().toString()
     assert "conditions" not in texts.partition("Join LeftOuter")[0]
+
+
+def test_fact_rows_move_once_for_the_patient(spark):
+    """Outcomes meet drugs and patients where they were dealt by patient, and move on by trial."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = "patient_id string, trial_id string"
+        frames = [
+            spark.createDataFrame([], f"outcome_id string, {keys}, response_status string"),
+            spark.createDataFrame([], "patient_id string, gender string, age int, conditions string"),
+            spark.createDataFrame([], "trial_id string, title string, phase string, condition string, sponsor string"),
+            spark.createDataFrame([], MEDS),
+        ]
+        plan = L.patient_outcomes(*frames)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Outcomes, drugs and patients by patient; the joined rows and trials by trial.
+    assert plan.count("Exchange hashpartitioning(patient_id") == 3 and "hashpartitioning(patient_id#0, trial" not in plan
+    assert plan.count("Exchange hashpartitioning(trial_id") == 2 and plan.count("Exchange") == 5
