@@ -97,11 +97,12 @@ def _null_safe_join(
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _in_ranges(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+def _in_ranges(df: DataFrame, keys: Sequence[str], rows: int, spent: Sequence[str] = ()) -> DataFrame:
     """``df`` in ranges of the keys of about ``rows`` rows, whose ends Spark takes from a
     sample of the keys: ``_range`` and ``_place``, the row's place in it (from 0).
 
-    Written to the shared folder, so that a lost executor does not change places.
+    Written to the shared folder, so that a lost executor does not change places, without
+    the ``spent`` columns, which only the order needed.
     """
     df = df.persist()  # read three times: counted, sampled, moved
     try:
@@ -110,7 +111,7 @@ def _in_ranges(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
         ranges = max(1, min(math.ceil(n / rows), most))
         ordered = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
         # The upper bits are the range, the lower 33 count its rows.
-        kept = settled(ordered.withColumn("_at", F.monotonically_increasing_id()))
+        kept = settled(ordered.drop(*spent).withColumn("_at", F.monotonically_increasing_id()))
     finally:
         df.unpersist()
     return kept.withColumns(
@@ -152,7 +153,7 @@ def sequence_numbers(
         ).drop("_copies")
         # Rows that differ in other columns only may stand in any order.
         keys = [*keys, *[c for c in df.columns if c not in groups], "_piece"]
-    placed = _in_ranges(sized, keys, rows)
+    placed = _in_ranges(sized, keys, rows, marks)
     sizes = placed.groupBy("_range").agg(F.sum("_size").alias("_total"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))

@@ -70,9 +70,9 @@ def _parts(df: DataFrame, columns: tuple[str, ...], name: str, max_items: int) -
     digest = F.md5(F.to_json(F.struct(*columns)))
     day = F.coalesce(F.substring("date", 1, 10), F.lit(""))
     numbered = sequence_numbers(
-        df.withColumns({"_day": day, "_digest": digest}),
+        df,
         "_n",
-        order=["_day", "_digest"],
+        order=[day, digest],
         groups=["external_id"],
         start=0,
     )

@@ -174,3 +174,15 @@ def test_contains_join_has_no_cross_join(spark):
     right = spark.createDataFrame([("b",)], "p string")
     plan = skew.contains_join(left, "t", right, "p")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_order_columns_are_not_kept(spark):
+    """What only the order needed is neither written to the shared folder nor read again."""
+    df = spark.range(50).select("id", (F.col("id") % 3).alias("g"))
+    placed, in_ranges = [], skew._in_ranges
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(skew, "_in_ranges", lambda *args: placed.append(in_ranges(*args)) or placed[-1])
+        numbered = [skew.sequence_numbers(df, "n", [F.md5(F.lit("x")), -F.col("id")], ["g"], unique=u) for u in (True, False)]
+    for frame, result in zip(placed, numbered):
+        assert not [c for c in frame.columns if c.startswith("_o")]
+        assert {r.id: r.n for r in result.collect()} == {i: len(range(i, 50, 3)) for i in range(50)}
